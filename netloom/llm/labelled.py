@@ -24,4 +24,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: s
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).where(~held_out(doc_id)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("y"))
     share = min(1.0, bound / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.join(F.broadcast(drawn), docs[doc_id] == drawn["__id"]).select("y", F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    return rows.join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).select("y", "text")
