@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder named by spark.checkpoint.dir; in one of our own only where none is set (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/netloom-shared"
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read again, so that loops keep short plans."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/netloom-shared"
-    path = f"{base.rstrip('/')}/graphs/{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again, so that loops keep short plans."""
+    path = new_path(df.sparkSession, "graphs")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def compact_edges(ends: DataFrame) -> DataFrame:
@@ -123,3 +127,31 @@ def infer_tops(modules: DataFrame, instances: DataFrame) -> DataFrame:
     parents = instances.join(modules.select(F.col("name").alias("child")), "child", "left_semi").select(F.col("parent").alias("name"))
     inner = best.join(parents, "name", "left_semi")
     return best if inner.isEmpty() else inner
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components, each named by its greatest node.
+
+    Every round colours the nodes left with the greatest node that reaches them, and takes out, for each node that has
+    its own colour, the nodes of this colour that reach it. Rounds end when no node is left.
+    """
+    left, edge, out = cut(nodes.select("node").distinct()), cut(edges.select("src", "dst").where("src <> dst").distinct()), None
+    while not left.isEmpty():
+        colour, moved = left.withColumn("colour", F.col("node")), True
+        while moved:
+            step = edge.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("c"))
+            colour = cut(colour.join(step, "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") > F.col("colour")).alias("moved")))
+            moved = not colour.where("moved").isEmpty()
+            colour = colour.select("node", "colour")
+        own = edge.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst")
+        own = cut(own)
+        found = frontier = cut(colour.where("node = colour").select("node", F.col("colour").alias("component")))
+        while not frontier.isEmpty():
+            new = frontier.join(own, frontier["node"] == own["dst"]).select(F.col("src").alias("node"), "component").distinct()
+            frontier = cut(new.join(found, "node", "left_anti"))
+            found = found.unionByName(frontier)
+        found = cut(found)
+        out = found if out is None else out.unionByName(found)
+        left = cut(left.join(found, "node", "left_anti"))
+        edge = cut(edge.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
+    return out if out is not None else left.withColumn("component", F.col("node"))

@@ -219,10 +219,10 @@ def bfs_levels(s, d):
     return graphs.reachable(_dep(s, d), s.range(3, 4).select(F.col("id").alias("node"))).select("node", F.col("depth").cast("bigint").alias("depth"))
 
 
-@_query("WITH RECURSIVE n AS (SELECT p_partkey AS k FROM part), e AS (SELECT n.k AS src, c.k AS dst FROM n JOIN n c ON c.k = 2 * n.k OR c.k = 2 * n.k + 1), r AS (SELECT k AS node, 0 AS level FROM n WHERE k NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node) SELECT node, CAST(max(level) AS BIGINT) AS level FROM r GROUP BY node")
+@_query("WITH RECURSIVE n AS (SELECT p_partkey AS k FROM part), e AS (SELECT n.k AS src, c.k AS dst FROM n JOIN n c ON (c.k = 2 * n.k OR c.k = 2 * n.k + 1) AND c.k <> n.k), r AS (SELECT k AS node, 0 AS level FROM n WHERE k NOT IN (SELECT dst FROM e) UNION ALL SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node) SELECT node, CAST(max(level) AS BIGINT) AS level FROM r GROUP BY node")
 def layers(s, d):
     n = _t(s, d, "part").select(F.col("p_partkey").alias("node"))
-    e = n.select(F.col("node").alias("src"), F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1)).alias("dst")).join(n.select(F.col("node").alias("dst")), "dst", "left_semi")
+    e = n.select(F.col("node").alias("src"), F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1)).alias("dst")).where("src <> dst").join(n.select(F.col("node").alias("dst")), "dst", "left_semi")
     return graphs.layers(e, n).select("node", F.col("level").cast("bigint").alias("level"))
 
 

@@ -4,10 +4,11 @@ import os
 
 import pytest
 
-from netloom.plans import bridge
+from netloom.plans import bridge, designs
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES, SQL = bridge.queries() | designs.queries(), bridge.oracle_sql() | designs.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
 
@@ -26,9 +27,9 @@ def plain(rows):
     return sorted((tuple(map(flat, r)) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(bridge.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, duck, name):
-    df = bridge.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    expected = duck.sql(f"SELECT {', '.join(columns)} FROM ({bridge.oracle_sql()[name]}) q").fetchall()
+    expected = duck.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]}) q").fetchall()
     assert plain(df.select(*columns).collect()) == plain(expected)
