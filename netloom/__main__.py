@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import design, graphs
@@ -22,6 +22,14 @@ def scan(spark: SparkSession, root: str, out: str | None = None, graph: bool = F
     """Prints counts, tops and the tree under each top; writes the catalog's tables as JSON under ``out``. 2 if there is nothing or no single top for the graph."""
     files = rtl.scan(spark, root).cache()
     mods = rtl.modules(files).cache()
+    try:
+        return report(spark, files, mods, out, graph)
+    finally:  # a later scan of the folder would meet the cached rows
+        mods.unpersist()
+        files.unpersist()
+
+
+def report(spark: SparkSession, files: DataFrame, mods: DataFrame, out: str | None, graph: bool) -> int:
     tables = design.catalog(mods)
     n_files, n_modules = files.count(), mods.count()
     print(f"{n_files} files, {n_modules} modules, {rtl.diagnostics(files, mods).count()} diagnostics")
