@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from netloom.functions.scalars import endpoint_role, signal_reference
 from netloom.sources import rtl
 
+from .graphs import cut
+
 TABLES = ["modules", "ports", "signals", "assigns", "gates", "instances", "pins", "always_blocks", "always_assigns"]
 
 
 def catalog(mods: DataFrame) -> dict[str, DataFrame]:
-    """All tables of ``rtl.modules``. Of modules with one name the first by (path, order) counts, as in a hierarchy."""
+    """All tables of ``rtl.modules``. Of modules with one name the first by (path, order) counts, as in a hierarchy.
+
+    The modules are written to the shared folder once, since all tables read them.
+    """
     first = mods.withColumn("__n", F.row_number().over(Window.partitionBy("module").orderBy("path", "mod_ord"))).where("__n = 1").drop("__n")
+    first = cut(first)
     insts, blocks = rtl.instances(first), rtl.always_blocks(first)
     return {
         "modules": first.select("path", "mod_ord", "module", "line"), "ports": rtl.ports(first), "signals": rtl.signals(first), "assigns": rtl.assigns(first), "gates": rtl.gates(first),

@@ -1,6 +1,6 @@
 """Design text as tables: modules, ports, signals, instances, pins, gates, assigns, always blocks, diagnostics.
 
-Files are rows; a module's text is cut into its top-level items by a small helper, since blocks nest, and the tables are
+Files are rows; small helpers cut them into modules with their lines, and these into top-level items, since blocks nest; the tables are
 Column expressions over these items. Only what is not inside generate regions, functions and tasks becomes rows.
 Spark's readers skip empty files and those whose names start with an underscore or a dot.
 """
@@ -28,6 +28,7 @@ ID = r"[A-Za-z_][A-Za-z0-9_$]*"
 FLAT = r"[^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*"
 ITEMS = "array<struct<line:int,text:string,steps:array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string>>>>"
 OPENS, CLOSES = {"begin", "case", "casex", "casez", "fork", "function", "task", "generate"}, {"end", "endcase", "join", "join_any", "join_none", "endfunction", "endtask", "endgenerate"}
+MODULE = re.compile(r"\bmodule\s.*?\bendmodule\b", re.S | re.A)
 TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|[A-Za-z_$][\w$]*|\d*\'[sS]?[bodhBODH]\s*[\w?]+|\d[\w.]*|<<<|>>>|===|!==|<=|>=|==|!=|&&|\|\||<<|>>|\S', re.S)
 
 
@@ -113,16 +114,28 @@ def steps_of(text: str) -> list[tuple]:
     return out
 
 
-def _items(bodies: pd.Series) -> pd.Series:
-    """Items of each module's body; null where its nesting is too deep to follow."""
+def _items(bodies: pd.Series, lines: pd.Series) -> pd.Series:
+    """Items of each module's body, which starts at a line of its file; null where its nesting is too deep to follow."""
 
-    def one(body):
+    def one(body, line):
         try:
-            return [{"line": n, "text": squeeze(t), "steps": [dict(zip(("target", "expression", "blocking", "condition", "condition_text"), s)) for s in (steps_of(t) if t.startswith("always") else [])]} for n, t in items_of(body)]
+            return [{"line": line + n, "text": squeeze(t), "steps": [dict(zip(("target", "expression", "blocking", "condition", "condition_text"), s)) for s in (steps_of(t) if t.startswith("always") else [])]} for n, t in items_of(body)]
         except RecursionError:
             return None
 
-    return bodies.map(one)
+    return pd.Series([one(b, n) for b, n in zip(bodies, lines)], index=bodies.index, dtype=object)
+
+
+def _modules(texts: pd.Series) -> pd.Series:
+    """(line, text) of each module of each text."""
+
+    def each(text):
+        line, at = 1, 0
+        for m in MODULE.finditer(text):
+            line, at = line + text.count("\n", at, m.start()), m.start()
+            yield {"line": line, "text": m.group()}
+
+    return texts.map(lambda t: list(each(t)))
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -147,14 +160,15 @@ def modules(files: DataFrame) -> DataFrame:
     header is what stands between name and first semicolon. Null and empty texts have no modules.
     """
     clean = files.select("path", without_comments(F.coalesce("text", F.lit(""))).alias("clean"))
-    found = clean.select("path", "clean", F.posexplode(F.regexp_extract_all("clean", F.lit(r"(?s)\bmodule\s.*?\bendmodule\b"), F.lit(0))).alias("mod_ord", "mod"))
-    lines_to = lambda text: F.length(F.regexp_replace(text, r"[^\n]+", ""))
+    found = clean.select("path", F.posexplode(F.pandas_udf(_modules, "array<struct<line:int,text:string>>")("clean")).alias("mod_ord", "m"))
     head = rf"(?s)^module\s+({ID})([^;]*);"
+    text = F.col("m.text")
+    before = F.length(F.regexp_replace(F.regexp_extract(text, r"(?s)^[^;]*;", 0), r"[^\n]+", ""))
     rows = found.select(
-        "path", "mod_ord", F.regexp_extract("mod", head, 1).alias("module"), (lines_to(F.expr("left(clean, greatest(locate(mod, clean) - 1, 0))")) + 1).alias("line"),
-        F.regexp_extract("mod", head, 2).alias("header"), F.regexp_replace("mod", r"(?s)^[^;]*;|\bendmodule$", "").alias("body"), lines_to(F.regexp_extract("mod", r"(?s)^[^;]*;", 0)).alias("skip"),
+        "path", "mod_ord", F.regexp_extract(text, head, 1).alias("module"), F.col("m.line").alias("line"), F.regexp_extract(text, head, 2).alias("header"),
+        F.regexp_replace(text, r"(?s)^[^;]*;|\bendmodule$", "").alias("body"), (F.col("m.line") + before).alias("body_line"),
     ).where("module <> ''")
-    return rows.withColumn("items", F.pandas_udf(_items, ITEMS)("body")).select("path", "mod_ord", "module", "line", "header", "body", F.transform("items", lambda i: i.withField("line", i["line"] + F.col("line") + F.col("skip"))).alias("items"))
+    return rows.withColumn("items", F.pandas_udf(_items, ITEMS)("body", "body_line")).drop("body_line")
 
 
 def diagnostics(files: DataFrame, mods: DataFrame) -> DataFrame:
