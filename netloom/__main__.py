@@ -9,15 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import design, graphs
+from netloom.project import looks_like_bench
 from netloom.sources import rtl
 
 
-def testbench(name, path):
-    """Whether a module looks like a test bench by its name or its file's."""
-    n, f = F.lower(name), F.lower(F.substring_index(path, "/", -1))
-    return n.startswith("tb_") | n.endswith("_tb") | n.startswith("test_") | n.contains("testbench") | f.startswith("tb_") | f.contains("testbench")
-
-
 def scan(spark: SparkSession, root: str, out: str | None = None, graph: bool = False) -> int:
     """Prints counts, tops and the tree under each top; writes the catalog's tables as JSON under ``out``. 2 if there is nothing or no single top for the graph."""
     files = rtl.scan(spark, root).cache()
@@ -35,7 +30,7 @@ def report(spark: SparkSession, files: DataFrame, mods: DataFrame, out: str | No
     print(f"{n_files} files, {n_modules} modules, {rtl.diagnostics(files, mods).count()} diagnostics")
     if not n_modules:
         return 2
-    names = tables["modules"].select(F.col("module").alias("name"), testbench(F.col("module"), F.col("path")).alias("is_testbench"))
+    names = tables["modules"].select(F.col("module").alias("name"), looks_like_bench(F.col("module"), F.col("path")).alias("is_testbench"))
     links = design.children(tables)
     tops = graphs.infer_tops(names, links.join(names.select(F.col("name").alias("parent"), F.col("is_testbench").alias("parent_is_testbench")), "parent"))
     found = [r["name"] for r in tops.orderBy("name").limit(100).collect()]

@@ -16,6 +16,9 @@ EXPRESSION_CLASSES = [
 PORT_RANKS = [(0, ["clk", "clock"]), (1, ["rst", "reset", "clear"]), (2, ["en", "enable", "start", "valid", "ready", "busy"])]
 # Words that name a block's region, in the order in which they are tried.
 REGIONS = [("control", ["ctrl", "control", "fsm", "sched"]), ("memory", ["mem", "ram", "rom", "fifo", "buffer"]), ("datapath", ["alu", "add", "mult", "filter"])]
+# Words in the names of control signals.
+CONTROL_WORDS = ["clk", "clock", "rst", "reset", "enable", "en", "start", "valid", "ready", "busy", "done"]
+# The forms in which a log line states a simulation time.
 TIME_FORMS = [r"\[t=(\d+)\]", r"\(t=(\d+)\)", r"@(\d+)", r"at time (\d+)", r"at t=(\d+)", r"time=(\d+)"]
 
 
@@ -79,6 +82,62 @@ def endpoint_role(direction: Column) -> Column:
 
 
 def hex_digits(bits: Column, width: Column) -> Column:
-    """A binary text as hexadecimal digits, aligned at the lowest bit; x or z anywhere gives x for every digit."""
+    """A binary text of any width as hexadecimal digits, aligned at the lowest bit; x or z anywhere gives x for every digit."""
     n = F.ceil(width / 4).cast("int")
-    return F.when(bits.rlike("[xXzZ]"), F.repeat(F.lit("x"), n)).otherwise(F.lpad(F.lower(F.conv(bits, 2, 16)), n, "0"))
+    full = F.lpad(bits, F.greatest(n, F.ceil(F.length(bits) / 4).cast("int")) * 4, F.lit("0"))
+    digits = F.transform(F.sequence(F.lit(1), F.length(full), F.lit(4)), lambda k: F.lower(F.conv(F.substr(full, k, F.lit(4)), 2, 16)))
+    return F.when(bits.rlike("[xXzZ]"), F.repeat(F.lit("x"), n)).when(F.length(bits) == 0, F.repeat(F.lit("0"), n)).otherwise(F.array_join(digits, ""))
+
+
+def bus_value(bits: Column, width: Column, radix: str) -> Column:
+    """A dumped value as text in ``radix``: bin, hex, dec or sdec. An x anywhere gives only x, else a z only z; reals stay.
+
+    Hexadecimal digits are aligned at the lowest bit. Decimals reach 126 bits and are null beyond. Empty values are null.
+    """
+    if radix not in ("bin", "hex", "dec", "sdec"):
+        raise ValueError(f"no such radix: {radix}")
+    n = F.ceil(width / (4 if radix == "hex" else 1)).cast("int")
+    if radix == "bin":
+        text = F.concat(F.lit("b"), F.lpad(bits, F.greatest(width, F.length(bits)), F.lit("0")))
+    elif radix == "hex":
+        text = F.concat(F.lit("h"), F.upper(hex_digits(bits, width)))
+    else:
+        whole, two = "decimal(38,0)", lambda x: F.lit(x).cast("decimal(1,0)")
+        number = lambda b: F.aggregate(F.split(b, ""), F.lit(0).cast(whole), lambda acc, c: (acc + acc + F.when(c == "1", two(1)).otherwise(two(0))).cast(whole))
+        negative = (F.length(bits) >= width) & (F.substr(bits, F.length(bits) - width + 1, F.lit(1)) == "1") & F.lit(radix == "sdec")
+        # the complement plus one, so that no power of two is needed
+        flipped = number(F.translate(F.right(bits, width), "01", "10")) + two(1)
+        text = F.when(F.length(bits) > 126, F.lit(None)).when(negative, F.concat(F.lit("-"), flipped.cast("string"))).otherwise(number(bits).cast("string"))
+    return F.when(F.length(bits) == 0, F.lit(None)).when(bits.rlike("[xX]"), F.repeat(F.lit("x"), n)).when(bits.rlike("[zZ]"), F.repeat(F.lit("z"), n)).when(bits.rlike(r"^-?\d+\.\d+"), bits).otherwise(text)
+
+
+def time_text(time: Column) -> Column:
+    """A time with two digits and the letter of its thousands (k, M, G); whole below a thousand."""
+    short = lambda by, letter: F.format_string(f"%.2f{letter}", time.cast("double") / by)
+    return F.when(time >= 1e9, short(1e9, "G")).when(time >= 1e6, short(1e6, "M")).when(time >= 1e3, short(1e3, "k")).otherwise(F.floor(time.cast("double") + 0.5).cast("string"))
+
+
+def tick_step(span: Column, ticks: int = 8) -> Column:
+    """The least of 1, 2 and 5 times a power of ten that cuts ``span`` into at most ``ticks`` steps; null unless positive."""
+    raw = span.cast("double") / ticks
+    ten = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    return F.when(span > 0, ten * F.when(raw <= ten, 1).when(raw <= 2 * ten, 2).when(raw <= 5 * ten, 5).otherwise(10))
+
+
+def natural_key(name: Column) -> Column:
+    """What to sort names by so that a2 comes before a10: digits by number, letters without case."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    digits = lambda p: F.ltrim(p, F.lit("0"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 5, "0"), digits(p))).otherwise(p)), "")
+
+
+def is_control_name(name: Column) -> Column:
+    """Whether a signal's name holds a word of clocks, resets and handshakes."""
+    return F.lower(name).rlike("|".join(CONTROL_WORDS))
+
+
+def shortened(text: Column, limit: int) -> Column:
+    """A text over ``limit`` characters as its two ends with a note of what is left out between them."""
+    half = limit // 2
+    note = F.concat(F.lit("\n…["), (F.length(text) - limit).cast("string"), F.lit(" chars truncated]…\n"))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(half)), note, F.right(text, F.lit(half))))

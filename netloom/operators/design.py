@@ -41,7 +41,7 @@ def endpoints(tables: dict) -> DataFrame:
 
     Ports are nodes ``io:``, seen from inside the module; instances, gates, assigns and always blocks are nodes of their
     kind. A pin of a module that isn't in the catalog, or by position, has the role unknown. An open pin has a net of its
-    own. Signals that a block both reads and writes are bidirectional.
+    own. Signals that a block both reads and writes are bidirectional. Where a net is declared as a signal, its width holds.
     """
     out = lambda df, net, node, port, role, width=F.lit(1), bus=F.lit(False): df.select("module", net.alias("net"), node.alias("node"), port.alias("port"), role.alias("role"), width.alias("bit_width"), bus.alias("is_bus"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -62,7 +62,10 @@ def endpoints(tables: dict) -> DataFrame:
     used = steps.select("module", "node", _base(c("target")).alias("name"), F.lit("write").alias("use")).unionByName(steps.select("module", "node", F.explode("reads").alias("name"), F.lit("read").alias("use"))).unionByName(clocks)
     roles = used.join(known_names(tables), ["module", "name"], "left_semi").groupBy("module", "node", "name").agg(F.bool_or(c("use") == "read").alias("r"), F.bool_or(c("use") == "write").alias("w"))
     always = out(roles, c("name"), c("node"), c("name"), F.when(c("r") & c("w"), "bidir").when(c("w"), "source").otherwise("sink"))
-    return io.unionByName(inst).unionByName(gates).unionByName(assigns).unionByName(always)
+    ends = io.unionByName(inst).unionByName(gates).unionByName(assigns).unionByName(always)
+    declared = tables["signals"].select("module", c("name").alias("net"), c("bit_width").alias("w"), c("is_bus").alias("b")).dropDuplicates(["module", "net"])
+    wide = ends.join(declared, ["module", "net"], "left").withColumns({"bit_width": F.coalesce("w", "bit_width"), "is_bus": F.coalesce("b", F.lit(False)) | c("is_bus")})
+    return wide.select(*ends.columns)
 
 
 def connectivity(ends: DataFrame) -> DataFrame:

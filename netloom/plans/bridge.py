@@ -302,6 +302,33 @@ def bus_radix(s, d):
     return _t(s, d, "part").select("p_partkey", scalars.hex_digits(F.bin("p_partkey"), F.lit(32)).alias("digits"))
 
 
+@_query("WITH x AS (SELECT p_partkey, CAST(p_partkey % 256 AS BIGINT) AS v FROM part) SELECT p_partkey, 'b' || lpad(bin(v), 8, '0') AS bin, 'h' || lpad(hex(v), 2, '0') AS hex, CAST(v AS VARCHAR) AS dec, CAST(CASE WHEN v > 127 THEN v - 256 ELSE v END AS VARCHAR) AS sdec FROM x")
+def bus_values(s, d):
+    bits = F.lpad(F.bin((F.col("p_partkey") % 256).cast("bigint")), 8, "0")
+    return _t(s, d, "part").select("p_partkey", *[scalars.bus_value(bits, F.lit(8), r).alias(r) for r in ("bin", "hex", "dec", "sdec")])
+
+
+@_query("WITH x AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_custkey AS t FROM orders) SELECT o_orderkey, CASE WHEN t >= 1000000000 THEN 'G' WHEN t >= 1000000 THEN 'M' WHEN t >= 1000 THEN 'k' ELSE CAST(t AS VARCHAR) END AS unit FROM x")
+def time_units(s, d):
+    text = scalars.time_text(F.col("o_orderkey").cast("bigint") * F.col("o_custkey"))
+    return _t(s, d, "orders").select("o_orderkey", F.when(text.rlike("[kMG]$"), F.right(text, F.lit(1))).otherwise(text).alias("unit"))
+
+
+@_query("SELECT p_partkey, 'p' || lpad(CAST(length(CAST(p_partkey AS VARCHAR)) AS VARCHAR), 5, '0') || p_partkey AS key FROM part")
+def natural_keys(s, d):
+    return _t(s, d, "part").select("p_partkey", scalars.natural_key(F.concat(F.lit("P00"), F.col("p_partkey").cast("string"))).alias("key"))
+
+
+@_query("SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '" + "|".join(scalars.CONTROL_WORDS) + "')")
+def control_names(s, d):
+    return _t(s, d, "part").where(scalars.is_control_name(F.col("p_name"))).select("p_partkey")
+
+
+@_query("SELECT doc_id, md5(CASE WHEN length(text) <= 200 THEN text ELSE left(text, 100) || chr(10) || '…[' || (length(text) - 200) || ' chars truncated]…' || chr(10) || right(text, 100) END) AS digest FROM documents")
+def shortened_texts(s, d):
+    return _t(s, d, "documents").select("doc_id", F.md5(scalars.shortened(F.col("text"), 200)).alias("digest"))
+
+
 @_query("SELECT p_partkey, CAST(round_even(p_retailprice / 20, 0) * 20 AS BIGINT) AS grid FROM part")
 def snap_grid(s, d):
     return _t(s, d, "part").select("p_partkey", scalars.snap(F.col("p_retailprice")).alias("grid"))

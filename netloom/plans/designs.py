@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import design, geometry, graphs, runlogs
+from ..operators import design, geometry, graphs, lint, runlogs, views
+from ..sources import files as project_files
 from ..sources import rtl, vcd
 from ..streaming import events as streams
 from .bridge import _DEP, _dep, _t
@@ -70,7 +71,7 @@ def rtl_fanin(s, d):
     return graphs.reachable(edges, s.range(1).select(F.lit("p1.b").alias("node"))).select("start", "node")
 
 
-@_query("""WITH m AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), x AS (SELECT k, 2 * k IN (SELECT k FROM m) AS has0, 2 * k + 1 IN (SELECT k FROM m) AS has1 FROM m), e AS (
+_EDGES = """WITH m AS (SELECT CAST(p_partkey AS BIGINT) AS k FROM part), x AS (SELECT k, 2 * k IN (SELECT k FROM m) AS has0, 2 * k + 1 IN (SELECT k FROM m) AS has1 FROM m), e AS (
 SELECT k, 'a' AS net, 'io:a' AS src, 'assign:1:y' AS dst, 'directed' AS flow FROM x UNION ALL SELECT k, 'a', 'io:a', 'always:2', 'directed' FROM x
 UNION ALL SELECT k, 'a', 'io:a', 'instance:u0', 'directed' FROM x WHERE has0
 UNION ALL SELECT k, 'c', 'io:c', 'always:2', 'directed' FROM x UNION ALL SELECT k, 'c', 'io:c', 'instance:u0', 'directed' FROM x WHERE has0
@@ -78,11 +79,77 @@ UNION ALL SELECT k, 'b', 'always:2', 'io:b', 'directed' FROM x
 UNION ALL SELECT k, 'w', 'instance:u0', 'assign:1:y', 'directed' FROM x WHERE has0 UNION ALL SELECT k, 'w', 'instance:u0', 'always:2', 'directed' FROM x WHERE has0
 UNION ALL SELECT k, 'w', 'instance:u0', 'instance:u1', 'directed' FROM x WHERE has0 AND has1
 UNION ALL SELECT k, 'w', 'always:2', 'assign:1:y', 'unknown' FROM x WHERE NOT has0 UNION ALL SELECT k, 'w', 'always:2', 'instance:u0', 'unknown' FROM x WHERE NOT has0 UNION ALL SELECT k, 'w', 'always:2', 'instance:u1', 'unknown' FROM x WHERE NOT has0)
-SELECT 'p' || k AS module, net, replace(replace(src, 'assign:1', 'assign:3'), 'always:2', 'always:4') AS src, replace(replace(dst, 'assign:1', 'assign:3'), 'always:2', 'always:4') AS dst, flow FROM e""")
+SELECT 'p' || k AS module, net, replace(replace(src, 'assign:1', 'assign:3'), 'always:2', 'always:4') AS src, replace(replace(dst, 'assign:1', 'assign:3'), 'always:2', 'always:4') AS dst, flow FROM e"""
+
+
+@_query(_EDGES)
 def rtl_connectivity(s, d):
     return design.connectivity(design.endpoints(_design(s, d))).select("module", "net", "src", "dst", "flow")
 
 
+@_query(f"""SELECT module, src, dst, flow, count(*) AS net_count, string_agg(net, ',' ORDER BY net) AS nets, CAST(max(CASE net WHEN 'c' THEN 1 ELSE 8 END) AS BIGINT) AS bit_width,
+CASE WHEN bool_and(net <> 'c') THEN 'bus' WHEN bool_and(net = 'c') THEN 'wire' ELSE 'mixed' END AS sig_class FROM ({_EDGES}) q GROUP BY module, src, dst, flow""")
+def rtl_aggregate_edges(s, d):
+    found = views.aggregated(design.connectivity(design.endpoints(_design(s, d))))
+    return found.select("module", "src", "dst", "flow", "net_count", F.array_join("nets", ",").alias("nets"), F.col("bit_width").cast("bigint").alias("bit_width"), "sig_class")
+
+
+@_query("""WITH x AS (SELECT k, 2 * k IN (SELECT p_partkey FROM part) AS has0, 2 * k + 1 IN (SELECT p_partkey FROM part) AS has1 FROM (SELECT CAST(p_partkey AS BIGINT) AS k FROM part)),
+v(net, node, role) AS (VALUES ('a', 'io:a', 'source'), ('a', 'assign:3:y', 'sink'), ('a', 'always:4', 'sink'), ('c', 'io:c', 'source'), ('c', 'always:4', 'sink'), ('b', 'always:4', 'source'), ('b', 'io:b', 'sink'),
+('w', 'assign:3:y', 'sink'), ('w', 'always:4', 'sink'), ('y', 'assign:3:y', 'source'), ('a', 'instance:u0', 'sink'), ('c', 'instance:u0', 'sink'), ('w', 'instance:u0', 'source'), ('w', 'instance:u1', 'sink'), ('__open__:u1.c', 'instance:u1', 'sink'), ('x', 'instance:u1', 'source')),
+e AS (SELECT k, net, node, CASE WHEN (node = 'instance:u0' AND NOT has0) OR (node = 'instance:u1' AND NOT has1) THEN 'unknown' ELSE role END AS role FROM x, v)
+SELECT 'p' || k AS module, CASE role WHEN 'source' THEN node ELSE 'net:' || net END AS src, CASE role WHEN 'source' THEN 'net:' || net ELSE node END AS dst, CASE role WHEN 'unknown' THEN role ELSE 'directed' END AS flow FROM e""")
+def rtl_net_graph(s, d):
+    return views.net_graph(design.endpoints(_design(s, d))).select("module", "src", "dst", "flow")
+
+
+@_query("""WITH RECURSIVE t AS (SELECT CAST(1 AS BIGINT) AS k, 'p1' AS path, CAST(0 AS BIGINT) AS depth UNION ALL
+SELECT 2 * t.k + i.o, t.path || '/' || i.name || ':p' || (2 * t.k + i.o), t.depth + 1 FROM t JOIN (VALUES ('u0', 0), ('u1', 1)) i(name, o) ON t.k IN (SELECT p_partkey FROM part))
+SELECT path, 'p' || k AS module, depth, k IN (SELECT p_partkey FROM part) AS resolved FROM t""")
+def rtl_instance_tree(s, d):
+    tree = views.instance_tree(_design(s, d), s.range(1).select(F.lit("p1").alias("node")))
+    return tree.select("path", "module", F.col("depth").cast("bigint").alias("depth"), "resolved")
+
+
+def _files(s, d):
+    """Documents as files: every fifth is named like a test bench."""
+    k = F.col("doc_id").cast("string")
+    return _t(s, d, "documents").select(F.concat(F.when(F.col("doc_id") % 5 == 0, "tb_").otherwise("d"), k, F.lit(".v")).alias("path"), "text")
+
+
+_FILES = "f AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'tb_' ELSE 'd' END || doc_id || '.v' AS path, text FROM documents)"
+
+
+@_query(f"WITH {_FILES} SELECT path, 'discovered' AS source, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM f WHERE path LIKE 'tb#_%' ESCAPE '#' OR regexp_matches(left(text, 8192), '[$](dumpvars|dumpfile|finish|monitor)')")
+def test_bench_files(s, d):
+    return project_files.test_benches(_files(s, d)).select("path", "source", F.col("size").cast("bigint").alias("size"))
+
+
+@_query(f"""WITH {_FILES}, l AS (SELECT path, unnest(regexp_split_to_array(text, chr(13) || chr(10) || '|' || chr(10) || '|' || chr(13))) AS line FROM f) SELECT path, count(*) AS n FROM l WHERE regexp_matches(line, 'th[ae]') GROUP BY path""")
+def search_files(s, d):
+    return project_files.search(_files(s, d), "th[ae]", limit=None).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, md5(CAST(conv_id AS VARCHAR)) AS commit, role AS author_name, CAST(turn AS VARCHAR) || ' of ' || CAST(conv_id AS VARCHAR) AS subject FROM conversations")
+def commit_rows(s, d):
+    """Each conversation as a listing of commits, a turn each."""
+    k = F.col("conv_id").cast("string")
+    turn = F.col("turn").cast("string")
+    record = F.concat_ws(project_files.FIELD, F.md5(k), F.left(F.md5(k), F.lit(7)), "role", F.lit("e@x"), F.lit("2024-01-01"), F.concat(turn, F.lit(" of "), k))
+    listing = _t(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", record.alias("r")))), lambda x: x["r"]), f"{project_files.RECORD}\n").alias("text"))
+    return project_files.commits(listing).select("conv_id", F.substring_index("subject", " ", 1).cast("bigint").alias("turn"), "commit", "author_name", "subject")
+
+
+@_query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 3 = 1 THEN 0 ELSE 2 END AS errors FROM part")
+def lint_files(s, d):
+    """Errors of each part's text: with a bracket too many, none, or two blocks that stay open."""
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, "module m; // begin\n x = (1)); endmodule").when(k % 3 == 1, "module m; begin x = \"(\"; end endmodule").otherwise("module m; begin case (a) endmodule")
+    parts = _t(s, d, "part").select("p_partkey", text.alias("text"))
+    found = lint.lint(parts.select(k.cast("string").alias("path"), "text")).groupBy(F.col("path").cast("bigint").alias("k")).agg(F.count("*").cast("int").alias("errors"))
+    return parts.select("p_partkey").join(found, k == F.col("k"), "left").select("p_partkey", F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
 def _dump(s, d):
     """Dumps of all events under a new folder, one file for each of 64 groups of users."""
     e = _t(s, d, "events").select((F.pmod("user_id", F.lit(64))).alias("bucket"), F.col("user_id").alias("u"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("v"))

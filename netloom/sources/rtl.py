@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from netloom.functions.scalars import bus_width
 
+from .files import below
+
 # Folders that scans leave out, gate types, and words that cannot be names of signals or modules.
 SKIPPED_FOLDERS = ["node_modules", "__pycache__", "venv", ".venv", "env"]
 GATES = ["and", "or", "nand", "nor", "xor", "xnor", "not", "buf", "bufif0", "bufif1", "notif0", "notif1"]
@@ -143,9 +145,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{v,V,sv,sV,Sv,SV}").text(root, wholetext=True)
     path = F.col("_metadata.file_path")
     files = raw.select(path.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
-    base = root.split("://")[-1].split(":")[-1].rstrip("/")
-    below = F.split(F.substring_index("path", base, -1), "/")
-    return files.where(~F.exists(below, lambda s: F.lower(s).isin(SKIPPED_FOLDERS) | s.startswith(".")))
+    return files.where(~F.exists(F.split(below(spark, root, F.col("path")), "/"), lambda s: F.lower(s).isin(SKIPPED_FOLDERS) | s.startswith(".")))
 
 
 def without_comments(text: Column) -> Column:
