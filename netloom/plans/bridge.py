@@ -314,7 +314,7 @@ def time_units(s, d):
     return _t(s, d, "orders").select("o_orderkey", F.when(text.rlike("[kMG]$"), F.right(text, F.lit(1))).otherwise(text).alias("unit"))
 
 
-@_query("SELECT p_partkey, 'p' || lpad(CAST(length(CAST(p_partkey AS VARCHAR)) AS VARCHAR), 5, '0') || p_partkey AS key FROM part")
+@_query("SELECT p_partkey, CASE p_partkey WHEN 0 THEN 'p00000' ELSE 'p' || lpad(CAST(length(CAST(p_partkey AS VARCHAR)) AS VARCHAR), 5, '0') || p_partkey END AS key FROM part")
 def natural_keys(s, d):
     return _t(s, d, "part").select("p_partkey", scalars.natural_key(F.concat(F.lit("P00"), F.col("p_partkey").cast("string"))).alias("key"))
 
