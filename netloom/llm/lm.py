@@ -33,6 +33,7 @@ from .words import hashes, mix, tokenized
 M = 10.0
 #: Words by which an end and a beginning of a text are known; no word holds a space.
 END, BEGIN = b" end", b" begin"
+BEGIN_HASH = hashes([BEGIN], 42)[0]
 MESSAGE = "shard long, chunk long, body binary, counts binary, more binary"
 REPLY = "shard long, chunk long, body binary"
 LETTERS = bytes(range(256)).lower()
@@ -78,17 +79,18 @@ class _Words:
         return number, total
 
     def pairs(self, number: np.ndarray):
-        """(sorted distinct keys, context numbers, successor numbers, training counts, the pair of each token or -1)."""
+        """(key, context's place in the vocabulary, context's and successor's number, training count of each distinct pair; the pair of each token or -1)."""
         u, w = number[self.before], number[self.tokens]
         ok = np.flatnonzero((u >= 0) & (w >= 0))
         local = self.before[ok] * len(self.hash) + self.tokens[ok]
         distinct, at = np.unique(local, return_inverse=True)
         trained = np.bincount(at, self.of_train[ok], minlength=len(distinct)).astype(np.int64)
-        pu, pw = number[distinct // len(self.hash)], number[distinct % len(self.hash)]
+        context = distinct // len(self.hash)
+        pu, pw = number[context], number[distinct % len(self.hash)]
         key = mix(mix(pu.astype(np.uint64)) + pw.astype(np.uint64))
         where = np.full(len(self.tokens), -1)
         where[ok] = at
-        return key, pu, pw, trained, where
+        return key, context, pu, pw, trained, where
 
 
 def _by_pair_shard(key, pu, pw, bits):
@@ -102,7 +104,7 @@ def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate([unpack(x, np.int64) for x in rows["counts"]]), minlength=len(found)).astype(np.int64)
     rank = np.where(total > 0, np.cumsum(total > 0) - 1, -1)
-    out, k = [(rows["shard"].iloc[0], -1, pack(np.array([(total > 0).sum()], np.int64)))], 0
+    out, k = [(rows["shard"].iloc[0], -1, pack(np.array([(total > 0).sum(), total[found != BEGIN_HASH].sum()], np.int64)))], 0
     for shard, chunk, p in zip(rows["shard"], rows["chunk"], keys):
         mine = at[k : k + len(p)]
         k += len(p)
@@ -130,20 +132,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                 yield pd.DataFrame([(s, row.chunk, pack_sorted(w.hash[a:b]), pack(c[a:b].astype(np.int64)), None) for s, a, b in by_shard(w.hash, bits)], columns=["shard", "chunk", "body", "counts", "more"])
 
     numbered = materialize(chunks.mapInPandas(words, MESSAGE).groupBy("shard").applyInPandas(_count_words, REPLY), "words")
-    # One row a shard: how many words it numbers. Tokens are summed from the chunks, in one row.
-    sizes = np.zeros(1 << bits, np.int64)
+    # One row a shard: how many words it numbers, and how many training tokens these are.
+    sizes, n_train = np.zeros(1 << bits, np.int64), 0
     for r in numbered.where("chunk = -1").select("shard", "body").collect():
-        sizes[r["shard"]] = unpack(r["body"], np.int64)[0]
+        sizes[r["shard"]], n = unpack(r["body"], np.int64).tolist()
+        n_train += n
     offsets, begin_and_end = np.cumsum(sizes) - sizes, 1
-
-    # N: the words of training texts and one end each.
-    def tally(batches):
-        for batch in batches:
-            for row in batch.itertuples():
-                _, flags, texts = documents_of(row)
-                yield pd.DataFrame({"n": [sum(len(t.split()) + 1 for t, f in zip(texts, flags.tolist()) if f > 0)]})
-
-    n_train = chunks.mapInPandas(tally, "n long").agg(F.sum("n")).first()[0] or 0
     n_types = max(0, int(sizes.sum()) - begin_and_end)  # BEGIN is numbered but isn't a token
     space = int(sizes.sum()) + 1
 
@@ -152,15 +146,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             for row in batch.itertuples():
                 w = _Words(row)
                 number, total = w.known(row.words, offsets, bits)
-                key, pu, pw, trained, _ = w.pairs(number)
-                of = dict(zip(number.tolist(), total.tolist()))
+                key, context, pu, pw, trained, _ = w.pairs(number)
                 order, shards = _by_pair_shard(key, pu, pw, bits)
-                pu, pw, trained = pu[order], pw[order], trained[order]
+                pu, pw, trained, of = pu[order], pw[order], trained[order], total[context][order]
                 out = []
                 for s, a, b in shards:
                     u, first = np.unique(pu[a:b], return_index=True)
                     run = np.diff(np.r_[first, b - a])
-                    totals = np.array([of[x] for x in u.tolist()], np.int64)
+                    totals = of[a:b][first]
                     out.append((s, row.chunk, pack(np.r_[len(u), np.diff(u, prepend=0), run, totals].astype(np.int64)), pack(trained[a:b].astype(np.int32)), pack(pw[a:b].astype(np.int64))))
                 yield pd.DataFrame(out, columns=["shard", "chunk", "body", "counts", "more"])
 
@@ -196,7 +189,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             for row in batch.itertuples():
                 w = _Words(row)
                 number, total = w.known(row.words, offsets, bits)
-                key, pu, pw, _, where = w.pairs(number)
+                key, _, pu, pw, _, where = w.pairs(number)
                 order, shards = _by_pair_shard(key, pu, pw, bits)
                 code, got = np.zeros(len(key), np.uint16), replies_of(row.pairs)
                 for s, a, b in shards:
