@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, mixing, simhash, substring, toxicity
+from netloom.llm import bpe, mixing, shingles, substring, toxicity
 from netloom.llm.queries import ranks
 from netloom.llm.store import materialize
 
@@ -16,10 +16,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id; rows that repeat its id and text are one."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"])).drop("kept_id").dropDuplicates(["doc_id", "text"])
+    """Of each group of documents connected by a similarity of 0.8 or more (Jaccard, five-word shingles), the one with the smallest id; rows that repeat its id and text are one."""
+    rows = materialize(shingles.marked(docs), "near")
+    least = rows.groupBy("__near").agg(F.min("doc_id").alias("__least"))
+    return rows.join(least, "__near").where("doc_id <=> __least").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

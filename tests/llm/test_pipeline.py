@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus."""
 
+import random
+
 import corpus_pipeline
 
 
@@ -14,3 +16,38 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert seen[1] <= seen[0] and seen[2] < seen[1] and seen[3] <= seen[2]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "substring_dedup", "source_mix", "bpe_encode"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == seen[4]
+
+
+def shingles_of(text):
+    words = text.lower().split()
+    k = min(5, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def test_near_duplicates_by_brute_force(spark):
+    draw = random.Random(3)
+    rows = []
+    for _ in range(40):
+        words = [f"w{draw.randrange(400)}" for _ in range(draw.choice([3, 12, 60, 200]))]
+        for changes in (0, 0, 1, 2, 3, 5, 8):
+            copy = list(words)
+            for _ in range(changes):
+                copy[draw.randrange(len(copy))] = f"x{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy).upper() if draw.random() < 0.2 else " ".join(copy)))
+    rows += [(len(rows), "license " * 30 + "of the common kind to all"), (len(rows) + 1, ""), (len(rows) + 2, " ")]
+    sets, up = [shingles_of(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                lo, hi = sorted((top(i), top(j)))
+                up[hi] = lo
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicate_filter(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(len(rows)) if top(i) == i]
