@@ -63,9 +63,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 def _links(groups: pd.DataFrame, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the verified pairs within runs of equal (bucket, lo, hi)."""
     fp = groups["fp"].to_numpy().astype(np.uint64)
+    if not len(fp):
+        return fp, fp
     key = groups[["bucket", "lo", "hi"]].to_numpy()
-    new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)] if len(fp) else np.array([], bool)
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
     last = np.repeat(np.r_[starts[1:], len(fp)], np.diff(np.r_[starts, len(fp)]))  # end of the run of each row
     a, b, held = [], [], 0
     at, step = np.arange(len(fp)), 1

@@ -297,6 +297,17 @@ def test_byte_index_finds_every_pair_in_long_lists(spark):
                     assert top(a) == top(b)
 
 
+@pytest.mark.parametrize("texts", [["one document of some words"], ["the same words in all"] * 40])
+def test_near_texts_over_more_partitions_than_lists(spark, texts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = simhash.near_duplicates(docs_of(spark, [(i, t, "s0") for i, t in enumerate(texts)])).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, 0) for i in range(len(texts))]
+
+
 def test_mix_meets_targets(spark, docs):
     got = mixing.mix(docs).drop("key").toPandas()
     again = mixing.mix(docs.repartition(5)).drop("key").toPandas()
