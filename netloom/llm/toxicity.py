@@ -11,19 +11,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import pack, pack_sorted, unpack, unpack_sorted
 from .labelled import sample
 from .nbsvm import apply
-from .words import mix
+from .words import mix, window_hashes
 
 BITS = 20
 #: Bytes of a word's beginning that are features, beside the whole word.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
-#: Bytes of a word that its hash regards.
+#: Words of more bytes are long: they are hashed apart, and runs of WINDOWS bytes all along them are features too.
 WORD_BYTES = 24
+WINDOWS = (6, 9)
 #: A feature's value is log(1 + DENSITY * share of the words).
 DENSITY = 300.0
 #: Labelled rows that the model is fitted on, at most about.
@@ -45,25 +47,45 @@ IDENTITY_TERMS = {
     "français": "femmes hommes chrétiens musulmans juifs étrangers".split(),
     "español": "mujeres hombres cristianos musulmanes judíos extranjeros".split(),
 }
+#: Other ASCII than letters and digits, and such characters beyond ASCII (bytes that are no UTF-8 stay).
+ASCII_CUTS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+OTHER_CUTS = regex.compile(r"[^\p{L}\p{M}\p{N}\p{Cs}\x00-\x7f]+")
 SENTENCE = regex.compile(rb"[^.!?\n]+")
 
 
 def features(text: bytes, bits: int = BITS) -> tuple[np.ndarray, int]:
-    """(feature of each word and beginning, repeats included; number of words); A-Z count as a-z."""
-    words = text.lower().split()
-    if not words:
+    """(feature of each word, beginning and window, repeats included; number of words); A-Z count as a-z.
+
+    Words are runs of letters and digits. A run without white space that isn't such a word counts as a whole too. Every
+    ``WINDOWS[0]`` bytes of a long word count as a word.
+    """
+    low = text.lower()
+    runs = low.split()
+    if not runs:
         return np.array([], np.int64), 0
-    size = np.fromiter(map(len, words), np.int64, len(words))
+    if not low.isascii():
+        low = OTHER_CUTS.sub(" ", low.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+    words = low.translate(ASCII_CUTS).split()
+    known = set(words)
+    n, parts = len(words), words + [r for r in runs if r not in known]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
     start = np.r_[0, np.cumsum(size + 1)[:-1]]
-    raw = np.frombuffer(b" ".join(words) + bytes(WORD_BYTES), np.uint8)
-    h, out = np.zeros(len(words), np.uint64), []
+    raw = np.frombuffer(b" ".join(parts) + bytes(WORD_BYTES), np.uint8)
+    h, out = np.zeros(len(parts), np.uint64), []
     for j in range(min(WORD_BYTES, int(size.max()))):
         on = j < size
         h = np.where(on, h * np.uint64(1099511628211) + raw[start + j] + np.uint64(1), h)
         if j + 1 in BEGINNINGS:
-            out.append(mix(h[on] + np.uint64((j + 1) << 40)))
+            out.append(mix(h[:n][on[:n]] + np.uint64((j + 1) << 40)))
+    count = max(n, len(runs))
+    for i in np.flatnonzero(size > WORD_BYTES).tolist():
+        h[i] = xxhash.xxh64_intdigest(parts[i], 42)
+        if i < n:
+            units = raw[start[i] : start[i] + size[i]].astype(np.uint64) + np.uint64(1)
+            out += [mix(window_hashes(units, k, 1099511628211) + np.uint64(k << 48)) for k in WINDOWS]
+            count += int(size[i]) // WINDOWS[0] - 1
     out.append(mix(h + np.uint64(99 << 40)))
-    return (np.concatenate(out) >> np.uint64(64 - bits)).astype(np.int64), len(words)
+    return (np.concatenate(out) >> np.uint64(64 - bits)).astype(np.int64), count
 
 
 def swaps(text: bytes, terms: dict = IDENTITY_TERMS, each: int = 2) -> list[tuple[bytes, bytes]]:

@@ -111,6 +111,31 @@ def test_counterfactuals_move_no_score():
     assert spread[1] < 0.25 * spread[0]
 
 
+@pytest.mark.parametrize("joint", ["", "-", "/", ".", "_", "\u00a0", "\u3001"])
+def test_toxicity_reads_whole_runs(joint):
+    """Texts of one run: the telling term comes after the first 24 bytes, at any place."""
+    draw = random.Random(4)
+    chars = [chr(0x4E00 + i) for i in range(300)]
+
+    def text(bad):
+        words = ["".join(draw.choices(chars, k=2)) for _ in range(40)]
+        if bad:
+            words[draw.randrange(12, 40)] = "\u9f8d\u9f9c"
+        return joint.join(["\u4e00\u4e01\u4e02\u4e03\u4e04\u4e05\u4e06\u4e07", *words]).encode()
+
+    def row(t):
+        f, n = toxicity.features(t)
+        f, c = np.unique(f, return_counts=True)
+        return f, toxicity._value(c, n)
+
+    y = np.arange(300) % 2
+    kept, w, b = toxicity.fit([row(text(k)) for k in y], y.astype(float), [])
+    place = dict(zip(kept.tolist(), w))
+    margin = lambda t: b + sum(place.get(f, 0) * v for f, v in zip(*row(t)))
+    assert np.mean([margin(text(True)) > 0 for _ in range(50)]) > 0.9 and np.mean([margin(text(False)) < 0 for _ in range(50)]) > 0.9
+    assert not np.array_equal(np.unique(row(b"a" * 500 + b"b")[0]), np.unique(row(b"a" * 500 + b"c")[0]))
+
+
 def test_archives_round_trip(spark):
     page = "<p>" + "x" * 200 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(1, "http://a/ b", page, 1), (2, None, page, 1), (3, "http://c", None, 1), (4, "u", "", 1), (5, "u", "é" * 60, 1), (6, "u", "é" * 60, 1), (7, "u", "short", 1), (8, "u", "short", 1), (2, "u", page, 1), (None, "u", page, 1), (1, "v", page, 1)]
