@@ -16,10 +16,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents connected by a similarity of 0.8 or more (Jaccard, five-word shingles), the one with the smallest id; rows that repeat its id and text are one."""
-    rows = materialize(shingles.marked(docs), "near")
-    least = rows.groupBy("__near").agg(F.min("doc_id").alias("__least"))
-    return rows.join(least, "__near").where("doc_id <=> __least").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    """Of each group of documents connected by a similarity of 0.8 or more (Jaccard, five-word shingles), the row with the smallest id, and of these with the smallest hash of its text; rows without an id come last."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("hash"), F.monotonically_increasing_id().alias("at"))
+    rows = materialize(shingles.marked(docs).withColumn("__key", key), "near")
+    kept = rows.groupBy("__near").agg(F.min("__key").alias("kept")).select(F.col("kept.at").alias("__at"))
+    return rows.join(kept, F.col("__key.at") == F.col("__at"), "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

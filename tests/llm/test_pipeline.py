@@ -51,3 +51,17 @@ def test_near_duplicates_by_brute_force(spark):
     got = corpus_pipeline.near_duplicate_filter(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(len(rows)) if top(i) == i]
+
+
+def test_one_row_of_each_near_duplicate_group(spark):
+    words = [f"w{i}" for i in range(100)]
+    long = " ".join(words)
+    near, other = long + " end", " ".join(reversed(words))
+    rows = [(None, long), (None, near), (5, other), (None, other), (7, "a b c d e f"), (7, "a b c d e f"), (7, long + " to be"), (8, "one"), (8, "two")]
+    got = sorted(map(tuple, corpus_pipeline.near_duplicate_filter(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()), key=repr)
+    assert got == sorted([(7, long + " to be"), (5, other), (7, "a b c d e f"), (8, "one"), (8, "two")], key=repr)
+    alone = [(None, long), (None, near), (None, other), (4, "x y"), (4, long), (4, near)]
+    got = corpus_pipeline.near_duplicate_filter(spark, spark.createDataFrame(alone[:3], "doc_id long, text string"), "").collect()
+    assert len(got) == 2 and sum(r["text"] == other for r in got) == 1
+    got = corpus_pipeline.near_duplicate_filter(spark, spark.createDataFrame(alone[3:], "doc_id long, text string"), "").collect()
+    assert len(got) == 2 and sum(r["text"] == "x y" for r in got) == 1
