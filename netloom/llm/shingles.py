@@ -7,7 +7,8 @@ Shingles that a bounded sample of the texts repeats come last in the order; this
 the result.
 
 Equal sets are one entry, whatever the number of documents. Pairs are verified in two rounds: first one pair of each
-set, then those that the first round left apart; so a group of many near copies isn't compared pair by pair.
+set, then those that the first round left apart, which spares comparisons of texts. The candidate pairs themselves
+still grow with the square of a group of near copies.
 """
 
 from __future__ import annotations
