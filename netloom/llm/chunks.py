@@ -4,7 +4,8 @@ A chunk is one row with some hundred thousand words of whole documents. Jobs tha
 corpus for every word or window send, for each shard of a 64-bit key space, one message with the chunk's distinct
 keys in that shard, and get one reply, aligned with the message. A key enters once a chunk, so a key that fills a
 third of the corpus adds no more to a shard than one entry a chunk, and the chunk derives the same keys in the same
-order again when it reads the reply.
+order again when it reads the reply. There are never more messages than keys: a chunk sends nothing to a shard of
+which it has no key. A document's text, as one value of a row, is under 2 GB, and so is a chunk of one such text.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from .store import materialize
 
 #: Words of a chunk; a document is never split, so a chunk may hold more.
 WORDS_PER_CHUNK = 400_000
-#: Ids that are null are held as the largest one.
-NULL_ID = np.iinfo(np.int64).max
-CHUNK = "chunk long, n_docs int, n_words long, ids binary, flags binary, lengths binary, texts binary"
+CHUNK = "chunk long, n_docs int, n_words long, ids binary, missing binary, flags binary"
+#: What a chunk holds of its texts: by default the texts.
+TEXTS = "lengths binary, texts binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -52,48 +53,58 @@ def unpack_bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=n).astype(bool)
 
 
-def make_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", flag: Column | None = None, words: int = WORDS_PER_CHUNK) -> DataFrame:
-    """The chunk table of ``docs``, written to the shared folder. A null text is an empty one."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), (F.lit(0) if flag is None else flag).cast("int").alias("flag"))
+def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
+    return np.array(list(map(len, texts)), np.int64).tobytes(), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+
+
+def make_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", flag: Column | None = None, words: int = WORDS_PER_CHUNK, held: str = TEXTS, of_texts=pack_texts) -> DataFrame:
+    """The chunk table of ``docs``, written to the shared folder; ``of_texts`` makes the columns ``held`` of a chunk's texts. A null text is an empty one."""
+    id_ = F.col(doc_id).cast("long")
+    rows = docs.select(F.coalesce(id_, F.lit(0)).alias("id"), id_.isNull().alias("missing"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), (F.lit(0) if flag is None else flag).cast("int").alias("flag"))
+    names = [x.split()[0] for x in f"{CHUNK}, {held}".split(", ")]
 
     def packed(batches):
         import pandas as pd
 
         part, made = TaskContext.get().partitionId(), 0
-        ids, flags, texts, n = [], [], [], 0
+        ids, missing, flags, texts, n = [], [], [], [], 0
 
         def chunk():
-            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-            row = ((part << 24) + made, len(ids), n, np.array(ids, np.int64).tobytes(), np.array(flags, np.int8).tobytes(), np.array(list(map(len, texts)), np.int64).tobytes(), blob)
-            return pd.DataFrame([row], columns=["chunk", "n_docs", "n_words", "ids", "flags", "lengths", "texts"])
+            row = ((part << 24) + made, len(ids), n, np.array(ids, np.int64).tobytes(), np.array(missing, bool).tobytes(), np.array(flags, np.int8).tobytes(), *of_texts(texts))
+            return pd.DataFrame([row], columns=names)
 
         for batch in batches:
-            for i, t, f in zip(batch["id"], batch["text"], batch["flag"]):
+            for i, none, t, f in zip(batch["id"], batch["missing"], batch["text"], batch["flag"]):
                 ids.append(i)
+                missing.append(none)
                 flags.append(f)
                 texts.append(bytes(t))
-                n += len(texts[-1].split())
+                n += len(texts[-1].split()) + 1  # empty texts fill a chunk too
                 if n >= words:
                     yield chunk()
-                    ids, flags, texts, n, made = [], [], [], 0, made + 1
+                    ids, missing, flags, texts, n, made = [], [], [], [], 0, made + 1
         if ids:
             yield chunk()
 
-    return materialize(rows.mapInPandas(packed, CHUNK), "chunks")
+    return materialize(rows.mapInPandas(packed, f"{CHUNK}, {held}"), "chunks")
+
+
+def ids_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (0 where there is none), whether they are missing, and flags of a row of the chunk table."""
+    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.missing, bool), np.frombuffer(row.flags, np.int8)
 
 
-def documents_of(row) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Ids, flags and texts of a row of the chunk table."""
+def texts_of(row) -> list[bytes]:
     lengths = np.frombuffer(row.lengths, np.int64)
     blob = zstandard.ZstdDecompressor().decompress(row.texts)
     ends = np.cumsum(lengths)
-    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.flags, np.int8), [blob[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
+    return [blob[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
 
 
 def shard_bits(chunks: DataFrame, per_shard: int = 1 << 22) -> tuple[int, int]:
     """(words in all, bits of the key that name its shard): a few shards a shuffle partition, and no more than about ``per_shard`` keys in one."""
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
-    least = 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = 2 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return words, max(1, int(np.ceil(np.log2(max(least, words / per_shard)))))
 
 

@@ -33,7 +33,7 @@ def corpus():
         if i % 7 == 0:
             text += "\n" + passage + " " + word()
         out.append((i, text, f"s{i % 4}" if i % 9 else None))
-    out += [(100, out[4][1], "s0"), (101, out[4][1], "s0"), (101, out[4][1], "s0"), (102, None, "s1"), (103, "", None), (104, " \t\n", "s2"), (None, "no id here", "s1"), (105, LONG, "s3"), (106, LONG + " end", "s3"), (107, "A b\nA b\n\nA b", "s1")]
+    out += [(100, out[4][1], "s0"), (101, out[4][1], "s0"), (101, out[4][1], "s0"), (102, None, "s1"), (103, "", None), (104, " \t\n", "s2"), (None, "no id here", "s1"), (2**63 - 1, out[14][1], "s1"), (None, out[14][1] + " and more", "s1"), (2**63 - 1, LONG[9:], "s1"), (105, LONG, "s3"), (106, LONG + " end", "s3"), (107, "A b\nA b\n\nA b", "s1")]
     return out
 
 
@@ -266,7 +266,7 @@ def test_language_model_by_brute_force(spark, docs):
         t = [*w, " e"]
         p = lambda x: (c[x] + 1) / (n + v + 1)
         want.append((i, held(i), len(t), sum(c[x] > 0 for x in t), n, sum(math.log10(p(x)) for x in t), sum(math.log10((pairs[a, b] + lm.M * p(b)) / (c[a] + lm.M)) for a, b in zip([" b", *t], t))))
-    got = sorted(lm.score(docs, words_per_chunk=100).collect(), key=repr)
+    got = sorted(lm.score(docs, tokens_per_chunk=100).collect(), key=repr)
     order = lambda x: (str(x[0]), x[2])
     for a, b in zip(sorted(want, key=order), sorted(map(tuple, got), key=order)):
         assert a[:5] == b[:5] and b[5] == pytest.approx(a[5]) and b[6] == pytest.approx(a[6], rel=1e-3, abs=1e-3)
