@@ -35,7 +35,7 @@ from .words import hashes, mix, tokenized
 #: Weight of the unigram distribution, in tokens.
 M = 10.0
 #: Tokens of a chunk: the more, the fewer times a common word or pair is sent.
-TOKENS_PER_CHUNK = 1_200_000
+TOKENS_PER_CHUNK = 800_000
 #: Words by which an end and a beginning of a text are known; no word holds a space.
 END, BEGIN = b" end", b" begin"
 BEGIN_HASH = hashes([BEGIN], 42)[0]

@@ -34,7 +34,7 @@ from .words import hashes, tokenized, window_hashes
 #: Rows of the sketch, and cells of a row for each window, at least.
 ROWS, CELLS = 2, 4
 #: Words of a chunk: the more, the fewer times a repeated window is sent.
-WORDS_PER_CHUNK = 1_000_000
+WORDS_PER_CHUNK = 600_000
 #: Multipliers of the windows' two hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MESSAGE = "shard long, chunk long, body binary, more binary, ids binary, missing binary"
