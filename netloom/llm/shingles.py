@@ -1,14 +1,18 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: every pair at ``least`` or more is found.
+"""Near-duplicates by the Jaccard similarity of word shingles: every pair at ``least`` or more is connected.
 
-Prefix filter: order all shingles in any one way. Two sets with a similarity of t or more share one of the first
-n - ceil(t n) + 1 shingles of each (n is the size of the set), so lists of the sets under these shingles bring every
-such pair together, and sizes and places in the order drop most other pairs before the sets themselves are compared.
-Shingles that a bounded sample of the texts repeats come last in the order; this keeps lists short and is no part of
-the result.
+1. The SimHash operator proposes: sets whose fingerprints differ in at most 3 bits, through its index of byte positions.
+   Proposals are verified on the sets themselves, here and below.
+2. Lists complete it. Order all shingles in any one way. Two sets with a similarity of t or more share one of the first
+   n - ceil(t n) + 1 shingles of each (n is the size of the set), so lists of the sets under these shingles bring every
+   such pair together. Sizes, places in the order, and the parities of ``PARITIES`` cells that the shingles fall into
+   bound the similarity of a pair from above and drop most of those under t. Shingles that a bounded sample of the texts
+   repeats come last in the order; this keeps lists short and is no part of the result.
+3. Neighbours in a list are verified first; then, in lists whose members aren't all connected by now, all pairs of
+   different components that the bounds leave.
 
-Equal sets are one entry, whatever the number of documents. Pairs are verified in two rounds: first one pair of each
-set, then those that the first round left apart, which spares comparisons of texts. The candidate pairs themselves
-still grow with the square of a group of near copies.
+Equal sets are one entry, whatever the number of documents. A group of near copies costs a number of pairs in proportion
+to its size, as its members are connected before all pairs are looked at; what is compared in full are pairs which the
+bounds can't tell from similar ones, and of these every one. Long lists are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -16,17 +20,22 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
-from .store import materialize
+from .store import drop, materialize
 from .words import hashes, mix, tokenized, window_hashes
 
 #: Texts whose repeated shingles come last in the order, at most about; and how many such shingles are held.
 SAMPLE, COMMON = 20_000, 1 << 19
-#: Pairs held between one table of them and the next.
-PAIRS_HELD = 1 << 20
+#: Members of a list that one group of a task holds; neighbours are sought in segments of so many.
+BLOCK, SEGMENT = 1_024, 256
+#: Neighbours of a member that are verified before all pairs are looked at.
+NEIGHBOURS = 3
+#: Cells whose parities bound the difference of two sets.
+PARITIES = 512
 #: Texts whose words are held at once.
 PART = 512
 EPS = 1e-9
@@ -67,45 +76,139 @@ def _common(docs: DataFrame, text: str, shingle: int, sample: int) -> np.ndarray
     return np.array([r["s"] for r in seen.orderBy(F.desc("count"), "s").limit(COMMON).collect()][::-1], np.int64).astype(np.uint64)
 
 
-def _candidates(index: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: sets in one list whose sizes and places allow the similarity."""
-
-    def pairs(rows):
-        s, ids, n, place = (rows[c].to_numpy() for c in ("s", "id", "n", "place"))
-        left = n - place  # elements from here on
-        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.array([], np.int64)
-        last = np.repeat(np.r_[starts[1:], len(s)][: len(starts)], np.diff(np.r_[starts, len(s)]))
-        at, step, a, b, held = np.arange(len(s)), 1, [], [], 0
-        while True:
-            at = at[at + step < last[at]]
-            at = at[n[at] >= least * n[at + step] - EPS]  # sizes grow within a list
-            if not len(at):
-                break
-            to = at + step
-            ok = np.minimum(left[at], left[to]) >= least / (1 + least) * (n[at] + n[to]) - EPS
-            a.append(np.minimum(ids[at[ok]], ids[to[ok]]))
-            b.append(np.maximum(ids[at[ok]], ids[to[ok]]))
-            held += int(ok.sum())
-            if held > PAIRS_HELD:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-                a, b, held = [], [], 0
-            step += 1
-        if held:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+def _parities(s: np.ndarray) -> np.ndarray:
+    """Whether each cell holds an odd number of the shingles, as 64-bit words."""
+    odd = np.bincount((s % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _lists(index: DataFrame) -> DataFrame:
+    """(list, segment, id, n, left): lists of two and more sets; ``left`` elements of the set follow the shared one, itself included.
+
+    Lists of the same members are one (under the sum of their hashed ids), with the largest ``left`` of each. A segment
+    ends with the member that the next one begins with.
+    """
 
     def run(batches):
-        rest = None
+        rest, open_, held = None, None, 0  # the shingle of a list that has been given out in part, and members given out
+
+        def given(rows: pd.DataFrame, last: bool):
+            nonlocal open_, held
+            s, ids = rows["s"].to_numpy(), rows["id"].to_numpy()
+            if not len(s):
+                return None
+            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.r_[starts, len(s)])
+            of = np.repeat(np.arange(len(starts)), size)
+            place = np.arange(len(s)) - starts[of]
+            name = np.add.reduceat(mix(ids.astype(np.uint64)), starts)[of]
+            go_on = s == open_ if open_ is not None else np.zeros(len(s), bool)
+            part = go_on if last else go_on | (s == s[-1])
+            name = np.where(part, mix(s.astype(np.uint64) ^ np.uint64(0x5555555555555555)), name)
+            place = np.where(go_on, place + held, place)
+            if not last:
+                open_, held = s[-1], int(place[-1]) + 1
+            ok = (size[of] > 1) | part
+            out = pd.DataFrame({"list": name.astype(np.int64), "segment": place // SEGMENT, "id": ids, "n": rows["n"].to_numpy(), "left": (rows["n"] - rows["place"]).to_numpy()})[ok]
+            again = out[(place[ok] % SEGMENT == 0) & (place[ok] > 0)]
+            return pd.concat([out, again.assign(segment=again["segment"] - 1)])
+
         for batch in batches:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             s = rows["s"].to_numpy()
             cut = int(np.searchsorted(s, s[-1])) if len(s) else 0
-            rest = rows.iloc[cut:]  # the last list may go on in the next batch
-            yield from pairs(rows.iloc[:cut])
-        if rest is not None:
-            yield from pairs(rest)
+            if len(s) - cut > 16 * BLOCK:  # too long to be held: given out in part
+                out, rest = given(rows, False), None
+            else:
+                out, rest = given(rows.iloc[:cut], True), rows.iloc[cut:]
+            if out is not None:
+                yield out
+        if rest is not None and (out := given(rest, True)) is not None:
+            yield out
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(n, "s").sortWithinPartitions("s", "n").mapInPandas(run, "a long, b long").where("a <> b").distinct()
+    found = index.repartition(n, "s").sortWithinPartitions("s", "n", "id").mapInPandas(run, "list long, segment int, id long, n int, left int")
+    return found.groupBy("list", "segment", "id").agg(F.max("n").alias("n"), F.max("left").alias("left"))
+
+
+def _possible(a: Column, b: Column, least: float) -> Column:
+    """Whether sizes and parities let two sets (structs) be as similar as asked."""
+    apart = F.aggregate(F.zip_with(a["parities"], b["parities"], lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    return (F.least(a["n"], b["n"]) >= least * F.greatest(a["n"], b["n"]) - EPS) & (apart <= (1 - least) / (1 + least) * (a["n"] + b["n"]) + EPS)
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _neighbours(lists: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: sets near each other in a list, in different components, that the bounds leave."""
+    me = F.struct("id", "n", "left", "parities", "root")
+    order = Window.partitionBy("list", "segment").orderBy("n", "id")
+    rows = lists.select(me.alias("x"), F.array(*[F.lag(me, k).over(order) for k in range(1, NEIGHBOURS + 1)]).alias("before")).select("x", F.explode("before").alias("y"))
+    rows = rows.where("x.root <> y.root").where(F.least("x.left", "y.left") >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - EPS)
+    return rows.where(_possible(F.col("x"), F.col("y"), least)).select(*_pair("x.id", "y.id")).distinct()
+
+
+def _rest(lists: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of different components within a list that the bounds leave.
+
+    A list's largest component needs no comparison within: it's dealt to ``k`` parts, the other members to ``m``, and
+    each pair of parts that may hold a pair of different components is a group of its own.
+    """
+    members = lists.groupBy("list", "root", "id").agg(F.max("n").alias("n"), F.max("left").alias("left"), F.any_value("parities").alias("parities"))
+    members = materialize(members, "members")
+    sizes = members.groupBy("list", "root").count().groupBy("list").agg(F.max(F.struct("count", "root")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select(F.col("list").alias("of"), F.col("top.root").alias("top"), parts(F.col("top.count")).alias("k"), parts(F.col("all") - F.col("top.count")).alias("m"))
+    rows = members.join(sizes, F.col("list") == F.col("of"))
+    k, m, upto = F.col("k"), F.col("m"), lambda n: F.sequence(F.lit(0), n - 1)
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    rows = rows.withColumn("mine", F.when(F.col("root") == F.col("top"), part(k)).otherwise(k + part(m)))
+    others = F.when(F.col("mine") < k, F.transform(upto(m), lambda j: k + j)).otherwise(upto(k + m))
+    rows = rows.withColumn("other", F.explode(others)).select("list", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "n", "left", "parities")
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        ids, root, n, left, mine = (g[c].to_numpy() for c in ("id", "root", "n", "left", "mine"))
+        first, second = np.flatnonzero(mine == g["lo"].iloc[0]), np.flatnonzero(mine == g["hi"].iloc[0])
+        words = np.stack(g["parities"].to_list()).astype(np.int64).view(np.uint64)
+        a, b = [ids[:0]], [ids[:0]]
+        for i in range(0, len(first), 128):
+            x = first[i : i + 128, None]
+            ok = (root[x] != root[second]) & (np.minimum(n[x], n[second]) >= least * np.maximum(n[x], n[second]) - EPS)
+            ok &= np.minimum(left[x], left[second]) >= least / (1 + least) * (n[x] + n[second]) - EPS
+            u, v = np.nonzero(ok)
+            u, v = x[u, 0], second[v]
+            near = np.bitwise_count(words[u] ^ words[v]).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * (n[u] + n[v]) + EPS
+            a.append(ids[u[near]])
+            b.append(ids[v[near]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            held = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key = held[["list", "lo", "hi"]].to_numpy()
+            cut = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1] + 1) if len(held) and (key != key[-1]).any() else 0
+            rest = held.iloc[cut:]  # the last group may go on in the next batch
+            yield from (pairs(g) for _, g in held.iloc[:cut].groupby(["list", "lo", "hi"], sort=False))
+        if rest is not None and len(rest):
+            yield pairs(rest)
+
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(n, "list", "lo", "hi").sortWithinPartitions("list", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
+    return found
+
+
+def _proposed(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: sets that the fingerprints connect and the bounds leave, no more than there are sets and links."""
+    one = sets.select("fp", F.struct("id", "n", "parities").alias("x"))
+    reps = materialize(one.groupBy("fp").agg(F.min("x").alias("y")), "fingerprints")
+    same = one.join(reps, "fp").where("x.id <> y.id").select("x", "y")
+    of = lambda c, name: reps.select(F.col("fp").alias(c), F.col("y").alias(name))
+    far = simhash.links(reps.select("fp")).join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    return same.unionAll(far).where(_possible(F.col("x"), F.col("y"), least)).select(*_pair("x.id", "y.id")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -118,18 +221,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
             any_ = np.array([len(u) + len(v) for u, v in zip(x, y)], np.int64) - both
             yield batch.loc[both >= least * any_ - EPS, ["a", "b"]]
 
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    of = lambda c, name: texts.select(F.col("id").alias(c), F.col("text").alias(name))
+    return materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "found")
 
 
 def marked(docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, sample: int = SAMPLE) -> DataFrame:
     """``docs`` and ``__near``: a number that two rows share if pairs of a similarity of ``least`` or more connect them.
 
-    Null and empty texts are near each other only. Repeated rows stay; an empty table gives an empty result.
+    Null and empty texts are near each other only. Texts under ``shingle`` words are near those of the same words.
+    Repeated rows stay; an empty table gives an empty result; other columns are carried, whatever their names.
     """
     common = _common(docs, text, shingle, sample)
 
-    @F.pandas_udf("id long, n int, first array<long>")
+    @F.pandas_udf("id long, n int, fp long, parities array<long>, first array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:
         order, out = np.argsort(common), []
         known = common[order]
@@ -140,24 +244,30 @@ def marked(docs: DataFrame, text: str = "text", shingle: int = 5, least: float =
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 rank = np.where(known[at] == s, order[at] + 1, 0)
             first = s[np.argsort(rank, kind="stable")[: n - int(np.ceil(least * n - EPS)) + 1]] if n else s
-            out.append((xxhash.xxh64_intdigest(s.tobytes(), n), n, first.astype(np.int64)))
-        ids = np.array([r[0] for r in out], np.uint64).astype(np.int64)
-        return pd.DataFrame({"id": ids, "n": np.array([r[1] for r in out], np.int32), "first": [r[2] for r in out]})
+            out.append((xxhash.xxh64_intdigest(s.tobytes(), n), n, simhash.of_hashes(s), _parities(s), first.astype(np.int64)))
+        ids, n, fp, parities, first = zip(*out) if out else [()] * 5
+        signed = lambda x: np.array(x, np.uint64).astype(np.int64)
+        return pd.DataFrame({"id": signed(ids), "n": np.array(n, np.int32), "fp": signed(fp), "parities": list(parities), "first": list(first)})
 
     rows = materialize(docs.withColumn("__set", described(_text(text))), "sets")
-    one = rows.select("__set.*").groupBy("id").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    index = one.select("id", "n", F.posexplode("first").alias("place", "s"))
-    pairs = materialize(_candidates(index, least), "candidates")
-    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    one = rows.select("__set.*").groupBy("id")
+    sets = materialize(one.agg(*[F.any_value(c).alias(c) for c in ("n", "fp", "parities")]), "one")
+    index = one.agg(F.any_value("n").alias("n"), F.any_value("first").alias("first")).select("id", "n", F.posexplode("first").alias("place", "s"))
+    lists = materialize(_lists(index), "lists")
+    pairs = materialize(_proposed(sets, least), "pairs")
+    nodes = lists.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = rows.select(F.col("__set.id").alias("id"), _text(text).alias("text")).join(nodes, "id", "left_semi")
-    texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
-    found = materialize(_verified(first, texts, shingle, least), "found")
-    roots = connected_components(found)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-    more = materialize(_verified(apart.join(first, ["a", "b"], "left_anti"), texts, shingle, least), "found")
-    if not more.isEmpty():
-        roots = connected_components(found.unionAll(more))
-    roots = roots.select(F.col("node").alias("__id"), F.col("root").alias("__root"))
+    texts = materialize(texts.groupBy("id").agg(F.any_value("text").alias("text")), "texts")
+    found = _verified(pairs, texts, shingle, least)
+
+    def rooted() -> DataFrame:
+        roots = connected_components(found).withColumnRenamed("node", "id")
+        return lists.join(sets.select("id", "parities"), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    near = materialize(_neighbours(rooted(), least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = found.unionAll(_verified(near, texts, shingle, least))
+    rest = materialize(_rest(rooted(), least).join(pairs.unionAll(near), ["a", "b"], "left_anti"), "pairs")
+    found = found.unionAll(_verified(rest, texts, shingle, least))
+    roots = connected_components(found).select(F.col("node").alias("__id"), F.col("root").alias("__root"))
+    drop(lists, sets, texts, pairs, near, rest)
     return rows.join(roots, F.col("__set.id") == F.col("__id"), "left").withColumn("__near", F.coalesce("__root", "__set.id")).drop("__set", "__id", "__root")

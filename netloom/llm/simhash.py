@@ -41,6 +41,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     k = min(shingle, len(words))
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], "<u8")
+    return of_hashes(hashes)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """Each bit that is set in over half of the 64-bit hashes; 0 for none."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]
