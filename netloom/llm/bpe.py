@@ -2,7 +2,9 @@
 
 Long texts go to the library in pieces, cut only where no match of the pattern can cross: in front of a white-space
 character that follows another character that isn't white space. No alternative of the pattern runs from a character
-that isn't white space on to one that is, so the pieces' matches are the text's matches.
+that isn't white space on to one that is, so the pieces' matches are the text's matches. A piece without such a place
+(a long run of white space, or of letters) would exhaust the library's own matcher; its matches are found here, by the
+same pattern, and given to the library one by one.
 """
 
 from __future__ import annotations
@@ -48,7 +50,11 @@ def encode(encoding, text: str, size: int = PIECE) -> list[int]:
         return encoding.encode_ordinary(text)
     ids: list[int] = []
     for p in pieces(text, size):
-        ids += encoding.encode_ordinary(p)
+        if len(p) <= 2 * size:
+            ids += encoding.encode_ordinary(p)
+        else:
+            for match in regex.finditer(encoding._pat_str, p):
+                ids += encoding._encode_single_piece(match[0])
     return ids
 
 
@@ -81,8 +87,8 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return _mapped(tokens.select("doc_id", "ids"), ranks_path, pattern, "doc_id long, bytes binary", make)
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded again.
+def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, encoded and decoded again; ``with_ids`` adds the ids.
 
     A null text is an empty one (no ids, the digest of no bytes). Repeated rows and null ids are kept. An empty table
     gives an empty result; other columns are ignored.
@@ -90,12 +96,14 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_i
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def make(encoding, digits, batch):
-        n, a, b = [], [], []
+        n, a, b, kept = [], [], [], []
         for t in batch["text"]:
             ids = encode(encoding, t)
             n.append(len(ids))
             a.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
             b.append(hashlib.sha256(encoding.decode_bytes(ids)).hexdigest())
-        return pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+            if with_ids:
+                kept.append(np.array(ids, np.int32))
+        return pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b} | ({"ids": kept} if with_ids else {}))
 
-    return _mapped(rows, ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return _mapped(rows, ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)

@@ -174,6 +174,13 @@ def test_bpe_is_the_librarys(spark, docs):
     for _ in range(200):
         t = "".join(draw.choice("ab  \n\t'sé1.!　 x") for _ in range(200))
         assert "".join(bpe.pieces(t, 9)) == t and bpe.encode(enc, t, 9) == enc.encode_ordinary(t)
+    for run in (" ", "\n", "\r\n", " \n\t", "\u3000 ", "a", "é!", "1\x1c", "\x85"):  # no safe place: longer than the library is asked for, and as it does
+        for end in ("", "word", "'s"):
+            t = "so " + run * 60 + end + " and on"
+            assert bpe.encode(enc, t, 9) == enc.encode_ordinary(t)
+    for run in (" " * 2_000_000, "\n" * 2_000_000, " \r\n\t" * 500_000, "a" * 300_000):
+        t = "so" + run + "end"
+        assert enc.decode(bpe.encode(enc, t)) == t
     tokens = bpe.encoded(docs.where("doc_id = 107"), path, pattern)
     assert bpe.decoded(tokens, path, pattern).first()["bytes"] == b"A b\nA b\n\nA b"
     assert bpe.digests(empty(spark), path, pattern).count() == 0
