@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ids import carried, whole
+
 #: Characters after which a text is cut at the next safe place.
 PIECE = 1 << 16
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
@@ -70,10 +72,10 @@ def _mapped(df: DataFrame, ranks_path: str, pattern: str, schema: str, make) ->
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): every row of ``docs``; a null text is an empty one."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(*carried(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def make(encoding, _, batch):
-        return pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.array(encode(encoding, t), np.int32) for t in batch["text"]]})
+        return pd.DataFrame({"doc_id": whole(batch["doc_id"], batch["missing"]), "ids": [np.array(encode(encoding, t), np.int32) for t in batch["text"]]})
 
     return _mapped(rows, ranks_path, pattern, "doc_id long, ids array<int>", make)
 
@@ -82,9 +84,9 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, bytes): the raw bytes of the ids, which need not be valid UTF-8. Null ids: no bytes."""
 
     def make(encoding, _, batch):
-        return pd.DataFrame({"doc_id": batch["doc_id"], "bytes": [encoding.decode_bytes(list(map(int, x))) if x is not None else b"" for x in batch["ids"]]})
+        return pd.DataFrame({"doc_id": whole(batch["doc_id"], batch["missing"]), "bytes": [encoding.decode_bytes(list(map(int, x))) if x is not None else b"" for x in batch["ids"]]})
 
-    return _mapped(tokens.select("doc_id", "ids"), ranks_path, pattern, "doc_id long, bytes binary", make)
+    return _mapped(tokens.select(*carried("doc_id"), "ids"), ranks_path, pattern, "doc_id long, bytes binary", make)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -93,7 +95,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_i
     A null text is an empty one (no ids, the digest of no bytes). Repeated rows and null ids are kept. An empty table
     gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(*carried(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def make(encoding, digits, batch):
         n, a, b, kept = [], [], [], []
@@ -104,6 +106,6 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_i
             b.append(hashlib.sha256(encoding.decode_bytes(ids)).hexdigest())
             if with_ids:
                 kept.append(np.array(ids, np.int32))
-        return pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b} | ({"ids": kept} if with_ids else {}))
+        return pd.DataFrame({"doc_id": whole(batch["doc_id"], batch["missing"]), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b} | ({"ids": kept} if with_ids else {}))
 
     return _mapped(rows, ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)

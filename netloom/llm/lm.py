@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .chunks import by_shard, ids_of, make_chunks, pack, pack_sorted, replies_of, shard_bits, unpack, unpack_sorted, with_replies
 from .eliasfano import Trie, dequantise, quantise
+from .ids import whole
 from .store import materialize
 from .words import hashes, mix, tokenized
 
@@ -213,7 +214,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                 alone = np.log10(unigram(total))[w.tokens]
                 p = np.where(code > 0, dequantise(np.maximum(code, 1)), alone + np.log10(M / (total[w.before] + M)))
                 add = lambda x: np.add.reduceat(x, w.starts)
-                yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(w.ids.copy(), w.missing.copy()), "held_out": ~w.train, "n_tokens": w.n_tokens, "n_known": add((total[w.tokens] > 0).astype(np.int64)), "train_tokens": n_train, "base_score": add(alone), "score": add(p)})
+                yield pd.DataFrame({"doc_id": whole(w.ids, w.missing), "held_out": ~w.train, "n_tokens": w.n_tokens, "n_known": add((total[w.tokens] > 0).astype(np.int64)), "train_tokens": n_train, "base_score": add(alone), "score": add(p)})
 
     answers = numbered.where("chunk >= 0")
     looked_up = materialize(with_replies(chunks, words_=answers).mapInPandas(pairs, MESSAGE).groupBy("shard").applyInPandas(tries, REPLY), "pairs")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import pack_sorted, unpack_sorted
+from .ids import carried, whole
 from .labelled import held_out, sample
 from .words import mix
 
@@ -138,11 +139,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
 
 
 def apply(docs: DataFrame, scores, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = docs.select(*carried(doc_id), held_out(doc_id).alias("held_out"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
     def run(batches):
         for b in batches:
             s = scores([bytes(t) for t in b["text"]])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": whole(b["doc_id"], b["missing"]), "held_out": b["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")

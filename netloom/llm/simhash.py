@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
+from .ids import carried, whole
 from .store import materialize
 
 #: All triples of positions within each half of the 8 bytes; byte 0 is the lowest.
@@ -59,9 +60,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(bytes(t), shingle) for t in b["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": whole(b["doc_id"], b["missing"]), "fp": fp})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = docs.select(*carried(doc_id), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, fp long")
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_shard, ids_of, make_chunks, pack, pack_bits, pack_sorted, replies_of, shard_bits, texts_of, unpack, unpack_bits, unpack_sorted, with_replies
+from .ids import whole
 from .store import materialize
 from .words import hashes, tokenized, window_hashes
 
@@ -122,7 +123,7 @@ def _group_exactly(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def covered_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, emit=None, schema: str | None = None, words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
-    """One row per document from ``emit(id, text, words, covered)``, by default the digest columns of `dedup_digests`."""
+    """One row per document from its id and ``emit(text, covered)``, by default the digest columns of `dedup_digests`."""
     emit, schema = (emit, schema) if emit else (_digest, DIGEST)
     chunks = make_chunks(docs, doc_id, text, words=words_per_chunk)
     words, bits = shard_bits(chunks)
@@ -155,8 +156,10 @@ def covered_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                 gone = places[elsewhere[run] | (w.ids[of] > ids[run]) | (w.missing[of] & ~missing[run])] if len(places) else places
                 edge = np.bincount(w.start[gone], minlength=w.n + 1) - np.bincount(w.start[gone] + window, minlength=w.n + 1)
                 covered = np.cumsum(edge[:-1]) > 0
-                ids_ = [None if none else i for i, none in zip(w.ids.tolist(), w.missing.tolist())]
-                yield pd.DataFrame([emit(i, t, covered[e - n : e]) for i, t, e, n in zip(ids_, w.texts, w.ends.tolist(), w.counts.tolist())], columns=[x.split()[0] for x in schema.split(", ")])
+                name, *names = [x.split()[0] for x in schema.split(", ")]
+                out = pd.DataFrame([emit(t, covered[e - n : e]) for t, e, n in zip(w.texts, w.ends.tolist(), w.counts.tolist())], columns=names)
+                out.insert(0, name, whole(w.ids, w.missing))
+                yield out
 
     sketch = chunks.mapInPandas(sketches, MESSAGE).groupBy("shard").applyInPandas(_merge_sketches, REPLY)
     sketch = materialize(sketch, "sketch")
@@ -173,14 +176,14 @@ def _kept(text: bytes, covered: np.ndarray) -> list[bytes]:
     return [w for w, c in zip(words, covered.tolist()) if not c] if covered.any() else words
 
 
-def _digest(doc_id: int | None, text: bytes, covered: np.ndarray):
-    return (doc_id, len(covered), int(covered.sum()), hashlib.sha256(b" ".join(_kept(text, covered))).hexdigest())
+def _digest(text: bytes, covered: np.ndarray):
+    return (len(covered), int(covered.sum()), hashlib.sha256(b" ".join(_kept(text, covered))).hexdigest())
 
 
-def _text(doc_id: int | None, text: bytes, covered: np.ndarray):
+def _text(text: bytes, covered: np.ndarray):
     """The text as it was where nothing goes; else the kept words, with the line breaks that stood between them."""
     if not covered.any():
-        return (doc_id, hashlib.md5(text).digest(), None)
+        return (hashlib.md5(text).digest(), None)
     import regex
 
     kept, gap, at = [], b"", 0
@@ -190,7 +193,7 @@ def _text(doc_id: int | None, text: bytes, covered: np.ndarray):
         if not c:
             kept += [gap, m[0]]
             gap = b""
-    return (doc_id, hashlib.md5(text).digest(), b"".join(kept[1:]))
+    return (hashlib.md5(text).digest(), b"".join(kept[1:]))
 
 
 def dedup_digests(docs: DataFrame, **options) -> DataFrame:

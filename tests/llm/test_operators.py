@@ -398,3 +398,13 @@ def test_passages_by_brute_force(spark, docs):
     assert cut.columns == docs.columns
     left = collections.Counter((r["doc_id"], len((r["text"] or "").encode().split())) for r in cut.collect())
     assert left == collections.Counter((i, n - g) for i, n, g, _ in want if not (n and n == g))
+
+
+def test_large_ids_beside_missing_ones(spark, labels):
+    """All operators that carry ids, in one partition: neighbours above 2^53, and the largest id of all."""
+    ids = [2**53 + 1, 2**53 + 2, None, 2**63 - 1, -(2**63), 0]
+    rows = docs_of(spark, [(i, f"some words of text {i}", "s") for i in ids]).coalesce(1)
+    path, pattern = queries.ranks()
+    whole = [bpe.digests(rows, path, pattern), bpe.decoded(bpe.encoded(rows, path, pattern), path, pattern), simhash.fingerprints(rows), nbsvm.score(rows, labels), toxicity.score(rows, labels), lm.score(rows), substring.dedup_digests(rows), mixing.mix(rows), rules.judged(rows)]
+    for got in whole:
+        assert sorted(map(str, (r["doc_id"] for r in got.select("doc_id").collect()))) == sorted(map(str, ids))
