@@ -22,6 +22,8 @@ from .ids import carried, whole
 
 #: Characters after which a text is cut at the next safe place.
 PIECE = 1 << 16
+#: Rows that are encoded or decoded at once.
+ROWS = 500
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
 
 
@@ -65,7 +67,8 @@ def _mapped(df: DataFrame, ranks_path: str, pattern: str, schema: str, make) ->
         encoding = load(ranks_path, pattern)
         digits = [str(i) for i in range(encoding.n_vocab)]
         for batch in batches:
-            yield make(encoding, digits, batch)
+            for i in range(0, len(batch), ROWS):  # ids of a whole batch would take several times its texts
+                yield make(encoding, digits, batch.iloc[i : i + ROWS])
 
     return df.mapInPandas(run, schema)
 

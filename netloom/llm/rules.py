@@ -78,14 +78,15 @@ def votes(rows: DataFrame, rules: list = RULES) -> DataFrame:
     return rows
 
 
-def learn(voted: DataFrame, rules: list = RULES, rounds: int = 12) -> list[dict]:
+def learn(voted: DataFrame, rules: list = RULES, tolerance: float = 1e-4) -> list[dict]:
     """The classes found by expectation-maximisation: {"share": of the documents, (rule, vote): probability}.
 
     The first class is that of good documents; each rule adds a class of documents with the defect that it looks for,
     since a bad document mostly shows one defect and passes the other rules. All classes' vote probabilities for all
     rules are estimated, from a start in which rules are hardly ever wrong on good documents and mostly right on their
     own defect. The rounds work on the counts of vote patterns, at most 3 to the power of the rules. One count is added
-    to each probability's numerator, so none is 0.
+    to each probability's numerator, so none is 0. Rounds end when no share and no probability moves by more than
+    ``tolerance``.
     """
     names = [f"v_{r[0]}" for r in rules]
     usual, own = {0: 0.002, 1: 0.958, 2: 0.04}, {0: 0.9, 1: 0.02, 2: 0.08}
@@ -96,7 +97,8 @@ def learn(voted: DataFrame, rules: list = RULES, rounds: int = 12) -> list[dict]
     counts = voted.groupBy(*names).agg(F.count("*").alias("n"))
     pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("rule"), F.col(v).alias("vote")) for v in names])).alias("cast")
     patterns = materialize(counts.select("*", pairs).coalesce(1), "patterns")
-    for _ in range(rounds):
+    moved = 1.0
+    while moved > tolerance:
         parts = F.transform(responsibilities(classes, names), lambda p: p * F.col("n"))
         sums = [F.sum(F.get(F.col("parts"), k)).alias(f"c{k}") for k in range(len(classes))]
         found = {(r["cast"]["rule"], r["cast"]["vote"]): r for r in patterns.withColumn("parts", parts).groupBy("cast").agg(*sums).collect()}
@@ -105,10 +107,8 @@ def learn(voted: DataFrame, rules: list = RULES, rounds: int = 12) -> list[dict]
         for k in range(len(classes)):
             got = lambda v, x, k=k: found[v, x][f"c{k}"] if (v, x) in found else 0.0
             new.append({"share": (size[k] + 1) / (sum(size) + len(classes))} | {(v, x): (got(v, x) + 1) / (size[k] + 3) for v in names for x in range(3)})
-        moved = max(abs(x["share"] - y["share"]) for x, y in zip(classes, new))
+        moved = max(abs(x[p] - y[p]) for x, y in zip(classes, new) for p in x)
         classes = new
-        if moved < 1e-6:
-            break
     return classes
 
 

@@ -226,7 +226,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
 
 def marked(docs: DataFrame, text: str = "text", shingle: int = 5, least: float = 0.8, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` and ``__near``: a number that two rows share if pairs of a similarity of ``least`` or more connect them.
+    """``docs``, ``__row``, a number of each row, and ``__near``: a number that two rows share if pairs of a similarity of ``least`` or more connect them. A stored table.
 
     Null and empty texts are near each other only. Texts under ``shingle`` words are near those of the same words.
     Repeated rows stay; an empty table gives an empty result; other columns are carried, whatever their names.
@@ -270,4 +270,7 @@ def marked(docs: DataFrame, text: str = "text", shingle: int = 5, least: float =
     found = found.unionAll(_verified(rest, texts, shingle, least))
     roots = connected_components(found).select(F.col("node").alias("__id"), F.col("root").alias("__root"))
     drop(lists, sets, texts, pairs, near, rest)
-    return rows.join(roots, F.col("__set.id") == F.col("__id"), "left").withColumn("__near", F.coalesce("__root", "__set.id")).drop("__set", "__id", "__root")
+    out = rows.join(roots, F.col("__set.id") == F.col("__id"), "left").withColumn("__near", F.coalesce("__root", "__set.id")).drop("__set", "__id", "__root")
+    out = materialize(out.withColumn("__row", F.monotonically_increasing_id()), "near")
+    drop(rows)
+    return out

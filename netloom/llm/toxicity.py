@@ -103,6 +103,32 @@ def swaps(text: bytes, terms: dict = IDENTITY_TERMS, each: int = 2) -> list[tupl
     return out
 
 
+def changes(text: bytes, terms: dict = IDENTITY_TERMS, each: int = 2, bits: int = BITS):
+    """((features, values), (features, values)) before and after each swap of `swaps`, of the features that it changes.
+
+    A run without white space has the same features wherever it stands, so only those of the swapped run are counted
+    again, and a text costs a sentence once and each of its terms a few words, however long the sentence is.
+    """
+    kind = {t.encode(): [x.encode() for x in group] for group in terms.values() for t in group}
+    for s in SENTENCE.findall(text.lower()):
+        runs = s.split()
+        found = [(w, bare) for w in runs if (bare := w.strip(b",;:'\"()")) in kind]
+        if not found:
+            continue
+        f, n = features(s, bits)
+        f, c = np.unique(f, return_counts=True)
+        for w, bare in found:
+            group = kind[bare]
+            at, old = group.index(bare), features(w, bits)[0]
+            for k in range(1, min(each, len(group) - 1) + 1):
+                new = features(w.replace(bare, group[(at + k) % len(group)]), bits)[0]
+                both, place = np.unique(np.r_[old, new], return_inverse=True)
+                here = np.searchsorted(f, both)
+                before = np.where(f[np.minimum(here, len(f) - 1)] == both, c[np.minimum(here, len(f) - 1)], 0)
+                after = before + np.bincount(place, np.r_[-np.ones(len(old)), np.ones(len(new))], len(both)).astype(np.int64)
+                yield (both, _value(before, n)), (both, _value(after, n))
+
+
 def _value(counts: np.ndarray, words: int) -> np.ndarray:
     return np.log1p(DENSITY * counts / max(words, 1))
 
@@ -170,10 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
             out = []
             for y, t in zip(batch["y"], batch["text"]):
                 t = bytes(t)
-                for kind, x in [(y, t), *((k, s) for pair in swaps(t, terms) for k, s in zip((2, 3), pair))]:
-                    f, v = counted(x)
-                    out.append((kind, pack_sorted(f), pack(v)))
-                # a sentence (2) and its swap (3) follow each other within one text's group of rows
+                made = [(y, counted(t)), *((k, x) for pair in changes(t, terms, bits=bits) for k, x in zip((2, 3), pair))]
+                # what a swap changes, before it (2) and after (3), follow each other within one text's group of rows
+                out += [(kind, pack_sorted(f.astype(np.uint32)), pack(v.astype(np.float32))) for kind, (f, v) in made]
             yield pd.DataFrame({"rows": [out_of(out)]})
 
     def out_of(rows):

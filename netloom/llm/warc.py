@@ -17,11 +17,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialize, new_path
+from .store import materialize, new_path, until_exit
 
 CRLF = "\r\n"
-#: Parts to which the revisits of one payload are dealt, so that a payload in a third of all pages makes no hot key.
-SALTS = 64
+#: Payloads of at least so many pages, and of at least the HOT_SHARE-th part of all, are joined by broadcast: HOT_SHARE rows at most.
+HOT, HOT_SHARE = 1_000, 4_096
 #: Captures in one archive file, at most; an archive is read whole by one task.
 CAPTURES_PER_FILE = 2_000
 DATE = "2024-01-01T00:00:00Z"
@@ -33,10 +33,15 @@ def digests(pages: DataFrame, page_id: str = "page_id", html: str = "html", leas
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select("*", F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     many = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(page_id).alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    many = materialize(many, "payloads").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("payload_digest", "same")
-    rows = rows.withColumn("salt", F.when(F.col("payload_bytes") >= least, F.pmod(F.xxhash64(page_id), F.lit(SALTS)).cast("int")))
-    joined = rows.join(many, (rows["payload_digest"] == many["same"]) & (rows["salt"] == many["salt"]), "left").drop("same", "salt", "n")
-    return joined.withColumn("refers_to", F.when(F.col("first_id") < F.col(page_id), F.col("first_id"))).drop("first_id")
+    many = materialize(many, "payloads")
+    often = F.col("n") >= max(HOT, pages.count() / HOT_SHARE)
+    side = lambda where, name: many.where(where).select(F.col("payload_digest").alias(f"__{name}"), F.col("first_id").alias(f"__{name}_id"))
+    joined = rows.join(F.broadcast(side(often, "hot")), F.col("payload_digest") == F.col("__hot"), "left")
+    # Pages of a hot payload get keys that match nothing and differ, so the other join isn't skewed by them.
+    joined = joined.withColumn("__key", F.when(F.col("__hot").isNull(), F.col("payload_digest")).otherwise(F.concat_ws("#", "payload_digest", page_id)))
+    joined = joined.join(side(~often, "cold"), F.col("__key") == F.col("__cold"), "left")
+    first = F.when(F.col("payload_bytes") >= least, F.coalesce("__hot_id", "__cold_id"))
+    return joined.withColumn("refers_to", F.when(first < F.col(page_id), first)).drop("__hot", "__hot_id", "__key", "__cold", "__cold_id")
 
 
 def _record(headers: list, block: Column) -> Column:
@@ -109,25 +114,24 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 found = list(parse(bytes(data), file, payloads))
                 step = 500 if payloads else len(found) or 1
                 for i in range(0, len(found), step):
-                    yield pd.DataFrame(found[i : i + step], columns=names).astype({"refers_to": "Int64", "page_id": "Int64", "payload_bytes": "Int64"})
+                    yield pd.DataFrame(found[i : i + step], columns=names, dtype=object).astype({"refers_to": "Int64", "page_id": "Int64", "payload_bytes": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One row per capture: nested request, response (or revisit) and metadata, joined through the concurrent-to ids.
+    """One row per capture: nested request, response (or revisit) and metadata, brought together by the concurrent-to ids in one pass.
 
-    A response without a request or metadata has null there; requests and metadata of no response are left out. Of
+    Records of one id are one. A response without a request or metadata has null there; requests and metadata of no response are left out. Of
     several requests (or metadata) of one response, the one with the smallest record id is taken.
     """
     kept = ["record_id", "type", "target_uri", "page_id", "refers_to", "payload_digest", "payload_bytes", "fields", "payload"]
-    side = lambda kind: records.where(F.col("type") == kind).groupBy("concurrent_to").agg(F.min_by(F.struct("record_id", "target_uri", "fields"), "record_id").alias(kind))
-    main = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture"), F.struct(*kept).alias("response"))
-    for kind in ("request", "metadata"):
-        other = side(kind)
-        main = main.join(other, main["capture"] == other["concurrent_to"], "left").drop("concurrent_to")
-    return main.select("capture", "request", "response", "metadata")
+    main = F.col("type").isin("response", "revisit")
+    of = lambda which, fields: F.min_by(F.struct(*fields), F.when(which, F.col("record_id")))
+    sides = [of(F.col("type") == kind, ("record_id", "target_uri", "fields")).alias(kind) for kind in ("request", "metadata")]
+    rows = records.where(main | F.col("type").isin("request", "metadata")).withColumn("capture", F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to")))
+    return rows.groupBy("capture").agg(of(main, kept).alias("response"), *sides).where("response is not null").select("capture", "request", "response", "metadata")
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -140,5 +144,6 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, page_id, url, html)
+    until_exit(spark, path)
     r = transactions(read_records(spark, path, payloads=False))
     return r.select("response.page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "response.refers_to", (F.col("request").isNotNull() & F.col("metadata").isNotNull()).alias("complete"))

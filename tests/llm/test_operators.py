@@ -408,3 +408,110 @@ def test_large_ids_beside_missing_ones(spark, labels):
     whole = [bpe.digests(rows, path, pattern), bpe.decoded(bpe.encoded(rows, path, pattern), path, pattern), simhash.fingerprints(rows), nbsvm.score(rows, labels), toxicity.score(rows, labels), lm.score(rows), substring.dedup_digests(rows), mixing.mix(rows), rules.judged(rows)]
     for got in whole:
         assert sorted(map(str, (r["doc_id"] for r in got.select("doc_id").collect()))) == sorted(map(str, ids))
+
+
+def test_counterfactual_changes_are_those_of_whole_sentences():
+    text = b"The Muslim, and the jewish men (women) walk; muslim muslim old-men. No one else! \"gay\" people"
+    def row(t):
+        f, n = toxicity.features(t)
+        f, c = np.unique(f, return_counts=True)
+        return dict(zip(f.tolist(), toxicity._value(c, n)))
+
+    got = list(toxicity.changes(text))
+    want = toxicity.swaps(text)
+    assert len(got) == len(want) > 6
+    for ((f, v), (g, u)), (a, b) in zip(got, want):
+        x, y = row(a), row(b)
+        d = {k: y.get(k, 0.0) - x.get(k, 0.0) for k in x.keys() | y.keys()}
+        assert {k: round(z, 9) for k, z in zip(f.tolist(), u - v) if abs(z) > 1e-12} == {k: round(z, 9) for k, z in d.items() if abs(z) > 1e-12}
+    long = " ".join(["muslim", "men", "walk", "and"] * 5_000).encode()  # no punctuation: one sentence of 20,000 words
+    assert sum(1 for _ in toxicity.changes(long)) == 20_000
+
+
+def test_counterfactual_charge_changes_the_query(spark):
+    """Documents with identity terms, through the operator with its production parameters."""
+    draw, rows, marks = random.Random(8), [], []
+    for i in range(600):
+        group = draw.choice("muslim jewish hindu sikh".split())
+        words = draw.choices([f"w{k}" for k in range(60)], k=12)
+        bad = i % 2 == 0
+        if bad or draw.random() < 0.1:
+            words.insert(3, group)
+        if bad and draw.random() < 0.8:
+            words.insert(6, "idiot")
+        rows.append((i, " ".join(words), "s"))
+        marks.append((i, 0, int(bad)))
+    rows += [(10_000 + k, f"the {g} people walk home", "s") for k, g in enumerate("muslim jewish christian buddhist".split())]
+    docs, labels = docs_of(spark, rows).repartition(2), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    spread = []
+    for charge in (0.0, 5.0):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels, charge=charge).collect()}
+        scores = [got[10_000 + k] for k in range(4)]
+        spread.append(max(scores) - min(scores))
+    assert spread[1] < 0.5 * spread[0]
+
+
+def test_quality_model_by_brute_force(spark):
+    """The query's scores against a plain dense fit of the same rows, in the same order of visits."""
+    draw, rows, marks = random.Random(9), [], []
+    for i in range(90):
+        good = i % 2
+        rows.append((i, " ".join(draw.choices(["fine", "word", "text", "tale"] if good else ["buy", "now", "$$$", "text"], k=draw.randrange(3, 30))), "s"))
+        marks.append((i, good, 0))
+    got = {r["doc_id"]: r["score"] for r in nbsvm.score(docs_of(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    grams, train = nbsvm.Grams(), [k for k in range(90) if zlib.crc32(str(k).encode()) % 3 != 1]
+    f = {k: grams(t.encode()).copy() for k, t, _ in rows}
+    used = sorted(set(np.concatenate([f[k] for k in f]).tolist()))
+    place = {g: j for j, g in enumerate(used)}
+    x = np.zeros((90, len(used)))
+    for k in f:
+        x[k, [place[g] for g in f[k].tolist()]] = 1
+    order = sorted(train, key=lambda k: (marks[k][1], f[k].astype(np.int32).tobytes()))
+    y = np.array([1.0 if marks[k][1] else -1.0 for k in order])
+    a = x[order]
+    dims = 1 << nbsvm.BITS
+    p, q = 1 + a[y > 0].sum(axis=0), 1 + a[y < 0].sum(axis=0)
+    ratio = np.log(p / (a[y > 0].sum() + dims)) - np.log(q / (a[y < 0].sum() + dims))
+    unit = lambda z: z * ratio / np.sqrt((z * ratio) @ (z * ratio))
+    a = np.array([unit(z) for z in a])
+    most = len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    w, b, dual, turn = np.zeros(len(used)), 0.0, np.zeros(len(y)), np.random.default_rng(0)
+    for _ in range(12):
+        for i in turn.permutation(len(y)):
+            step = np.clip(dual[i] - (y[i] * (w @ a[i] + b) - 1) / (a[i] @ a[i] + 1), 0, most[i]) - dual[i]
+            dual[i] += step
+            w, b = w + step * y[i] * a[i], b + step * y[i]
+    m = np.array([w @ unit(x[k]) + b for k in range(90)])
+    # The logistic curve: the maximum of the same penalised likelihood, by plain descent.
+    s, o, t = 1.0, 0.0, a @ w + b
+    for _ in range(60_000):
+        e = 1 / (1 + np.exp(-(s * t + o))) - (y > 0)
+        s, o = s - 0.5 * ((e * t).mean() + 0.01 * s), o - 0.5 * (e.mean() + 0.01 * o)
+    for k in range(90):
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(s * m[k] + o))), abs=2e-3)
+
+
+def test_rules_kept_by_brute_force(spark):
+    """`kept` and the posterior against plain expectation-maximisation over the same votes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = rules.votes(rules.measures(docs)).collect()
+    names = [r[0] for r in rules.RULES]
+    votes = np.array([[r[f"v_{n}"] for n in names] for r in rows])
+    share, prob = np.array([0.8] + [0.2 / 6] * 6), np.zeros((7, 6, 3))
+    for k in range(7):
+        for j in range(6):
+            prob[k, j] = (0.002, 0.958, 0.04) if k == 0 else (0.9, 0.02, 0.08) if k == j + 1 else (0.05, 0.85, 0.10)
+    post = lambda: (z := share * np.prod([prob[:, j, votes[:, j]].T for j in range(6)], axis=0)) / z.sum(axis=1, keepdims=True)
+    while True:
+        z = post()
+        size = z.sum(axis=0)
+        new_share = (size + 1) / (len(rows) + 7)
+        new = np.stack([[[(z[votes[:, j] == v, k].sum() + 1) / (size[k] + 3) for v in range(3)] for j in range(6)] for k in range(7)])
+        moved = max(np.abs(new - prob).max(), np.abs(new_share - share).max())
+        share, prob = new_share, new
+        if moved <= 1e-4:
+            break
+    good = {(r["doc_id"], r["n_words"]): x for r, x in zip(rows, post()[:, 0])}
+    for r in rules.judged(docs).collect():
+        x = good[r["doc_id"], r["n_words"]]
+        assert r["posterior"] == pytest.approx(x, abs=1e-6) and r["kept"] == (not r["base_failed"] and x >= 0.5)
