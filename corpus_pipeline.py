@@ -24,10 +24,10 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null and empty texts are one group. Of rows equal in id and text one stays. An empty table stays empty.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("hash"), F.monotonically_increasing_id().alias("at"))
-    rows = materialize(shingles.marked(docs).withColumn("__key", key), "near")
-    kept = rows.groupBy("__near").agg(F.min("__key").alias("kept")).select(F.col("kept.at").alias("__at"))
-    return rows.join(kept, F.col("__key.at") == F.col("__at"), "left_semi").select(docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("hash"), F.col("__row").alias("at"))
+    rows = shingles.marked(docs)
+    kept = rows.groupBy("__near").agg(F.min(key).alias("kept")).select(F.col("kept.at").alias("__at"))
+    return rows.join(kept, F.col("__row") == F.col("__at"), "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
