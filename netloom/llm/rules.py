@@ -84,7 +84,8 @@ def learn(voted: DataFrame, rules: list = RULES, tolerance: float = 1e-4) -> lis
     The first class is that of good documents; each rule adds a class of documents with the defect that it looks for,
     since a bad document mostly shows one defect and passes the other rules. All classes' vote probabilities for all
     rules are estimated, from a start in which rules are hardly ever wrong on good documents and mostly right on their
-    own defect. The rounds work on the counts of vote patterns, at most 3 to the power of the rules. One count is added
+    own defect. Spark counts the vote patterns; the rounds work on these counts, of which there are at most 3 to the power
+    of the rules (729), whatever the number of documents. One count is added
     to each probability's numerator, so none is 0. Rounds end when no share and no probability moves by more than
     ``tolerance``.
     """
@@ -94,19 +95,19 @@ def learn(voted: DataFrame, rules: list = RULES, tolerance: float = 1e-4) -> lis
     for mine in names:
         rest = {0: 0.05, 1: 0.85, 2: 0.10}
         classes.append({"share": 0.2 / len(names)} | {(v, k): p for v in names for k, p in (own if v == mine else rest).items()})
-    counts = voted.groupBy(*names).agg(F.count("*").alias("n"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("rule"), F.col(v).alias("vote")) for v in names])).alias("cast")
-    patterns = materialize(counts.select("*", pairs).coalesce(1), "patterns")
-    moved = 1.0
+    counts = [tuple(r) for r in voted.groupBy(*names).agg(F.count("*").alias("n")).collect()]
+    total, moved = sum(p[-1] for p in counts), 1.0
     while moved > tolerance:
-        parts = F.transform(responsibilities(classes, names), lambda p: p * F.col("n"))
-        sums = [F.sum(F.get(F.col("parts"), k)).alias(f"c{k}") for k in range(len(classes))]
-        found = {(r["cast"]["rule"], r["cast"]["vote"]): r for r in patterns.withColumn("parts", parts).groupBy("cast").agg(*sums).collect()}
-        size = [sum(found[names[0], v][f"c{k}"] for v in range(3) if (names[0], v) in found) for k in range(len(classes))]
-        new = []
-        for k in range(len(classes)):
-            got = lambda v, x, k=k: found[v, x][f"c{k}"] if (v, x) in found else 0.0
-            new.append({"share": (size[k] + 1) / (sum(size) + len(classes))} | {(v, x): (got(v, x) + 1) / (size[k] + 3) for v in names for x in range(3)})
+        size = [0.0] * len(classes)
+        cast = [[[0.0] * 3 for _ in names] for _ in classes]
+        for *pattern, n in counts:
+            likely = [c["share"] * math.prod(c[v, x] for v, x in zip(names, pattern)) for c in classes]
+            scale = n / sum(likely)
+            for k, p in enumerate(likely):
+                size[k] += p * scale
+                for j, x in enumerate(pattern):
+                    cast[k][j][x] += p * scale
+        new = [{"share": (size[k] + 1) / (total + len(classes))} | {(v, x): (cast[k][j][x] + 1) / (size[k] + 3) for j, v in enumerate(names) for x in range(3)} for k in range(len(classes))]
         moved = max(abs(x[p] - y[p]) for x, y in zip(classes, new) for p in x)
         classes = new
     return classes
