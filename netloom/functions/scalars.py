@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Patterns of the expression classes, in the order in which they are tried; the first that matches names the class.
 EXPRESSION_CLASSES = [
-    ("mux", r"\?.*:"),
+    ("mux", r"\?\s*[^:]+:|\bcase[zx]?\b"),
     ("comparison", r"==|!=|>=|<=(\S|$)|(^|[^<>=])<([^<=]|$)|(^|[^<>=])>([^>=]|$)"),
     ("arithmetic", r"\+|-|\*|/|%|<<|>>"),
     ("logic", r"&|\||\^|~|!"),
@@ -15,11 +15,23 @@ EXPRESSION_CLASSES = [
 # Words that name a port's rank (clock, reset, handshake); a bus ranks 3, everything else 4.
 PORT_RANKS = [(0, ["clk", "clock"]), (1, ["rst", "reset", "clear"]), (2, ["en", "enable", "start", "valid", "ready", "busy"])]
 # Words that name a block's region, in the order in which they are tried.
-REGIONS = [("control", ["ctrl", "control", "fsm", "sched"]), ("memory", ["mem", "ram", "rom", "fifo", "buffer"]), ("datapath", ["alu", "add", "mult", "filter"])]
+REGIONS = [
+    ("decode_control", ["clk", "clock", "rst", "reset", "sched", "ctrl", "control", "decode", "router", "arb", "status"]),
+    ("registers", ["reg", "state", "fifo", "buffer", "counter", "latch"]),
+    ("memory_interface", ["ram", "rom", "mem", "spi", "uart", "i2c", "axi", "adc", "bridge", "iface", "interface", "bus"]),
+    ("alu_datapath", ["alu", "data", "packet", "crc", "mux", "filter", "frontend", "sample", "frame", "sensor"]),
+]
 # Words in the names of control signals.
 CONTROL_WORDS = ["clk", "clock", "rst", "reset", "enable", "en", "start", "valid", "ready", "busy", "done"]
 # The forms in which a log line states a simulation time.
-TIME_FORMS = [r"\[t=(\d+)\]", r"\(t=(\d+)\)", r"@(\d+)", r"at time (\d+)", r"at t=(\d+)", r"time=(\d+)"]
+TIME_FORMS = [
+    r"\[\s*t\s*=\s*(\d+)\s*[a-zA-Z]*\s*\]",
+    r"\(\s*t\s*=\s*(\d+)\s*[a-zA-Z]*\s*\)",
+    r"@\s*(\d+)\s*[a-zA-Z]*",
+    r"(?i)\bat\s+time\s*=?\s*(\d+)\s*[a-zA-Z]*",
+    r"(?i)\bat\s+t\s*=\s*(\d+)\s*[a-zA-Z]*",
+    r"(?i)\btime\s*=\s*(\d+)\s*[a-zA-Z]*",
+]
 
 
 def bus_width(width: Column) -> Column:
@@ -63,8 +75,23 @@ def port_rank(name: Column, is_bus: Column) -> Column:
     return by_words(name, PORT_RANKS, F.when(is_bus, 3).otherwise(4))
 
 
-def region(name: Column) -> Column:
-    return by_words(name, REGIONS, "other")
+def region(kind: Column, direction: Column, *names: Column) -> Column:
+    """The schematic region of a node: that of its direction for a module's own port, else by the words in its names (of instance, module, label and ports)."""
+    plain = lambda x: F.translate(F.lower(F.trim(F.coalesce(x, F.lit("")))), "-", "_")
+    io = F.when(plain(direction) == "input", "input_interface").otherwise("output_interface")
+    return F.when(kind == "module_io", io).otherwise(by_words(F.concat_ws(" ", *map(plain, names)), REGIONS, "logic"))
+
+
+def hop_role(kind: Column, style: Column, blocking: Column) -> Column:
+    """What a hop of a trace does to the signal: dead_end, transport, pipeline, compute or unknown."""
+    clocked = F.coalesce(~blocking & (style == "seq"), F.lit(False))
+    ports = ("instance_pin_in", "instance_pin_out", "module_port_in", "module_port_out")
+    return F.when(kind == "dead_end", "dead_end").when(kind.isin(*ports), "transport").when((kind == "always") & clocked, "pipeline").when(kind.isin("always", "assign", "gate"), "compute").otherwise("unknown")
+
+
+def is_noise(signal: Column) -> Column:
+    """Whether a trace leaves a signal out: it has no name, or is the net of an open pin."""
+    return (F.coalesce(signal, F.lit("")) == "") | F.startswith(signal, F.lit("__open__:"))
 
 
 def snap(value: Column, grid: int = 20) -> Column:

@@ -63,16 +63,32 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, level): the longest path from a node without predecessors; raises ValueError on a cycle.
+    """(node, level): the longest path from a node without predecessors; nodes that reach each other share a level.
 
-    Rounds of Kahn's algorithm on all nodes at once: a node is placed in the round after its last predecessor.
+    Rounds of Kahn's algorithm on all nodes at once: a node is placed in the round after its last predecessor. Where a
+    cycle stops the rounds, they start again on the graph of strong components. Edges to other nodes are ignored.
     """
+    return _kahn(edges, nodes) or _of_components(edges, nodes)
+
+
+def _of_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    known = lambda c: nodes.select(F.col("node").alias(c)).distinct()
+    edges = edges.select("src", "dst").join(known("src"), "src").join(known("dst"), "dst")
+    of = strong_components(edges, nodes)
+    end = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    between = cut(edges.join(end("src"), "src").join(end("dst"), "dst").where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct())
+    levels = _kahn(between, of.select(F.col("component").alias("node"))).withColumnRenamed("node", "component")
+    return of.join(levels, "component").select("node", "level")
+
+
+def _kahn(edges: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """The levels, or None on a cycle."""
     left, edge, placed, level = nodes.select("node").distinct(), edges.distinct(), None, 0
     while not left.isEmpty():
         now = left.join(edge.select(F.col("dst").alias("node")), "node", "left_anti")
         now = cut(now.withColumn("level", F.lit(level)))
         if now.isEmpty():
-            raise ValueError("the graph has a cycle")
+            return None
         placed = now if placed is None else placed.unionByName(now)
         left = cut(left.join(now, "node", "left_anti"))
         edge = cut(edge.join(now.select(F.col("node").alias("src")), "src", "left_anti"))
@@ -80,14 +96,14 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed if placed is not None else nodes.select("node").withColumn("level", F.lit(0))
 
 
-def chains(edges: DataFrame, start: int, limit: int) -> DataFrame:
+def chains(edges: DataFrame, start, limit: int) -> DataFrame:
     """(path, ord): simple paths from ``start`` that cannot go on, in the order of a depth-first walk; ``limit`` at most.
 
-    (src, dst, ord) gives the order of a node's successors. Every open path ends in a chain or more, so of each round
+    Nodes are of any type. (src, dst, ord) gives the order of a node's successors. Every open path ends in a chain or more, so of each round
     only the first ``limit`` paths in order can matter: that bounds the rounds' size.
     """
-    spark = edges.sparkSession
-    paths = spark.createDataFrame([([start], [0], False)], "path array<long>, ord array<int>, done boolean")
+    spark, kind = edges.sparkSession, edges.schema["dst"].dataType.simpleString()
+    paths = spark.createDataFrame([([start], [0], False)], f"path array<{kind}>, ord array<int>, done boolean")
     while True:
         opened = paths.where("not done")
         if opened.isEmpty():
@@ -100,17 +116,18 @@ def chains(edges: DataFrame, start: int, limit: int) -> DataFrame:
         paths = cut(paths.where("done").unionByName(ended).unionByName(onward).orderBy("ord").limit(limit))
 
 
-def hierarchy(children: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def hierarchy(children: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, node, depth, cycle): the tree under ``roots`` (node) over (parent, child); a node on its own path is a leaf marked cycle."""
     level = cut(roots.select(F.array(F.col("node").cast("string")).alias("path"), F.col("node").cast("string").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("cycle")))
     out, link = level, children.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child"))
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         nxt = level.where("not cycle").join(link, level["node"] == link["parent"]).select(F.array_append("path", F.col("child")).alias("path"), F.col("child").alias("node"), F.lit(depth).alias("depth"), F.array_contains("path", F.col("child")).alias("cycle"))
         level = cut(nxt)
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    return out
 
 
 def infer_tops(modules: DataFrame, instances: DataFrame) -> DataFrame:

@@ -21,37 +21,66 @@ def log_lines(logs: DataFrame, run: str, text: str) -> DataFrame:
 
 
 def events(lines: DataFrame) -> DataFrame:
-    """``lines`` that aren't empty or about the dump, with warning and assertion flags, and the verdict, label and time.
+    """``lines`` that aren't empty or about the dump, with warning and assertion flags, and the kind, verdict, label, detail and time.
 
-    The first verdict word of a line counts. The label is what follows it up to a colon, without times.
+    The first verdict word of a line counts; its kind is pass, fail, error or fatal, and all but pass have the verdict
+    fail. The detail is what follows the word, without times; the label is the detail up to a colon, and the word itself
+    where nothing follows. An assertion counts if the line says that it failed.
     """
-    word = F.upper(F.regexp_extract("line", _TOKEN, 1))
-    verdict = F.lit(None).cast("string")
+    word, line = F.upper(F.regexp_extract("line", _TOKEN, 1)), F.col("line")
+    kind = F.lit(None).cast("string")
     for name, words in reversed(VERDICTS):
-        verdict = F.when(word.isin(words), name).otherwise(verdict)
-    tail = F.regexp_extract("line", rf"{_TOKEN}(.*)$", 2)
+        kind = F.when(word.isin(words), name).otherwise(kind)
+    tail = F.regexp_extract("line", rf"{_TOKEN}\s*[:-]*\s*(.*)$", 2)
     for form in TIME_FORMS:
         tail = F.regexp_replace(tail, form, "")
-    label = F.btrim(F.substring_index(F.btrim(tail, F.lit(" \t:-")), ":", 1), F.lit(" \t:-"))
-    kept = lines.where((F.col("line") != "") & ~F.col("line").startswith("VCD info:"))
+    tail = F.btrim(tail, F.lit(" \t:-"))
+    label = F.btrim(F.substring_index(tail, ":", 1), F.lit(" \t"))
+    kept = lines.where((line != "") & ~line.startswith("VCD info:"))
     return kept.select(
-        "run", "line_no", "line", F.col("line").rlike(r"(?i)\bwarning\b").alias("warning"), F.col("line").rlike(r"(?i)\bassert(ion)?\b").alias("assertion"),
-        verdict.alias("verdict"), F.when(word != "", F.left(label, F.lit(160))).alias("label"), event_time(F.col("line")).alias("time"),
+        "run", "line_no", "line", line.rlike(r"(?i)(^|[\s:])(WARNING|\$warning)\b").alias("warning"), line.rlike(r"(?i)\bassert(ion)?\b.*\b(fail|error|violat)").alias("assertion"),
+        kind.alias("kind"), F.when(kind == "pass", "pass").when(kind.isNotNull(), "fail").alias("verdict"),
+        F.when(word != "", F.left(F.when(label != "", label).otherwise(word), F.lit(160))).alias("label"), F.when(word != "", F.left(tail, F.lit(400))).alias("detail"), event_time(line).alias("time"),
     )
 
 
 def verdicts(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run, counts, verdict) of each of ``runs`` (run, exit_code, golden: match, mismatch or null), with or without events.
+    """(run, counts, verdict, reason) of each of ``runs`` (run, exit_code, golden: match, mismatch or null), with or without events.
 
-    In this order: a non-zero exit, a mismatch, any failure, a pass or match; else unknown.
+    In this order: a non-zero exit, a mismatch, any failure, a pass or match; else unknown. ``runs`` may name the file
+    with the expected output in golden_path.
     """
     n = lambda c, name: F.count_if(c).alias(name)
-    v = F.col("verdict")
+    v = F.col("kind")
     counts = found.groupBy("run").agg(n(v == "pass", "passes"), n(v == "fail", "fails"), n(v == "error", "errors"), n(v == "fatal", "fatals"), n(F.col("warning"), "warnings"), n(F.col("assertion"), "assertions"))
     rows = runs.join(counts, "run", "left").fillna(0, ["passes", "fails", "errors", "fatals", "warnings", "assertions"])
     failed = F.col("fails") + F.col("errors") + F.col("fatals") + F.col("assertions") > 0
-    bad = (F.coalesce("exit_code", F.lit(0)) != 0) | F.coalesce(F.col("golden") == "mismatch", F.lit(False)) | failed
-    return rows.withColumn("verdict", F.when(bad, "fail").when((F.col("passes") > 0) | F.coalesce(F.col("golden") == "match", F.lit(False)), "pass").otherwise("unknown"))
+    exited, golden = F.coalesce("exit_code", F.lit(0)) != 0, F.coalesce("golden", F.lit(""))
+    file = F.coalesce(F.regexp_extract("golden_path", "[^/]*$", 0), F.lit("the expected output")) if "golden_path" in runs.columns else F.lit("the expected output")
+    bits = [F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {words}"))) for c, words in (("fails", "FAIL marker(s)"), ("errors", "$error/ERROR line(s)"), ("fatals", "$fatal line(s)"), ("assertions", "assertion failure(s)"))]
+    reason = (
+        F.when(exited, F.concat(F.lit("Simulation exited with code "), F.col("exit_code").cast("string"), F.lit("."))).when(golden == "mismatch", F.concat(F.lit("Output differs from "), file, F.lit(".")))
+        .when(failed, F.concat(F.lit("Run reported "), F.concat_ws(", ", *bits), F.lit("."))).when(golden == "match", F.concat(F.lit("Output matches "), file, F.lit(".")))
+        .when(F.col("passes") > 0, F.concat(F.col("passes").cast("string"), F.lit(" PASS marker(s), no errors."))).otherwise("No PASS/FAIL markers and no golden file.")
+    )
+    verdict = F.when(exited | (golden == "mismatch") | failed, "fail").when((F.col("passes") > 0) | (golden == "match"), "pass").otherwise("unknown")
+    return rows.withColumn("verdict", verdict).withColumn("reason", reason)
+
+
+def run_status(runs: DataFrame) -> DataFrame:
+    """``runs`` with status: of (has_tools, compile_timed_out, compile_exit, has_image, run_timed_out, run_exit), what went wrong first, else ok."""
+    bad = lambda timed_out, code: F.coalesce(F.col(timed_out), F.lit(False)) | (F.coalesce(code, F.lit(0)) != 0)
+    compiled = ~bad("compile_timed_out", "compile_exit") & F.coalesce("has_image", F.lit(False))
+    return runs.withColumn("status", F.when(~F.coalesce("has_tools", F.lit(False)), "tool_missing").when(~compiled, "compile_error").when(bad("run_timed_out", "run_exit"), "runtime_error").otherwise("ok"))
+
+
+def messages(lines: DataFrame, default: str = "error") -> DataFrame:
+    """(run, line_no, severity, message, file, file_line) of a compiler's ``lines``: file:line: [severity:] text, notes as info; other lines are info without a place. Blank lines are left out."""
+    pattern = r"(?i)^(.+?):(\d+):\s*(?:(error|warning|note)\s*:?\s*)?(.*)$"
+    part = lambda k: F.nullif(F.regexp_extract("line", pattern, k), F.lit(""))
+    severity = F.when(part(2).isNull() | (F.lower(part(3)) == "note"), "info").otherwise(F.coalesce(F.lower(part(3)), F.lit(default)))
+    text = F.coalesce(F.nullif(F.btrim(part(4)), F.lit("")), "line")
+    return lines.where(F.btrim("line") != "").select("run", "line_no", severity.alias("severity"), text.alias("message"), F.btrim(part(1)).alias("file"), part(2).try_cast("int").alias("file_line"))
 
 
 def golden_files(files: DataFrame, benches: DataFrame) -> DataFrame:

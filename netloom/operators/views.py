@@ -68,7 +68,7 @@ def missing_pins(tables: dict) -> DataFrame:
     return all_.where("open IS NULL OR open").select("module", "instance", "child", "child_port", "direction", c("open").isNotNull().alias("open"))
 
 
-def instance_tree(tables: dict, tops: DataFrame, most: int = 64) -> DataFrame:
+def instance_tree(tables: dict, tops: DataFrame) -> DataFrame:
     """(path, module, instance, parent, depth, cycle, resolved) under ``tops`` (node), one row for each place of a module.
 
     A path is the top's name, then /instance:module for each level. A module that is on its own path already has cycle
@@ -78,11 +78,12 @@ def instance_tree(tables: dict, tops: DataFrame, most: int = 64) -> DataFrame:
     link = tables["instances"].select(c("module").alias("m"), c("name").alias("i"), "child")
     none = F.lit(None).cast("string")
     level = tops.select(c("node").alias("path"), c("node").alias("module"), none.alias("instance"), none.alias("parent"), F.lit(0).alias("depth"), F.lit(False).alias("cycle"), F.array("node").alias("active"))
-    out = None
-    for depth in range(1, most + 2):
+    out, depth = None, 0
+    while True:
+        depth += 1
         level = cut(level.join(known, "module", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False))))
         out = level if out is None else out.unionByName(level)
-        if depth > most or level.isEmpty():
+        if level.isEmpty():
             break
         level = level.where("resolved AND NOT cycle").join(link, c("module") == c("m")).select(
             _text(c("path"), "/", c("i"), ":", c("child")).alias("path"), c("child").alias("module"), c("i").alias("instance"), c("path").alias("parent"),

@@ -38,13 +38,6 @@ def _dep(s, d):
     return n.select(F.col("k").alias("src"), F.explode(F.array((2 * F.col("k") + 1) % 25, (F.col("k") + 7) % 25)).alias("dst")).distinct().where("src <> dst")
 
 
-def _log(s, d):
-    e = _t(s, d, "events")
-    verdict = F.when(F.col("event_type") == "purchase", "PASS").when(F.col("event_type") == "error", "ERROR:").when(F.col("event_type") == "signup", "FAIL").when(F.col("event_type") == "click", "WARNING:").otherwise("note")
-    return e.select(F.col("event_id").alias("line_no"), F.col("user_id").alias("run"), F.concat(verdict, F.lit(" [t="), F.col("event_id").cast("string"), F.lit("] step")).alias("line"))
-
-
-_LOG = "log AS (SELECT event_id AS line_no, user_id AS run, (CASE event_type WHEN 'purchase' THEN 'PASS' WHEN 'error' THEN 'ERROR:' WHEN 'signup' THEN 'FAIL' WHEN 'click' THEN 'WARNING:' ELSE 'note' END) || ' [t=' || CAST(event_id AS VARCHAR) || '] step' AS line FROM events)"
 _ENDS = "ends AS (SELECT l_orderkey AS net, l_suppkey AS node, CAST(l_linenumber AS BIGINT) AS port, CASE l_returnflag WHEN 'A' THEN 'source' WHEN 'R' THEN 'bidir' ELSE 'sink' END AS role, CAST(l_quantity AS BIGINT) AS bit_width FROM lineitem)"
 _DEP = "dep AS (SELECT DISTINCT src, dst FROM (SELECT CAST(n_nationkey AS BIGINT) AS src, (2 * CAST(n_nationkey AS BIGINT) + 1) % 25 AS dst FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), (CAST(n_nationkey AS BIGINT) + 7) % 25 FROM nation) WHERE src <> dst)"
 _Q: dict = {}
@@ -237,40 +230,6 @@ def topk_runs(s, d):
     return _t(s, d, "events").withColumn("n", F.row_number().over(w).cast("bigint")).where("n <= 10").select("user_id", "event_id", "n")
 
 
-def _verdict(line):
-    return F.when(line.rlike("^PASS"), "pass").when(line.rlike("^(FAIL|ERROR|FATAL)"), "fail")
-
-
-@_query(f"WITH {_LOG} SELECT line_no, run, CASE WHEN regexp_matches(line, '^PASS') THEN 'pass' ELSE 'fail' END AS verdict, CAST(regexp_extract(line, '\\[t=([0-9]+)\\]', 1) AS BIGINT) AS time FROM log WHERE regexp_matches(line, '^(PASS|FAIL|ERROR|FATAL)')")
-def run_log_events(s, d):
-    x = _log(s, d)
-    return x.withColumn("verdict", _verdict(F.col("line"))).where("verdict is not null").select("line_no", "run", "verdict", scalars.event_time(F.col("line")).alias("time"))
-
-
-_COUNTS = "count(*) FILTER (WHERE line LIKE 'PASS%') AS passes, count(*) FILTER (WHERE line LIKE 'FAIL%') AS fails, count(*) FILTER (WHERE line LIKE 'ERROR%') AS errors, count(*) FILTER (WHERE line LIKE 'WARNING%') AS warnings"
-
-
-@_query(f"WITH {_LOG} SELECT run, {_COUNTS} FROM log GROUP BY run")
-def run_log_counts(s, d):
-    n = lambda p: F.count_if(F.col("line").startswith(p))
-    return _log(s, d).groupBy("run").agg(n("PASS").alias("passes"), n("FAIL").alias("fails"), n("ERROR").alias("errors"), n("WARNING").alias("warnings"))
-
-
-@_query(f"WITH {_LOG}, c AS (SELECT run, {_COUNTS} FROM log GROUP BY run) SELECT run, CASE WHEN fails + errors > 0 THEN 'fail' WHEN passes > 0 THEN 'pass' ELSE 'unknown' END AS verdict FROM c")
-def run_verdict(s, d):
-    return run_log_counts(s, d).select("run", F.when(F.col("fails") + F.col("errors") > 0, "fail").when(F.col("passes") > 0, "pass").otherwise("unknown").alias("verdict"))
-
-
-_EXPR = "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'sel ? a : b' WHEN 1 THEN 'a == b' WHEN 2 THEN 'a<=b' WHEN 3 THEN 'a <= b' WHEN 4 THEN 'a << 2' WHEN 5 THEN 'a & b' WHEN 6 THEN 'a' ELSE '' END AS e FROM part"
-
-
-@_query("WITH x AS (" + _EXPR + ") SELECT p_partkey, CASE WHEN trim(e) = '' THEN NULL " + " ".join(f"WHEN regexp_matches(e, '{p}') THEN '{n}'" for n, p in scalars.EXPRESSION_CLASSES) + " ELSE 'wire' END AS class FROM x")
-def classify_expression(s, d):
-    p = _t(s, d, "part").select("p_partkey")
-    forms = F.array(*map(F.lit, ["sel ? a : b", "a == b", "a<=b", "a <= b", "a << 2", "a & b", "a", ""]))
-    return p.select("p_partkey", scalars.expression_class(F.get(forms, (F.col("p_partkey") % 8).cast("int"))).alias("class"))
-
-
 @_query("SELECT p_partkey, CAST(p_size + 1 AS INTEGER) AS bit_width, TRUE AS is_bus FROM part")
 def bus_width(s, d):
     w = scalars.bus_width(F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(":0]")))
@@ -287,11 +246,6 @@ def _by_words_sql(column: str, table: list, last: str, quote: str) -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({column}), {chr(39)}{w}{chr(39)})' for w in words)} THEN {quote}{v}{quote}" for v, words in table) + f" ELSE {last} END"
 
 
-@_query(f"SELECT p_partkey, {_by_words_sql('p_name', scalars.REGIONS, chr(39) + 'other' + chr(39), chr(39))} AS region FROM part")
-def region_classes(s, d):
-    return _t(s, d, "part").select("p_partkey", scalars.region(F.col("p_name")).alias("region"))
-
-
 @_query(f"SELECT p_partkey, CAST({_by_words_sql('p_name', scalars.PORT_RANKS, 'CASE WHEN p_size > 10 THEN 3 ELSE 4 END', '')} AS INTEGER) AS rank FROM part")
 def port_roles(s, d):
     return _t(s, d, "part").select("p_partkey", scalars.port_rank(F.col("p_name"), F.col("p_size") > 10).alias("rank"))

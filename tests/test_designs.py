@@ -49,7 +49,7 @@ def test_refresh(spark):
 def test_run_logs(spark):
     logs = spark.createDataFrame([(1, "VCD info: FAIL\r\nPASS [t=5] adder: fine\n\nnote"), (2, "Test passed\nError @12 carry"), (3, "quiet passage"), (4, None)], "run int, text string")
     events = runlogs.events(runlogs.log_lines(logs, "run", "text")).cache()
-    assert rows(events.where("verdict IS NOT NULL"), "run", "verdict", "label", "time") == [(1, "pass", "adder", 5), (2, "error", "carry", 12), (2, "pass", "", None)]
+    assert rows(events.where("verdict IS NOT NULL"), "run", "kind", "verdict", "label", "time") == [(1, "pass", "pass", "adder", 5), (2, "error", "fail", "ERROR", 12), (2, "pass", "pass", "PASSED", None)]
     runs = spark.createDataFrame([(1, 0, None), (2, 0, "match"), (3, 0, None), (4, 0, "match"), (5, 1, "match")], "run int, exit_code int, golden string")
     assert rows(runlogs.verdicts(events, runs), "run", "verdict") == [(1, "pass"), (2, "fail"), (3, "unknown"), (4, "pass"), (5, "fail")]
 

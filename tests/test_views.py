@@ -143,3 +143,15 @@ def test_waveform(spark, tmp_path):
     wave = Waveform(spark, str(tmp_path / "a.vcd"))
     assert sorted(map(tuple, wave.snapshot([5, 15]).collect())) == [("t.clk", 5, "0"), ("t.clk", 15, "1"), ("t.d", 15, "101")]
     assert [tuple(r) for r in wave.window(15, 5, ["CLK"]).collect()] == [(10, "t.clk", "1"), (20, "t.clk", "0")]
+
+
+def test_deep_hierarchies(spark):
+    """Seventy levels: nothing is left out, and a module on its own path ends it."""
+    from netloom.operators import graphs, views
+
+    links = [(f"m{i}", f"m{i + 1}") for i in range(70)]
+    tree = graphs.hierarchy(spark.createDataFrame([*links, ("m70", "m69")], "parent string, child string"), spark.createDataFrame([("m0",)], "node string")).collect()
+    assert max(r["depth"] for r in tree) == 71 and [r["node"] for r in tree if r["cycle"]] == ["m69"]
+    tables = {"modules": spark.createDataFrame([(f"m{i}",) for i in range(71)], "module string"), "instances": spark.createDataFrame([(a, "u", b) for a, b in links], "module string, name string, child string")}
+    places = views.instance_tree(tables, spark.createDataFrame([("m0",)], "node string"))
+    assert places.count() == 71 and places.where("resolved").count() == 71
