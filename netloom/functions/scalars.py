@@ -21,6 +21,11 @@ REGIONS = [
     ("memory_interface", ["ram", "rom", "mem", "spi", "uart", "i2c", "axi", "adc", "bridge", "iface", "interface", "bus"]),
     ("alu_datapath", ["alu", "data", "packet", "crc", "mux", "filter", "frontend", "sample", "frame", "sensor"]),
 ]
+# Titles of regions; any other is titled Logic.
+REGION_TITLES = {
+    "input_interface": "Input Interface", "decode_control": "Decode / Control", "alu_datapath": "ALU / Datapath", "registers": "Registers / State",
+    "memory_interface": "Memory / Interface", "output_interface": "Output Interface", "logic": "Logic",
+}
 # Words in the names of control signals.
 CONTROL_WORDS = ["clk", "clock", "rst", "reset", "enable", "en", "start", "valid", "ready", "busy", "done"]
 # The forms in which a log line states a simulation time.
@@ -82,6 +87,11 @@ def region(kind: Column, direction: Column, *names: Column) -> Column:
     return F.when(kind == "module_io", io).otherwise(by_words(F.concat_ws(" ", *map(plain, names)), REGIONS, "logic"))
 
 
+def region_title(region: Column) -> Column:
+    titles = F.create_map(*[F.lit(x) for pair in REGION_TITLES.items() for x in pair])
+    return F.coalesce(titles[region], F.lit(REGION_TITLES["logic"]))
+
+
 def hop_role(kind: Column, style: Column, blocking: Column) -> Column:
     """What a hop of a trace does to the signal: dead_end, transport, pipeline, compute or unknown."""
     clocked = F.coalesce(~blocking & (style == "seq"), F.lit(False))

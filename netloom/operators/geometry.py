@@ -18,6 +18,33 @@ def crossings(level: DataFrame, upright: DataFrame, cell: int = 64) -> DataFrame
     return spans.join(upright.withColumn("cell", F.floor(F.col("x") / cell)), "cell").where("x1 < x AND x < x2 AND y1 < y AND y < y2").select("h", "v")
 
 
+def overlaps(level: DataFrame, upright: DataFrame, blocks: DataFrame, cell: int = 64) -> DataFrame:
+    """(segment, block): segments, as in ``crossings``, that run through the inside of a block (block, x1, y1, x2, y2); by cells of the x axis, of which the first that a pair shares counts."""
+    first, span = lambda c: F.floor(F.col(c) / cell), lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    held = blocks.select("block", F.col("x1").alias("left"), F.col("y1").alias("top"), F.col("x2").alias("right"), F.col("y2").alias("bottom")).withColumn("cell", span("left", "right"))
+    flat = level.withColumn("cell", span("x1", "x2")).join(held, "cell").where((F.col("cell") == F.greatest(first("x1"), first("left"))) & F.expr("top < y AND y < bottom AND x1 < right AND x2 > left"))
+    tall = upright.withColumn("cell", first("x")).join(held, "cell").where("left < x AND x < right AND y1 < bottom AND y2 > top")
+    return flat.select(F.col("h").alias("segment"), "block").unionAll(tall.select(F.col("v").alias("segment"), "block"))
+
+
+def segments(routes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Level and upright segments, as in ``crossings``, of routes (route, points of x and y); a segment is named by route and place. One without length is upright; slanted ones are left out."""
+    pairs = F.arrays_zip(F.expr("slice(points, 1, size(points) - 1)").alias("a"), F.expr("slice(points, 2, size(points) - 1)").alias("b"))
+    rows = routes.where("size(points) > 1").select("route", F.posexplode(pairs).alias("place", "s")).select(F.struct("route", "place").alias("id"), *[F.col(f"s.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
+    upright = rows.where("ax = bx").select(F.col("id").alias("v"), F.col("ax").alias("x"), F.least("ay", "by").alias("y1"), F.greatest("ay", "by").alias("y2"))
+    return rows.where("ay = by AND ax <> bx").select(F.col("id").alias("h"), F.col("ay").alias("y"), F.least("ax", "bx").alias("x1"), F.greatest("ax", "bx").alias("x2")), upright
+
+
+def route_metrics(routes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row (crossings, bends, overlaps) of all routes."""
+    level, upright = segments(routes)
+    names = ["crossings", "bends", "overlaps"]
+    part = lambda df, value, name: df.agg(value.alias("n")).select(*[(F.col("n") if name == c else F.lit(None).cast("long")).alias(c) for c in names])
+    bends = F.sum(F.greatest(F.size("points") - 2, F.lit(0)).cast("long"))
+    parts = part(crossings(level, upright), F.count("*"), "crossings").unionAll(part(routes, bends, "bends")).unionAll(part(overlaps(level, upright, blocks), F.count("*"), "overlaps"))
+    return parts.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in names])
+
+
 def layer_order(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFrame:
     """``nodes`` (node, level, label) with ``place`` in its level, 0 first, by the mean place of neighbours.
 

@@ -81,19 +81,34 @@ def _of_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return of.join(levels, "component").select("node", "level")
 
 
-def _kahn(edges: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """The levels, or None on a cycle."""
+def _rounds(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, level) of what the rounds place, and the nodes left over on and behind cycles."""
     left, edge, placed, level = nodes.select("node").distinct(), edges.distinct(), None, 0
     while not left.isEmpty():
         now = left.join(edge.select(F.col("dst").alias("node")), "node", "left_anti")
         now = cut(now.withColumn("level", F.lit(level)))
         if now.isEmpty():
-            return None
+            break
         placed = now if placed is None else placed.unionByName(now)
         left = cut(left.join(now, "node", "left_anti"))
         edge = cut(edge.join(now.select(F.col("node").alias("src")), "src", "left_anti"))
         level += 1
-    return placed if placed is not None else nodes.select("node").withColumn("level", F.lit(0))
+    return (placed if placed is not None else nodes.select("node").where("false").withColumn("level", F.lit(0))), left
+
+
+def _kahn(edges: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """The levels, or None on a cycle."""
+    placed, left = _rounds(edges, nodes)
+    return placed if left.isEmpty() else None
+
+
+def partial_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level, resolved): the longest path to each node that no cycle leads to; nodes on or behind one aren't resolved and are one above the highest of their resolved predecessors, or 0. Edges have both ends in ``nodes``."""
+    edges = edges.select("src", "dst").where("src <> dst")
+    placed, left = _rounds(edges, nodes)
+    above = edges.join(placed.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("level"))
+    rest = left.join(above, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"), F.lit(False).alias("resolved"))
+    return placed.select("node", "level", F.lit(True).alias("resolved")).unionByName(rest)
 
 
 def chains(edges: DataFrame, start, limit: int) -> DataFrame:

@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from netloom.plans import bridge, designs, reports
+from netloom.plans import bridge, designs, reports, schematics
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = bridge.queries() | designs.queries() | reports.queries(), bridge.oracle_sql() | designs.oracle_sql() | reports.oracle_sql()
+QUERIES, SQL = bridge.queries() | designs.queries() | reports.queries() | schematics.queries(), bridge.oracle_sql() | designs.oracle_sql() | reports.oracle_sql() | schematics.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
 
