@@ -109,6 +109,24 @@ def hops(tables: dict) -> DataFrame:
     return inner.unionByName(down).unionByName(up).distinct()
 
 
+def block_summaries(tables: dict) -> DataFrame:
+    """(module, block, control_summary, summary_lines, written, read) of each always block.
+
+    Up to 6 outer ifs, cases and assignments; up to 8 distinct assignments with their innermost conditions; the known
+    names in targets, those of index expressions included; and the known names in expressions, innermost conditions and
+    the control summary. All in the order in which they first appear.
+    """
+    known = known_names(tables).groupBy("module").agg(F.collect_list("name").alias("known"))
+    blocks = tables["always_blocks"].select("module", F.col("ord").alias("block"), "steps", F.slice("controls", 1, 6).alias("control_summary")).join(known, "module", "left")
+    line = lambda s: F.concat(s["target"], F.when(s["blocking"], " = ").otherwise(" <= "), s["expression"], F.when(s["condition"] != "", F.concat(F.lit(" when "), s["condition"])).otherwise(""))
+    of = lambda *texts: F.array_distinct(F.array_intersect(rtl.identifiers(F.concat_ws(" ", *texts)), F.coalesce("known", F.array().cast("array<string>"))))
+    each = lambda f: F.concat_ws(" ", F.transform("steps", f))
+    return blocks.select(
+        "module", "block", "control_summary", F.slice(F.array_distinct(F.transform("steps", line)), 1, 8).alias("summary_lines"),
+        of(each(lambda s: s["target"])).alias("written"), of(each(lambda s: F.concat_ws(" ", s["expression"], s["condition"])), F.concat_ws(" ", "control_summary")).alias("read"),
+    )
+
+
 def hop_edges(found: DataFrame) -> DataFrame:
     """``hops`` as (src, dst) from a signal, named module.signal, to what it depends on."""
     return found.select(F.concat_ws(".", "module", "target").alias("src"), F.concat_ws(".", "next_module", "source").alias("dst")).distinct()

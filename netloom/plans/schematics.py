@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import geometry, schematic
+from ..operators import design, geometry, schematic
+from ..sources import rtl
 from .reports import _t, _values
 
 _Q: dict = {}
@@ -157,6 +158,24 @@ def region_titles(s, d):
     return _t(s, d, "part").select("p_partkey", scalars.region_title(key).alias("title"))
 
 
+# Always blocks with the module's key for #. Worked out by hand: controls, lines, written, read.
+BLOCKS = [
+    ("always @(posedge c) if (a) b <= d# + 1; else b <= 0;", "if (a) / else", "b <= d# + 1 when a|b <= 0 when !(a)", "b", "d#,a"),
+    ("always @(*) begin m[i] = a & d#; begin if (c) b = a; b = c; end case (s) 0: b = a; 1: begin if (i) b = c; end default: b = m; endcase end", "m[i] = a & d#|if (c)|case (s) [3 arms]", "m[i] = a & d#|b = a when c|b = c|b = a when s|b = c when i|b = m when s", "m,i,b", "a,d#,c,s,i,m"),
+    ("always @(*) casez (s) 1: b = a; endcase", "", "b = a when s", "b", "a,s"),
+    ("always @(c) begin b = a; b = a; b = 1; b = 2; b = 3; b = 4; b = 5; b = 6; b = 7; b = other; end", "b = a|b = a|b = 1|b = 2|b = 3|b = 4", "b = a|b = 1|b = 2|b = 3|b = 4|b = 5|b = 6|b = 7", "b", "a,b"),
+]
+
+
+@_query(f"WITH v(n, text, controls, lines, written, read) AS (VALUES {_values(BLOCKS)}) SELECT 'p' || p_partkey AS module, replace(controls, '#', CAST(p_partkey AS VARCHAR)) AS controls, replace(lines, '#', CAST(p_partkey AS VARCHAR)) AS lines, written, replace(read, '#', CAST(p_partkey AS VARCHAR)) AS read FROM part JOIN v ON n = p_partkey % {len(BLOCKS)}")
+def rtl_block_summaries(s, d):
+    k = F.col("p_partkey")
+    body = F.get(F.array(*[F.lit(b[0]) for b in BLOCKS]), (k % len(BLOCKS)).cast("int"))
+    text = F.replace(F.concat(F.lit("module p# (input a, input c, input [3:0] d#, input s, input i, output reg b);\n  reg [7:0] m;\n  "), body, F.lit("\nendmodule\n")), F.lit("#"), k.cast("string"))
+    found = design.block_summaries(design.catalog(rtl.modules(_t(s, d, "part").select(F.concat(F.lit("p"), k.cast("string"), F.lit(".v")).alias("path"), text.alias("text")))))
+    return found.select("module", F.array_join("control_summary", "|").alias("controls"), F.array_join("summary_lines", "|").alias("lines"), F.array_join("written", ",").alias("written"), F.array_join("read", ",").alias("read"))
+
+
 # Routes of three points, level and then upright, and boxes.
 _ROUTES = "r AS (SELECT o_orderkey AS k, CAST(o_orderkey * 37 % 4000 AS BIGINT) AS x1, CAST(o_custkey * 53 % 4000 AS BIGINT) AS y1, CAST(o_orderkey * 37 % 4000 + o_custkey % 90 AS BIGINT) AS x2, CAST(o_custkey * 53 % 4000 + o_orderkey % 70 AS BIGINT) AS y2 FROM orders), b AS (SELECT p_partkey AS block, CAST(p_partkey * 61 % 4000 AS BIGINT) AS bx1, CAST(p_partkey * 17 % 4000 AS BIGINT) AS by1, CAST(p_partkey * 61 % 4000 + 100 AS BIGINT) AS bx2, CAST(p_partkey * 17 % 4000 + 60 AS BIGINT) AS by2 FROM part), l AS (SELECT k, y1 AS y, x1 AS a, x2 AS b FROM r WHERE x1 <> x2), u AS (SELECT k, x2 AS x, y1 AS a, y2 AS b FROM r UNION ALL SELECT k, x1, y1, y1 FROM r WHERE x1 = x2)"
 

@@ -28,7 +28,7 @@ RESERVED = [
 ]
 ID = r"[A-Za-z_][A-Za-z0-9_$]*"
 FLAT = r"[^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*"
-ITEMS = "array<struct<line:int,text:string,steps:array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string>>>>"
+ITEMS = "array<struct<line:int,text:string,steps:array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string>>,controls:array<string>>>"
 OPENS, CLOSES = {"begin", "case", "casex", "casez", "fork", "function", "task", "generate"}, {"end", "endcase", "join", "join_any", "join_none", "endfunction", "endtask", "endgenerate"}
 MODULE = re.compile(r"\bmodule\s.*?\bendmodule\b", re.S | re.A)
 TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|[A-Za-z_$][\w$]*|\d*\'[sS]?[bodhBODH]\s*[\w?]+|\d[\w.]*|<<<|>>>|===|!==|<=|>=|==|!=|&&|\|\||<<|>>|\S', re.S)
@@ -55,9 +55,13 @@ def items_of(body: str) -> list[tuple[int, str]]:
     return out
 
 
-def steps_of(text: str) -> list[tuple]:
-    """Assignments of a procedural item: (target, expression, blocking, innermost condition, all conditions' text)."""
-    toks, out = list(TOKEN.finditer(text)), []
+def procedure_of(text: str) -> tuple[list[tuple], list[str]]:
+    """Assignments of a procedural item, (target, expression, blocking, innermost condition, all conditions' text), and what its statements control.
+
+    The latter are the ifs, cases and assignments of the item, or of its outer block, and the ifs and cases of blocks
+    directly in that one.
+    """
+    toks, out, controls = list(TOKEN.finditer(text)), [], []
     word = [t.group() for t in toks]
 
     def span(i: int, j: int) -> str:
@@ -78,7 +82,8 @@ def steps_of(text: str) -> list[tuple]:
             i = past(i) if word[i] in "([{" else i + 1
         return i
 
-    def walk(i: int, cond: str, seen: str) -> int:
+    def walk(i: int, cond: str, seen: str, rank: int = 3) -> int:
+        """Behind the statement at i. Its rank is 0 for the item's own statement, 1 in its block, 2 in a block of that, 3 elsewhere."""
         while i < len(word) and word[i] in "@#":
             i = past(i + 1) if i + 1 < len(word) and word[i + 1] == "(" else i + 2
         if i >= len(word) or word[i] == ";":
@@ -86,20 +91,26 @@ def steps_of(text: str) -> list[tuple]:
         if word[i] in ("begin", "fork"):
             i += 3 if word[i + 1 : i + 2] == [":"] else 1
             while i < len(word) and word[i] not in CLOSES:
-                i = walk(i, cond, seen)
+                i = walk(i, cond, seen, min(rank + 1, 3))
             return i + (3 if word[i + 1 : i + 2] == [":"] else 1)
         if word[i] == "if":
             j = past(i + 1)
             c = span(i + 2, j - 1)
             i = walk(j, c, f"{seen} {c}")
-            return walk(i + 1, f"!({c})", f"{seen} {c}") if word[i : i + 1] == ["else"] else i
+            other = word[i : i + 1] == ["else"]
+            if rank < 3:
+                controls.append(f"if ({c})" + " / else" * other)
+            return walk(i + 1, f"!({c})", f"{seen} {c}") if other else i
         if word[i] in ("case", "casex", "casez"):
             j = past(i + 1)
-            c, i = span(i + 2, j - 1), j
+            c, plain, arms, i = span(i + 2, j - 1), word[i] == "case", 0, j
             while i < len(word) and word[i] != "endcase":
+                arms += 1
                 j = i + 1 if word[i] == "default" else until(i, {":"})
                 guard = "" if word[i] == "default" else span(i, j)
                 i = walk(j + 1 if word[j : j + 1] == [":"] else j, c, f"{seen} {c} {guard}")
+            if plain and rank < 3:
+                controls.append(f"case ({c}) [{arms} arms]")
             return i + 1
         if word[i] in ("for", "while", "repeat"):
             return walk(past(i + 1), cond, seen)
@@ -108,20 +119,27 @@ def steps_of(text: str) -> list[tuple]:
         end, mid = until(i, {";"}), until(i, {"<=", "=", ";"})
         if mid < end:
             out.append((span(i, mid), span(mid + 1, end), word[mid] == "=", cond, seen.strip()))
+            if rank < 2:
+                controls.append(f"{span(i, mid)} {word[mid]} {span(mid + 1, end)}")
         return end + 1
 
     i = 1
     while i < len(word):
-        i = walk(i, "", "")
-    return out
+        i = walk(i, "", "", 0)
+    return out, controls
 
 
 def _items(bodies: pd.Series, lines: pd.Series) -> pd.Series:
     """Items of each module's body, which starts at a line of its file; null where its nesting is too deep to follow."""
+    names = ("target", "expression", "blocking", "condition", "condition_text")
+
+    def item(line, text):
+        steps, controls = procedure_of(text) if text.startswith("always") else ([], [])
+        return {"line": line, "text": squeeze(text), "steps": [dict(zip(names, s)) for s in steps], "controls": controls}
 
     def one(body, line):
         try:
-            return [{"line": line + n, "text": squeeze(t), "steps": [dict(zip(("target", "expression", "blocking", "condition", "condition_text"), s)) for s in (steps_of(t) if t.startswith("always") else [])]} for n, t in items_of(body)]
+            return [item(line + n, t) for n, t in items_of(body)]
         except RecursionError:
             return None
 
@@ -197,7 +215,7 @@ def ports(mods: DataFrame) -> DataFrame:
 
 def _exploded(mods: DataFrame) -> DataFrame:
     rows = mods.select("path", "mod_ord", "module", F.posexplode("items").alias("ord", "item"))
-    return rows.select("path", "mod_ord", "module", "ord", F.col("item.line").alias("line"), F.col("item.text").alias("text"), F.col("item.steps").alias("steps"))
+    return rows.select("path", "mod_ord", "module", "ord", F.col("item.line").alias("line"), F.col("item.text").alias("text"), F.col("item.steps").alias("steps"), F.col("item.controls").alias("controls"))
 
 
 def signals(mods: DataFrame) -> DataFrame:
@@ -256,16 +274,16 @@ def pins(insts: DataFrame) -> DataFrame:
 
 
 def always_blocks(mods: DataFrame) -> DataFrame:
-    """(path, module, ord, keyword, sensitivity, style, polarity, clock, steps, line); steps are the assignments inside."""
+    """(path, module, ord, keyword, sensitivity, style, polarity, clock, steps, controls, line); steps are the assignments inside, controls what its outer statements control."""
     form = r"^(always(?:_comb|_ff|_latch)?)\b\s*(?:@\s*(?:\(([^)]*)\)|(\*)))?"
     rows = _exploded(mods).where(F.col("text").rlike(form))
     sens = F.trim(F.concat(F.regexp_extract("text", form, 2), F.regexp_extract("text", form, 3)))
-    kept = rows.select("path", "module", "ord", F.regexp_extract("text", form, 1).alias("keyword"), sens.alias("sensitivity"), "steps", "line")
+    kept = rows.select("path", "module", "ord", F.regexp_extract("text", form, 1).alias("keyword"), sens.alias("sensitivity"), "steps", "controls", "line")
     pos, neg = F.col("sensitivity").rlike(r"\bposedge\b"), F.col("sensitivity").rlike(r"\bnegedge\b")
     style = F.when((F.col("keyword") == "always_comb") | F.col("sensitivity").isin("*"), "comb").when((F.col("keyword") == "always_ff") | pos | neg, "seq").when(F.col("keyword") == "always_latch", "latch").otherwise("generic")
     polarity = F.when(pos & neg, "mixed").when(pos, "posedge").when(neg, "negedge").otherwise("level")
     clock = F.nullif(F.regexp_extract("sensitivity", rf"\b(?:posedge|negedge)\s+({ID})", 1), F.lit(""))
-    return kept.select("path", "module", "ord", "keyword", "sensitivity", style.alias("style"), polarity.alias("polarity"), clock.alias("clock"), "steps", "line")
+    return kept.select("path", "module", "ord", "keyword", "sensitivity", style.alias("style"), polarity.alias("polarity"), clock.alias("clock"), "steps", "controls", "line")
 
 
 def always_assigns(blocks: DataFrame) -> DataFrame:

@@ -50,3 +50,11 @@ def test_a_segment_and_a_wide_block_meet_once(spark):
     routes = spark.createDataFrame([(1, [(0, 10), (500, 10)]), (2, [(250, 0), (250, 50)]), (3, [(5, 5)]), (4, [(0, 0), (7, 9)])], "route long, points array<struct<x:long,y:long>>")
     blocks = spark.createDataFrame([(1, 100, 0, 400, 20), (2, 0, 10, 500, 30)], "block long, x1 long, y1 long, x2 long, y2 long")
     assert rows(geometry.route_metrics(routes, blocks), "crossings", "bends", "overlaps") == [(1, 0, 3)]
+
+
+def test_controls_of_blocks_without_statements_and_of_labelled_ones():
+    from netloom.sources.rtl import procedure_of
+
+    assert procedure_of("always") == ([], []) and procedure_of("always @(*) ;") == ([], [])
+    assert procedure_of("always @(*) begin end") == ([], [])
+    assert procedure_of("always_comb begin : m for (i = 0; i < 4; i = i + 1) begin if (a) b = c; end if (x) y = z; end : m")[1] == ["if (x)"]
