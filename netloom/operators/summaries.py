@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import is_control_name
@@ -76,3 +76,28 @@ def scopes(signals: DataFrame, query: str = "") -> DataFrame:
     """(scope, signals): sorted names of the signals of each scope, of those whose scope or name contains the query."""
     hit = F.contains(F.lower(F.concat_ws(".", "scope", "name")), F.lit(query.strip().lower()))
     return signals.where(hit).groupBy("scope").agg(F.array_sort(F.collect_list("name")).alias("signals"))
+
+
+def net_stats(ends: DataFrame) -> DataFrame:
+    """(net, ends, fanout, bit_width, is_bus, control) of each net: its ends, those that aren't sources only, the widest end, and whether its name is a control signal's."""
+    control = is_control_name(F.col("net").cast("string"))
+    return ends.groupBy("net").agg(F.count("*").alias("ends"), F.count_if(F.col("role") != "source").alias("fanout"), F.max("bit_width").alias("bit_width"), F.bool_or(F.col("bit_width") > 1).alias("is_bus")).withColumn("control", control)
+
+
+def child_counts(modules: DataFrame, instances: DataFrame) -> DataFrame:
+    """(module, children): the instances (parent, child) in each of ``modules`` (module) whose own module is among these."""
+    inside = instances.join(modules.select(F.col("module").alias("child")), "child", "left_semi").groupBy(F.col("parent").alias("module")).agg(F.count("*").alias("n"))
+    return modules.select("module").distinct().join(inside, "module", "left").select("module", F.coalesce("n", F.lit(0)).alias("children"))
+
+
+def counts_by_kind(rows: DataFrame, group: str, kind: str, kinds: list) -> DataFrame:
+    """(group, a column for each of ``kinds``): how many rows of each kind a group has."""
+    return rows.groupBy(group).agg(*[F.count_if(F.col(kind) == k).alias(str(k)) for k in kinds])
+
+
+def newest(rows: DataFrame, group: str, by: list[str], most: int) -> DataFrame:
+    """The ``most`` newest rows of each group by the columns ``by``, numbered in ``n`` from 1, for listings; older ones are left out.
+
+    Spark drops what cannot be among a group's first rows before the shuffle.
+    """
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(*[F.desc(c) for c in by]))).where(F.col("n") <= most)

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graphs, timeline
+from ..operators import design, graphs, summaries, timeline
 
 TIMES = ["2024-01-10 00:00:00", "2024-01-20 00:00:00"]
 
@@ -125,7 +125,7 @@ def aggregate_edges(s, d):
 
 @_query(f"WITH {_ENDS} SELECT net, count(*) AS ends, count(*) FILTER (WHERE role <> 'source') AS fanout, max(bit_width) AS bit_width, bool_or(bit_width > 1) AS is_bus FROM ends GROUP BY net")
 def net_stats(s, d):
-    return _ends(s, d).groupBy("net").agg(F.count("*").alias("ends"), F.count_if(F.col("role") != "source").alias("fanout"), F.max("bit_width").alias("bit_width"), F.bool_or(F.col("bit_width") > 1).alias("is_bus"))
+    return summaries.net_stats(_ends(s, d)).drop("control")
 
 
 @_query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -164,9 +164,8 @@ def unused_modules(s, d):
 
 @_query("(SELECT 'lost' AS change, o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT 'lost', o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL (SELECT 'added' AS change, o_custkey AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT ALL SELECT 'added', o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def changed_sets(s, d):
-    side = lambda x: _t(s, d, "orders").where(F.col("o_orderstatus") == x).select(F.col("o_custkey").alias("k"))
-    f, o = side("F"), side("O")
-    return f.exceptAll(o).select(F.lit("lost").alias("change"), "k").unionByName(o.exceptAll(f).select(F.lit("added").alias("change"), "k"))
+    side = lambda x: _t(s, d, "orders").where(F.col("o_orderstatus") == x).select(F.lit("top.v").alias("path"), F.col("o_custkey").alias("module"))
+    return design.changed_modules(side("F"), side("O")).select("change", F.col("module").alias("k"))
 
 
 @_query("""SELECT 'r' || r_regionkey AS node, 'r' || r_regionkey AS path, CAST(0 AS BIGINT) AS depth FROM region
@@ -180,8 +179,10 @@ def hierarchy_paths(s, d):
 
 @_query("SELECT n_nationkey, count(c_custkey) AS children FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
 def child_counts(s, d):
-    c = _t(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("children"))
-    return _t(s, d, "nation").select("n_nationkey").join(c, "n_nationkey", "left").select("n_nationkey", F.coalesce("children", F.lit(0)).alias("children"))
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    nations, customers = _t(s, d, "nation").select("n_nationkey", name("n", "n_nationkey").alias("module")), _t(s, d, "customer").select(name("n", "c_nationkey").alias("parent"), name("c", "c_custkey").alias("child"))
+    found = summaries.child_counts(nations.select("module").unionAll(customers.select("child")), customers)
+    return found.join(nations, "module").select("n_nationkey", "children")
 
 
 @_query(f"WITH {_DEP} SELECT src, dst FROM dep WHERE dst = 8")
@@ -226,8 +227,7 @@ def hop_dedup_limit(s, d):
 
 @_query("SELECT user_id, event_id, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 10")
 def topk_runs(s, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return _t(s, d, "events").withColumn("n", F.row_number().over(w).cast("bigint")).where("n <= 10").select("user_id", "event_id", "n")
+    return summaries.newest(_t(s, d, "events"), "user_id", ["ts", "event_id"], 10).select("user_id", "event_id", F.col("n").cast("bigint").alias("n"))
 
 
 @_query("SELECT p_partkey, CAST(p_size + 1 AS INTEGER) AS bit_width, TRUE AS is_bus FROM part")
@@ -328,8 +328,7 @@ def rolling_tokens(s, d):
 
 @_query("SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY l_linestatus")
 def kind_counts(s, d):
-    n = lambda x: F.count_if(F.col("l_returnflag") == x)
-    return _t(s, d, "lineitem").groupBy("l_linestatus").agg(n("A").alias("a"), n("N").alias("n"), n("R").alias("r"))
+    return summaries.counts_by_kind(_t(s, d, "lineitem"), "l_linestatus", "l_returnflag", ["A", "N", "R"]).toDF("l_linestatus", "a", "n", "r")
 
 
 @_query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS severe FROM events GROUP BY event_type")
