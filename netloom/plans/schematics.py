@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import design, geometry, schematic
+from ..sources import files as project_files
 from ..sources import rtl
 from .reports import _t, _values
 
@@ -176,6 +177,17 @@ def rtl_block_summaries(s, d):
     return found.select("module", F.array_join("control_summary", "|").alias("controls"), F.array_join("summary_lines", "|").alias("lines"), F.array_join("written", ",").alias("written"), F.array_join("read", ",").alias("read"))
 
 
+# Worked out by hand: path with the key for #, whether it is compiled.
+PATHS = [("rtl/f#.v", True), ("Rtl/f#.SV", True), ("testbenches/t#.v", False), (".git/x#.v", False), ("rtl/.h/x#.v", False), ("doc/n#.txt", False), ("rtl/testbenches/t#.v", True), (".f#.v", False), ("rtl/f#.svh", False), ("rtl/.v", False)]
+
+
+@_query(f"WITH v(n, path, compiled) AS (VALUES {_values(PATHS)}) SELECT replace(path, '#', CAST(p_partkey AS VARCHAR)) AS path FROM part JOIN v ON n = p_partkey % {len(PATHS)} WHERE compiled AND p_size % 9 <> 0")
+def compile_sources(s, d):
+    path = F.replace(F.get(F.array(*[F.lit(p) for p, _ in PATHS]), (F.col("p_partkey") % len(PATHS)).cast("int")), F.lit("#"), F.col("p_partkey").cast("string")).alias("path")
+    part = _t(s, d, "part")
+    return project_files.compile_sources(part.select(path), part.where("p_size % 9 = 0").select(path))
+
+
 # Routes of three points, level and then upright, and boxes.
 _ROUTES = "r AS (SELECT o_orderkey AS k, CAST(o_orderkey * 37 % 4000 AS BIGINT) AS x1, CAST(o_custkey * 53 % 4000 AS BIGINT) AS y1, CAST(o_orderkey * 37 % 4000 + o_custkey % 90 AS BIGINT) AS x2, CAST(o_custkey * 53 % 4000 + o_orderkey % 70 AS BIGINT) AS y2 FROM orders), b AS (SELECT p_partkey AS block, CAST(p_partkey * 61 % 4000 AS BIGINT) AS bx1, CAST(p_partkey * 17 % 4000 AS BIGINT) AS by1, CAST(p_partkey * 61 % 4000 + 100 AS BIGINT) AS bx2, CAST(p_partkey * 17 % 4000 + 60 AS BIGINT) AS by2 FROM part), l AS (SELECT k, y1 AS y, x1 AS a, x2 AS b FROM r WHERE x1 <> x2), u AS (SELECT k, x2 AS x, y1 AS a, y2 AS b FROM r UNION ALL SELECT k, x1, y1, y1 FROM r WHERE x1 = x2)"
 

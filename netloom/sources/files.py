@@ -42,6 +42,16 @@ def test_benches(files: DataFrame, relative: Column | str = "path") -> DataFrame
     return files.select("path", name.alias("name"), rel.alias("relative"), source.alias("source"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).where("source IS NOT NULL")
 
 
+def compile_sources(files: DataFrame, excluded: DataFrame, relative: Column | str = "path", apart: tuple[str, ...] = ("testbenches",)) -> DataFrame:
+    """The files to compile: those that end in .v or .sv, whatever the case, not in hidden folders or hidden themselves, nor under the folders ``apart``, nor among ``excluded`` (path). ``relative`` is the path under the project's root."""
+    rel = F.col(relative) if isinstance(relative, str) else relative
+    parts = F.split(rel, "/")
+    kept = files.where(rel.rlike(r"(?i)[^/]\.s?v$") & ~F.exists(parts, lambda x: x.startswith(".")))
+    for folder in apart:
+        kept = kept.where(~rel.startswith(f"{folder}/"))
+    return kept.join(excluded.select("path"), "path", "left_anti")
+
+
 def search(files: DataFrame, pattern: str, endings: list[str] = SEARCHED, limit: int | None = 40) -> DataFrame:
     """(path, line_no, line) of lines that match, by ending, path and line; the first ``limit``, or all in no order if None.
 
