@@ -5,7 +5,11 @@ deals all vectors to leaves, and leaves to tiles. Pairs of leaves whose bounding
 threshold are never compared. Within a pair of tiles, products accumulate over the leading dimensions first; the rest
 of a product is at most the product of both suffix norms, and comparison stops when no pair can reach the threshold.
 
-Equal vectors are one entry with a count. A pair of tiles returns link counts and a spanning forest of its links, both
+Tiles that follow each other in the tree form blocks. A task gets two blocks and compares their tiles, so a tile is
+sent once for each partner of its block instead of once for each partner of its own.
+
+Equal vectors are one entry with a count; they are told by 128 bits of two hashes, which two different ones of 10^11
+vectors share with a probability of 10^-16. A pair of tiles returns link counts and a spanning forest of its links, both
 linear in the tiles' rows however many pairs link.
 """
 
@@ -15,16 +19,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .components import connected_components, forest
 from .store import materialize
 
 #: Vectors that the axes and the tree are fitted on, at most about; every vector is compared whatever the sample.
 SAMPLE = 20_000
-#: Rows of a tile, and leaves of the tree, at most.
+#: Rows of a tile for vectors of up to 64 dimensions (less for longer ones), and leaves of the tree, at most.
 TILE, LEAVES = 4_096, 1_024
+#: Tiles of a block, at most, and blocks that there are at least. A task compares two blocks.
+TILES, BLOCKS = 16, 6
 #: Leading dimensions after which products are looked at.
-STEPS = (8, 16, 32)
+STEPS = (16, 32)
 #: Cosines this near the threshold are computed again from the vectors as given.
 CLOSE = 1e-9
 
@@ -82,37 +89,50 @@ def leaf_of(tree: list, points: np.ndarray) -> np.ndarray:
     return out
 
 
+def suffixes(y: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Where products are looked at, and for each place the norm of what follows in every row."""
+    steps = [s for s in STEPS if s < y.shape[1]] + [y.shape[1]]
+    return steps, [np.sqrt((y[:, s:] ** 2).sum(axis=1)) for s in steps]
+
+
 def compare(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, count_a: np.ndarray, count_b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray):
-    """(links of a's rows, of b's rows, forest as places in a and in b + len(a)) of two tiles of rotated unit vectors."""
+    """(links of a's rows, of b's rows, forest as places in a and in b + len(a)) of two tiles of rotated unit vectors.
+
+    ``bound`` is, for all pairs, the product of the leading dimensions and of what the rest can add: each step adds
+    the products of its dimensions and puts its own suffix norms for those of the step before. It is kept in single
+    precision, with the most that this can err as slack; pairs that it leaves are computed in double precision.
+    """
     dims = a.shape[1]
-    steps = [s for s in STEPS if s < dims] + [dims]
-    suffix = lambda x: [np.sqrt(np.maximum((x[:, s:] ** 2).sum(axis=1), 0)) for s in steps]
-    rest_a, rest_b = suffix(a), suffix(b)
+    steps, rest_a = suffixes(a)
+    _, rest_b = suffixes(b)
+    slack = CLOSE + (dims + 4 * len(steps)) * 2.0**-21
+    left, right, before = [], [], 0
+    for k, s in enumerate(steps):
+        swap = [[rest_a[k]], [rest_b[k]]] if k == 0 else [[rest_a[k], -rest_a[k - 1]], [rest_b[k], rest_b[k - 1]]]
+        left.append(np.column_stack([a[:, before:s], *swap[0]]).astype(np.float32))
+        right.append(np.column_stack([b[:, before:s], *swap[1]]).astype(np.float32).T)
+        before = s
     links_a, links_b, us, vs, held = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), [], [], 0
-    for top in range(0, len(a), 512):
-        part = slice(top, min(top + 512, len(a)))
-        product, before, pairs = np.zeros((part.stop - top, len(b))), 0, None
+    for top in range(0, len(a), 256):
+        part = slice(top, min(top + 256, len(a)))
+        bound, i, j = None, None, None
         for k, s in enumerate(steps):
-            if pairs is None:
-                product += a[part, before:s] @ b[:, before:s].T
-                alive = product + np.outer(rest_a[k][part], rest_b[k]) >= threshold - CLOSE
-                n = int(alive.sum())
-                if not n:
-                    break
-                if s < dims and n < 0.02 * alive.size or s == dims:
-                    i, j = np.nonzero(alive)
-                    pairs = i + top, j, product[i, j]
-            else:
-                i, j, p = pairs
-                p = p + np.einsum("ij,ij->i", a[i, before:s], b[j, before:s])
-                ok = p + rest_a[k][i] * rest_b[k][j] >= threshold - CLOSE
-                pairs = i[ok], j[ok], p[ok]
-            before = s
-        if pairs is None:
-            continue
-        i, j, p = pairs
+            bound = left[k][part] @ right[k] if k == 0 else bound + left[k][part] @ right[k]
+            alive = bound >= threshold - slack
+            n = int(np.count_nonzero(alive))
+            if not n or s == dims or n < 0.01 * alive.size:
+                i, j = np.divmod(np.flatnonzero(alive), len(b))
+                i = i + top
+                break
         if same:
-            i, j, p = i[i < j], j[i < j], p[i < j]
+            i, j = i[i < j], j[i < j]
+        if not len(i):
+            continue
+        p, before = np.zeros(len(i)), 0
+        for k, s in enumerate(steps):
+            p = p + np.einsum("ij,ij->i", a[i, before:s], b[j, before:s])
+            ok = p + rest_a[k][i] * rest_b[k][j] >= threshold - CLOSE
+            i, j, p, before = i[ok], j[ok], p[ok], s
         near = np.flatnonzero(np.abs(p - threshold) <= CLOSE)
         if len(near):
             x, y = raw_a[i[near]], raw_b[j[near]]
@@ -141,85 +161,90 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
     x = F.transform(embedding, lambda v: v.cast("double"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = F.coalesce(F.col(vec_id).isNotNull() & F.forall(x, finite) & F.exists(x, lambda v: v != 0.0), F.lit(False))
+    single = vectors.schema[embedding].dataType == ArrayType(FloatType(), vectors.schema[embedding].dataType.containsNull)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(usable, x).alias("x"))
-    rows = rows.withColumn("class", F.when(F.col("x").isNotNull(), F.xxhash64(F.xxhash64("x"), F.size("x"), F.xxhash64(F.reverse("x")))))
-    rows = materialize(rows.select("vec_id", "class", "x"), "vectors")
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("x").alias("x"))
-    classes = materialize(classes, "classes")
+    hashes = F.struct(F.xxhash64("x").alias("one"), F.xxhash64(F.lit(7), F.size("x"), F.reverse("x")).alias("two"))
+    rows = materialize(rows.withColumn("hash", F.when(F.col("x").isNotNull(), hashes)), "vectors")
+    classes = rows.where("hash is not null").groupBy("hash").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("x").alias("x"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # written once, so numbers stay
     sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("x").alias("d")).count().collect()}
-    made = [_links(spark, classes.where(F.size("x") == d), d, n, threshold) for d, n in sorted(sizes.items())]
+    made = [_links(spark, classes.where(F.size("x") == d), d, n, threshold, single) for d, n in sorted(sizes.items())]
     found = made[0] if made else spark.createDataFrame([], "class long, links long, other long")
     for m in made[1:]:
         found = found.unionAll(m)
     found = materialize(found, "links")
     roots = connected_components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    placed = classes.select("class", "least", "n").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    placed = materialize(placed.select("class", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")), "placed")
+    placed = classes.select("class", "hash", "least", "n").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    placed = materialize(placed.select("hash", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")), "placed")
     least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    where = materialize(placed.join(least, "root").select("class", "n_links", "component_id"), "where")
-    out = rows.select("vec_id", "class").join(where, "class", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    where = materialize(placed.join(least, "root").select("hash", "n_links", "component_id"), "where")
+    out = rows.select("vec_id", "hash").join(where, "hash", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(spark, classes: DataFrame, dims: int, n: int, threshold: float) -> DataFrame:
+def _links(spark, classes: DataFrame, dims: int, n: int, threshold: float, single: bool) -> DataFrame:
     """(class, links, other): link counts (other null), and edges of spanning forests (links 0)."""
+    kind = np.dtype("<f4" if single else "<f8")
     share = min(1.0, SAMPLE / n)
-    drawn = classes.where(F.pmod(F.xxhash64(F.lit(3), "class"), F.lit(1 << 30)) < max(1, int(share * (1 << 30)))).select("x").toPandas()["x"]
+    drawn = classes.where(F.pmod(F.xxhash64(F.lit(3), "hash"), F.lit(1 << 30)) < max(1, int(share * (1 << 30)))).select("x").toPandas()["x"]
     points = _unit(np.stack(drawn.to_list()).astype(np.float64)) if len(drawn) else np.eye(dims)
     basis = axes(points)
-    rows_a_tile = int(np.clip(n // 24, 256, TILE))
-    tree = grow(points @ basis, int(np.clip(-(-n // rows_a_tile), 1, LEAVES)))
+    tile = max(64, TILE * 64 // max(dims, 64))
+    tree = grow(points @ basis, int(np.clip(-(-n // int(np.clip(n // 24, 256, tile))), 1, LEAVES)))
 
     def deal(batches):
         for b in batches:
             raw = np.stack(b["x"].to_list()).astype(np.float64)
-            yield pd.DataFrame({"leaf": leaf_of(tree, _unit(raw) @ basis), "class": b["class"], "n": b["n"], "raw": [r.tobytes() for r in raw]})
+            yield pd.DataFrame({"leaf": leaf_of(tree, _unit(raw) @ basis), "class": b["class"], "n": b["n"], "raw": [r.tobytes() for r in raw.astype(kind)]})
 
     dealt = materialize(classes.select("class", "n", "x").mapInPandas(deal, "leaf long, class long, n long, raw binary"), "dealt")
     counts = {r["leaf"]: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # LEAVES rows at most
-    parts = {leaf: -(-c // TILE) for leaf, c in counts.items()}
-    of_leaf = F.element_at(F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*map(F.lit, parts.values()))), F.col("leaf"))
-    tiled = dealt.withColumn("part", F.pmod(F.xxhash64("class"), of_leaf).cast("int"))
+    parts, first, total = {}, {}, 0
+    for leaf in sorted(counts):
+        parts[leaf], first[leaf] = -(-counts[leaf] // tile), total
+        total += parts[leaf]
+    tiles_a_block = int(np.clip(-(-total // BLOCKS), 1, TILES))
+    of_leaf = lambda d: F.element_at(F.map_from_arrays(F.array(*map(F.lit, d)), F.array(*map(F.lit, d.values()))), F.col("leaf"))
+    tiled = dealt.withColumn("tile", of_leaf(first) + F.pmod(F.xxhash64("class"), of_leaf(parts)))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class")
-        raw = np.frombuffer(b"".join(rows["raw"]), np.float64).reshape(-1, dims)
-        y = _unit(raw) @ basis
-        single = raw.astype(np.float32)
-        body = single if (single == raw).all() else raw
-        return pd.DataFrame([(*key, body.tobytes(), body.dtype.str, rows["class"].to_numpy(np.int64).tobytes(), rows["n"].to_numpy(np.int64).tobytes(), y.min(axis=0).tobytes(), y.max(axis=0).tobytes())], columns=["leaf", "part", "raw", "kind", "ids", "ns", "low", "high"])
-
-    tiles = materialize(tiled.groupBy("leaf", "part").applyInPandas(packed, "leaf long, part int, raw binary, kind string, ids binary, ns binary, low binary, high binary"), "tiles")
-    boxes: dict = {}
-    for r in tiles.select("leaf", "low", "high").toLocalIterator():
-        low, high = np.frombuffer(r["low"]), np.frombuffer(r["high"])
-        boxes[r["leaf"]] = (np.minimum(low, boxes[r["leaf"]][0]), np.maximum(high, boxes[r["leaf"]][1])) if r["leaf"] in boxes else (low, high)
-    order = sorted(boxes)
-    low, high = np.array([boxes[k][0] for k in order]), np.array([boxes[k][1] for k in order])
-    partners = []
-    for k, leaf in enumerate(order):
-        gap = np.maximum(0, np.maximum(low[k:] - high[k], low[k] - high[k:]))
-        partners += [(leaf, order[k + j]) for j in np.flatnonzero((gap * gap).sum(axis=1) <= 2 - 2 * threshold + CLOSE)]
+        body = b"".join(rows["raw"])
+        y = _unit(np.frombuffer(body, kind).reshape(-1, dims).astype(np.float64)) @ basis
+        return pd.DataFrame([(*key, body, rows["class"].to_numpy(np.int64).tobytes(), rows["n"].to_numpy(np.int64).tobytes(), y.min(axis=0), y.max(axis=0))], columns=["leaf", "tile", "raw", "ids", "ns", "low", "high"])
+
+    tiles = tiled.groupBy("leaf", "tile").applyInPandas(packed, "leaf long, tile long, raw binary, ids binary, ns binary, low array<double>, high array<double>")
+    tiles = materialize(tiles.withColumn("block", F.expr(f"tile div {tiles_a_block}")), "tiles")
+    sides = tiles.select("leaf", F.posexplode(F.arrays_zip("low", "high")).alias("at", "side"))
+    sides = sides.groupBy("leaf", "at").agg(F.min("side.low").alias("low"), F.max("side.high").alias("high"))
+    boxes = sides.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("box")).orderBy("leaf").collect()  # LEAVES rows at most
+    order = [r["leaf"] for r in boxes]
+    low, high = (np.array([[side[end] for side in r["box"]] for r in boxes]) for end in ("low", "high"))
+    near = lambda lo, hi, los, his: (np.maximum(0, np.maximum(los - hi, lo - his)) ** 2).sum(axis=-1) <= 2 - 2 * threshold + CLOSE
+    partners = [(leaf, order[k + j]) for k, leaf in enumerate(order) for j in np.flatnonzero(near(low[k], high[k], low[k:], high[k:])).tolist()]
+    blocks = tiles.select("leaf", "block").distinct()
     pairs = spark.createDataFrame(partners, "la long, lb long")
-    side = lambda s: tiles.select(*[F.col(c).alias(f"{c}_{s}") for c in ("leaf", "part", "raw", "kind", "ids", "ns")])
-    names = tiles.select("leaf", "part")
-    pairs = pairs.join(names.select(F.col("leaf").alias("la"), F.col("part").alias("pa")), "la").join(names.select(F.col("leaf").alias("lb"), F.col("part").alias("pb")), "lb").where("la < lb or pa <= pb")
-    both = pairs.join(side("a"), (F.col("la") == F.col("leaf_a")) & (F.col("pa") == F.col("part_a"))).join(side("b"), (F.col("lb") == F.col("leaf_b")) & (F.col("pb") == F.col("part_b")))
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    both = both.repartition(width, F.xxhash64("la", "lb", "pa", "pb"))
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.itertuples():
-                raw = [np.frombuffer(x, k).reshape(-1, dims).astype(np.float64) for x, k in ((r.raw_a, r.kind_a), (r.raw_b, r.kind_b))]
-                ids = [np.frombuffer(x, np.int64) for x in (r.ids_a, r.ids_b)]
-                ns = [np.frombuffer(x, np.int64) for x in (r.ns_a, r.ns_b)]
-                same = (r.la, r.pa) == (r.lb, r.pb)
-                ca, cb, u, v = compare(_unit(raw[0]) @ basis, _unit(raw[1]) @ basis, threshold, same, *ns, *raw)
-                every = ids[0] if same else np.concatenate(ids)
-                count = ca + cb if same else np.concatenate([ca, cb])
+    pairs = pairs.join(blocks.select(F.col("leaf").alias("la"), F.col("block").alias("a")), "la").join(blocks.select(F.col("leaf").alias("lb"), F.col("block").alias("b")), "lb")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    both = tiles.join(ends, "block").select("a", "b", "block", "tile", "raw", "ids", "ns")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held = []
+        for r in rows.sort_values("tile").itertuples():
+            raw = np.frombuffer(r.raw, kind).reshape(-1, dims).astype(np.float64)
+            y = _unit(raw) @ basis
+            held.append((r.block, np.frombuffer(r.ids, np.int64), np.frombuffer(r.ns, np.int64), raw, y, y.min(axis=0), y.max(axis=0)))
+        out = []
+        for p, (block_a, ids_a, ns_a, raw_a, a, low_a, high_a) in enumerate(held):
+            for q, (block_b, ids_b, ns_b, raw_b, b, low_b, high_b) in enumerate(held[p:], p):
+                if (block_a, block_b) != key or not near(low_a, high_a, low_b, high_b):
+                    continue
+                ca, cb, u, v = compare(a, b, threshold, p == q, ns_a, ns_b, raw_a, raw_b)
+                every, count = (ids_a, ca + cb) if p == q else (np.concatenate([ids_a, ids_b]), np.concatenate([ca, cb]))
                 some = np.flatnonzero(count)
-                yield pd.DataFrame({"class": np.r_[every[some], every[u]], "links": np.r_[count[some], np.zeros(len(u), np.int64)], "other": pd.array([*[None] * len(some), *every[v].tolist()], "Int64")})
+                out.append(pd.DataFrame({"class": np.r_[every[some], every[u]], "links": np.r_[count[some], np.zeros(len(u), np.int64)], "other": pd.array([*[None] * len(some), *every[v].tolist()], "Int64")}))
+        return pd.concat(out) if out else pd.DataFrame({"class": [], "links": [], "other": pd.array([], "Int64")})
 
-    return both.mapInPandas(run, "class long, links long, other long")
+    return both.groupBy("a", "b").applyInPandas(run, "class long, links long, other long")

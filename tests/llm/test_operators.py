@@ -186,7 +186,16 @@ def test_bpe_is_the_librarys(spark, docs):
     assert bpe.digests(empty(spark), path, pattern).count() == 0
 
 
-def test_vectors_link_as_by_brute_force(spark):
+def test_vectors_at_the_threshold(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [9.0, -3.0, -3.0, -1.0001])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"TILE": 64, "LEAVES": 2, "TILES": 2}])  # the second: leaves in parts, blocks of two tiles
+def test_vectors_link_as_by_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(embeddings, name, value)
     draw = np.random.default_rng(3)
     centres = draw.normal(size=(6, 12))
     x = np.concatenate([c + draw.normal(scale=s, size=(60, 12)) for c, s in zip(centres, (0.05, 0.2, 0.3, 0.4, 0.6, 1.0))])
