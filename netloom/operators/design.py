@@ -68,19 +68,24 @@ def endpoints(tables: dict) -> DataFrame:
     return wide.select(*ends.columns)
 
 
-def connectivity(ends: DataFrame) -> DataFrame:
+def connectivity(ends: DataFrame, all_pairs: bool = False) -> DataFrame:
     """(module, net, src, dst, flow, bit_width, is_bus): sources to sinks of each net of each module.
 
     On nets that lack sources or sinks, a row for each node but the first by (node, port), from the first, with flow
     ``unknown``: that links the same nodes as all their pairs do, in rows that grow with the net and not with its square.
+    With ``all_pairs``, a row for each two of their nodes, the first by name as ``src``.
     """
     key = ["module", "net"]
     sides = ends.groupBy(key).agg(F.bool_or(F.col("role").isin("source", "bidir")).alias("s"), F.bool_or(F.col("role").isin("sink", "bidir")).alias("k"), F.max("bit_width").alias("bit_width"), F.bool_or("is_bus").alias("is_bus"), F.min(F.struct("node", "port")).alias("first"))
     src = ends.where(F.col("role").isin("source", "bidir")).select(*key, F.col("node").alias("src")).distinct()
     dst = ends.where(F.col("role").isin("sink", "bidir")).select(*key, F.col("node").alias("dst")).distinct()
     directed = src.join(dst, key).where("src <> dst").join(sides.select(*key, "bit_width", "is_bus"), key).withColumn("flow", F.lit("directed"))
-    loose = ends.select(*key, F.col("node").alias("dst")).distinct().join(sides.where(~(F.col("s") & F.col("k"))), key).where(F.col("first.node") != F.col("dst"))
-    unknown = loose.select(*key, F.col("first.node").alias("src"), "dst", "bit_width", "is_bus", F.lit("unknown").alias("flow"))
+    loose = ends.select(*key, F.col("node").alias("dst")).distinct().join(sides.where(~(F.col("s") & F.col("k"))), key)
+    if all_pairs:
+        loose = loose.join(ends.select(*key, F.col("node").alias("src")).distinct(), key).where("src < dst")
+    else:
+        loose = loose.withColumn("src", F.col("first.node")).where("src <> dst")
+    unknown = loose.select(*key, "src", "dst", "bit_width", "is_bus", F.lit("unknown").alias("flow"))
     return directed.unionByName(unknown)
 
 

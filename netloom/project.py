@@ -76,8 +76,8 @@ class Design:
     def hierarchy_graph(self, top: str | None = None) -> tuple[DataFrame, DataFrame]:
         return views.hierarchy_graph(self.tables, self.hierarchy(top))
 
-    def connectivity(self, module: str, mode: str = "compact", aggregate: bool = False, ports: bool = False) -> DataFrame:
-        """Edges within a module: ``compact`` from sources to sinks, ``detailed`` with nets as nodes; ValueError for another mode or an unknown module."""
+    def connectivity(self, module: str, mode: str = "compact", aggregate: bool = False, ports: bool = False, all_pairs: bool = False) -> DataFrame:
+        """Edges within a module: ``compact`` from sources to sinks (``all_pairs`` as in ``design.connectivity``), ``detailed`` with nets as nodes; ValueError for another mode or an unknown module."""
         if mode not in ("compact", "detailed"):
             raise ValueError(f"no such mode: {mode}")
         if self.modules().where(F.col("module") == module).isEmpty():
@@ -86,7 +86,7 @@ class Design:
         ends = views.port_view(ends) if ports else ends
         if mode == "detailed":
             return views.net_graph(ends)
-        edges = design.connectivity(ends)
+        edges = design.connectivity(ends, all_pairs)
         return views.aggregated(edges) if aggregate else edges
 
     def trace(self, module: str, signal: str, max_hops: int = 500) -> DataFrame:

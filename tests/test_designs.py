@@ -104,3 +104,9 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "1 files, 2 modules, 0 diagnostics\ntops: top\ntop\n  ghost\n  mid\n" in said
     assert spark.read.json(str(tmp_path / "out" / "graph")).count() == 2
+
+
+def test_connectivity_of_all_pairs(spark):
+    ends = spark.createDataFrame([("m", "n", x, "p", "sink", 1, False) for x in "cab"] + [("m", "k", "a", "p", "source", 2, True), ("m", "k", "b", "p", "sink", 2, True)], "module string, net string, node string, port string, role string, bit_width int, is_bus boolean")
+    assert rows(design.connectivity(ends), "net", "src", "dst", "flow") == [("k", "a", "b", "directed"), ("n", "a", "b", "unknown"), ("n", "a", "c", "unknown")]
+    assert rows(design.connectivity(ends, all_pairs=True), "net", "src", "dst", "flow") == [("k", "a", "b", "directed"), ("n", "a", "b", "unknown"), ("n", "a", "c", "unknown"), ("n", "b", "c", "unknown")]
