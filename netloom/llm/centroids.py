@@ -38,7 +38,7 @@ def narrow(dims: int) -> int:
 
 def to_integers(x: np.ndarray, scale: int = 256) -> np.ndarray:
     """floor(scale * x) of doubles; an array of Python's integers where some are not narrow."""
-    if np.abs(x).max(initial=0) * scale < narrow(x.shape[1]):
+    if np.abs(x).max(initial=0) < narrow(x.shape[1]) / scale:
         return np.floor(x * scale).astype(np.int64)
     # from 2**60 on doubles are whole numbers, whose product with the scale may be beyond any double
     one = lambda v: int(v) * scale if abs(v) > 2.0**60 else int(np.floor(v * scale))
@@ -143,13 +143,15 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, sc
         n, one, two = 0, np.zeros(dims), np.zeros(dims)
         for b in batches:
             for _, ints in unpacked(b["body"].to_list(), dims):
+                if ints.dtype == object:
+                    continue  # the order of dimensions changes how soon centroids are abandoned, never which
                 v = ints.astype(np.float64)
                 n, one, two = n + len(v), one + v.sum(axis=0), two + (v * v).sum(axis=0)
         yield pd.DataFrame({"at": range(dims), "n": n, "one": one, "two": two})
 
-    spread = kept.mapInPandas(moments, "at int, n long, one double, two double").groupBy("at").agg((F.sum("two") / F.sum("n") - F.pow(F.sum("one") / F.sum("n"), F.lit(2))).alias("v"))
+    spread = kept.mapInPandas(moments, "at int, n long, one double, two double").groupBy("at").agg((F.try_divide(F.sum("two"), F.sum("n")) - F.pow(F.try_divide(F.sum("one"), F.sum("n")), F.lit(2))).alias("v"))
     spread = {r["at"]: r["v"] for r in spread.collect()}  # one row a dimension
-    order = np.array(sorted(range(dims), key=lambda d: (-spread[d] if spread[d] == spread[d] else 0.0, d)))
+    order = np.array(sorted(range(dims), key=lambda d: (-(spread[d] or 0.0), d)))
 
     def matrix(rows):
         wide = any(abs(v) > narrow(dims) for r in rows for v in r)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, embeddings, lm, merkle, mixing, nbsvm, rules, simhash, substring, toxicity, warc
+from . import bpe, centroids, embeddings, lm, merkle, mixing, nbsvm, pii, rules, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def passages(spark, sf_dir):
     return substring.dedup_digests(_table(spark, sf_dir, "documents"))
 
 
+def personal(spark, sf_dir):
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 def merkle_manifest(spark, sf_dir):
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -136,6 +140,7 @@ def queries() -> dict:
         "op8_simhash_byte_index": near_texts,
         "op9_source_mix": mixed,
         "op10_substring_countmin": passages,
+        "op11_pii_skip_chain": personal,
         "op12_merkle_manifest": merkle_manifest,
         "op13_centroid_partial_distance": clusters,
     }
