@@ -1,161 +1,33 @@
 """Design text as tables: modules, ports, signals, instances, pins, gates, assigns, always blocks, diagnostics.
 
-Files are rows; small helpers cut them into modules with their lines, and these into top-level items, since blocks nest; the tables are
-Column expressions over these items. Only what is not inside generate regions, functions and tasks becomes rows.
+Files are rows; a parser (`verilog`) makes them modules with ports and top-level items, since blocks nest, and says which text it could
+not read; the tables are Column expressions over these items. Only what is not inside generate regions, functions and tasks becomes rows.
 Spark's readers skip empty files and those whose names start with an underscore or a dot.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import bus_width
 
+from . import verilog
 from .files import below
+from .verilog import RESERVED
 
-# Folders that scans leave out, gate types, and words that cannot be names of signals or modules.
+# Folders that scans leave out.
 SKIPPED_FOLDERS = ["node_modules", "__pycache__", "venv", ".venv", "env"]
-GATES = ["and", "or", "nand", "nor", "xor", "xnor", "not", "buf", "bufif0", "bufif1", "notif0", "notif1"]
-RESERVED = [
-    "module", "endmodule", "input", "output", "inout", "wire", "reg", "logic", "assign", "always", "always_comb", "always_ff", "always_latch",
-    "initial", "begin", "end", "if", "else", "case", "casex", "casez", "endcase", "default", "for", "while", "repeat", "forever", "posedge",
-    "negedge", "or", "parameter", "localparam", "integer", "real", "time", "genvar", "generate", "endgenerate", "function", "endfunction",
-    "task", "endtask", "signed", "unsigned",
-]
 ID = r"[A-Za-z_][A-Za-z0-9_$]*"
-FLAT = r"[^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*"
-ITEMS = "array<struct<line:int,text:string,steps:array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string>>,controls:array<string>>>"
-OPENS, CLOSES = {"begin", "case", "casex", "casez", "fork", "function", "task", "generate"}, {"end", "endcase", "join", "join_any", "join_none", "endfunction", "endtask", "endgenerate"}
-MODULE = re.compile(r"\bmodule\s.*?\bendmodule\b", re.S | re.A)
-TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|[A-Za-z_$][\w$]*|\d*\'[sS]?[bodhBODH]\s*[\w?]+|\d[\w.]*|<<<|>>>|===|!==|<=|>=|==|!=|&&|\|\||<<|>>|\S', re.S)
-
-
-def squeeze(text: str) -> str:
-    return " ".join(text.split())
-
-
-def items_of(body: str) -> list[tuple[int, str]]:
-    """(line within the body, text) of each top-level item: up to a semicolon, or to the end of its outermost block."""
-    out, depth, paren, start = [], 0, 0, None
-    toks = list(TOKEN.finditer(body))
-    word = [t.group() for t in toks] + ["", ""]
-    for k, t in enumerate(toks):
-        start = t.start() if start is None else start
-        paren += (word[k] in "([{") - (word[k] in ")]}")
-        depth += (word[k] in OPENS) - (word[k] in CLOSES)
-        labelled = k > 1 and word[k - 1] == ":" and word[k - 2] in CLOSES
-        ends = word[k] == ";" or labelled or (word[k] in CLOSES and word[k + 1] != ":")
-        if ends and depth == 0 and paren == 0 and word[k + 1] != "else":
-            out.append((body.count("\n", 0, start), body[start : t.end()]))
-            start = None
-    return out
-
-
-def procedure_of(text: str) -> tuple[list[tuple], list[str]]:
-    """Assignments of a procedural item, (target, expression, blocking, innermost condition, all conditions' text), and what its statements control.
-
-    The latter are the ifs, cases and assignments of the item, or of its outer block, and the ifs and cases of blocks
-    directly in that one.
-    """
-    toks, out, controls = list(TOKEN.finditer(text)), [], []
-    word = [t.group() for t in toks]
-
-    def span(i: int, j: int) -> str:
-        return squeeze(text[toks[i].start() : toks[j - 1].end()]) if j > i else ""
-
-    def past(i: int) -> int:
-        """Behind the bracket that closes the one at i."""
-        depth = 0
-        while i < len(word):
-            depth += (word[i] in "([{") - (word[i] in ")]}")
-            i += 1
-            if depth == 0:
-                break
-        return i
-
-    def until(i: int, stops: set) -> int:
-        while i < len(word) and word[i] not in stops:
-            i = past(i) if word[i] in "([{" else i + 1
-        return i
-
-    def walk(i: int, cond: str, seen: str, rank: int = 3) -> int:
-        """Behind the statement at i. Its rank is 0 for the item's own statement, 1 in its block, 2 in a block of that, 3 elsewhere."""
-        while i < len(word) and word[i] in "@#":
-            i = past(i + 1) if i + 1 < len(word) and word[i + 1] == "(" else i + 2
-        if i >= len(word) or word[i] == ";":
-            return i + 1
-        if word[i] in ("begin", "fork"):
-            i += 3 if word[i + 1 : i + 2] == [":"] else 1
-            while i < len(word) and word[i] not in CLOSES:
-                i = walk(i, cond, seen, min(rank + 1, 3))
-            return i + (3 if word[i + 1 : i + 2] == [":"] else 1)
-        if word[i] == "if":
-            j = past(i + 1)
-            c = span(i + 2, j - 1)
-            i = walk(j, c, f"{seen} {c}")
-            other = word[i : i + 1] == ["else"]
-            if rank < 3:
-                controls.append(f"if ({c})" + " / else" * other)
-            return walk(i + 1, f"!({c})", f"{seen} {c}") if other else i
-        if word[i] in ("case", "casex", "casez"):
-            j = past(i + 1)
-            c, plain, arms, i = span(i + 2, j - 1), word[i] == "case", 0, j
-            while i < len(word) and word[i] != "endcase":
-                arms += 1
-                j = i + 1 if word[i] == "default" else until(i, {":"})
-                guard = "" if word[i] == "default" else span(i, j)
-                i = walk(j + 1 if word[j : j + 1] == [":"] else j, c, f"{seen} {c} {guard}")
-            if plain and rank < 3:
-                controls.append(f"case ({c}) [{arms} arms]")
-            return i + 1
-        if word[i] in ("for", "while", "repeat"):
-            return walk(past(i + 1), cond, seen)
-        if word[i] == "forever":
-            return walk(i + 1, cond, seen)
-        end, mid = until(i, {";"}), until(i, {"<=", "=", ";"})
-        if mid < end:
-            out.append((span(i, mid), span(mid + 1, end), word[mid] == "=", cond, seen.strip()))
-            if rank < 2:
-                controls.append(f"{span(i, mid)} {word[mid]} {span(mid + 1, end)}")
-        return end + 1
-
-    i = 1
-    while i < len(word):
-        i = walk(i, "", "", 0)
-    return out, controls
-
-
-def _items(bodies: pd.Series, lines: pd.Series) -> pd.Series:
-    """Items of each module's body, which starts at a line of its file; null where its nesting is too deep to follow."""
-    names = ("target", "expression", "blocking", "condition", "condition_text")
-
-    def item(line, text):
-        steps, controls = procedure_of(text) if text.startswith("always") else ([], [])
-        return {"line": line, "text": squeeze(text), "steps": [dict(zip(names, s)) for s in steps], "controls": controls}
-
-    def one(body, line):
-        try:
-            return [item(line + n, t) for n, t in items_of(body)]
-        except RecursionError:
-            return None
-
-    return pd.Series([one(b, n) for b, n in zip(bodies, lines)], index=bodies.index, dtype=object)
-
-
-def _modules(texts: pd.Series) -> pd.Series:
-    """(line, text) of each module of each text."""
-
-    def each(text):
-        line, at = 1, 0
-        for m in MODULE.finditer(text):
-            line, at = line + text.count("\n", at, m.start()), m.start()
-            yield {"line": line, "text": m.group()}
-
-    return texts.map(lambda t: list(each(t)))
+PARTS = "array<struct<name:string,value:string,line:int,args:array<struct<port:string,value:string>>>>"
+STEPS = "array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string>>"
+MODULE = f"struct<module:string,line:int,ports:array<struct<ord:int,name:string,direction:string,width:string>>,items:array<struct<line:int,kind:string,type:string,text:string,parts:{PARTS},steps:{STEPS},controls:array<string>>>>"
+LOST = "struct<kind:string,line:int,token:string,message:string,text:string>"
+
+
+def _parsed(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([verilog.parse(t) for t in texts], columns=["modules", "lost"])
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -172,29 +44,32 @@ def without_comments(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("//") | p.startswith("/*"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
 
 
+def _read(files: DataFrame) -> DataFrame:
+    parsed = F.pandas_udf(_parsed, f"struct<modules:array<{MODULE}>,lost:array<{LOST}>>")
+    return files.select("path", F.col("text").isNull().alias("unread"), parsed(without_comments(F.coalesce("text", F.lit("")))).alias("found"))
+
+
 def modules(files: DataFrame) -> DataFrame:
-    """(path, mod_ord, module, line, header, items) of each module of ``files`` (path, text).
+    """(path, mod_ord, module, line, ports, items) of each module of ``files`` (path, text) that has a name and an end.
+
+    Null and empty texts have no modules. What of a module no rule reads is left out of its items, see `diagnostics`.
+    """
+    found = _read(files).select("path", F.posexplode("found.modules").alias("mod_ord", "m"))
+    return found.select("path", "mod_ord", "m.module", "m.line", "m.ports", "m.items")
 
-    header is what stands between name and first semicolon. Null and empty texts have no modules.
+
+def diagnostics(files: DataFrame, mods: DataFrame | None = None) -> DataFrame:
+    """(path, severity, kind, line, token, message, text): all text that is in no row, a row for each stretch of it.
+
+    Files without a text could not be read. In a broken statement, ``token`` and ``line`` are where reading failed, and
+    text is what was skipped up to where it went on. The files are read again; ``mods`` isn't needed.
     """
-    clean = files.select("path", without_comments(F.coalesce("text", F.lit(""))).alias("clean"))
-    found = clean.select("path", F.posexplode(F.pandas_udf(_modules, "array<struct<line:int,text:string>>")("clean")).alias("mod_ord", "m"))
-    head = rf"(?s)^module\s+({ID})([^;]*);"
-    text = F.col("m.text")
-    before = F.length(F.regexp_replace(F.regexp_extract(text, r"(?s)^[^;]*;", 0), r"[^\n]+", ""))
-    rows = found.select(
-        "path", "mod_ord", F.regexp_extract(text, head, 1).alias("module"), F.col("m.line").alias("line"), F.regexp_extract(text, head, 2).alias("header"),
-        F.regexp_replace(text, r"(?s)^[^;]*;|\bendmodule$", "").alias("body"), (F.col("m.line") + before).alias("body_line"),
-    ).where("module <> ''")
-    return rows.withColumn("items", F.pandas_udf(_items, ITEMS)("body", "body_line")).drop("body_line")
-
-
-def diagnostics(files: DataFrame, mods: DataFrame) -> DataFrame:
-    """(path, kind, message): modules that never end or have no name, and blocks nested too deeply."""
-    text = without_comments(F.coalesce("text", F.lit("")))
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    bad = files.where(count(r"\bmodule\s") != count(r"\bendmodule\b")).select("path", F.lit("parse_failure").alias("kind"), F.lit("module and endmodule do not pair").alias("message"))
-    return bad.unionByName(mods.where("items IS NULL").select("path", F.lit("parse_failure").alias("kind"), F.concat(F.lit("nested too deeply: "), "module").alias("message")))
+    rows = _read(files)
+    none = lambda kind: F.lit(None).cast(kind)
+    unread = rows.where("unread").select("path", F.lit("read_failure").alias("kind"), none("int").alias("line"), none("string").alias("token"), F.lit("the file could not be read").alias("message"), none("string").alias("text"))
+    lost = rows.select("path", F.explode("found.lost").alias("x")).select("path", "x.kind", "x.line", "x.token", "x.message", "x.text")
+    out = unread.unionByName(lost)
+    return out.select("path", F.when(F.col("kind") == "outside_module", "warning").otherwise("error").alias("severity"), "kind", "line", "token", "message", "text")
 
 
 def ports(mods: DataFrame) -> DataFrame:
@@ -202,31 +77,22 @@ def ports(mods: DataFrame) -> DataFrame:
 
     Names without any direction, as in lists whose declarations follow in the body, are ``unknown``.
     """
-    listed = F.regexp_extract("header", rf"(?s)\(({FLAT})\)\s*$", 1)
-    form = rf"(?s)^\s*(input|output|inout)?\s*((?:(?:wire|reg|logic|signed|unsigned|var)\b\s*)*)(\[[^\]]*\])?\s*({ID})"
-    rows = mods.select("path", "mod_ord", "module", F.posexplode(F.split(listed, ",")).alias("ord", "p"))
-    part = lambda k: F.nullif(F.regexp_extract("p", form, k), F.lit(""))
-    rows = rows.select("path", "mod_ord", "module", "ord", part(4).alias("name"), part(1).alias("d"), F.regexp_replace(part(3), r"\s+", "").alias("w")).where("name IS NOT NULL")
-    last = F.last_value(F.when(F.col("d").isNotNull(), F.struct("d", "w")), True).over(Window.partitionBy("path", "mod_ord").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("last", last).withColumn("width", F.coalesce("w", F.when(F.col("d").isNull(), F.col("last.w"))))
+    rows = mods.select("path", "module", F.explode("ports").alias("p")).select("path", "module", "p.ord", "p.name", "p.direction", "p.width")
     b = bus_width(F.col("width"))
-    return rows.select("path", "module", "ord", "name", F.coalesce("last.d", F.lit("unknown")).alias("direction"), "width", b["bit_width"].alias("bit_width"), b["is_bus"].alias("is_bus"))
+    return rows.select("*", b["bit_width"].alias("bit_width"), b["is_bus"].alias("is_bus"))
 
 
-def _exploded(mods: DataFrame) -> DataFrame:
-    rows = mods.select("path", "mod_ord", "module", F.posexplode("items").alias("ord", "item"))
-    return rows.select("path", "mod_ord", "module", "ord", F.col("item.line").alias("line"), F.col("item.text").alias("text"), F.col("item.steps").alias("steps"), F.col("item.controls").alias("controls"))
+def _parts(mods: DataFrame, kind: str) -> DataFrame:
+    """(path, module, ord, type, text, pos, part, line), a row for each name that an item of the kind declares."""
+    rows = mods.select("path", "module", F.posexplode("items").alias("ord", "item")).where(F.col("item.kind") == kind)
+    rows = rows.select("path", "module", "ord", "item.type", "item.text", F.posexplode("item.parts").alias("pos", "part"))
+    return rows.withColumn("line", F.col("part.line"))
 
 
 def signals(mods: DataFrame) -> DataFrame:
-    """(path, module, ord, name, kind, width, bit_width, is_bus, line) of wire, reg and logic declarations."""
-    form = r"^(wire|reg|logic)\b\s*(?:signed\b|unsigned\b)?\s*(\[[^\]]*\])?\s*(.*);$"
-    found = _exploded(mods).where(F.col("text").rlike(form))
-    names = F.split(F.regexp_replace(F.regexp_extract("text", form, 3), r"=.*$", ""), ",")
-    width = F.nullif(F.regexp_replace(F.regexp_extract("text", form, 2), r"\s+", ""), F.lit(""))
-    b = bus_width(width)
-    rows = found.select("path", "module", "ord", "line", F.regexp_extract("text", form, 1).alias("kind"), width.alias("width"), b["bit_width"].alias("bit_width"), b["is_bus"].alias("is_bus"), F.posexplode(names).alias("pos", "n"))
-    return rows.select("path", "module", (F.col("ord") * 1000 + F.col("pos")).alias("ord"), F.regexp_extract("n", rf"^\s*({ID})", 1).alias("name"), "kind", "width", "bit_width", "is_bus", "line").where("name <> ''")
+    """(path, module, ord, name, kind, width, bit_width, is_bus, line) of wire, reg and logic declarations, a row for each of their names."""
+    b = bus_width(F.col("text"))
+    return _parts(mods, "declaration").select("path", "module", (F.col("ord") * 1000 + F.col("pos")).alias("ord"), F.col("part.name").alias("name"), F.col("type").alias("kind"), F.col("text").alias("width"), b["bit_width"].alias("bit_width"), b["is_bus"].alias("is_bus"), "line")
 
 
 def identifiers(text: Column) -> Column:
@@ -236,54 +102,55 @@ def identifiers(text: Column) -> Column:
 
 
 def assigns(mods: DataFrame, decl_assigns: bool = True) -> DataFrame:
-    """(path, module, idx, target, expression, sources, line) of continuous assigns; ``decl_assigns``: also of wires with a value."""
-    form = r"^assign\s+(?:#\s*\S+\s+)?([^=]+?)\s*=\s*(.*?)\s*;$"
-    rows = _exploded(mods)
-    decl = rf"^(?:wire|logic)\b\s*(?:signed\b)?\s*(?:\[[^\]]*\])?\s*({ID})\s*=\s*(.*?)\s*;$"
-    kinds = [form, decl] if decl_assigns else [form]
-    get = lambda k: F.coalesce(*[F.when(F.col("text").rlike(p), F.regexp_extract("text", p, k)) for p in kinds])
-    out = rows.select("path", "module", F.col("ord").alias("idx"), get(1).alias("target"), get(2).alias("expression"), "line").where("target IS NOT NULL")
+    """(path, module, idx, target, expression, sources, line) of continuous assigns; ``decl_assigns``: also of declared names with a value, other than regs.
+
+    Targets of one statement share its idx.
+    """
+    rows = _parts(mods, "assign")
+    if decl_assigns:
+        rows = rows.unionByName(_parts(mods, "declaration").where("type <> 'reg' AND part.value IS NOT NULL"))
+    out = rows.select("path", "module", F.col("ord").alias("idx"), F.col("part.name").alias("target"), F.col("part.value").alias("expression"), "line")
     return out.withColumn("sources", identifiers(F.col("expression")))
 
 
 def gates(mods: DataFrame) -> DataFrame:
-    """(path, module, ord, name, gate_type, output, inputs, line); the first argument is the output, two at least are needed."""
-    form = rf"^({'|'.join(GATES)})\b\s*(?:#\s*(?:\([^)]*\)|\d+)\s*)?({ID})?\s*\((.*)\)\s*;$"
-    args = F.transform(F.split(F.regexp_extract("text", form, 3), ","), lambda a: F.trim(a))
-    rows = _exploded(mods).where(F.col("text").rlike(form)).select("path", "module", "ord", F.regexp_extract("text", form, 1).alias("gate_type"), F.nullif(F.regexp_extract("text", form, 2), F.lit("")).alias("given"), args.alias("args"), "line").where("size(args) >= 2")
-    return rows.select("path", "module", "ord", F.coalesce("given", F.concat_ws("_", "gate_type", "ord")).alias("name"), "gate_type", F.get("args", F.lit(0)).alias("output"), F.expr("slice(args, 2, size(args) - 1)").alias("inputs"), "line")
+    """(path, module, ord, name, gate_type, output, inputs, line); the first argument is the output, two at least are needed.
+
+    Gates without a name have that of their type and their number among such gates of the module.
+    """
+    args = F.transform("part.args", lambda a: a["value"])
+    rows = _parts(mods, "gate").select("path", "module", "ord", F.col("part.name").alias("name"), F.col("type").alias("gate_type"), args.alias("args"), "line").where("size(args) >= 2")
+    return rows.select("path", "module", "ord", "name", "gate_type", F.get("args", F.lit(0)).alias("output"), F.expr("slice(args, 2, size(args) - 1)").alias("inputs"), "line")
 
 
 def instances(mods: DataFrame) -> DataFrame:
-    """(path, module, ord, name, child, pin_text, line) of each instance of another module."""
-    form = rf"^({ID})\s*(?:#\s*\({FLAT}\))?\s+({ID})\s*(?:\[[^\]]*\])?\s*\(({FLAT})\)\s*;$"
-    spaced = F.regexp_replace("text", rf"^({ID})\s*(#\s*\({FLAT}\))\s*", "$1 $2 ")
-    rows = _exploded(mods).withColumn("text", spaced).where(F.col("text").rlike(form))
-    got = lambda k: F.regexp_extract("text", form, k)
-    return rows.select("path", "module", "ord", got(2).alias("name"), got(1).alias("child"), got(3).alias("pin_text"), "line").where(~F.col("child").isin(RESERVED + GATES))
+    """(path, module, ord, name, child, connections, line) of each instance of another module; those without a name are inst_0, inst_1, … by their place in the statement."""
+    return _parts(mods, "instance").select("path", "module", (F.col("ord") * 1000 + F.col("pos")).alias("ord"), F.col("part.name").alias("name"), F.col("type").alias("child"), F.col("part.args").alias("connections"), "line")
 
 
 def pins(insts: DataFrame) -> DataFrame:
     """(path, module, instance, child, ord, child_port, parent_signal); unnamed pins are arg0, arg1, …; open ones have an empty signal."""
-    named = F.regexp_extract_all("pin_text", F.lit(rf"\.\s*{ID}\s*\({FLAT}\)"), F.lit(0))
-    plain = F.filter(F.split("pin_text", ","), lambda p: F.trim(p) != "")
-    rows = insts.select("path", "module", F.col("name").alias("instance"), "child", F.posexplode(F.when(F.size(named) > 0, named).otherwise(plain)).alias("ord", "p"))
-    form = rf"^\.\s*({ID})\s*\((.*)\)$"
-    isn = F.col("p").rlike(form)
-    return rows.select("path", "module", "instance", "child", "ord", F.when(isn, F.regexp_extract("p", form, 1)).otherwise(F.concat(F.lit("arg"), "ord")).alias("child_port"), F.trim(F.when(isn, F.regexp_extract("p", form, 2)).otherwise(F.col("p"))).alias("parent_signal"))
+    rows = insts.select("path", "module", F.col("name").alias("instance"), "child", F.posexplode("connections").alias("ord", "p"))
+    return rows.select("path", "module", "instance", "child", "ord", F.col("p.port").alias("child_port"), F.col("p.value").alias("parent_signal"))
 
 
 def always_blocks(mods: DataFrame) -> DataFrame:
-    """(path, module, ord, keyword, sensitivity, style, polarity, clock, steps, controls, line); steps are the assignments inside, controls what its outer statements control."""
-    form = r"^(always(?:_comb|_ff|_latch)?)\b\s*(?:@\s*(?:\(([^)]*)\)|(\*)))?"
-    rows = _exploded(mods).where(F.col("text").rlike(form))
-    sens = F.trim(F.concat(F.regexp_extract("text", form, 2), F.regexp_extract("text", form, 3)))
-    kept = rows.select("path", "module", "ord", F.regexp_extract("text", form, 1).alias("keyword"), sens.alias("sensitivity"), "steps", "controls", "line")
-    pos, neg = F.col("sensitivity").rlike(r"\bposedge\b"), F.col("sensitivity").rlike(r"\bnegedge\b")
-    style = F.when((F.col("keyword") == "always_comb") | F.col("sensitivity").isin("*"), "comb").when((F.col("keyword") == "always_ff") | pos | neg, "seq").when(F.col("keyword") == "always_latch", "latch").otherwise("generic")
+    """(path, module, ord, keyword, sensitivity, style, polarity, clock, title, label, steps, controls, line).
+
+    Steps are the assignments inside, controls what its outer statements control. The title says what starts the block,
+    the label its trigger in short.
+    """
+    rows = mods.select("path", "module", F.posexplode("items").alias("ord", "item")).where("item.kind = 'always'")
+    kept = rows.select("path", "module", "ord", F.col("item.type").alias("keyword"), F.col("item.text").alias("sensitivity"), F.col("item.steps").alias("steps"), F.col("item.controls").alias("controls"), F.col("item.line").alias("line"))
+    word, text = F.col("keyword"), F.col("sensitivity")
+    edge, clock = (F.nullif(F.regexp_extract(text, rf"\b(posedge|negedge)\s+({ID})", k), F.lit("")) for k in (1, 2))
+    pos, neg = text.rlike(rf"\bposedge\s+{ID}"), text.rlike(rf"\bnegedge\s+{ID}")
+    style = F.when((word == "always_comb") | text.isin("*"), "comb").when((word == "always_ff") | pos | neg, "seq").when(word == "always_latch", "latch").otherwise("generic")
     polarity = F.when(pos & neg, "mixed").when(pos, "posedge").when(neg, "negedge").otherwise("level")
-    clock = F.nullif(F.regexp_extract("sensitivity", rf"\b(?:posedge|negedge)\s+({ID})", 1), F.lit(""))
-    return kept.select("path", "module", "ord", "keyword", "sensitivity", style.alias("style"), polarity.alias("polarity"), clock.alias("clock"), "steps", "controls", "line")
+    at = F.when(text == "", "ALWAYS").otherwise(F.concat(F.lit("ALWAYS @("), text, F.lit(")")))
+    title = F.when(style == "comb", "ALWAYS @(*)").otherwise(at)
+    label = F.when(style == "comb", "COMB").when(style == "seq", F.concat_ws(" ", F.lit("SEQ"), edge, clock)).when(style == "latch", "LATCH").otherwise(title)
+    return kept.select("path", "module", "ord", "keyword", "sensitivity", style.alias("style"), polarity.alias("polarity"), clock.alias("clock"), title.alias("title"), label.alias("label"), "steps", "controls", "line")
 
 
 def always_assigns(blocks: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ import os
 
 import pytest
 
-from netloom.plans import bridge, designs, reports, schematics
+import __spark_entry__
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = bridge.queries() | designs.queries() | reports.queries() | schematics.queries(), bridge.oracle_sql() | designs.oracle_sql() | reports.oracle_sql() | schematics.oracle_sql()
+QUERIES = {name: f for name, f in __spark_entry__.queries().items() if not name.startswith("op") and name != "pipeline"}
+SQL = {name: sql for name, sql in __spark_entry__.oracle_sql().items() if name in QUERIES}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
 
@@ -31,5 +32,5 @@ def plain(rows):
 def test_same_rows_as_sql(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    expected = duck.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]}) q").fetchall()
+    expected = duck.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({SQL[name]}) q").fetchall()
     assert plain(df.select(*columns).collect()) == plain(expected)

@@ -146,3 +146,86 @@ def test_dump(spark, tmp_path, blocks):
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+FORMS = """module m (input a, output y);
+  wire p = a, q = b[0];
+  foo u1 (.x(a)), u2 (a, , y);
+  foo (.x(f(g(h(i(j(a)))))));
+  and g1 (n1, a, b), g2 (n2, p, q), (n3, a);
+  or (n4, a, b);
+  assign y = p, m = n;
+  foo u9 (.a(b);
+  assign = 3;
+  end
+  bogus text here
+  wire [3:0] ok;
+  case_t x;
+  always @(posedge a) begin y <= 1;
+endmodule
+loose words
+module (input a); endmodule
+module late (input a);
+module fine; endmodule : fine
+endmodule
+"""
+
+
+def test_every_form_of_a_statement_and_every_stretch_of_text(spark):
+    files = spark.createDataFrame([("f.v", FORMS), ("none.v", None)], "path string, text string")
+    found = rtl.modules(files).cache()
+    assert rows(found, "module", "line") == [("m", 1), ("fine", 19)]
+    assert rows(rtl.instances(found), "name", "child", "line") == [("u1", "foo", 3), ("u2", "foo", 3), ("inst_0", "foo", 4)]
+    assert rows(rtl.pins(rtl.instances(found)), "instance", "child_port", "parent_signal") == [("u1", "x", "a"), ("u2", "arg0", "a"), ("u2", "arg1", ""), ("u2", "arg2", "y"), ("inst_0", "x", "f(g(h(i(j(a)))))")]
+    assert rows(rtl.gates(found), "name", "output", "inputs") == [("g1", "n1", ["a", "b"]), ("g2", "n2", ["p", "q"]), ("and_0", "n3", ["a"]), ("or_1", "n4", ["a", "b"])]
+    assert rows(rtl.assigns(found, decl_assigns=False), "target", "expression") == [("y", "p"), ("m", "n")]
+    assert rows(rtl.signals(found), "name", "width") == [("p", None), ("q", None), ("ok", "[3:0]")]
+    assert rows(rtl.diagnostics(files), "kind", "line", "token", "message") == [
+        ("read_failure", None, None, "the file could not be read"),
+        ("parse_failure", 8, "(", "'(' is never closed"), ("parse_failure", 9, "=", "a target and '=' are expected"), ("parse_failure", 10, "end", "'end' closes nothing"),
+        ("parse_failure", 11, "here", "'(' is expected"), ("parse_failure", 13, ";", "'(' is expected"), ("parse_failure", 14, "always", "the statement never ends"),
+        ("outside_module", 16, "loose", "the text is in no module"), ("parse_failure", 17, "(", "the module has no name"), ("parse_failure", 18, "module", "the module never ends"), ("parse_failure", 20, "endmodule", "endmodule closes nothing"),
+    ]
+
+
+def test_no_token_vanishes():
+    """Whatever is cut out of a text or put into it, each token is in an item, in a report, or a module's own."""
+    import random
+
+    from netloom.sources import verilog
+
+    draw = random.Random(2)
+    tokens = [t.group() for t in verilog.TOKEN.finditer(FORMS)]
+    for _ in range(300):
+        some = list(tokens)
+        for _ in range(draw.randrange(1, 6)):
+            at = draw.randrange(len(some))
+            some[at : at + draw.randrange(3)] = draw.choices(tokens, k=draw.randrange(3))
+        reader = verilog.Reader("\n".join(some))
+        seen = [0] * len(some)
+        made, lost, listed = verilog.Reader.item, verilog.Reader.report, verilog.Reader.ports
+
+        def item(self, i):
+            k, out = made(self, i)
+            assert k > i
+            seen[i:k] = [1] * (k - i)
+            return k, out
+
+        def report(self, kind, i, j, message, at=None):
+            seen[i:j] = [1] * (j - i)
+            lost(self, kind, i, j, message, at)
+
+        def ports(self, i, j):
+            out = listed(self, i, j)
+            seen[i:j] = [1] * (j - i)
+            return out
+
+        verilog.Reader.item, verilog.Reader.report, verilog.Reader.ports = item, report, ports
+        try:
+            mods = reader.file()
+        finally:
+            verilog.Reader.item, verilog.Reader.report, verilog.Reader.ports = made, lost, listed
+        heads = sum(w in ("module", "endmodule") for w in some)
+        if not mods:
+            assert all(seen[i] or some[i] in ("module", "endmodule", ":", "fine") for i in range(len(some)))
+        assert heads and sum(not x for x in seen) <= len(mods) * 10
