@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm import bpe, mixing, shingles, substring, toxicity
 from netloom.llm.queries import ranks
-from netloom.llm.store import materialize
+from netloom.llm.store import drop, materialize
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +67,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -73,7 +73,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 42) -> DataFrame:
     """``docs`` as the mix holds them: each row as often as it is taken whole, and once more, cut after the last word taken, where it is taken in part.
 
-    A document without words costs no budget and stays once.
+    A document without words, null texts included, costs no budget and stays once. A missing source is one more source;
+    a missing id is an id like others. Rows equal in id and text share what is taken of them, whichever gets which part.
+    An empty table gives an empty result; other columns are carried, whatever their names.
     """
     keyed = docs.withColumn("__key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 16))
     plan = mix(docs, doc_id, text, source, seed).groupBy(F.col("doc_id").alias("__id"), "key").agg(F.max("size").alias("__size"), F.collect_list("taken").alias("__taken"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .chunks import by_shard, ids_of, make_chunks, pack, pack_bits, pack_sorted, replies_of, shard_bits, texts_of, unpack, unpack_bits, unpack_sorted, with_replies
 from .ids import whole
-from .store import materialize
+from .store import drop, materialize
 from .words import hashes, tokenized, window_hashes
 
 #: Rows of the sketch, and cells of a row for each window, at least.
@@ -122,8 +122,8 @@ def _group_exactly(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shard", "chunk", "body"])
 
 
-def covered_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, emit=None, schema: str | None = None, words_per_chunk: int = WORDS_PER_CHUNK) -> DataFrame:
-    """One row per document from its id and ``emit(text, covered)``, by default the digest columns of `dedup_digests`."""
+def covered_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13, emit=None, schema: str | None = None, words_per_chunk: int = WORDS_PER_CHUNK) -> tuple[DataFrame, list[DataFrame]]:
+    """One row per document from its id and ``emit(text, covered)``, by default the digest columns of `dedup_digests`; and the stored tables that it reads."""
     emit, schema = (emit, schema) if emit else (_digest, DIGEST)
     chunks = make_chunks(docs, doc_id, text, words=words_per_chunk)
     words, bits = shard_bits(chunks)
@@ -165,7 +165,7 @@ def covered_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     sketch = materialize(sketch, "sketch")
     exact = with_replies(chunks, sketch=sketch).mapInPandas(suspects, MESSAGE).groupBy("shard").applyInPandas(_group_exactly, REPLY)
     exact = materialize(exact, "exact")
-    return with_replies(chunks, sketch=sketch, exact=exact).mapInPandas(cut, schema)
+    return with_replies(chunks, sketch=sketch, exact=exact).mapInPandas(cut, schema), [chunks, sketch, exact]
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -203,12 +203,19 @@ def dedup_digests(docs: DataFrame, **options) -> DataFrame:
     which is smaller than the other; so repeated rows lose nothing to each other. Texts under ``window`` words lose
     nothing. An empty table gives an empty result. Other columns are ignored.
     """
-    return covered_words(docs, **options)
+    return covered_words(docs, **options)[0]
 
 
 def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the repeated passages cut out of the texts; a document that loses all its words goes, one that had none stays."""
-    changed = covered_words(docs, doc_id, text, emit=_text, schema="id long, digest binary, kept binary", **options).where("kept is not null").select("id", "digest", F.decode("kept", "UTF-8").alias("kept_text")).distinct()
+    """``docs`` with the repeated passages cut out of the texts; a document that loses all its words goes, one that had none stays.
+
+    Null and short texts stay as they are. A missing id is larger than every other; rows of one id lose nothing to each
+    other, so repeated rows stay alike. Only the texts that change are stored. An empty table gives an empty result;
+    other columns are carried, whatever their names.
+    """
+    cut, stored = covered_words(docs, doc_id, text, emit=_text, schema="id long, digest binary, kept binary", **options)
+    changed = materialize(cut.where("kept is not null").select("id", "digest", F.decode("kept", "UTF-8").alias("kept_text")).distinct(), "changed")
+    drop(*stored)
     keyed = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))))
     on = (keyed[doc_id].eqNullSafe(changed["id"])) & (keyed["__digest"] == changed["digest"])
     joined = keyed.join(changed, on, "left").where("kept_text is null or kept_text <> ''")

@@ -253,7 +253,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` less the rows whose score reaches the threshold."""
+    """``docs`` less the rows whose score reaches the threshold.
+
+    Null texts are scored as empty ones. Rows of equal texts go or stay together, whatever their ids, missing ones
+    included. An empty table stays empty; other columns are carried, whatever their names.
+    """
     scores = train(docs, labels, label, doc_id=doc_id, text=text, **options)
 
     @F.pandas_udf("double")

@@ -244,3 +244,15 @@ def test_nearest_abandons_only_the_farther():
     assert centroids.parts_of(5).__next__() == (0, 5)
     for v in (0, -1, 2**61, -(2**62), 2**70 + 3, -(2**200) - 7):
         assert sum(p << (centroids.PART * k) for k, p in centroids.parts_of(v)) == v
+
+
+def test_one_learning_row_an_id(spark):
+    """An id that many rows share is one row of the sample, whatever the rows' order."""
+    from netloom.llm import labelled
+
+    docs = odd_docs(spark, [(7, f"t{i % 50}", "en", "s", 1) for i in range(2_000)] + [(8, "b", "en", "s", 1), (8, None, "en", "s", 1), (9, None, "en", "s", 1)])
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (9, 1), (None, 1)], "doc_id long, toxic int")
+    held = {i for i in (7, 8, 9) if zlib.crc32(str(i).encode()) % 3 == 1}
+    want = sorted((y, t) for i, y, t in [(7, 1, b"t0"), (8, 0, b""), (9, 1, b"")] if i not in held)
+    for part in (docs.repartition(5), docs.coalesce(1)):
+        assert sorted((r["y"], bytes(r["text"])) for r in labelled.sample(part, labels, "toxic", 100).collect()) == want
