@@ -13,6 +13,14 @@ from netloom.project import looks_like_bench
 from netloom.sources import rtl
 
 
+#: Tops and nodes of the tree that are printed; what is left out is said.
+SHOWN_TOPS, SHOWN_NODES = 100, 1000
+
+
+def more(n: int) -> str:
+    return f" … and {n} more" if n > 0 else ""
+
+
 def scan(spark: SparkSession, root: str, out: str | None = None, graph: bool = False) -> int:
     """Prints counts, tops and the tree under each top; writes the catalog's tables as JSON under ``out``. 2 if there is nothing or no single top for the graph."""
     files = rtl.scan(spark, root).cache()
@@ -33,16 +41,19 @@ def report(spark: SparkSession, files: DataFrame, mods: DataFrame, out: str | No
     names = tables["modules"].select(F.col("module").alias("name"), looks_like_bench(F.col("module"), F.col("path")).alias("is_testbench"))
     links = design.children(tables)
     tops = graphs.infer_tops(names, links.join(names.select(F.col("name").alias("parent"), F.col("is_testbench").alias("parent_is_testbench")), "parent"))
-    found = [r["name"] for r in tops.orderBy("name").limit(100).collect()]
-    print("tops:", ", ".join(found))
-    tree = graphs.hierarchy(links, tops.select(F.col("name").alias("node")))
-    for r in tree.orderBy("path").limit(1000).collect():
+    n_tops = tops.count()
+    found = [r["name"] for r in tops.orderBy("name").limit(SHOWN_TOPS).collect()]
+    print("tops:", ", ".join(found) + more(n_tops - len(found)))
+    tree = graphs.hierarchy(links, tops.select(F.col("name").alias("node"))).cache()
+    shown = tree.orderBy("path").limit(SHOWN_NODES).collect()
+    for r in shown:
         print("  " * r["depth"] + r["node"] + (" (cycle)" if r["cycle"] else ""))
+    print(more(tree.count() - len(shown)), end="")
     if out:
         for name, table in tables.items():
             table.write.mode("overwrite").json(f"{out}/{name}")
     if graph:
-        if len(found) != 1:
+        if n_tops != 1:
             print("a graph needs exactly one top", file=sys.stderr)
             return 2
         edges = design.connectivity(design.endpoints(tables)).where(F.col("module") == found[0])

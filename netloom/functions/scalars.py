@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Patterns of the expression classes, in the order in which they are tried; the first that matches names the class.
 EXPRESSION_CLASSES = [
-    ("mux", r"\?\s*[^:]+:|\bcase[zx]?\b"),
-    ("comparison", r"==|!=|>=|<=(\S|$)|(^|[^<>=])<([^<=]|$)|(^|[^<>=])>([^>=]|$)"),
-    ("arithmetic", r"\+|-|\*|/|%|<<|>>"),
-    ("logic", r"&|\||\^|~|!"),
+    ("mux", r"\?\s*[^:]+:|\bcase\b|\bcasez\b|\bcasex\b"),
+    ("comparison", r"==|!=|<=(?!\s)|>=|(?<![<>=])<(?![<=])|(?<![<>=])>(?![>=])"),
+    ("arithmetic", r"[+\-*/%]|<<|>>"),
+    ("logic", r"[&|^~!]"),
 ]
 # Words that name a port's rank (clock, reset, handshake); a bus ranks 3, everything else 4.
 PORT_RANKS = [(0, ["clk", "clock"]), (1, ["rst", "reset", "clear"]), (2, ["en", "enable", "start", "valid", "ready", "busy"])]
@@ -28,6 +28,8 @@ REGION_TITLES = {
 }
 # Words in the names of control signals.
 CONTROL_WORDS = ["clk", "clock", "rst", "reset", "enable", "en", "start", "valid", "ready", "busy", "done"]
+# Words in the names of control signals that a simplified schematic keeps.
+SHOWN_CONTROLS = ["clk", "clock", "rst", "reset", "start", "busy", "valid", "ready"]
 # The forms in which a log line states a simulation time.
 TIME_FORMS = [
     r"\[\s*t\s*=\s*(\d+)\s*[a-zA-Z]*\s*\]",

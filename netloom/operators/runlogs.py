@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.scalars import TIME_FORMS, event_time
@@ -10,6 +13,8 @@ from netloom.functions.scalars import TIME_FORMS, event_time
 # The words of a verdict, and the endings of files with expected output in the order in which they are tried.
 VERDICTS = [("pass", ["PASS", "PASSED"]), ("fail", ["FAIL", "FAILED", "FAILURE"]), ("error", ["ERROR"]), ("fatal", ["FATAL"])]
 GOLDEN_ENDINGS = [".expected.txt", ".expected", ".golden.txt", ".golden"]
+#: White space at the ends of lines, which comparisons leave out.
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = "|".join(w for _, ws in VERDICTS for w in sorted(ws, key=len, reverse=True))
 _TOKEN = rf"(?i)(?<![A-Za-z0-9_])({_WORDS})(?![A-Za-z0-9_])"
 
@@ -93,14 +98,34 @@ def golden_files(files: DataFrame, benches: DataFrame) -> DataFrame:
 
 
 def compared(actual: DataFrame, expected: DataFrame, run: str = "run", text: str = "text") -> DataFrame:
-    """(run, line_no, actual, expected, same) of two tables of whole outputs, by position; line ends and trailing blanks don't count.
+    """(run, line_no, actual, expected, same) of two tables of whole outputs, by position, over their `output_lines`."""
+    lines = lambda df, name: df.select(F.col(run).alias("run"), F.posexplode(output_lines(F.col(text))).alias("line_no", name))
+    both = lines(actual, "actual").join(lines(expected, "expected"), ["run", "line_no"], "full_outer")
+    return both.withColumn("same", F.col("actual").eqNullSafe(F.col("expected")))
+
+
+def output_lines(text: Column) -> Column:
+    """The lines of an output as they are compared: without white space at their ends; a blank last line is dropped once. Null has none."""
+    lines = F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.rtrim(x, F.lit(WHITE)))
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
-    One empty last line is dropped on either side.
+
+def golden_diffs(actual: DataFrame, expected: DataFrame, run: str = "run", text: str = "text", most: int | None = 200) -> DataFrame:
+    """(run, matched, diff) for each run that has an expected output: whether both have the same `output_lines`, and the lines of their unified diff.
+
+    A run without an actual output has printed nothing. Beyond ``most`` lines, one says how many more there are; None
+    keeps all. An empty expected output is matched by an empty one only.
     """
 
-    def lines(df: DataFrame, name: str) -> DataFrame:
-        body = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n$", "")
-        return df.where(F.length(body) > 0).select(F.col(run).alias("run"), F.posexplode(F.split(body, "\n")).alias("line_no", "x")).select("run", "line_no", F.rtrim("x").alias(name))
+    def unified(wanted: pd.Series, got: pd.Series) -> pd.Series:
+        def one(a, b):
+            lines = list(difflib.unified_diff(list(a), list(b), fromfile="expected", tofile="actual", lineterm=""))
+            return lines if most is None or len(lines) <= most else [*lines[:most], f"... ({len(lines) - most} more diff lines truncated)"]
 
-    both = lines(actual, "actual").join(lines(expected, "expected"), ["run", "line_no"], "full_outer")
-    return both.withColumn("same", F.col("actual").eqNullSafe(F.col("expected")))
+        return pd.Series([one(a, b) for a, b in zip(wanted, got)], dtype=object)
+
+    wanted = expected.select(F.col(run).alias("run"), output_lines(F.col(text)).alias("wanted"))
+    both = wanted.join(actual.select(F.col(run).alias("run"), output_lines(F.col(text)).alias("got")), "run", "left").withColumn("got", F.coalesce("got", F.array().cast("array<string>")))
+    matched = both.where(F.col("wanted") == F.col("got")).select("run", F.lit(True).alias("matched"), F.array().cast("array<string>").alias("diff"))
+    differ = both.where(F.col("wanted") != F.col("got")).select("run", F.lit(False).alias("matched"), F.pandas_udf(unified, "array<string>")("wanted", "got").alias("diff"))
+    return matched.unionByName(differ)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.scalars import is_control_name
+from netloom.functions.scalars import SHOWN_CONTROLS, is_control_name
 
 
 def modules_by_file(files: DataFrame, modules: DataFrame) -> DataFrame:
@@ -62,9 +62,9 @@ def known_edges(edges: DataFrame) -> DataFrame:
 
 
 def shown_edges(edges: DataFrame, mode: str) -> DataFrame:
-    """Edges (net, width, fanout) of a schematic: all in full mode, buses in bus mode; in simplified mode buses, nets of several sinks and control signals."""
+    """Edges (net, width, fanout) of a schematic: all in full mode, buses in bus mode; in simplified mode buses, nets of several sinks, clocks, resets and handshakes."""
     bus = F.coalesce(F.col("width") > 1, F.lit(False))
-    return edges.where({"full": F.lit(True), "bus": bus, "simplified": bus | (F.col("fanout") > 1) | is_control_name(F.col("net"))}[mode])
+    return edges.where({"full": F.lit(True), "bus": bus, "simplified": bus | (F.col("fanout") > 1) | F.lower("net").rlike("|".join(SHOWN_CONTROLS))}[mode])
 
 
 def meaningful_hops(hops: DataFrame) -> DataFrame:

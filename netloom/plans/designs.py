@@ -199,19 +199,16 @@ def _stream(s, d):
     return streams.stream(s, f"{d}/events.parque[t]")
 
 
-@_query("""WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type FROM events) SELECT start, event_type, count(*) AS n FROM w
-WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY start, event_type""")
+@_query("""WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type FROM events) SELECT start, event_type, count(*) AS n FROM w GROUP BY start, event_type""")
 def stream_tumbling(s, d):
-    """Windows that the watermark has closed."""
-    out = streams.drain(streams.tumbling(_stream(s, d), "ts", "event_type", "value"), graphs.new_path(s, "tumbling"))
+    out = streams.drain_whole(streams.tumbling(_stream(s, d), "ts", "event_type", "value"), graphs.new_path(s, "tumbling"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @_query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-b AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a), c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS until, count(*) AS n FROM b GROUP BY user_id, k)
-SELECT * FROM c WHERE until <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+b AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a), c AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS until, count(*) AS n FROM b GROUP BY user_id, k) SELECT * FROM c""")
 def stream_sessions(s, d):
-    out = streams.drain(streams.sessions(_stream(s, d), "ts", "user_id"), graphs.new_path(s, "sessions"))
+    out = streams.drain_whole(streams.sessions(_stream(s, d), "ts", "user_id"), graphs.new_path(s, "sessions"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("until"), "n")
 
 

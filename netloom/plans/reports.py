@@ -207,15 +207,15 @@ def hops_kept(s, d):
     return summaries.hops_kept(_t(s, d, "events").withColumnRenamed("user_id", "start"), ["event_type"], 3)
 
 
-_NETS = "nets AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'sys_CLK' WHEN 1 THEN 'tx_ready' ELSE 'sum' END AS net, p_size % 3 AS width, p_partkey % 4 AS fanout, CASE p_partkey % 6 WHEN 0 THEN 'unknown' WHEN 1 THEN NULL ELSE 'forward' END AS flow FROM part)"
+_NETS = "nets AS (SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'sys_CLK' WHEN 1 THEN 'tx_ready' WHEN 2 THEN 'done' WHEN 3 THEN 'enable' WHEN 4 THEN 'data_len' WHEN 5 THEN 'Busy2' WHEN 6 THEN 'restart' ELSE 'sum' END AS net, p_size % 3 AS width, p_partkey % 4 AS fanout, CASE p_partkey % 6 WHEN 0 THEN 'unknown' WHEN 1 THEN NULL ELSE 'forward' END AS flow FROM part)"
 
 
 def _nets(s, d):
     k = F.col("p_partkey")
-    return _t(s, d, "part").select(k.alias("id"), F.when(k % 5 == 0, "sys_CLK").when(k % 5 == 1, "tx_ready").otherwise("sum").alias("net"), (F.col("p_size") % 3).alias("width"), (k % 4).alias("fanout"), F.when(k % 6 == 0, "unknown").when(k % 6 > 1, "forward").alias("flow"))
+    return _t(s, d, "part").select(k.alias("id"), F.get(F.array(*map(F.lit, ["sys_CLK", "tx_ready", "done", "enable", "data_len", "Busy2", "restart", "sum", "sum"])), (k % 9).cast("int")).alias("net"), (F.col("p_size") % 3).alias("width"), (k % 4).alias("fanout"), F.when(k % 6 == 0, "unknown").when(k % 6 > 1, "forward").alias("flow"))
 
 
-@_query(f"WITH {_NETS} SELECT id FROM nets WHERE width > 1 OR fanout > 1 OR net IN ('sys_CLK', 'tx_ready')")
+@_query(f"WITH {_NETS} SELECT id FROM nets WHERE width > 1 OR fanout > 1 OR net IN ('sys_CLK', 'tx_ready', 'Busy2', 'restart')")
 def simplified_edges(s, d):
     return summaries.shown_edges(_nets(s, d), "simplified").select("id")
 
@@ -261,6 +261,33 @@ def signal_chains(s, d):
     return graphs.chains(dep.select(name("a").alias("src"), name("b").alias("dst"), F.col("b").cast("int").alias("ord")), "s3", 25).select(F.array_join("path", ">").alias("chain"))
 
 
+_OUTPUTS = """e AS (SELECT doc_id AS run, doc_id % 6 AS v, list_transform(string_split(replace('log ' || rtrim(coalesce(text, ''), chr(9) || chr(10) || chr(13) || ' '), chr(13) || chr(10), chr(10)), chr(10)), lambda x: rtrim(x, chr(9) || chr(13) || ' ')) AS ls FROM documents)"""
+
+
+def _outputs(s, d):
+    """(run, text) of actual and of expected outputs: other line ends and blanks, one blank line more, two, another first line, no output, the same."""
+    v, want = F.col("doc_id") % 6, F.concat(F.lit("log "), F.rtrim(F.coalesce("text", F.lit("")), F.lit("\t\n\r ")))
+    first = F.regexp_replace(want, "^[^\n]*", "changed")
+    got = F.when(v == 0, F.regexp_replace(want, "\r?\n", " \t\r\n")).when(v == 1, F.concat(want, F.lit("\t\n"))).when(v == 2, F.concat(want, F.lit("\n\n"))).when(v == 3, first).when(v == 5, want)
+    docs = _t(s, d, "documents")
+    return docs.select(F.col("doc_id").alias("run"), got.alias("text")), docs.select(F.col("doc_id").alias("run"), want.alias("text"))
+
+
+@_query(f"""WITH {_OUTPUTS}, l AS (SELECT run, v, unnest(ls) AS line, unnest(range(len(ls))) AS n FROM e)
+SELECT run, CAST(n AS INTEGER) AS line_no, v IN (0, 1, 2, 5) OR (v = 3 AND n > 0) AS same FROM l UNION ALL SELECT run, CAST(len(ls) AS INTEGER), FALSE FROM e WHERE v = 2""")
+def golden_lines(s, d):
+    return runlogs.compared(*_outputs(s, d)).select("run", F.col("line_no").cast("int").alias("line_no"), "same")
+
+
+@_query(f"""WITH {_OUTPUTS}, f AS (SELECT *, len(ls) AS n, least(3, len(ls)) AS c, least(4, len(ls)) AS k FROM e),
+g AS (SELECT *, '@@ -' || CASE v WHEN 2 THEN (n - c + 1) || CASE c WHEN 1 THEN '' ELSE ',' || c END || ' +' || (n - c + 1) || ',' || (c + 1) WHEN 3 THEN 1 || CASE k WHEN 1 THEN '' ELSE ',' || k END || ' +1' || CASE k WHEN 1 THEN '' ELSE ',' || k END
+ELSE 1 || CASE n WHEN 1 THEN '' ELSE ',' || n END || ' +0,0' END || ' @@' AS head FROM f)
+SELECT run, v IN (0, 1, 5) AS matched, CASE WHEN v IN (0, 1, 5) THEN '' ELSE array_to_string(list_concat(['--- expected', '+++ actual', head], CASE v WHEN 2 THEN list_concat(list_transform(ls[n - c + 1:], lambda x: ' ' || x), ['+'])
+WHEN 3 THEN list_concat(['-' || ls[1], '+changed'], list_transform(ls[2:k], lambda x: ' ' || x)) ELSE list_transform(ls, lambda x: '-' || x) END), chr(10)) END AS diff FROM g""")
+def golden_diff(s, d):
+    return runlogs.golden_diffs(*_outputs(s, d), most=None).select("run", "matched", F.array_join("diff", "\n").alias("diff"))
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _Q.items()}
 

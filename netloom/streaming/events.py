@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stream(spark: SparkSession, path: str, files_each: int = 100) -> DataFrame:
@@ -60,6 +61,21 @@ def drain(result: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return result.sparkSession.read.schema(result.schema).parquet(f"{path}/rows")
 
 
+def drain_whole(result: DataFrame, path: str) -> DataFrame:
+    """Runs an aggregation over what is there now, and returns the groups of all of it, those that no watermark has closed too.
+
+    The groups are written after each batch under ``path``/rows/batch=n, and those of the last batch hold. A batch that
+    is run again replaces its own folder; later runs go on with the state, and no row is too late for them.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+
+    result.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    rows = result.sparkSession.read.schema(T.StructType([*result.schema, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
 def upserted(source: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame]) -> None:
     """Runs ``extract`` on each batch of files and writes its rows under ``path``/batch=n.
 
