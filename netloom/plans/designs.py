@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import design, geometry, graphs, lint, runlogs, views
 from ..sources import files as project_files
-from ..sources import rtl, vcd
+from ..sources import formats, rtl, vcd
 from ..streaming import events as streams
 from .bridge import _DEP, _dep, _t
 
@@ -34,12 +34,15 @@ def _query(sql: str | None = None):
     return keep
 
 
-def _design(s, d):
-    """The modules of all parts, a hundred to a file."""
+def _texts(s, d):
+    """(f, text): the modules of all parts, a hundred to a file."""
     k = F.col("p_partkey")
     text = F.replace(F.replace(F.replace(F.lit(MODULE), F.lit("{k}"), k.cast("string")), F.lit("{l}"), (2 * k).cast("string")), F.lit("{r}"), (2 * k + 1).cast("string"))
-    files = _t(s, d, "part").groupBy(F.floor(k / 100).alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), text.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    return design.catalog(rtl.modules(files.select(F.format_string("p%08d.v", "f").alias("path"), "text")))
+    return _t(s, d, "part").groupBy(F.floor(k / 100).alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), text.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
+def _design(s, d):
+    return design.catalog(rtl.modules(_texts(s, d).select(F.format_string("p%08d.v", "f").alias("path"), "text")))
 
 
 @_query("SELECT 'p' || p_partkey AS module, i.name, 'p' || (2 * p_partkey + i.o) AS child, CAST((p_partkey - mn) * 9 + 4 + i.o AS BIGINT) AS line FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_partkey // 100) AS mn FROM part), (VALUES ('u0', 0), ('u1', 1)) i(name, o)")
@@ -151,7 +154,11 @@ def lint_files(s, d):
 
 
 def _dump(s, d):
-    """Dumps of all events under a new folder, one file for each of 64 groups of users."""
+    return vcd.lines(s, _dumped(s, d))
+
+
+def _dumped(s, d):
+    """A new folder of dumps of all events, one file for each of 64 groups of users."""
     e = _t(s, d, "events").select((F.pmod("user_id", F.lit(64))).alias("bucket"), F.col("user_id").alias("u"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("v"))
     users = e.select("bucket", "u").distinct()
     line = lambda df, part, t, v, text: df.select("bucket", F.lit(part).alias("part"), t.alias("t"), v.alias("v"), text.alias("value"))
@@ -164,7 +171,26 @@ def _dump(s, d):
         rows = rows.unionByName(x)
     path = graphs.new_path(s, "dump")
     rows.repartition("bucket").sortWithinPartitions("bucket", "part", "t", "v").select("bucket", "value").write.partitionBy("bucket").text(path)
-    return vcd.lines(s, path)
+    return path
+
+
+@_query("SELECT 'top.user' || user_id AS full_name, CAST(floor(epoch(ts)) AS BIGINT) AS time, CAST(event_id AS VARCHAR) AS value FROM events WHERE user_id % 7 = 3")
+def vcd_format(s, d):
+    """Changes of some signals, chosen while the dumps are read."""
+    formats.register(s)
+    wanted = [f"top.user{r[0]}" for r in _t(s, d, "events").where("user_id % 7 = 3").select("user_id").distinct().collect()]
+    found = s.read.format("vcd").option("endings", ".txt").load(_dumped(s, d))
+    return found.where(F.col("full_name").isin(wanted)).select("full_name", "time", "value")
+
+
+@_query("SELECT 'p' || p_partkey AS module, i.name, 'p' || (2 * p_partkey + i.o) AS child FROM part, (VALUES ('u0', 0), ('u1', 1)) i(name, o)")
+def rtl_format(s, d):
+    """The modules of all parts, written as files and read by their format."""
+    formats.register(s)
+    path = graphs.new_path(s, "design")
+    _texts(s, d).repartition("f").select("f", F.col("text").alias("value")).write.partitionBy("f").text(path)
+    mods = s.read.format("rtl").option("endings", ".txt").option("group_bytes", 1 << 20).load(path)
+    return rtl.instances(mods).select("module", "name", "child")
 
 
 @_query("SELECT 'top.user' || user_id AS full_name, CAST(floor(epoch(ts)) AS BIGINT) AS time, CAST(event_id AS VARCHAR) AS value FROM events")

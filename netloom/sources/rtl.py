@@ -22,7 +22,9 @@ SKIPPED_FOLDERS = ["node_modules", "__pycache__", "venv", ".venv", "env"]
 ID = r"[A-Za-z_][A-Za-z0-9_$]*"
 PARTS = "array<struct<name:string,value:string,line:int,args:array<struct<port:string,value:string>>>>"
 STEPS = "array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string>>"
-MODULE = f"struct<module:string,line:int,ports:array<struct<ord:int,name:string,direction:string,width:string>>,items:array<struct<line:int,kind:string,type:string,text:string,parts:{PARTS},steps:{STEPS},controls:array<string>>>>"
+PORTS = "array<struct<ord:int,name:string,direction:string,width:string>>"
+ITEMS = f"array<struct<line:int,kind:string,type:string,text:string,parts:{PARTS},steps:{STEPS},controls:array<string>>>"
+MODULE = f"struct<module:string,line:int,ports:{PORTS},items:{ITEMS}>"
 LOST = "struct<kind:string,line:int,token:string,message:string,text:string>"
 
 

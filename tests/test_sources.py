@@ -226,3 +226,26 @@ def test_no_token_vanishes():
         finally:
             verilog.Reader.item, verilog.Reader.report, verilog.Reader.ports = made, lost, listed
         assert all(seen[i] or some[i] in ("module", "endmodule", ":", "fine") for i in range(len(some))) if not mods else sum(not x for x in seen) <= len(mods) * 10 + some.count("endmodule")
+
+
+def test_formats_give_the_same_rows(spark, tmp_path):
+    from netloom.sources import formats
+
+    formats.register(spark)
+    (tmp_path / "d" / "venv").mkdir(parents=True)
+    for name, text in (("a.SV", DESIGN), ("b.v", FORMS), ("venv/c.v", DESIGN), ("x y.v", "module spaced; endmodule // module no; endmodule"), ("no.txt", DESIGN), ("empty.v", "")):
+        (tmp_path / "d" / name).write_text(text)
+    root = str(tmp_path / "d")
+    read = spark.read.format("rtl").option("group_bytes", 1).load(root)
+    want = rtl.modules(rtl.scan(spark, root))
+    assert sorted(map(repr, read.collect())) == sorted(map(repr, want.collect()))
+    assert read.rdd.getNumPartitions() == 4
+    one = read.where("path LIKE '%/b.v'")
+    assert one.rdd.getNumPartitions() == 1 and rows(one, "module") == [("m",), ("fine",)]
+    assert rows(rtl.instances(read.where("module = 'top'")), "name") == [("u0",), ("u1",), ("u2",)]
+
+    (tmp_path / "a.vcd").write_text(DUMP)
+    dump = spark.read.format("vcd").load(str(tmp_path / "a.vcd"))
+    lines = vcd.lines(spark, str(tmp_path / "a.vcd"))
+    assert sorted(dump.collect()) == sorted(vcd.changes(lines, vcd.signals(lines)).collect())
+    assert rows(dump.where("full_name = 'tb.clk' AND time > 0").orderBy("seq"), "time", "value") == [(5, "1"), (5, "0")]
