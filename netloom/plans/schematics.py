@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import design, geometry, schematic
+from ..operators import design, geometry, routes, schematic
 from ..sources import files as project_files
 from ..sources import rtl
 from .reports import _t, _values
@@ -203,6 +203,50 @@ def route_metrics(s, d):
     return geometry.route_metrics(routes, blocks)
 
 
+# A module's blocks by their centres, its ports, its edges, and the routes worked out by hand.
+PLACED = [("A", 100, 200, 80, 100), ("B", 400, 200, 80, 100), ("C", 250, 320, 60, 60), ("D", 400, 420, 80, 100), ("E", 400, 310, 80, 40)]
+PLACED_PORTS = [(f"{b}.{p}", "instance", side, x, y, None, b) for b, p, side, x, y in (
+    ("A", "o1", "right", 140, 180), ("A", "o2", "right", 140, 200), ("A", "o3", "right", 140, 230), ("A", "o4", "right", 140, 240), ("B", "i1", "left", 360, 180), ("B", "i2", "left", 360, 215),
+    ("B", "i3", "left", 360, 240), ("D", "i1", "left", 360, 400), ("D", "i2", "left", 360, 440), ("D", "o1", "right", 440, 420), ("E", "i1", "left", 360, 320))] + [("in0", "module_io", "left", 20, 500, 40, None)]
+WIRES = [
+    ("n_direct", "A.o1", "B.i1", 1), ("n_ell", "A.o2", "B.i2", 1), ("clk", "A.o3", "B.i3", 1), ("bus8", "A.o4", "D.i1", 8), ("n_blocked", "A.o4", "D.i2", 1), ("n_wall", "A.o4", "E.i1", 1),
+    ("n_fan", "A.o1", "B.i1", 1), ("n_fan", "A.o1", "D.i1", 1), ("n_back", "D.o1", "B.i1", 1), ("n_long", "in0", "D.o1", 1),
+]
+ROUTED = [
+    ("n_direct", "direct", 0, "158,180 342,180"), ("n_ell", "direct", 0, "158,200 240,200 240,215 342,215"),
+    ("clk", "lane", 0, "158,230 200,230 200,60"), ("clk", "lane", 1, "200,60 320,60"), ("clk", "lane", 2, "320,60 320,240 342,240"),
+    ("bus8", "lane", 0, "158,240 200,240 200,160"), ("bus8", "lane", 1, "200,160 320,160"), ("bus8", "lane", 2, "320,160 320,400 342,400"),
+    ("n_blocked", "lane", 0, "158,240 200,240 200,440"), ("n_blocked", "lane", 1, "200,440 320,440"), ("n_blocked", "lane", 2, "320,440 320,440 342,440"),
+    ("n_wall", "named", 0, "158,240 186,240"), ("n_wall", "named", 1, "314,320 342,320"),
+    ("n_fan", "named", 0, "158,180 186,180"), ("n_fan", "named", 1, "314,180 342,180"), ("n_fan", "named", 2, "158,180 186,180"), ("n_fan", "named", 3, "314,400 342,400"),
+    ("n_back", "named", 0, "458,420 486,420"), ("n_back", "named", 1, "314,180 342,180"), ("n_long", "named", 0, "40,500 68,500"), ("n_long", "named", 1, "430,420 458,420"),
+]
+
+
+def _layout(s, d):
+    """The same layout for each part, as a module of its own."""
+    parts = _t(s, d, "part").select(F.col("p_partkey").alias("module"))
+    each = lambda rows, names: parts.crossJoin(F.broadcast(s.createDataFrame(rows, names)))
+    edges = each([(n, *w) for n, w in enumerate(WIRES)], "ord int, net string, source string, target string, bit_width int").withColumn("sig_class", F.lit("wire"))
+    return edges, each(PLACED_PORTS, "endpoint string, kind string, side string, x int, y int, width int, parent string"), each(PLACED, "block string, x int, y int, width int, height int")
+
+
+@_query(f"SELECT p_partkey AS module, v.net, v.way, v.line, v.points FROM part, (VALUES {_values(ROUTED)}) v(n, net, way, line, points)")
+def schematic_routes(s, d):
+    nets, lines = routes.routes(*_layout(s, d))
+    points = F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["x"], p["y"])), " ")
+    return lines.join(nets, ["module", "net"]).select("module", "net", "way", F.col("line").cast("int").alias("line"), points.alias("points"))
+
+
+@_query("SELECT p_partkey AS module, v.block, v.x FROM part, (VALUES ('A', 60), ('A', 140), ('C', 220), ('C', 280), ('E', 360), ('E', 440)) v(block, x)")
+def points_in_blocks(s, d):
+    """Blocks at points along a level line through the middle of each of three."""
+    _, _, blocks = _layout(s, d)
+    places = s.createDataFrame([(x, y) for x, y in ((60, 200), (140, 250), (141, 200), (59, 150), (220, 300), (280, 350), (300, 300), (360, 310), (440, 330), (440, 331))], "x int, y int")
+    points = _t(s, d, "part").select(F.col("p_partkey").alias("module")).crossJoin(F.broadcast(places))
+    return routes.blocks_at(points, routes.boxes(blocks)).select("module", "block", "x")
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _Q.items()}
 
