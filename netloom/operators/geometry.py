@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,48 @@ def layer_order(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFram
     return placed
 
 
+def module_order(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """(module, node, level, place): each level's nodes in order, of nodes (module, node, level, label, region) and edges (module, src, dst).
+
+    Levels start by region, label and name. A round goes down the levels and sorts each by the mean place of predecessors
+    in lower ones, then up by that of successors in higher ones; nodes without any come last, ties go by region and label
+    and else keep their order. So a level that has none in a pass, like the highest one on the way up, is put back. A level meets the places that the ones before it have just got, so a module is the work
+    of one task, and modules are that of many. Edges to what isn't among the nodes are left out.
+    """
+
+    def placed(mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        level = dict(zip(mine["node"], mine["level"]))
+        name = {n: (r, t.lower()) for n, r, t in zip(mine["node"], mine["region"], mine["label"])}
+        before, after = {n: set() for n in level}, {n: set() for n in level}
+        for a, b in zip(links["src"], links["dst"]):
+            if a in level and b in level and a != b:
+                before[b].add(a)
+                after[a].add(b)
+        rows = {k: sorted(g, key=lambda n: (*name[n], n)) for k, g in mine.groupby("level")["node"].apply(list).items()}
+        place = {n: i for row in rows.values() for i, n in enumerate(row)}
+
+        def settle(k, near, ahead):
+            def mean(n):
+                found = [place[x] for x in near[n] if ahead(level[x], k)]
+                return (False, sum(found) / len(found), *name[n]) if found else (True, 0.0, *name[n])
+
+            rows[k] = sorted(rows[k], key=mean)
+            place.update((n, i) for i, n in enumerate(rows[k]))
+
+        for _ in range(rounds):
+            for k in sorted(rows):
+                settle(k, before, operator.lt)
+            for k in sorted(rows, reverse=True):
+                settle(k, after, operator.gt)
+        return mine[["module", "node", "level"]].assign(place=[place[n] for n in mine["node"]])
+
+    kinds = dict(nodes.dtypes)
+    plain = nodes.select("module", "node", "level", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("region", F.lit("")).alias("region")).dropDuplicates(["module", "node"])
+    links = edges.select(F.col("module").alias("of"), "src", "dst")  # both tables may come from one
+    both = plain.groupBy("module").cogroup(links.groupBy("of"))
+    return both.applyInPandas(placed, f"module {kinds['module']}, node {kinds['node']}, level {kinds['level']}, place long")
+
+
 def boxes(placed: DataFrame, ports: DataFrame, column: int = 300, row: int = 160) -> DataFrame:
     """``layer_order`` with x, y, width and height; a block is as high as the side with more of its ``ports`` (node, side) needs."""
     sides = ports.groupBy("node", "side").count().groupBy("node").agg(F.max("count").alias("most"))

@@ -247,6 +247,19 @@ def points_in_blocks(s, d):
     return routes.blocks_at(points, routes.boxes(blocks)).select("module", "block", "x")
 
 
+# Nodes of three levels with label and region, and their order worked out by hand; the cross of a, c and d settles by what follows them.
+LEVELS = [("a", 0, "b", "r1", 1), ("c", 0, "A", "r1", 0), ("d", 0, "z", "r0", 2), ("x", 1, "x", "r", 1), ("y", 1, "y", "r", 2), ("z", 1, "z", "r", 0), ("w", 2, "w", "r", 1), ("v", 2, "v", "r", 0)]
+FOLLOWS = [("a", "x"), ("d", "y"), ("c", "z"), ("x", "w"), ("z", "v"), ("x", "gone"), ("x", "x")]
+
+
+@_query(f"SELECT p_partkey AS module, v.node, v.level, CAST(v.place AS BIGINT) AS place FROM part, (VALUES {_values(LEVELS)}) v(n, node, level, label, region, place)")
+def layers_in_order(s, d):
+    """One graph for each part, as a module of its own."""
+    parts = _t(s, d, "part").select(F.col("p_partkey").alias("module"))
+    each = lambda rows, names: parts.crossJoin(F.broadcast(s.createDataFrame(rows, names)))
+    return geometry.module_order(each([x[:4] for x in LEVELS], "node string, level int, label string, region string"), each(FOLLOWS, "src string, dst string"))
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _Q.items()}
 

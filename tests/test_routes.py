@@ -77,3 +77,14 @@ def test_points_on_segments(spark):
     points = spark.createDataFrame([(1, x, y) for x, y in ((350, 5), (350, 7), (706, 250), (707, 250), (700, 0), (-6, -6))] + [(2, 350, 0)], "module int, x int, y int")
     got = sorted((r["x"], r["y"], r["place"]) for r in routes.segments_at(points, routes.segments(lines)).collect())
     assert got == [(-6, -6, 0), (350, 5, 0), (700, 0, 0), (700, 0, 1), (706, 250, 1)]
+
+
+def test_order_within_modules(spark):
+    from netloom.operators import geometry
+
+    nodes = [(m, n, k, t, r) for m in (1, 2) for n, k, t, r in (("p", 0, "P", "b"), ("q", 0, "q", "a"), ("s", 1, "s", None), ("t", 1, None, "z"))]
+    edges = [(1, "p", "s"), (1, "p", "s"), (2, "q", "t"), (2, "p", "s"), (3, "p", "s")]
+    got = geometry.module_order(spark.createDataFrame(nodes, "module int, node string, level int, label string, region string"), spark.createDataFrame(edges, "module int, src string, dst string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "p", 0, 0), (1, "q", 0, 1), (1, "s", 1, 0), (1, "t", 1, 1), (2, "p", 0, 0), (2, "q", 0, 1), (2, "s", 1, 0), (2, "t", 1, 1)]
+    none = spark.createDataFrame([], "module int, node string, level int, label string, region string")
+    assert geometry.module_order(none, spark.createDataFrame(edges, "module int, src string, dst string")).count() == 0
