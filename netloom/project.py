@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators import design, graphs, lint, timeline, views
+from netloom.operators import design, graphs, lint, timeline, traces, views
 from netloom.sources import files as project_files
 from netloom.sources import rtl, vcd
 
@@ -90,9 +90,14 @@ class Design:
         return views.aggregated(edges) if aggregate else edges
 
     def trace(self, module: str, signal: str, max_hops: int = 500) -> DataFrame:
+        """Direct hops and chains, see ``traces.trace``."""
         if self.modules().where(F.col("module") == module).isEmpty():
             raise ValueError(f"no such module: {module}")
-        return views.trace(self._hops, module, signal, max_hops)
+        return traces.trace(self.tables, self.spark.createDataFrame([(module, signal)], "module string, signal string"), max_hops)
+
+    def trace_steps(self, module: str, signal: str, max_hops: int = 500) -> DataFrame:
+        """What a reader steps through, from the furthest of the fan-in to the furthest of the fan-out."""
+        return traces.steps(self.trace(module, signal, max_hops))
 
     def reach(self, module: str, signal: str, forward: bool = False) -> DataFrame:
         """(start, node, depth) of all that a signal depends on, or all that depends on it."""

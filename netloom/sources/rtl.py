@@ -21,7 +21,7 @@ from .verilog import RESERVED
 SKIPPED_FOLDERS = ["node_modules", "__pycache__", "venv", ".venv", "env"]
 ID = r"[A-Za-z_][A-Za-z0-9_$]*"
 PARTS = "array<struct<name:string,value:string,line:int,args:array<struct<port:string,value:string>>>>"
-STEPS = "array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string>>"
+STEPS = "array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string,line:int>>"
 PORTS = "array<struct<ord:int,name:string,direction:string,width:string>>"
 ITEMS = f"array<struct<line:int,kind:string,type:string,text:string,parts:{PARTS},steps:{STEPS},controls:array<string>>>"
 MODULE = f"struct<module:string,line:int,ports:{PORTS},items:{ITEMS}>"
@@ -104,14 +104,14 @@ def identifiers(text: Column) -> Column:
 
 
 def assigns(mods: DataFrame, decl_assigns: bool = True) -> DataFrame:
-    """(path, module, idx, target, expression, sources, line) of continuous assigns; ``decl_assigns``: also of declared names with a value, other than regs.
+    """(path, module, idx, target, expression, line, pos, sources) of continuous assigns; ``decl_assigns``: also of declared names with a value, other than regs.
 
-    Targets of one statement share its idx.
+    Targets of one statement share its idx and have their place in it as pos.
     """
     rows = _parts(mods, "assign")
     if decl_assigns:
         rows = rows.unionByName(_parts(mods, "declaration").where("type <> 'reg' AND part.value IS NOT NULL"))
-    out = rows.select("path", "module", F.col("ord").alias("idx"), F.col("part.name").alias("target"), F.col("part.value").alias("expression"), "line")
+    out = rows.select("path", "module", F.col("ord").alias("idx"), F.col("part.name").alias("target"), F.col("part.value").alias("expression"), "line", "pos")
     return out.withColumn("sources", identifiers(F.col("expression")))
 
 
@@ -156,6 +156,6 @@ def always_blocks(mods: DataFrame) -> DataFrame:
 
 
 def always_assigns(blocks: DataFrame) -> DataFrame:
-    """(path, module, block, ord, target, expression, blocking, condition, sources, condition_signals, style)."""
+    """(path, module, block, ord, target, expression, blocking, condition, sources, condition_signals, style, line)."""
     rows = blocks.select("path", "module", F.col("ord").alias("block"), "style", F.posexplode("steps").alias("ord", "s"))
-    return rows.select("path", "module", "block", "ord", "s.target", "s.expression", "s.blocking", F.nullif("s.condition", F.lit("")).alias("condition"), identifiers(F.col("s.expression")).alias("sources"), identifiers(F.col("s.condition_text")).alias("condition_signals"), "style")
+    return rows.select("path", "module", "block", "ord", "s.target", "s.expression", "s.blocking", F.nullif("s.condition", F.lit("")).alias("condition"), identifiers(F.col("s.expression")).alias("sources"), identifiers(F.col("s.condition_text")).alias("condition_signals"), "style", "s.line")

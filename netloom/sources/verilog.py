@@ -375,17 +375,18 @@ class Reader:
             sensitivity = self.span(k + 2, close - 1) if close > k + 2 else self.at(k + 1)
         steps, controls = procedure_of(self.text[self.tokens[i].start() : self.tokens[end - 1].end()])
         names = ("target", "expression", "blocking", "condition", "condition_text")
-        return end, self.made(i, "always", self.word[i], sensitivity, (), [dict(zip(names, s)) for s in steps], controls)
+        return end, self.made(i, "always", self.word[i], sensitivity, (), [dict(zip(names, s), line=self.line(i) + s[-1]) for s in steps], controls)
 
 
 def procedure_of(text: str) -> tuple[list[tuple], list[str]]:
-    """Assignments of a procedural item, (target, expression, blocking, innermost condition, all conditions' text), and what its statements control.
+    """Assignments of a procedural item, (target, expression, blocking, innermost condition, all conditions' text, lines below the item's), and what its statements control.
 
     The latter are the ifs, cases and assignments of the item, or of its outer block, and the ifs and cases of blocks
     directly in that one.
     """
     toks, out, controls = list(TOKEN.finditer(text)), [], []
     word = [t.group() for t in toks]
+    breaks = [m.start() for m in re.finditer("\n", text)]
 
     def span(i: int, j: int) -> str:
         return squeeze(text[toks[i].start() : toks[j - 1].end()]) if j > i else ""
@@ -441,7 +442,7 @@ def procedure_of(text: str) -> tuple[list[tuple], list[str]]:
             return walk(i + 1, cond, seen)
         end, mid = until(i, {";"}), until(i, {"<=", "=", ";"})
         if mid < end:
-            out.append((span(i, mid), span(mid + 1, end), word[mid] == "=", cond, seen.strip()))
+            out.append((span(i, mid), span(mid + 1, end), word[mid] == "=", cond, seen.strip(), bisect_left(breaks, toks[i].start())))
             if rank < 2:
                 controls.append(f"{span(i, mid)} {word[mid]} {span(mid + 1, end)}")
         return end + 1
