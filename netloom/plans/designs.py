@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import design, geometry, graphs, lint, runlogs, views
 from ..sources import files as project_files
 from ..sources import formats, rtl, vcd
+from ..streaming import budget
 from ..streaming import events as streams
 from .bridge import _DEP, _dep, _t
 
@@ -243,6 +244,13 @@ def stream_since(s, d):
     return streams.drain(streams.since(_stream(s, d), "event_id", 100).select("event_id"), graphs.new_path(s, "since"))
 
 
+@_query("SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW), 4) AS spent FROM events")
+def stream_budget(s, d):
+    """What each user has spent in the day up to each event, by a stream with state."""
+    out = budget.spent(_stream(s, d), graphs.new_path(s, "budget"), "user_id", "ts", "event_id", "value")
+    return out.select(F.col("id").alias("event_id"), "user_id", F.round("spent", 4).alias("spent"))
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _Q.items()}
 
