@@ -242,11 +242,10 @@ def parse_reference(s, d):
     return _t(s, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.*")
 
 
-def _by_words_sql(column: str, table: list, last: str, quote: str) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({column}), {chr(39)}{w}{chr(39)})' for w in words)} THEN {quote}{v}{quote}" for v, words in table) + f" ELSE {last} END"
+_HAS = lambda *words: "(" + " OR ".join(f"contains(lower(p_name), '{w}')" for w in words) + ")"
 
 
-@_query(f"SELECT p_partkey, CAST({_by_words_sql('p_name', scalars.PORT_RANKS, 'CASE WHEN p_size > 10 THEN 3 ELSE 4 END', '')} AS INTEGER) AS rank FROM part")
+@_query(f"""SELECT p_partkey, CAST(CASE WHEN {_HAS('clk', 'clock')} THEN 0 WHEN {_HAS('rst', 'reset', 'clear')} THEN 1 WHEN {_HAS('en', 'start', 'valid', 'ready', 'busy')} THEN 2 WHEN p_size > 10 THEN 3 ELSE 4 END AS INTEGER) AS rank FROM part""")
 def port_roles(s, d):
     return _t(s, d, "part").select("p_partkey", scalars.port_rank(F.col("p_name"), F.col("p_size") > 10).alias("rank"))
 
@@ -273,7 +272,7 @@ def natural_keys(s, d):
     return _t(s, d, "part").select("p_partkey", scalars.natural_key(F.concat(F.lit("P00"), F.col("p_partkey").cast("string"))).alias("key"))
 
 
-@_query("SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), '" + "|".join(scalars.CONTROL_WORDS) + "')")
+@_query(f"SELECT p_partkey FROM part WHERE {_HAS('clk', 'clock', 'rst', 'reset', 'en', 'start', 'valid', 'ready', 'busy', 'done')}")
 def control_names(s, d):
     return _t(s, d, "part").where(scalars.is_control_name(F.col("p_name"))).select("p_partkey")
 

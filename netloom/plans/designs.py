@@ -115,6 +115,11 @@ def rtl_instance_tree(s, d):
     return tree.select("path", "module", F.col("depth").cast("bigint").alias("depth"), "resolved")
 
 
+@_query("SELECT 'p' || p_partkey AS module, 'u1' AS instance, 'c' AS child_port, 'input' AS direction, TRUE AS open FROM part WHERE 2 * p_partkey + 1 IN (SELECT p_partkey FROM part)")
+def rtl_missing_pins(s, d):
+    return views.missing_pins(_design(s, d)).select("module", "instance", "child_port", "direction", "open")
+
+
 def _files(s, d):
     """Documents as files: every fifth is named like a test bench."""
     k = F.col("doc_id").cast("string")

@@ -1,10 +1,10 @@
-"""Versions of files, and guarded saves, on the driver's tables, each beside the same result in SQL."""
+"""Versions of files, catalogs kept up to date, and guarded saves, on the driver's tables, each beside the same result in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import versions
+from ..operators import design, runlogs, versions
 from .bridge import _t
 
 _Q: dict = {}
@@ -73,6 +73,31 @@ def save_decisions(s, d):
     return versions.save_decisions(*_saves(s, d)).select("path", "action", F.size("lost").cast("long").alias("lost"))
 
 
+@_query(f"WITH {_PARTS} SELECT path, module, CASE WHEN kind IN (2, 5, 6) OR (kind IN (1, 3) AND place > 2) THEN 'new' ELSE 'old' END AS version FROM p WHERE NOT (kind IN (1, 3) AND place <= 2) UNION ALL SELECT DISTINCT path, path || '_added', 'new' FROM p WHERE kind IN (2, 3)")
+def refreshed_rows(s, d):
+    """A catalog after its files were read again; a file that no longer parses keeps its rows."""
+    old, new, _ = _saves(s, d)
+    return design.refreshed(old, new)
+
+
+@_query("SELECT 'f' || o_orderkey AS path FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 = 0")
+def stale_files(s, d):
+    """Files to extract again: new ones, and those whose size or time has changed since."""
+    k = F.col("o_orderkey")
+    files = _t(s, d, "orders").select(F.concat(F.lit("f"), k.cast("string")).alias("path"), (k * 10).alias("size"), F.col("o_orderdate").alias("modified"), k.alias("k"))
+    known = files.where("k % 3 = 0").withColumn("size", F.when(F.col("k") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return design.stale(files.drop("k"), known.drop("k")).select("path")
+
+
+@_query("SELECT 'b' || p_partkey AS bench, 'b' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.expected.txt' ELSE '.golden.txt' END AS path FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+def golden_file_choice(s, d):
+    """The file with the expected output of each test bench: of two that fit, the one whose ending is tried first."""
+    bench = F.concat(F.lit("b"), F.col("p_partkey").cast("string"))
+    parts = _t(s, d, "part")
+    files = parts.where("p_partkey % 2 = 0").select(F.concat(bench, F.lit(".expected.txt")).alias("path")).union(parts.where("p_partkey % 3 = 0").select(F.concat(bench, F.lit(".golden.txt"))))
+    return runlogs.golden_files(files.union(parts.select(F.concat(bench, F.lit(".txt")))), parts.select(bench.alias("bench")))
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _Q.items()}
 
