@@ -73,10 +73,23 @@ def module_order(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFra
     and else keep their order. So a level that has none in a pass, like the highest one on the way up, is put back. A level meets the places that the ones before it have just got, so a module is the work
     of one task, and modules are that of many. Edges to what isn't among the nodes are left out.
     """
+    return _ordered(nodes.withColumn("region", F.coalesce("region", F.lit(""))), edges, rounds, fresh=True)
+
+
+def instance_order(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """(module, node, level, place) of nodes (module, node, level, label): as ``module_order``, but by label alone, ties keep their order, and a pass goes by the places from before it.
+
+    So all levels of a pass could change places at once. Labels start in order whatever their case, then as they are, then by name.
+    """
+    return _ordered(nodes.withColumn("region", F.lit("")), edges, rounds, fresh=False)
+
+
+def _ordered(nodes: DataFrame, edges: DataFrame, rounds: int, fresh: bool) -> DataFrame:
+    """``fresh``: levels meet the places of the pass that they are in, and ties go by name; else they meet those from before it."""
 
     def placed(mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         level = dict(zip(mine["node"], mine["level"]))
-        name = {n: (r, t.lower()) for n, r, t in zip(mine["node"], mine["region"], mine["label"])}
+        name = {n: (r, t.lower()) if fresh else (t.lower(), t) for n, r, t in zip(mine["node"], mine["region"], mine["label"])}
         before, after = {n: set() for n in level}, {n: set() for n in level}
         for a, b in zip(links["src"], links["dst"]):
             if a in level and b in level and a != b:
@@ -85,23 +98,24 @@ def module_order(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFra
         rows = {k: sorted(g, key=lambda n: (*name[n], n)) for k, g in mine.groupby("level")["node"].apply(list).items()}
         place = {n: i for row in rows.values() for i, n in enumerate(row)}
 
-        def settle(k, near, ahead):
+        def settle(k, near, ahead, seen):
             def mean(n):
-                found = [place[x] for x in near[n] if ahead(level[x], k)]
-                return (False, sum(found) / len(found), *name[n]) if found else (True, 0.0, *name[n])
+                found = [seen[x] for x in near[n] if ahead(level[x], k)]
+                tie = name[n] if fresh else ()
+                return (False, sum(found) / len(found), *tie) if found else (True, 0.0, *tie)
 
             rows[k] = sorted(rows[k], key=mean)
             place.update((n, i) for i, n in enumerate(rows[k]))
 
         for _ in range(rounds):
-            for k in sorted(rows):
-                settle(k, before, operator.lt)
-            for k in sorted(rows, reverse=True):
-                settle(k, after, operator.gt)
+            for near, ahead, back in ((before, operator.lt, False), (after, operator.gt, True)):
+                seen = place if fresh else dict(place)
+                for k in sorted(rows, reverse=back):
+                    settle(k, near, ahead, seen)
         return mine[["module", "node", "level"]].assign(place=[place[n] for n in mine["node"]])
 
     kinds = dict(nodes.dtypes)
-    plain = nodes.select("module", "node", "level", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("region", F.lit("")).alias("region")).dropDuplicates(["module", "node"])
+    plain = nodes.select("module", "node", "level", F.coalesce("label", F.lit("")).alias("label"), "region").dropDuplicates(["module", "node"])
     links = edges.select(F.col("module").alias("of"), "src", "dst")  # both tables may come from one
     both = plain.groupBy("module").cogroup(links.groupBy("of"))
     return both.applyInPandas(placed, f"module {kinds['module']}, node {kinds['node']}, level {kinds['level']}, place long")

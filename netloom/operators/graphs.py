@@ -111,6 +111,21 @@ def partial_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.select("node", "level", F.lit(True).alias("resolved")).unionByName(rest)
 
 
+def settled_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): ``partial_levels``, where nodes that aren't resolved then go in the order of their names, each one more than the highest of its predecessors as these stand by then."""
+    links = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    levels = cut(partial_levels(links, nodes))
+    stuck = levels.where("not resolved").select("node", "level")
+    among = cut(links.join(stuck.select(F.col("node").alias("src"), F.col("level").alias("before")), "src").join(stuck.select(F.col("node").alias("dst")), "dst", "left_semi"))
+    later = among.where("src > dst").groupBy(F.col("dst").alias("node")).agg((F.max("before") + 1).alias("l"))
+    now, moved = cut(stuck.join(later, "node", "left").select("node", F.greatest("level", F.coalesce("l", "level")).alias("level"))), True
+    while moved:
+        step = among.where("src < dst").join(now.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("l"))
+        now = cut(now.join(step, "node", "left").select("node", F.greatest("level", F.coalesce("l", "level")).alias("level"), F.coalesce(F.col("l") > F.col("level"), F.lit(False)).alias("moved")))
+        moved, now = not now.where("moved").isEmpty(), now.select("node", "level")
+    return levels.where("resolved").select("node", "level").unionByName(now)
+
+
 def chains(edges: DataFrame, start, limit: int) -> DataFrame:
     """(path, ord): simple paths from ``start`` that cannot go on, in the order of a depth-first walk; ``limit`` at most.
 

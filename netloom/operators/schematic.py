@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from netloom.functions.scalars import port_rank, snap
 
-from .graphs import cut, partial_levels
+from . import within
+from .graphs import cut
 
 PORT_KINDS = ["instance_port", "process_port"]
 
@@ -24,25 +25,17 @@ def with_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def block_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst): the instances that edges lead from and to, other than an instance with itself."""
-    links = with_blocks(nodes, edges).select(F.col("src_block").alias("src"), F.col("dst_block").alias("dst")).where("src <> dst").distinct()
-    inst = nodes.where("kind = 'instance'")
-    return links.join(inst.select(F.col("id").alias("src")), "src", "left_semi").join(inst.select(F.col("id").alias("dst")), "dst", "left_semi")
+    """(module, src, dst): the blocks that a module's edges lead from and to, other than a block with itself."""
+    return with_blocks(nodes, edges).select("module", F.col("src_block").alias("src"), F.col("dst_block").alias("dst")).where("src <> dst").distinct()
+
+
+def _instances(nodes: DataFrame) -> DataFrame:
+    return nodes.where("kind = 'instance'").select("module", F.col("id").alias("node"))
 
 
 def instance_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level) of the instances: rounds of Kahn's algorithm; nodes on or behind a cycle then go in the order of their ids, each one more than the highest of its predecessors as these stand by then."""
-    links = cut(block_links(nodes, edges))
-    levels = cut(partial_levels(links, nodes.where("kind = 'instance'").select(F.col("id").alias("node"))))
-    stuck = levels.where("not resolved").select("node", "level")
-    among = cut(links.join(stuck.select(F.col("node").alias("src"), F.col("level").alias("before")), "src").join(stuck.select(F.col("node").alias("dst")), "dst", "left_semi"))
-    later = among.where("src > dst").groupBy(F.col("dst").alias("node")).agg((F.max("before") + 1).alias("l"))
-    now, moved = cut(stuck.join(later, "node", "left").select("node", F.greatest("level", F.coalesce("l", "level")).alias("level"))), True
-    while moved:
-        step = among.where("src < dst").join(now.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("l"))
-        now = cut(now.join(step, "node", "left").select("node", F.greatest("level", F.coalesce("l", "level")).alias("level"), F.coalesce(F.col("l") > F.col("level"), F.lit(False)).alias("moved")))
-        moved, now = not now.where("moved").isEmpty(), now.select("node", "level")
-    return levels.where("resolved").select("node", "level").unionByName(now)
+    return within.settled_levels(_instances(nodes), block_links(nodes, edges)).select("node", "level")
 
 
 def layout_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,8 +54,7 @@ def edge_routing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A net is one of its module; an edge without a net has a fan-out of one.
     """
     e = cut(with_blocks(nodes, edges))
-    levels = partial_levels(block_links(nodes, edges), nodes.where("kind = 'instance'").select(F.col("id").alias("node")))
-    levels = cut(levels.select("node", "level"))
+    levels = cut(within.partial_levels(_instances(nodes), block_links(nodes, edges)).select("node", "level"))
     of = lambda end: levels.select(F.col("node").alias(f"{end}_block"), F.col("level").alias(f"{end}_level"))
     fan = edges.where("net IS NOT NULL").groupBy("module", "net").agg(F.count("*").alias("fanout"))
     e = e.join(of("src"), "src_block", "left").join(of("dst"), "dst_block", "left").join(fan, ["module", "net"], "left")

@@ -260,6 +260,17 @@ def layers_in_order(s, d):
     return geometry.module_order(each([x[:4] for x in LEVELS], "node string, level int, label string, region string"), each(FOLLOWS, "src string, dst string"))
 
 
+# The same nodes in the order of the view's instances: z stands over y only after a pass, so w and v change places in each.
+AT_ONCE = [("c", 0, 0), ("a", 0, 1), ("d", 0, 2), ("x", 1, 0), ("z", 1, 1), ("y", 1, 2), ("w", 2, 0), ("v", 2, 1)]
+
+
+@_query(f"SELECT p_partkey AS module, v.node, v.level, CAST(v.place AS BIGINT) AS place FROM part, (VALUES {_values(AT_ONCE)}) v(n, node, level, place)")
+def instances_in_order(s, d):
+    parts = _t(s, d, "part").select(F.col("p_partkey").alias("module"))
+    each = lambda rows, names: parts.crossJoin(F.broadcast(s.createDataFrame(rows, names)))
+    return geometry.instance_order(each([x[:3] for x in LEVELS], "node string, level int, label string"), each(FOLLOWS, "src string, dst string"))
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _Q.items()}
 

@@ -53,7 +53,7 @@ def test_a_segment_and_a_wide_block_meet_once(spark):
 
 
 def test_controls_of_blocks_without_statements_and_of_labelled_ones():
-    from netloom.sources.rtl import procedure_of
+    from netloom.sources.verilog import procedure_of
 
     assert procedure_of("always") == ([], []) and procedure_of("always @(*) ;") == ([], [])
     assert procedure_of("always @(*) begin end") == ([], [])
