@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import operator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import cut
+from .within import by_module
 
 
 def crossings(level: DataFrame, upright: DataFrame, cell: int = 64) -> DataFrame:
@@ -87,15 +87,18 @@ def instance_order(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataF
 def _ordered(nodes: DataFrame, edges: DataFrame, rounds: int, fresh: bool) -> DataFrame:
     """``fresh``: levels meet the places of the pass that they are in, and ties go by name; else they meet those from before it."""
 
-    def placed(mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        level = dict(zip(mine["node"], mine["level"]))
-        name = {n: (r, t.lower()) if fresh else (t.lower(), t) for n, r, t in zip(mine["node"], mine["region"], mine["label"])}
+    def placed(mine: list[tuple]) -> list[tuple]:
+        level = {n: k for edge, n, _, k, *_ in mine if not edge}
+        name = {n: (r, t.lower()) if fresh else (t.lower(), t) for edge, n, _, _, t, r in mine if not edge}
+        links = [(a, b) for edge, a, b, *_ in mine if edge]
         before, after = {n: set() for n in level}, {n: set() for n in level}
-        for a, b in zip(links["src"], links["dst"]):
+        for a, b in links:
             if a in level and b in level and a != b:
                 before[b].add(a)
                 after[a].add(b)
-        rows = {k: sorted(g, key=lambda n: (*name[n], n)) for k, g in mine.groupby("level")["node"].apply(list).items()}
+        rows: dict = {}
+        for n in sorted(level, key=lambda n: (*name[n], n)):
+            rows.setdefault(level[n], []).append(n)
         place = {n: i for row in rows.values() for i, n in enumerate(row)}
 
         def settle(k, near, ahead, seen):
@@ -112,13 +115,13 @@ def _ordered(nodes: DataFrame, edges: DataFrame, rounds: int, fresh: bool) -> Da
                 seen = place if fresh else dict(place)
                 for k in sorted(rows, reverse=back):
                     settle(k, near, ahead, seen)
-        return mine[["module", "node", "level"]].assign(place=[place[n] for n in mine["node"]])
+        return [(n, level[n], place[n]) for n in level]
 
     kinds = dict(nodes.dtypes)
-    plain = nodes.select("module", "node", "level", F.coalesce("label", F.lit("")).alias("label"), "region").dropDuplicates(["module", "node"])
-    links = edges.select(F.col("module").alias("of"), "src", "dst")  # both tables may come from one
-    both = plain.groupBy("module").cogroup(links.groupBy("of"))
-    return both.applyInPandas(placed, f"module {kinds['module']}, node {kinds['node']}, level {kinds['level']}, place long")
+    one = nodes.select("module", F.lit(False).alias("edge"), "node", F.col("node").alias("to"), "level", F.coalesce("label", F.lit("")).alias("label"), "region").where("node IS NOT NULL").dropDuplicates(["module", "node"])
+    links = edges.select("module", F.lit(True), "src", "dst", F.lit(0).cast(kinds["level"]), F.lit(""), F.lit("")).where("src IS NOT NULL AND dst IS NOT NULL")
+    rows = one.unionAll(links).where("module IS NOT NULL")
+    return by_module(rows, placed, f"node {kinds['node']}, level {kinds['level']}, place long")
 
 
 def boxes(placed: DataFrame, ports: DataFrame, column: int = 300, row: int = 160) -> DataFrame:

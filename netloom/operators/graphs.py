@@ -160,6 +160,16 @@ def hierarchy(children: DataFrame, roots: DataFrame) -> DataFrame:
         out = out.unionByName(level)
 
 
+def unused(modules: DataFrame, instances: DataFrame) -> DataFrame:
+    """(name) of modules (name) that nothing instantiates over (child)."""
+    return modules.select("name").join(instances.select(F.col("child").alias("name")), "name", "left_anti")
+
+
+def parents(children: DataFrame) -> DataFrame:
+    """(child, parents, first_parent) of (parent, child): how many modules instantiate a module, however often, and the first by name."""
+    return children.select("parent", "child").distinct().groupBy("child").agg(F.count("*").alias("parents"), F.min("parent").alias("first_parent"))
+
+
 def infer_tops(modules: DataFrame, instances: DataFrame) -> DataFrame:
     """Names of (name, is_testbench) that no design module instantiates over (parent, child, parent_is_testbench).
 

@@ -56,6 +56,14 @@ def matching_nodes(nodes: DataFrame, query: str, fields: list[str]) -> DataFrame
     return nodes.where(F.contains(F.lower(F.concat_ws("\n", *fields)), F.lit(wanted))) if wanted else nodes
 
 
+def naming(rows: DataFrame, terms: list[str], field: str) -> DataFrame:
+    """Rows whose ``field`` contains one of the terms, whatever the case; all without terms."""
+    hit = F.lit(not terms)
+    for term in terms:
+        hit = hit | F.contains(F.lower(field), F.lit(term.lower()))
+    return rows.where(hit)
+
+
 def known_edges(edges: DataFrame) -> DataFrame:
     """Edges whose flow is known."""
     return edges.where(F.coalesce(F.col("flow"), F.lit("unknown")) != "unknown")

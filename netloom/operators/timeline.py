@@ -37,6 +37,16 @@ def islands(df: DataFrame, key: str, order: list, by: list) -> DataFrame:
     return df.withColumn("start", starts).withColumn("island", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("start")
 
 
+def between(df: DataFrame, time: str, first, last) -> DataFrame:
+    """The rows from ``first`` to ``last``, both included."""
+    return df.where(F.col(time).between(first, last))
+
+
+def rolling_sum(df: DataFrame, value: str, time: str, length: int, by: list, name: str = "rolling") -> DataFrame:
+    """``df`` with the sum of the values of each group at most ``length`` before a row's time, a whole number, up to it; rows of one time count for each other."""
+    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(time).rangeBetween(-length, 0)))
+
+
 def first_seen(df: DataFrame, key: list, order: list) -> DataFrame:
     """One row of each key, the first in order; unlike dropDuplicates it says which."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")

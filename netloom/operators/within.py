@@ -1,15 +1,16 @@
 """Graphs of many modules at once: levels, components and reach inside each module.
 
 Nodes are (module, node), edges (module, src, dst). Edges that end at what isn't among their module's nodes, and rows
-without a module, are left out. A module is the work of one function call on its own rows, so a table of modules takes
-one shuffle instead of a few jobs for each step of the longest path. Modules of over ``LARGE`` rows aren't put into one
+without a module or a name, are left out. A module is the work of one function call on its own rows, so a table of modules
+takes one shuffle instead of a few jobs for each step of the longest path. A task gets its modules one after the other
+out of one stream: many small groups cost a Python call each, not an Arrow stream. Modules of over ``LARGE`` rows aren't put into one
 task: they all go through the rounds of ``graphs`` together, the module in front of each name.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from .graphs import cut
 
 #: Nodes and edges of a module that one task takes; for ``reachable``, starts times edges.
 LARGE, MOST_STEPS = 200_000, 2_000_000
+#: Rows of results that a task hands over at once, or those of one module.
+PIECE = 50_000
 
 
 def _split(sizes: DataFrame, tables: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame] | None]:
@@ -40,22 +43,50 @@ def _named(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.struct("module", F.col(c).alias("node")).alias(c) for c in columns])
 
 
-def _each(nodes: DataFrame, edges: DataFrame, find: Callable[[list, dict], list[tuple]], columns: str, add: str) -> DataFrame:
+def by_module(rows: DataFrame, find: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``find`` on the rows of each module (without it), in no order; ``schema`` is that of its rows behind the module. ``rows`` have no nulls."""
+    columns, module = [c for c in rows.columns if c != "module"], rows.schema["module"].dataType.simpleString()
+    names = ["module", *[c.split()[0] for c in schema.split(", ")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, mine, found = None, [], []
+        for batch in batches:
+            for m, *row in zip(batch["module"].tolist(), *[batch[c].tolist() for c in columns]):
+                if m != key and mine:
+                    found += [(key, *r) for r in find(mine)]
+                    mine = []
+                    if len(found) >= PIECE:
+                        yield pd.DataFrame(found, columns=names)
+                        found = []
+                key = m
+                mine.append(row)
+        if mine:
+            found += [(key, *r) for r in find(mine)]
+        if found:
+            yield pd.DataFrame(found, columns=names)
+
+    return rows.repartition("module").sortWithinPartitions("module").mapInPandas(run, f"module {module}, {schema}")
+
+
+def _tagged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(module, edge, src, dst): nodes lead to themselves."""
+    one = nodes.select("module", F.lit(False).alias("edge"), F.col("node").alias("src"), F.col("node").alias("dst"))
+    return one.unionAll(edges.select("module", F.lit(True).alias("edge"), "src", "dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+
+
+def _each(nodes: DataFrame, edges: DataFrame, find: Callable[[list, dict], list[tuple]], add: str) -> DataFrame:
     """``find`` on each module's sorted nodes and the successors of each, other than itself; its rows with the module in front."""
 
-    def run(key: tuple, mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(mine["node"].tolist()))
+    def run(rows: list[tuple]) -> list[tuple]:
+        names = sorted({a for edge, a, _ in rows if not edge})
         after = {n: set() for n in names}
-        for a, b in zip(links["src"].tolist(), links["dst"].tolist()):
-            if a in after and b in after and a != b:
+        for edge, a, b in rows:
+            if edge and a in after and b in after and a != b:
                 after[a].add(b)
-        found = pd.DataFrame(find(names, after), columns=columns.split())
-        found.insert(0, "module", [key[0]] * len(found))
-        return found
+        return find(names, after)
 
-    kinds = dict(nodes.dtypes)
-    both = nodes.select("module", "node").groupBy("module").cogroup(edges.select(F.col("module").alias("of"), "src", "dst").groupBy("of"))
-    return both.applyInPandas(run, f"module {kinds['module']}, node {kinds['node']}, {add.format(node=kinds['node'])}")
+    kind = dict(nodes.dtypes)["node"]
+    return by_module(_tagged(nodes, edges), run, f"node {kind}, {add.format(node=kind)}")
 
 
 def _strong(names: list, after: dict) -> dict:
@@ -110,7 +141,7 @@ def _kahn(after: dict) -> dict:
 def components(nodes: DataFrame, edges: DataFrame, most: int = LARGE) -> DataFrame:
     """(module, node, component): the strong components of each module, named by their greatest node."""
     small, large = _split(_large(nodes, edges, most), [nodes, edges])
-    found = _each(*small, lambda names, after: list(_strong(names, after).items()), "node component", "component {node}")
+    found = _each(*small, lambda names, after: list(_strong(names, after).items()), "component {node}")
     if large is None:
         return found
     rest = graphs.strong_components(_inside(*large), _named(large[0], "node"))
@@ -129,7 +160,7 @@ def layers(nodes: DataFrame, edges: DataFrame, most: int = LARGE) -> DataFrame:
         return [(n, level[of[n]]) for n in names]
 
     small, large = _split(_large(nodes, edges, most), [nodes, edges])
-    found = _each(*small, find, "node level", "level int")
+    found = _each(*small, find, "level int")
     if large is None:
         return found
     rest = graphs.layers(_inside(*large), _named(large[0], "node"))
@@ -148,7 +179,7 @@ def partial_levels(nodes: DataFrame, edges: DataFrame, most: int = LARGE) -> Dat
         return [(n, level.get(n, above.get(n, 0)), n in level) for n in names]
 
     small, large = _split(_large(nodes, edges, most), [nodes, edges])
-    found = _each(*small, find, "node level resolved", "level int, resolved boolean")
+    found = _each(*small, find, "level int, resolved boolean")
     if large is None:
         return found
     rest = graphs.partial_levels(_inside(*large), _named(large[0], "node"))
@@ -172,7 +203,7 @@ def settled_levels(nodes: DataFrame, edges: DataFrame, most: int = LARGE) -> Dat
         return [(n, level[n]) for n in names]
 
     small, large = _split(_large(nodes, edges, most), [nodes, edges])
-    found = _each(*small, find, "node level", "level int")
+    found = _each(*small, find, "level int")
     if large is None:
         return found
     rest = graphs.settled_levels(_inside(*large), _named(large[0], "node"))
@@ -182,30 +213,28 @@ def settled_levels(nodes: DataFrame, edges: DataFrame, most: int = LARGE) -> Dat
 def reachable(edges: DataFrame, starts: DataFrame, most: int = MOST_STEPS) -> DataFrame:
     """(module, start, node, depth): what each of ``starts`` (module, node) reaches in its module, with the least number of steps; itself at 0."""
 
-    def run(key: tuple, mine: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[tuple]) -> list[tuple]:
         after: dict = {}
-        for a, b in zip(links["src"].tolist(), links["dst"].tolist()):
-            after.setdefault(a, set()).add(b)
-        rows = []
-        for start in set(mine["node"].tolist()):
-            depth = {start: 0}
-            known = [start]
+        for edge, a, b in rows:
+            if edge:
+                after.setdefault(a, set()).add(b)
+        found = []
+        for start in {a for edge, a, _ in rows if not edge}:
+            depth, known = {start: 0}, [start]
             for at in known:  # grows while it is walked
                 for b in after.get(at, ()):
                     if b not in depth:
                         depth[b] = depth[at] + 1
                         known.append(b)
-            rows += [(start, n, k) for n, k in depth.items()]
-        found = pd.DataFrame(rows, columns=["start", "node", "depth"])
-        found.insert(0, "module", [key[0]] * len(found))
+            found += [(start, n, k) for n, k in depth.items()]
         return found
 
-    starts, kinds = starts.select("module", "node").distinct(), dict(starts.dtypes)
+    starts = starts.select("module", "node").distinct()
     count = lambda df, name: df.groupBy("module").agg(F.count("*").alias(name))
     sizes = count(starts, "s").join(count(edges, "e"), "module").where(F.col("s") * F.col("e") > most).select("module")
     small, large = _split(sizes, [starts, edges.select("module", "src", "dst")])
-    both = small[0].groupBy("module").cogroup(small[1].withColumnRenamed("module", "of").groupBy("of"))
-    found = both.applyInPandas(run, f"module {kinds['module']}, start {kinds['node']}, node {kinds['node']}, depth int")
+    kind = dict(starts.dtypes)["node"]
+    found = by_module(_tagged(*small), run, f"start {kind}, node {kind}, depth int")
     if large is None:
         return found
     rest = graphs.reachable(cut(_named(large[1], "src", "dst")), _named(large[0], "node"))

@@ -7,11 +7,10 @@ has an edge k -> (2k+1) mod 25 and k -> (k+7) mod 25 for every nation.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import design, graphs, summaries, timeline
+from ..operators import design, graphs, summaries, timeline, views
 
 TIMES = ["2024-01-10 00:00:00", "2024-01-20 00:00:00"]
 
@@ -65,7 +64,8 @@ def sample_default(s, d):
 
 @_query("SELECT event_id, user_id, ts, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-14 12:00:00' AND TIMESTAMP '2024-01-15 12:00:00'")
 def waveform_window(s, d):
-    return _t(s, d, "events").where(F.col("ts").between(F.lit("2024-01-14 12:00:00").cast("timestamp_ntz"), F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))).select("event_id", "user_id", "ts", "value")
+    first, last = (F.lit(f"2024-01-{day} 12:00:00").cast("timestamp_ntz") for day in (14, 15))
+    return timeline.between(_t(s, d, "events"), "ts", first, last).select("event_id", "user_id", "ts", "value")
 
 
 @_query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark FROM events")
@@ -130,20 +130,22 @@ def net_stats(s, d):
 
 @_query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def missing_ports(s, d):
-    o, li = _t(s, d, "orders"), _t(s, d, "lineitem")
-    return o.join(li, o["o_orderkey"] == li["l_orderkey"], "left_anti").select("o_orderkey")
+    """An order is a module with one instance, of a module with one port, to which each of its lines connects a signal."""
+    insts = _t(s, d, "orders").select(F.col("o_orderkey").alias("module"), F.lit("u").alias("name"), F.lit("line").alias("child"))
+    pins = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("module"), F.lit("u").alias("instance"), F.lit("a").alias("child_port"), F.lit("w").alias("parent_signal"))
+    ports = s.range(1).select(F.lit("line").alias("module"), F.lit("a").alias("name"), F.lit("input").alias("direction"))
+    return views.missing_pins({"instances": insts, "pins": pins, "ports": ports}).select(F.col("module").alias("o_orderkey"))
 
 
 @_query("SELECT c_custkey, count(o_orderkey) AS children, count(o_orderkey) = 0 AS unresolved FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def unresolved_children(s, d):
-    c, o = _t(s, d, "customer"), _t(s, d, "orders")
-    n = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("children"))
-    return c.select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("children", F.lit(0)).alias("children"), F.col("children").isNull().alias("unresolved"))
+    c, o = _t(s, d, "customer").select(F.col("c_custkey").alias("module")), _t(s, d, "orders").select(F.col("o_custkey").alias("parent"), F.col("o_custkey").alias("child"))
+    return summaries.child_counts(c, o).select(F.col("module").alias("c_custkey"), "children", (F.col("children") == 0).alias("unresolved"))
 
 
 @_query("SELECT l_partkey AS child, count(DISTINCT l_suppkey) AS parents, min(l_suppkey) AS first_parent FROM lineitem GROUP BY l_partkey")
 def parent_index(s, d):
-    return _t(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct().groupBy(F.col("l_partkey").alias("child")).agg(F.count("*").alias("parents"), F.min("l_suppkey").alias("first_parent"))
+    return graphs.parents(_t(s, d, "lineitem").select(F.col("l_suppkey").alias("parent"), F.col("l_partkey").alias("child")))
 
 
 @_query("""WITH m AS (SELECT p_partkey AS name, p_partkey % 7 = 0 AS tb FROM part),
@@ -159,7 +161,8 @@ def infer_tops(s, d):
 
 @_query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def unused_modules(s, d):
-    return _t(s, d, "part").select("p_partkey").join(_t(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    parts, used = _t(s, d, "part").select(F.col("p_partkey").alias("name")), _t(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("child"))
+    return graphs.unused(parts, used).select(F.col("name").alias("p_partkey"))
 
 
 @_query("(SELECT 'lost' AS change, o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT 'lost', o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL (SELECT 'added' AS change, o_custkey AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT ALL SELECT 'added', o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -295,7 +298,8 @@ def search_lines(s, d):
 
 @_query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00') OR contains(lower(c_mktsegment), 'auto')")
 def signal_filter(s, d):
-    return _t(s, d, "customer").where(F.contains(F.lower("c_name"), F.lit("00")) | F.contains(F.lower("c_mktsegment"), F.lit("auto"))).select("c_custkey", "c_name")
+    named = _t(s, d, "customer").withColumn("full_name", F.concat_ws(".", "c_mktsegment", "c_name"))
+    return summaries.naming(named, ["00", "AUTO"], "full_name").select("c_custkey", "c_name")
 
 
 @_query("SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '[A-Za-z_][A-Za-z0-9_$]*'))) AS BIGINT) AS n FROM documents")
@@ -321,8 +325,8 @@ def golden_diff_flags(s, d):
 
 @_query("SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW), 4) AS rolling FROM events")
 def rolling_tokens(s, d):
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-86400000000, 0)
-    return _t(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", "user_id", F.round(F.sum("value").over(w), 4).alias("rolling"))
+    e = _t(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return timeline.rolling_sum(e, "value", "us", 86400000000, ["user_id"]).select("event_id", "user_id", F.round("rolling", 4).alias("rolling"))
 
 
 @_query("SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY l_linestatus")
@@ -332,7 +336,9 @@ def kind_counts(s, d):
 
 @_query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS severe FROM events GROUP BY event_type")
 def severity_counts(s, d):
-    return _t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("severe"))
+    e = _t(s, d, "events").withColumn("severity", F.when(F.col("value") > 50, "severe").otherwise("other"))
+    found = summaries.counts_by_kind(e, "event_type", "severity", ["severe", "other"])
+    return found.select("event_type", (F.col("severe") + F.col("other")).alias("n"), "severe")
 
 
 def queries() -> dict:

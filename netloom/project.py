@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators import design, graphs, lint, timeline, traces, views
+from netloom.operators import design, graphs, lint, summaries, timeline, traces, views
 from netloom.sources import files as project_files
 from netloom.sources import rtl, vcd
 
@@ -64,7 +64,7 @@ class Design:
 
     def unused(self) -> DataFrame:
         """(name) of modules that nothing instantiates."""
-        return self._names.select("name").join(self.tables["instances"].select(F.col("child").alias("name")), "name", "left_anti")
+        return graphs.unused(self._names, self.tables["instances"])
 
     def _tops(self, top: str | None) -> DataFrame:
         return self.tops().select(F.col("name").alias("node")) if top is None else self.spark.range(1).select(F.lit(top).alias("node"))
@@ -128,12 +128,7 @@ class Waveform:
         self.end_times = vcd.end_times(self._lines)
 
     def _picked(self, terms: list[str] | None) -> DataFrame:
-        if not terms:
-            return self.changes
-        hit = F.lit(False)
-        for t in terms:
-            hit = hit | F.contains(F.lower("full_name"), F.lit(t.lower()))
-        return self.changes.where(hit)
+        return summaries.naming(self.changes, terms or [], "full_name")
 
     def snapshot(self, times: list[int], terms: list[str] | None = None) -> DataFrame:
         """(full_name, time, value): the value of each signal at each time, signals without one left out."""
@@ -142,5 +137,5 @@ class Waveform:
 
     def window(self, center: int, width: int = 20, terms: list[str] | None = None) -> DataFrame:
         """(time, full_name, value) of the changes at most ``width`` from a time, in order."""
-        near = self._picked(terms).where(F.col("time").between(max(0, center - width), center + width))
+        near = timeline.between(self._picked(terms), "time", max(0, center - width), center + width)
         return near.orderBy("time", "full_name", "seq").select("time", "full_name", "value")
