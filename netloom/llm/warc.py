@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -22,8 +23,8 @@ from .store import materialize, new_path, until_exit
 CRLF = "\r\n"
 #: Payloads of at least so many pages, and of at least the HOT_SHARE-th part of all, are joined by broadcast: HOT_SHARE rows at most.
 HOT, HOT_SHARE = 1_000, 4_096
-#: Captures in one archive file, at most; an archive is read whole by one task.
-CAPTURES_PER_FILE = 2_000
+#: Captures in one archive file, and bytes of their payloads and addresses, at most; a single larger capture has a file of its own. An archive is one row of Spark's reader.
+CAPTURES_PER_FILE, FILE_BYTES = 2_000, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "file string, offset long, type string, record_id string, concurrent_to string, refers_to long, target_uri string, page_id long, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
@@ -51,10 +52,20 @@ def _record(headers: list, block: Column) -> Column:
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
+def _kind(url: Column, html: Column) -> Column:
+    """0 for captures of which ``CAPTURES_PER_FILE`` keep within ``FILE_BYTES``, k for those 2^k times as large, at most."""
+    size = F.octet_length(html) + 3 * F.octet_length(url)  # an address's control characters become three bytes
+    return F.greatest(F.lit(0), F.ceil(F.log2(size * CAPTURES_PER_FILE / F.lit(float(FILE_BYTES))))).cast("int")
+
+
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 100) -> None:
-    """Writes request, response or revisit, and metadata records of ``pages`` to gzipped WARC files under ``path``."""
+    """Writes request, response or revisit, and metadata records of ``pages`` to gzipped WARC files under ``path``.
+
+    Captures that are too large for ``CAPTURES_PER_FILE`` of them to keep within ``FILE_BYTES`` are written by their
+    size, each power of two apart and with fewer to a file.
+    """
     rows = digests(pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.regexp_replace(url, r"[\x00-\x20]", "%20"), F.lit("urn:none")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")), least=least)
-    rows = rows.withColumn("capture", F.uuid())
+    rows = rows.withColumn("capture", F.uuid()).withColumn("kind", _kind(F.col("url"), F.col("html")))
     part = lambda kind: F.concat(F.lit("<urn:uuid:"), F.col("capture"), F.lit(f"#{kind}>"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
     revisit = F.col("refers_to").isNotNull()
@@ -66,22 +77,27 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     )
     request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", part("request")), ("WARC-Concurrent-To", part("response")), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")))
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", part("metadata")), ("WARC-Concurrent-To", part("response")), *common, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)))
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).text(path)
+    found = pages.select(_kind(F.coalesce(url, F.lit("urn:none")), F.coalesce(html, F.lit(""))).alias("kind")).distinct()
+    for (kind,) in sorted(found.collect()) or [(0,)]:  # some thirty powers of two, at most
+        records = rows.where(F.col("kind") == kind).select(F.explode(F.array(request, response, metadata)).alias("value"))
+        captures = max(1, CAPTURES_PER_FILE >> kind)
+        records.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(path)
 
 
 def parse(data: bytes, file: str = "", payloads: bool = True):
-    """The records of an archive, gzipped or not, as tuples of `RECORD`. Raises ValueError where it isn't one."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+    """The records of an archive, gzipped or not, as tuples of `RECORD`, one at a time. Raises ValueError where it isn't one."""
+    source = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
+    while first := source.readline():
+        lines = [first]
+        while lines[-1] and not (lines[-1] == b"\r\n" and lines[-2].endswith(b"\r\n")):
+            lines.append(source.readline())
+        if not lines[-1] or not first.startswith(b"WARC/"):
             raise ValueError(f"{file}: no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[at:head].decode("utf-8", "replace").split("\r\n")[1:])}
-        start, size = head + 4, int(fields["content-length"])
-        block = data[start : start + size]
+        head = b"".join(lines)
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head[:-4].decode("utf-8", "replace").split("\r\n")[1:])}
+        size = int(fields["content-length"])
+        block = source.read(size)
         if len(block) < size:
             raise ValueError(f"{file}: record at byte {at} is cut short")
         kind, digest, n, payload = fields.get("warc-type"), None, None, None
@@ -98,12 +114,25 @@ def parse(data: bytes, file: str = "", payloads: bool = True):
                 n = int(found[1]) if found else None
         whole = lambda k: int(fields[k]) if k in fields else None
         yield (file, at, kind, fields.get("warc-record-id"), fields.get("warc-concurrent-to"), whole("warc-refers-to-page-id"), fields.get("warc-target-uri"), whole("warc-page-id"), digest, n, fields if payloads else None, payload if payloads else None)
-        at = start + size
-        if data[at : at + 4] != b"\r\n\r\n":
+        at += len(head) + size
+        if source.read(4) != b"\r\n\r\n":
             raise ValueError(f"{file}: record ending at byte {at} isn't closed")
         at += 4
 
 
+def _pieces(records: Iterator[tuple], rows: int = 10_000, size: int = 16 << 20) -> Iterator[list[tuple]]:
+    """Lists of records, up to so many rows or until their payloads have so many bytes."""
+    piece, held = [], 0
+    for r in records:
+        piece.append(r)
+        held += len(r[-1] or b"")
+        if len(piece) >= rows or held >= size:
+            yield piece
+            piece, held = [], 0
+    if piece:
+        yield piece
+
+
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of every archive under ``path``; without ``payloads`` their contents are digested and left behind."""
     names = [x.split()[0] for x in RECORD.replace("map<string,string>", "map").split(", ")]
@@ -111,10 +140,8 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     def run(batches):
         for b in batches:
             for file, data in zip(b["path"], b["content"]):
-                found = list(parse(bytes(data), file, payloads))
-                step = 500 if payloads else len(found) or 1
-                for i in range(0, len(found), step):
-                    yield pd.DataFrame(found[i : i + step], columns=names, dtype=object).astype({"refers_to": "Int64", "page_id": "Int64", "payload_bytes": "Int64"})
+                for found in _pieces(parse(bytes(data), file, payloads)):
+                    yield pd.DataFrame(found, columns=names, dtype=object).astype({"refers_to": "Int64", "page_id": "Int64", "payload_bytes": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, RECORD)

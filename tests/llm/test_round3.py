@@ -256,3 +256,36 @@ def test_one_learning_row_an_id(spark):
     want = sorted((y, t) for i, y, t in [(7, 1, b"t0"), (8, 0, b""), (9, 1, b"")] if i not in held)
     for part in (docs.repartition(5), docs.coalesce(1)):
         assert sorted((r["y"], bytes(r["text"])) for r in labelled.sample(part, labels, "toxic", 100).collect()) == want
+
+
+def test_archives_are_rolled_by_bytes_and_keep_apart_from_clashing_columns(spark, monkeypatch):
+    from netloom.llm import warc
+
+    monkeypatch.setattr(warc, "CAPTURES_PER_FILE", 8)
+    monkeypatch.setattr(warc, "FILE_BYTES", 8_000)
+    sizes = [10] * 20 + [900, 1500, 1500, 3000, 7000, 300_000, 300_000, 0]
+    rows = [(k, f"http://x/{k}", chr(97 + min(k, 25)) * n, "r", "d", "c", 1, 2, "h") for k, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_id string, payload_digest string, capture string, first_id long, kind long, __hot string").repartition(1)
+    path = warc.new_path(spark, "rolled")
+    warc.write_archives(pages, path)
+    files = {}
+    for r in warc.read_records(spark, path).where("type in ('response', 'revisit')").collect():
+        files.setdefault(r["file"], []).append((r["page_id"], r["payload_bytes"]))
+    assert sorted(x for f in files.values() for x in f) == [(k, n) for k, n in enumerate(sizes)]
+    assert all(len(f) == 1 or (len(f) <= 8 and sum(n for _, n in f) <= 8_000) for f in files.values()) and len(files) < 12
+    got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert [got[k]["payload_bytes"] for k in range(len(sizes))] == sizes and all(r["complete"] for r in got.values())
+    assert (got[25]["record_type"], got[26]["record_type"], got[26]["refers_to"]) == ("response", "revisit", 25)
+
+
+def test_records_come_one_at_a_time():
+    from netloom.llm import warc
+
+    record = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    found = warc.parse(record + b"not a record\r\n\r\n")
+    assert next(found)[1:3] == (0, "warcinfo")
+    for bad in (b"not a record\r\n\r\n", b"WARC/1.1\r\nContent-Length: 0", record[:-2]):
+        with pytest.raises(ValueError):
+            list(warc.parse(record + bad))
+    assert [len(p) for p in warc._pieces(iter([(b"x" * 5,)] * 5), size=10)] == [2, 2, 1]
+    assert [len(p) for p in warc._pieces(iter([(None,)] * 5), rows=4)] == [4, 1]
