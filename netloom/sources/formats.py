@@ -23,7 +23,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 from . import rtl, verilog
 
 GROUP_BYTES = 64 << 20
-_COMMENT = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|//[^\n]*|/\*.*?\*/', re.S)
 _ADDRESS = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:/")
 _PASSES = {
     EqualTo: lambda f: lambda x: x == f.value,
@@ -34,11 +33,6 @@ _PASSES = {
 }
 
 
-def blanked(text: str) -> str:
-    """The text with comments blanked; strings and the number of lines stay."""
-    return _COMMENT.sub(lambda m: m[0] if m[0][0] == '"' else re.sub(r"[^\n]", " ", m[0]), text)
-
-
 def _opened(path: str):
     from pyarrow import fs
 
@@ -95,7 +89,7 @@ class Files(DataSourceReader):
 class Designs(Files):
     def rows(self, path, f):
         text = f.read().decode("utf-8", "replace")
-        for n, m in enumerate(verilog.parse(blanked(text))["modules"]):
+        for n, m in enumerate(verilog.parse(verilog.blanked(text))["modules"]):
             yield path, n, m["module"], m["line"], m["ports"], m["items"]
 
 

@@ -7,9 +7,13 @@ Spark's readers skip empty files and those whose names start with an underscore
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from netloom.functions.scalars import bus_width
 
@@ -24,12 +28,10 @@ PARTS = "array<struct<name:string,value:string,line:int,args:array<struct<port:s
 STEPS = "array<struct<target:string,expression:string,blocking:boolean,condition:string,condition_text:string,line:int>>"
 PORTS = "array<struct<ord:int,name:string,direction:string,width:string>>"
 ITEMS = f"array<struct<line:int,kind:string,type:string,text:string,parts:{PARTS},steps:{STEPS},controls:array<string>>>"
-MODULE = f"struct<module:string,line:int,ports:{PORTS},items:{ITEMS}>"
-LOST = "struct<kind:string,line:int,token:string,message:string,text:string>"
-
-
-def _parsed(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([verilog.parse(t) for t in texts], columns=["modules", "lost"])
+MODULES = f"path string, mod_ord int, module string, line int, ports {PORTS}, items {ITEMS}"
+LOST = "path string, kind string, line int, token string, message string, text string"
+#: Characters of text, parsed, that a task hands over at once; tasks a core, at least.
+PIECE, WAVES, TASKS = 1 << 18, 4, 48
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -40,15 +42,30 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.exists(F.split(below(spark, root, F.col("path")), "/"), lambda s: F.lower(s).isin(SKIPPED_FOLDERS) | s.startswith(".")))
 
 
-def without_comments(text: Column) -> Column:
-    """The text with comments blanked; strings and the number of lines stay."""
-    pieces = F.regexp_extract_all(text, F.lit(r'(?s)"[^"\\]*(?:\\.[^"\\]*)*"|//[^\n]*|/\*.*?\*/|[^"/]+|.'), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("//") | p.startswith("/*"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str) -> DataFrame:
+    """``rows`` of what the parser found in each of ``files``, in ``schema`` behind the path.
 
-
-def _read(files: DataFrame) -> DataFrame:
-    parsed = F.pandas_udf(_parsed, f"struct<modules:array<{MODULE}>,lost:array<{LOST}>>")
-    return files.select("path", F.col("text").isNull().alias("unread"), parsed(without_comments(F.coalesce("text", F.lit("")))).alias("found"))
+    Files are dealt anew, since a few large blocks of a table may hold very many small ones. Rows are handed over after each
+    ``PIECE`` of text, so that a task's memory goes by its largest file and not by the number of files.
+    """
+    spark = files.sparkSession
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for batch in batches:
+            for path, text in zip(*batch.columns):
+                path, text = path.as_py(), text.as_py()
+                found += [{"path": path, **row} for row in rows(verilog.parse(verilog.blanked(text)))]
+                size += len(text)
+                if size >= PIECE and found:
+                    yield pa.RecordBatch.from_pylist(found, made)
+                    found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_pylist(found, made)
+
+    texts = files.where("text IS NOT NULL").select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    return texts.repartition(max(WAVES * spark.sparkContext.defaultParallelism, TASKS), "path").mapInArrow(run, schema)
 
 
 def modules(files: DataFrame) -> DataFrame:
@@ -56,8 +73,7 @@ def modules(files: DataFrame) -> DataFrame:
 
     Null and empty texts have no modules. What of a module no rule reads is left out of its items, see `diagnostics`.
     """
-    found = _read(files).select("path", F.posexplode("found.modules").alias("mod_ord", "m"))
-    return found.select("path", "mod_ord", "m.module", "m.line", "m.ports", "m.items")
+    return _read(files, lambda found: [{"mod_ord": n, **m} for n, m in enumerate(found["modules"])], MODULES)
 
 
 def diagnostics(files: DataFrame, mods: DataFrame | None = None) -> DataFrame:
@@ -66,10 +82,9 @@ def diagnostics(files: DataFrame, mods: DataFrame | None = None) -> DataFrame:
     Files without a text could not be read. In a broken statement, ``token`` and ``line`` are where reading failed, and
     text is what was skipped up to where it went on. The files are read again; ``mods`` isn't needed.
     """
-    rows = _read(files)
     none = lambda kind: F.lit(None).cast(kind)
-    unread = rows.where("unread").select("path", F.lit("read_failure").alias("kind"), none("int").alias("line"), none("string").alias("token"), F.lit("the file could not be read").alias("message"), none("string").alias("text"))
-    lost = rows.select("path", F.explode("found.lost").alias("x")).select("path", "x.kind", "x.line", "x.token", "x.message", "x.text")
+    unread = files.where("text IS NULL").select("path", F.lit("read_failure").alias("kind"), none("int").alias("line"), none("string").alias("token"), F.lit("the file could not be read").alias("message"), none("string").alias("text"))
+    lost = _read(files, lambda found: found["lost"], LOST)
     out = unread.unionByName(lost)
     return out.select("path", F.when(F.col("kind") == "outside_module", "warning").otherwise("error").alias("severity"), "kind", "line", "token", "message", "text")
 

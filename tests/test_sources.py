@@ -1,6 +1,7 @@
 """The design and waveform sources on small inputs of their own."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.sources import rtl, vcd
 
@@ -249,3 +250,15 @@ def test_formats_give_the_same_rows(spark, tmp_path):
     lines = vcd.lines(spark, str(tmp_path / "a.vcd"))
     assert sorted(dump.collect()) == sorted(vcd.changes(lines, vcd.signals(lines)).collect())
     assert rows(dump.where("full_name = 'tb.clk' AND time > 0").orderBy("seq"), "time", "value") == [(5, "1"), (5, "0")]
+
+
+def test_files_of_one_block_are_read_by_many_tasks_in_pieces(spark):
+    module = "module m{k} (input a); // b\n  wire w; /* x\n */ foo u (.p(a));\nendmodule\n"
+    texts = [(f"f{n}.v", "".join(module.replace("{k}", f"{n}_{k}") for k in range(5000))) for n in range(3)] + [("empty.v", ""), ("unread.v", None)]
+    files = spark.createDataFrame(texts, "path string, text string").coalesce(1)
+    assert all(len(t or "") > rtl.PIECE or not t for _, t in texts)
+    mods = rtl.modules(files)
+    assert mods.rdd.getNumPartitions() >= rtl.TASKS
+    assert [tuple(r) for r in mods.groupBy("path").agg(F.count("*"), F.min("mod_ord"), F.max("mod_ord"), F.countDistinct("module")).orderBy("path").collect()] == [(f"f{n}.v", 5000, 0, 4999, 5000) for n in range(3)]
+    assert rtl.instances(mods).where("line % 4 = 0").count() == 0 and rtl.instances(mods).where("line % 4 = 3").count() == 15000
+    assert [tuple(r) for r in rtl.diagnostics(files).select("path", "kind").collect()] == [("unread.v", "read_failure")]
