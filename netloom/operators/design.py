@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions.scalars import endpoint_role, signal_reference
 from netloom.sources import rtl
 
-from .graphs import cut
+from .graphs import apart, cut
 
 TABLES = ["modules", "ports", "signals", "assigns", "gates", "instances", "pins", "always_blocks", "always_assigns"]
 
@@ -49,22 +49,22 @@ def endpoints(tables: dict) -> DataFrame:
     inside = F.when(c("direction") == "input", "source").when(c("direction") == "output", "sink").otherwise(endpoint_role(c("direction")))
     io = out(tables["ports"], c("name"), text("io:", c("name")), c("name"), inside, c("bit_width"), c("is_bus"))
     child = tables["ports"].select(c("module").alias("child"), c("name").alias("child_port"), "direction", "bit_width", "is_bus")
-    pins = tables["pins"].join(child, ["child", "child_port"], "left")
+    pins = tables["pins"].join(apart(child), ["child", "child_port"], "left")
     net = F.when(c("parent_signal") == "", text("__open__:", c("instance"), ".", c("child_port"))).otherwise(_base(c("parent_signal")))
     inst = out(pins, net, text("instance:", c("instance")), c("child_port"), endpoint_role(c("direction")), F.coalesce("bit_width", F.lit(1)), F.coalesce("is_bus", F.lit(False)))
     g = tables["gates"].select("*", text("gate:", c("name")).alias("node"))
     gates = out(g, _base(c("output")), c("node"), F.lit("out"), F.lit("source")).unionByName(out(g.select("module", "node", F.explode("inputs").alias("i")), _base(c("i")), c("node"), F.lit("in"), F.lit("sink")))
     a = tables["assigns"].select("*", text("assign:", c("idx").cast("string"), ":", c("target")).alias("node"))
-    reads = a.select("module", "node", F.explode("sources").alias("name")).join(known_names(tables), ["module", "name"], "left_semi")
+    reads = a.select("module", "node", F.explode("sources").alias("name")).join(apart(known_names(tables)), ["module", "name"], "left_semi")
     assigns = out(a, _base(c("target")), c("node"), F.lit("target"), F.lit("source")).unionByName(out(reads, c("name"), c("node"), c("name"), F.lit("sink")))
     steps = tables["always_assigns"].select("module", text("always:", c("block").cast("string")).alias("node"), "target", F.array_union("sources", "condition_signals").alias("reads"))
     clocks = tables["always_blocks"].select("module", text("always:", c("ord").cast("string")).alias("node"), F.explode(rtl.identifiers(c("sensitivity"))).alias("name"), F.lit("read").alias("use"))
     used = steps.select("module", "node", _base(c("target")).alias("name"), F.lit("write").alias("use")).unionByName(steps.select("module", "node", F.explode("reads").alias("name"), F.lit("read").alias("use"))).unionByName(clocks)
-    roles = used.join(known_names(tables), ["module", "name"], "left_semi").groupBy("module", "node", "name").agg(F.bool_or(c("use") == "read").alias("r"), F.bool_or(c("use") == "write").alias("w"))
+    roles = used.join(apart(known_names(tables)), ["module", "name"], "left_semi").groupBy("module", "node", "name").agg(F.bool_or(c("use") == "read").alias("r"), F.bool_or(c("use") == "write").alias("w"))
     always = out(roles, c("name"), c("node"), c("name"), F.when(c("r") & c("w"), "bidir").when(c("w"), "source").otherwise("sink"))
     ends = io.unionByName(inst).unionByName(gates).unionByName(assigns).unionByName(always)
     declared = tables["signals"].select("module", c("name").alias("net"), c("bit_width").alias("w"), c("is_bus").alias("b")).dropDuplicates(["module", "net"])
-    wide = ends.join(declared, ["module", "net"], "left").withColumns({"bit_width": F.coalesce("w", "bit_width"), "is_bus": F.coalesce("b", F.lit(False)) | c("is_bus")})
+    wide = ends.join(apart(declared), ["module", "net"], "left").withColumns({"bit_width": F.coalesce("w", "bit_width"), "is_bus": F.coalesce("b", F.lit(False)) | c("is_bus")})
     return wide.select(*ends.columns)
 
 
@@ -79,10 +79,10 @@ def connectivity(ends: DataFrame, all_pairs: bool = False) -> DataFrame:
     sides = ends.groupBy(key).agg(F.bool_or(F.col("role").isin("source", "bidir")).alias("s"), F.bool_or(F.col("role").isin("sink", "bidir")).alias("k"), F.max("bit_width").alias("bit_width"), F.bool_or("is_bus").alias("is_bus"), F.min(F.struct("node", "port")).alias("first"))
     src = ends.where(F.col("role").isin("source", "bidir")).select(*key, F.col("node").alias("src")).distinct()
     dst = ends.where(F.col("role").isin("sink", "bidir")).select(*key, F.col("node").alias("dst")).distinct()
-    directed = src.join(dst, key).where("src <> dst").join(sides.select(*key, "bit_width", "is_bus"), key).withColumn("flow", F.lit("directed"))
-    loose = ends.select(*key, F.col("node").alias("dst")).distinct().join(sides.where(~(F.col("s") & F.col("k"))), key)
+    directed = src.join(apart(dst), key).where("src <> dst").join(apart(sides.select(*key, "bit_width", "is_bus")), key).withColumn("flow", F.lit("directed"))
+    loose = ends.select(*key, F.col("node").alias("dst")).distinct().join(apart(sides.where(~(F.col("s") & F.col("k")))), key)
     if all_pairs:
-        loose = loose.join(ends.select(*key, F.col("node").alias("src")).distinct(), key).where("src < dst")
+        loose = loose.join(apart(ends.select(*key, F.col("node").alias("src")).distinct()), key).where("src < dst")
     else:
         loose = loose.withColumn("src", F.col("first.node")).where("src <> dst")
     unknown = loose.select(*key, "src", "dst", "bit_width", "is_bus", F.lit("unknown").alias("flow"))
@@ -104,13 +104,13 @@ def hops(tables: dict) -> DataFrame:
     always = row(steps, c("t"), c("s"), "always", F.when(data & control, "data+control").when(data, "data").otherwise("control"))
     gates = row(tables["gates"].select("module", _base(c("output")).alias("t"), "inputs").select("module", "t", F.explode("inputs").alias("i")).select("module", "t", _base(c("i")).alias("s")), c("t"), c("s"), "gate")
     child = tables["ports"].select(c("module").alias("child"), c("name").alias("child_port"), "direction")
-    pins = tables["pins"].where("parent_signal <> ''").join(child, ["child", "child_port"]).withColumn("base", signal_reference(c("parent_signal"))["base"])
+    pins = tables["pins"].where("parent_signal <> ''").join(apart(child), ["child", "child_port"]).withColumn("base", signal_reference(c("parent_signal"))["base"])
     pins = pins.withColumn("s", F.explode(F.when(c("base").isNotNull(), F.array("base")).otherwise(rtl.identifiers(c("parent_signal")))))
     down = row(pins.where(c("direction").isin("output", "inout")), c("s"), c("child_port"), "instance", nxt=c("child"))
     ups = pins.where(c("direction").isin("input", "inout")).select(c("child").alias("module"), c("child_port").alias("t"), "s", c("module").alias("parent"))
     up = row(ups, c("t"), c("s"), "port", nxt=c("parent"))
     known = known_names(tables)
-    inner = assigns.unionByName(always).unionByName(gates).join(known.withColumnRenamed("name", "source"), ["module", "source"], "left_semi").select(*down.columns)
+    inner = assigns.unionByName(always).unionByName(gates).join(apart(known.withColumnRenamed("name", "source")), ["module", "source"], "left_semi").select(*down.columns)
     return inner.unionByName(down).unionByName(up).distinct()
 
 
@@ -122,7 +122,7 @@ def block_summaries(tables: dict) -> DataFrame:
     the control summary. All in the order in which they first appear.
     """
     known = known_names(tables).groupBy("module").agg(F.collect_list("name").alias("known"))
-    blocks = tables["always_blocks"].select("module", F.col("ord").alias("block"), "steps", F.slice("controls", 1, 6).alias("control_summary")).join(known, "module", "left")
+    blocks = tables["always_blocks"].select("module", F.col("ord").alias("block"), "steps", F.slice("controls", 1, 6).alias("control_summary")).join(apart(known), "module", "left")
     line = lambda s: F.concat(s["target"], F.when(s["blocking"], " = ").otherwise(" <= "), s["expression"], F.when(s["condition"] != "", F.concat(F.lit(" when "), s["condition"])).otherwise(""))
     of = lambda *texts: F.array_distinct(F.array_intersect(rtl.identifiers(F.concat_ws(" ", *texts)), F.coalesce("known", F.array().cast("array<string>"))))
     each = lambda f: F.concat_ws(" ", F.transform("steps", f))
@@ -147,15 +147,15 @@ def refreshed(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Both have ``path``. For deciding whether names changed, see ``changed_modules``.
     """
-    return old.join(new.select("path").distinct(), "path", "left_anti").unionByName(new)
+    return old.join(apart(new.select("path").distinct()), "path", "left_anti").unionByName(new)
 
 
 def changed_modules(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, module, change): modules lost and added in the files of ``new``; none means that replacing rows is enough."""
-    mine, theirs = old.join(new.select("path").distinct(), "path", "left_semi").select("path", "module"), new.select("path", "module")
+    mine, theirs = old.join(apart(new.select("path").distinct()), "path", "left_semi").select("path", "module"), new.select("path", "module")
     return mine.exceptAll(theirs).withColumn("change", F.lit("lost")).unionByName(theirs.exceptAll(mine).withColumn("change", F.lit("added")))
 
 
 def stale(files: DataFrame, known: DataFrame) -> DataFrame:
     """The files whose (path, size, modified) isn't among the signatures already extracted."""
-    return files.join(known.select("path", "size", "modified").distinct(), ["path", "size", "modified"], "left_anti")
+    return files.join(apart(known.select("path", "size", "modified").distinct()), ["path", "size", "modified"], "left_anti")

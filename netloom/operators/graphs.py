@@ -22,6 +22,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts both sides, for tables that grow with a design.
+
+    Spark guesses the size of exploded rows and of files that compress well far too low, and would then collect them in
+    the driver to send them to all tasks.
+    """
+    return df.hint("merge")
+
+
 def compact_edges(ends: DataFrame) -> DataFrame:
     """(net, src, dst): sources x sinks of each net, other than a node with itself; bidirectional ends are both.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from netloom.functions.scalars import port_rank, snap
 
 from . import within
-from .graphs import cut
+from .graphs import apart, cut
 
 PORT_KINDS = ["instance_port", "process_port"]
 
@@ -21,7 +21,7 @@ def with_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``edges`` with src_block and dst_block: the block of a port, an instance itself; null for other ends."""
     block = F.when(F.col("kind").isin(PORT_KINDS), F.col("parent")).when(F.col("kind") == "instance", F.col("id"))
     of = lambda end: nodes.select(F.col("id").alias(end), block.alias(f"{end}_block"))
-    return edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return edges.join(apart(of("src")), "src", "left").join(apart(of("dst")), "dst", "left")
 
 
 def block_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def layout_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     fed = edges.select(F.col("dst").alias("id"), F.lit(True).alias("fed")).distinct()
     first = own.groupBy("module").agg(F.min_by("id", "ord").alias("first"))
     tier = F.when((F.col("kind") == "module_io") & (F.col("direction") == "input"), 1).when(F.col("fed").isNull(), 2).when(F.col("id") == F.col("first"), 3)
-    tiers = own.join(fed, "id", "left").join(first, "module").select("module", "id", tier.alias("tier")).where("tier IS NOT NULL")
-    return tiers.join(tiers.groupBy("module").agg(F.min("tier").alias("tier")), ["module", "tier"], "left_semi").select("module", "id")
+    tiers = own.join(apart(fed), "id", "left").join(apart(first), "module").select("module", "id", tier.alias("tier")).where("tier IS NOT NULL")
+    return tiers.join(apart(tiers.groupBy("module").agg(F.min("tier").alias("tier"))), ["module", "tier"], "left_semi").select("module", "id")
 
 
 def edge_routing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def edge_routing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     levels = cut(within.partial_levels(_instances(nodes), block_links(nodes, edges)).select("node", "level"))
     of = lambda end: levels.select(F.col("node").alias(f"{end}_block"), F.col("level").alias(f"{end}_level"))
     fan = edges.where("net IS NOT NULL").groupBy("module", "net").agg(F.count("*").alias("fanout"))
-    e = e.join(of("src"), "src_block", "left").join(of("dst"), "dst_block", "left").join(fan, ["module", "net"], "left")
+    e = e.join(apart(of("src")), "src_block", "left").join(apart(of("dst")), "dst_block", "left").join(apart(fan), ["module", "net"], "left")
     a, b = F.coalesce("src_level", F.lit(0)), F.coalesce("dst_level", F.lit(0))
     reason = F.when(F.col("src_block").isNull() | F.col("dst_block").isNull(), "boundary").when(a >= b, "feedback").when(b - a > 1, "long").when(F.col("fanout") > 1, "fanout").otherwise("single")
     return e.withColumn("reason", reason).withColumn("mode", F.when(F.col("reason") == "single", "routed").otherwise("netlabel")).select(*edges.columns, "mode", "reason")
@@ -66,7 +66,7 @@ def edge_routing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def final_modes(routed: DataFrame) -> DataFrame:
     """``edge_routing`` where a port that several edges reach, in whatever modes, has labels only."""
     many = routed.groupBy("dst").agg((F.count("*") > 1).alias("many"))
-    return routed.join(many, "dst").withColumn("mode", F.when(F.col("many"), "netlabel").otherwise(F.col("mode"))).select(routed.columns)
+    return routed.join(apart(many), "dst").withColumn("mode", F.when(F.col("many"), "netlabel").otherwise(F.col("mode"))).select(routed.columns)
 
 
 def net_labels(routed: DataFrame) -> DataFrame:
@@ -81,21 +81,21 @@ def net_labels(routed: DataFrame) -> DataFrame:
 def unconnected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ports of blocks and modules that no edge ends at."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    return nodes.where(F.col("kind").isin([*PORT_KINDS, "module_io"])).join(ends, "id", "left_anti")
+    return nodes.where(F.col("kind").isin([*PORT_KINDS, "module_io"])).join(apart(ends), "id", "left_anti")
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, id): the edges at each node of ``starts`` (node) and at the ports of which it is the parent."""
-    ports = nodes.join(starts.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("parent").alias("start"), F.col("id").alias("node"))
+    ports = nodes.join(apart(starts.select(F.col("node").alias("parent"))), "parent", "left_semi").select(F.col("parent").alias("start"), F.col("id").alias("node"))
     ends = starts.select(F.col("node").alias("start"), "node").unionByName(ports)
-    return edges.select("id", F.explode(F.array("src", "dst")).alias("node")).join(ends, "node").select("start", "id").distinct()
+    return edges.select("id", F.explode(F.array("src", "dst")).alias("node")).join(apart(ends), "node").select("start", "id").distinct()
 
 
 def same_net(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, id): all edges of the net of each edge of ``starts`` (id), within its module; an edge without a net is alone."""
     keyed = edges.select("id", "module", F.coalesce("net", "id").alias("k"), F.col("net").isNull().alias("alone"))
-    picked = keyed.join(starts.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("start"), "module", "k", "alone")
-    return picked.join(keyed, ["module", "k", "alone"]).select("start", "id")
+    picked = keyed.join(apart(starts.select("id").distinct()), "id", "left_semi").select(F.col("id").alias("start"), "module", "k", "alone")
+    return picked.join(apart(keyed), ["module", "k", "alone"]).select("start", "id")
 
 
 def port_trace(nodes: DataFrame, edges: DataFrame, starts: DataFrame, downstream: bool = True) -> DataFrame:
@@ -109,14 +109,14 @@ def port_trace(nodes: DataFrame, edges: DataFrame, starts: DataFrame, downstream
     step = edges.select(F.col(here).alias("at"), F.col(there).alias("port")).distinct()
     ports = nodes.where(F.col("kind").isin(PORT_KINDS) & F.col("parent").isNotNull()).select(F.col("id").alias("port"), "parent", F.lower("direction").alias("direction"))
     far = ports.where(F.col("direction") == side).select("parent", "port")
-    onward = lambda df, depth: df.select("start", F.col("port").alias("at")).join(step, "at").select("start", "port").distinct().withColumns({"depth": F.lit(depth), "crossed": F.lit(False)})
+    onward = lambda df, depth: df.select("start", F.col("port").alias("at")).join(apart(step), "at").select("start", "port").distinct().withColumns({"depth": F.lit(depth), "crossed": F.lit(False)})
     depth = 0
     known = frontier = cut(onward(starts.select(F.col("node").alias("start"), F.col("node").alias("port")), 0))
     while not frontier.isEmpty():
-        through = frontier.join(ports, "port").select("start", "parent").distinct().join(far, "parent").select("start", "port")
-        crossed = cut(through.join(known, ["start", "port"], "left_anti").withColumns({"depth": F.lit(depth), "crossed": F.lit(True)}))
+        through = frontier.join(apart(ports), "port").select("start", "parent").distinct().join(apart(far), "parent").select("start", "port")
+        crossed = cut(through.join(apart(known), ["start", "port"], "left_anti").withColumns({"depth": F.lit(depth), "crossed": F.lit(True)}))
         known, depth = known.unionByName(crossed), depth + 1
-        frontier = cut(onward(frontier.unionByName(crossed), depth).join(known, ["start", "port"], "left_anti"))
+        frontier = cut(onward(frontier.unionByName(crossed), depth).join(apart(known), ["start", "port"], "left_anti"))
         known = known.unionByName(frontier)
     return known
 
@@ -131,10 +131,10 @@ def port_places(blocks: DataFrame, ports: DataFrame) -> DataFrame:
     bus, name = F.coalesce("is_bus", F.lit(False)), plain(F.col("name"))
     p = ports.select("id", "parent", name.alias("name"), bus.alias("bus"), port_rank(name, bus).alias("rank"), F.when(plain(F.col("direction")) == "output", "right").otherwise("left").alias("side"))
     of = Window.partitionBy("parent", "side")
-    p = p.withColumns({"n": F.count("*").over(of), "place": F.row_number().over(of.orderBy("rank", "name", "id")) - 1}).join(blocks.withColumnRenamed("node", "parent"), "parent")
-    apart = F.when(F.col("n") > 1, F.greatest(F.lit(20.0), (F.col("height") - 56) / F.greatest(F.lit(1), F.col("n") - 1))).otherwise(0.0)
+    p = p.withColumns({"n": F.count("*").over(of), "place": F.row_number().over(of.orderBy("rank", "name", "id")) - 1}).join(apart(blocks.withColumnRenamed("node", "parent")), "parent")
+    gap = F.when(F.col("n") > 1, F.greatest(F.lit(20.0), (F.col("height") - 56) / F.greatest(F.lit(1), F.col("n") - 1))).otherwise(0.0)
     half = F.col("width") / 2
-    return p.select("id", "parent", "side", snap(F.when(F.col("side") == "left", F.col("x") - half).otherwise(F.col("x") + half)).alias("x"), snap(F.col("y") - F.col("height") / 2 + 28 + F.col("place") * apart).alias("y"), ((F.col("n") <= 10) | F.col("bus") | (F.col("rank") <= 2)).alias("label_visible"))
+    return p.select("id", "parent", "side", snap(F.when(F.col("side") == "left", F.col("x") - half).otherwise(F.col("x") + half)).alias("x"), snap(F.col("y") - F.col("height") / 2 + 28 + F.col("place") * gap).alias("y"), ((F.col("n") <= 10) | F.col("bus") | (F.col("rank") <= 2)).alias("label_visible"))
 
 
 def crowded_regions(blocks: DataFrame, least: int = 12) -> DataFrame:

@@ -14,7 +14,7 @@ from netloom.functions.scalars import expression_class, hop_role, is_noise
 from netloom.sources import rtl
 
 from .design import known_names
-from .graphs import cut
+from .graphs import apart, cut
 from .timeline import first_seen, islands
 
 STATE = "struct<module:string,signal:string>"
@@ -67,14 +67,14 @@ def hops(tables: dict) -> DataFrame:
         values = values | {"dep": c("read.dep"), "target": target}
         out.append(_hops(reads, "fanout", module, c("read.name"), kind, order, states=_states(module, F.array(target)), **values))
 
-    a = tables["assigns"].join(known, "module", "left").withColumn("sources", of(c("sources")))
+    a = tables["assigns"].join(apart(known), "module", "left").withColumn("sources", of(c("sources")))
     reads = F.transform("sources", lambda n: F.struct(n.alias("name"), F.lit("data").alias("dep")))
     detail = F.trim(_text(c("target"), " = ", c("expression")))
     local(a, "assign", [here, c("idx"), c("pos"), zero], c("target"), _keys(c("target")), reads, c("sources"), label=_text("assign ", c("target")), detail=detail, expression=c("expression"), dep=F.lit("data"), path=c("path"), line=c("line"))
 
     number = F.row_number().over(Window.partitionBy("module").orderBy("ord")) - 1
     blocks = tables["always_blocks"].select("module", c("ord").alias("block"), "keyword", number.cast("string").alias("number"))
-    s = tables["always_assigns"].join(blocks, ["module", "block"]).join(known, "module", "left")
+    s = tables["always_assigns"].join(apart(blocks), ["module", "block"]).join(apart(known), "module", "left")
     s = s.withColumns({"sources": of(c("sources")), "condition_signals": of(c("condition_signals")), "name": _text(c("keyword"), "_", c("number"))})
     both = F.array_union("sources", "condition_signals")
     dep = lambda data, control: F.when(data & control, "data+control").when(control, "control").otherwise("data")
@@ -93,7 +93,7 @@ def hops(tables: dict) -> DataFrame:
     pins = pins.where(~is_noise(c("net")))
     directions = tables["ports"].groupBy(c("module").alias("child"), c("name").alias("port")).agg(F.min_by("direction", "ord").alias("way"))
     mods = tables["modules"].select(c("module").alias("child"), F.lit(True).alias("have"))
-    pins = pins.join(mods, "child", "left").join(directions, ["child", "port"], "left").join(tables["modules"].select("module", "mod_ord"), "module")
+    pins = pins.join(apart(mods), "child", "left").join(apart(directions), ["child", "port"], "left").join(apart(tables["modules"].select("module", "mod_ord")), "module")
     state = lambda module, signal: F.array(F.struct(module.alias("module"), signal.alias("signal")))
     for direction, kind, ways, word in (("fanin", "out", ("output", "inout"), "from "), ("fanout", "in", ("input", "inout"), "to ")):
         down = pins.where(c("have").isNull() | c("way").isin(*ways))
@@ -120,11 +120,11 @@ def _direct(found: DataFrame, states: DataFrame, modules: DataFrame, most: int)
     truncated: fewer than there are, repeats included.
     """
     asked = states.select(*AT).distinct()
-    one = found.join(asked, AT).groupBy(*AT, *SAME).agg(F.min_by(F.struct(*REST), "place").alias("rest"), F.min("place").alias("place"), F.count("*").alias("n"))
+    one = found.join(apart(asked), AT).groupBy(*AT, *SAME).agg(F.min_by(F.struct(*REST), "place").alias("rest"), F.min("place").alias("place"), F.count("*").alias("n"))
     counts = one.groupBy(*AT).agg((F.sum("n") > F.least(F.count("*"), F.lit(most))).alias("truncated"))
-    kept = one.withColumn("id", F.row_number().over(Window.partitionBy(*AT).orderBy("place")) - 1).where(c("id") < most).join(counts, AT)
+    kept = one.withColumn("id", F.row_number().over(Window.partitionBy(*AT).orderBy("place")) - 1).where(c("id") < most).join(apart(counts), AT)
     of = modules.select("module", c("path").alias("file"), c("line").alias("first"), F.lit(True).alias("resolved"))
-    all_ = asked.join(kept, AT, "left").join(of, "module", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    all_ = asked.join(apart(kept), AT, "left").join(apart(of), "module", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
     dead = c("kind").isNull()
     label = F.when(c("resolved"), _text("dead end: ", c("signal"))).otherwise(_text("module not found: ", c("module")))
     detail = F.when(c("resolved"), _text("No ", c("direction"), " connections found")).otherwise(_text("Module '", c("module"), "' is not in the project"))
@@ -154,7 +154,7 @@ def trace(tables: dict, origins: DataFrame, most: int = 500) -> DataFrame:
             first = direct = cut(direct)
             ways = ways.withColumn("hops", F.array().cast(f"array<{direct.schema['hop'].dataType.simpleString()}>"))
         fresh = F.filter("states", lambda s: ~F.array_contains("seen", s))
-        step = ways.join(direct, AT).withColumn("fresh", fresh).withColumn("hops", F.array_append("hops", c("hop")))
+        step = ways.join(apart(direct), AT).withColumn("fresh", fresh).withColumn("hops", F.array_append("hops", c("hop")))
         ended = F.size("fresh") == 0
         nexts = F.when(ended, F.array(F.lit(None).cast(STATE))).otherwise(c("fresh"))
         step = step.select(*START, "seen", "ord", "id", "hops", ended.alias("done"), F.posexplode(nexts).alias("k", "to"))
@@ -167,7 +167,7 @@ def trace(tables: dict, origins: DataFrame, most: int = 500) -> DataFrame:
     number = F.row_number().over(Window.partitionBy(*START).orderBy("ord")) - 1
     linked = chains.withColumn("chain", number).select(*START, "chain", F.posexplode("hops").alias("pos", "hop")).withColumn("truncated", F.lit(None).cast("boolean"))
     none = F.lit(None).cast("int")
-    at = starts.join(first, AT).select(*START, none.alias("chain"), none.alias("pos"), "hop", "truncated")
+    at = starts.join(apart(first), AT).select(*START, none.alias("chain"), none.alias("pos"), "hop", "truncated")
     return at.unionByName(linked).select(*START, "chain", "pos", "truncated", "hop.*")
 
 
@@ -199,5 +199,5 @@ def steps(traced: DataFrame) -> DataFrame:
 def warnings(traced: DataFrame, modules: DataFrame) -> DataFrame:
     """(start_module, start_signal, severity, kind, module, message): modules that a trace comes to and the catalog doesn't have, each once."""
     to = traced.select(*START[:2], F.coalesce("next_module", "module").alias("module")).distinct()
-    gone = to.join(modules.select("module"), "module", "left_anti")
+    gone = to.join(apart(modules.select("module")), "module", "left_anti")
     return gone.select(*START[:2], F.lit("warning").alias("severity"), F.lit("unresolved_module").alias("kind"), "module", _text("Module '", c("module"), "' is not in the loaded project; the trace stops at its border.").alias("message"))

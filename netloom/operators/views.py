@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions.scalars import signal_reference
 from netloom.sources import rtl
 
-from .graphs import cut
+from .graphs import apart, cut
 
 c = F.col
 
@@ -62,9 +62,9 @@ def missing_pins(tables: dict) -> DataFrame:
     pins = tables["pins"]
     ports = tables["ports"].select(c("module").alias("child"), c("name").alias("child_port"), "direction")
     insts = tables["instances"].select("module", c("name").alias("instance"), "child")
-    placed = insts.join(pins.where(c("child_port").rlike(r"^arg\d+$")).select("module", "instance"), ["module", "instance"], "left_anti")
+    placed = insts.join(apart(pins.where(c("child_port").rlike(r"^arg\d+$")).select("module", "instance")), ["module", "instance"], "left_anti")
     used = pins.groupBy("module", "instance", "child_port").agg(F.bool_and(c("parent_signal") == "").alias("open"))
-    all_ = placed.join(ports, "child").join(used, ["module", "instance", "child_port"], "left")
+    all_ = placed.join(apart(ports), "child").join(apart(used), ["module", "instance", "child_port"], "left")
     return all_.where("open IS NULL OR open").select("module", "instance", "child", "child_port", "direction", c("open").isNotNull().alias("open"))
 
 
@@ -81,11 +81,11 @@ def instance_tree(tables: dict, tops: DataFrame) -> DataFrame:
     out, depth = None, 0
     while True:
         depth += 1
-        level = cut(level.join(known, "module", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False))))
+        level = cut(level.join(apart(known), "module", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False))))
         out = level if out is None else out.unionByName(level)
         if level.isEmpty():
             break
-        level = level.where("resolved AND NOT cycle").join(link, c("module") == c("m")).select(
+        level = level.where("resolved AND NOT cycle").join(apart(link), c("module") == c("m")).select(
             _text(c("path"), "/", c("i"), ":", c("child")).alias("path"), c("child").alias("module"), c("i").alias("instance"), c("path").alias("parent"),
             F.lit(depth).alias("depth"), F.array_contains("active", c("child")).alias("cycle"), F.array_append("active", c("child")).alias("active"),
         )
@@ -103,14 +103,14 @@ def hierarchy_graph(tables: dict, tree: DataFrame) -> tuple[DataFrame, DataFrame
     net = lambda name: _text("net:", c("path"), ":", name)
     node = lambda df, i, label, kind: df.select(i.alias("id"), label.alias("label"), F.lit(kind).alias("kind"))
     edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"))
-    ports = place.join(tables["ports"].select("module", "name", "direction"), "module")
+    ports = place.join(apart(tables["ports"].select("module", "name", "direction")), "module")
     port = _text("port:", c("path"), ":", c("name"))
-    signals = place.join(tables["signals"].select("module", "name"), "module")
+    signals = place.join(apart(tables["signals"].select("module", "name")), "module")
     inner = tree.where("parent IS NOT NULL").select(c("path").alias("child_path"), c("module").alias("child"), c("instance").alias("name"), c("parent").alias("path"))
     inst = _text("instance:", c("path"), "/", c("name"))
-    pins = place.where("NOT cycle").join(tables["pins"].select("module", c("instance").alias("name"), "child_port", "parent_signal"), "module")
+    pins = place.where("NOT cycle").join(apart(tables["pins"].select("module", c("instance").alias("name"), "child_port", "parent_signal")), "module")
     known = tables["ports"].select("module", c("name").alias("base")).unionByName(tables["signals"].select("module", c("name").alias("base"))).distinct().withColumn("known", F.lit(True))
-    based = pins.withColumn("base", signal_reference(c("parent_signal"))["base"]).join(known, ["module", "base"], "left")
+    based = pins.withColumn("base", signal_reference(c("parent_signal"))["base"]).join(apart(known), ["module", "base"], "left")
     used = F.when(c("parent_signal") == "", _text("__open__:", c("name"), ".", c("child_port"))).when(c("known"), c("base")).otherwise(c("parent_signal"))
     based = based.withColumn("net", used)
     pin = _text("port:", inst, ":", c("child_port"))
@@ -137,14 +137,14 @@ def trace(hops: DataFrame, module: str, signal: str, most: int = 500) -> DataFra
     rank = Window.partitionBy("direction").orderBy("kind", "next_module", "next_signal", "dep")
     found = back.unionByName(forth).distinct().withColumn("id", F.row_number().over(rank) - 1).where(c("id") < max(1, most))
     none = F.lit(None).cast("string")
-    ways = hops.sparkSession.createDataFrame([("fanin",), ("fanout",)], "direction string").join(found.select("direction").distinct(), "direction", "left_anti")
+    ways = hops.sparkSession.createDataFrame([("fanin",), ("fanout",)], "direction string").join(apart(found.select("direction").distinct()), "direction", "left_anti")
     ends = ways.select("direction", F.lit(module).alias("module"), F.lit(signal).alias("signal"), none.alias("next_module"), none.alias("next_signal"), F.lit("dead_end").alias("kind"), F.lit("data").alias("dep"), F.lit(0).alias("id"))
     return found.unionByName(ends).select("direction", "id", "module", "signal", "next_module", "next_signal", "kind", "dep")
 
 
 def unresolved(tables: dict) -> DataFrame:
     """(module, signal, instance, child): where a trace leaves the catalog, at pins of modules that it doesn't have."""
-    pins = tables["pins"].where("parent_signal <> ''").join(tables["modules"].select(c("module").alias("child")), "child", "left_anti")
+    pins = tables["pins"].where("parent_signal <> ''").join(apart(tables["modules"].select(c("module").alias("child"))), "child", "left_anti")
     base = signal_reference(c("parent_signal"))["base"]
     names = F.when(base.isNotNull(), F.array(base)).otherwise(rtl.identifiers(c("parent_signal")))
     return pins.select("module", F.explode(names).alias("signal"), "instance", "child").distinct()

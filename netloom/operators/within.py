@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graphs
-from .graphs import cut
+from .graphs import apart, cut
 
 #: Nodes and edges of a module that one task takes; for ``reachable``, starts times edges.
 LARGE, MOST_STEPS = 200_000, 2_000_000
@@ -31,7 +31,7 @@ def _split(sizes: DataFrame, tables: list[DataFrame]) -> tuple[list[DataFrame],
     sizes = cut(sizes)
     if sizes.isEmpty():
         return tables, None
-    return [t.join(sizes, "module", "left_anti") for t in tables], [t.join(sizes, "module", "left_semi") for t in tables]
+    return [t.join(F.broadcast(sizes), "module", "left_anti") for t in tables], [t.join(F.broadcast(sizes), "module", "left_semi") for t in tables]
 
 
 def _large(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
@@ -231,7 +231,7 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = MOST_STEPS) -> Da
 
     starts = starts.select("module", "node").distinct()
     count = lambda df, name: df.groupBy("module").agg(F.count("*").alias(name))
-    sizes = count(starts, "s").join(count(edges, "e"), "module").where(F.col("s") * F.col("e") > most).select("module")
+    sizes = count(starts, "s").join(apart(count(edges, "e")), "module").where(F.col("s") * F.col("e") > most).select("module")
     small, large = _split(sizes, [starts, edges.select("module", "src", "dst")])
     kind = dict(starts.dtypes)["node"]
     found = by_module(_tagged(*small), run, f"start {kind}, node {kind}, depth int")
@@ -244,4 +244,4 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = MOST_STEPS) -> Da
 def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``edges`` between two of ``nodes``, by their full names."""
     known = lambda c: _named(nodes, "node").select(F.col("node").alias(c)).distinct()
-    return cut(_named(edges, "src", "dst").join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi"))
+    return cut(_named(edges, "src", "dst").join(apart(known("src")), "src", "left_semi").join(apart(known("dst")), "dst", "left_semi"))

@@ -1,4 +1,6 @@
-from netloom.operators import geometry, graphs, schematic
+from pyspark.sql import functions as F
+
+from netloom.operators import design, geometry, graphs, schematic
 
 NODE = "id string, module long, kind string, parent string, direction string, ord int"
 EDGE = "id string, module long, src string, dst string, net string"
@@ -58,3 +60,13 @@ def test_controls_of_blocks_without_statements_and_of_labelled_ones():
     assert procedure_of("always") == ([], []) and procedure_of("always @(*) ;") == ([], [])
     assert procedure_of("always @(*) begin end") == ([], [])
     assert procedure_of("always_comb begin : m for (i = 0; i < 4; i = i + 1) begin if (a) b = c; end if (x) y = z; end : m")[1] == ["if (x)"]
+
+
+def test_no_join_sends_exploded_rows_through_the_driver(spark, capsys):
+    parts = spark.range(1000).select(F.col("id").alias("module"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("n")).withColumn("id", F.concat_ws(".", "module", "n"))
+    nodes = parts.select("id", "module", F.lit("instance").alias("kind"), F.lit(None).cast("string").alias("parent"), F.lit("input").alias("direction"), F.col("n").alias("ord"))
+    edges = parts.select(F.concat_ws("-", "id").alias("id"), "module", F.col("id").alias("src"), F.concat_ws(".", "module", F.col("n") + 1).alias("dst"), F.lit("w").alias("net"))
+    ends = parts.select("module", F.lit("n").alias("net"), F.col("id").alias("node"), F.col("id").alias("port"), F.when(F.col("n") > 20, "sink").otherwise("source").alias("role"), F.lit(1).alias("bit_width"), F.lit(False).alias("is_bus"))
+    for df in (schematic.layout_roots(nodes, edges), schematic.with_blocks(nodes, edges), schematic.neighbourhood(nodes, edges, nodes.select(F.col("id").alias("node"))), schematic.same_net(edges, edges), design.connectivity(ends)):
+        df.explain()
+        assert "Broadcast" not in capsys.readouterr().out
