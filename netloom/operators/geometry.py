@@ -7,26 +7,35 @@ import operator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import cut
+from .graphs import apart, cut
 from .within import by_module
 
 
 def crossings(level: DataFrame, upright: DataFrame, cell: int = 64) -> DataFrame:
     """(h, v): level segments (h, y, x1, x2) and upright ones (v, x, y1, y2) that cross inside both, ends left out.
 
-    A join on cells of the x axis: a level segment is in each cell that it spans, an upright one in a single cell, so a
-    pair meets once.
+    A join on square cells of the plane: a level segment is in each cell that it spans, all of one row, an upright one in
+    cells of one column, so a pair meets once.
     """
-    spans = level.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x1") / cell), F.floor(F.col("x2") / cell))))
-    return spans.join(upright.withColumn("cell", F.floor(F.col("x") / cell)), "cell").where("x1 < x AND x < x2 AND y1 < y AND y < y2").select("h", "v")
+    spans = level.withColumns({"cell": _span("x1", "x2", cell), "row": F.floor(F.col("y") / cell)})
+    columns = upright.withColumns({"cell": F.floor(F.col("x") / cell), "row": _span("y1", "y2", cell)})
+    return spans.join(apart(columns), ["cell", "row"]).where("x1 < x AND x < x2 AND y1 < y AND y < y2").select("h", "v")
+
+
+def _span(low: str, high: str, cell: int):
+    """The numbers of the cells from ``low`` to ``high``, a row each."""
+    return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
 
 
 def overlaps(level: DataFrame, upright: DataFrame, blocks: DataFrame, cell: int = 64) -> DataFrame:
-    """(segment, block): segments, as in ``crossings``, that run through the inside of a block (block, x1, y1, x2, y2); by cells of the x axis, of which the first that a pair shares counts."""
-    first, span = lambda c: F.floor(F.col(c) / cell), lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    held = blocks.select("block", F.col("x1").alias("left"), F.col("y1").alias("top"), F.col("x2").alias("right"), F.col("y2").alias("bottom")).withColumn("cell", span("left", "right"))
-    flat = level.withColumn("cell", span("x1", "x2")).join(held, "cell").where((F.col("cell") == F.greatest(first("x1"), first("left"))) & F.expr("top < y AND y < bottom AND x1 < right AND x2 > left"))
-    tall = upright.withColumn("cell", first("x")).join(held, "cell").where("left < x AND x < right AND y1 < bottom AND y2 > top")
+    """(segment, block): segments, as in ``crossings``, that run through the inside of a block (block, x1, y1, x2, y2); by square cells, of which the first that a pair shares counts."""
+    first = lambda c: F.floor(F.col(c) / cell)
+    held = blocks.select("block", F.col("x1").alias("left"), F.col("y1").alias("top"), F.col("x2").alias("right"), F.col("y2").alias("bottom"))
+    held = held.withColumn("cell", _span("left", "right", cell)).withColumn("row", _span("top", "bottom", cell))
+    flat = level.withColumns({"cell": _span("x1", "x2", cell), "row": first("y")}).join(apart(held), ["cell", "row"])
+    flat = flat.where((F.col("cell") == F.greatest(first("x1"), first("left"))) & F.expr("top < y AND y < bottom AND x1 < right AND x2 > left"))
+    tall = upright.withColumns({"cell": first("x"), "row": _span("y1", "y2", cell)}).join(apart(held), ["cell", "row"])
+    tall = tall.where((F.col("row") == F.greatest(first("y1"), first("top"))) & F.expr("left < x AND x < right AND y1 < bottom AND y2 > top"))
     return flat.select(F.col("h").alias("segment"), "block").unionAll(tall.select(F.col("v").alias("segment"), "block"))
 
 

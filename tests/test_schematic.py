@@ -70,3 +70,20 @@ def test_no_join_sends_exploded_rows_through_the_driver(spark, capsys):
     for df in (schematic.layout_roots(nodes, edges), schematic.with_blocks(nodes, edges), schematic.neighbourhood(nodes, edges, nodes.select(F.col("id").alias("node"))), schematic.same_net(edges, edges), design.connectivity(ends)):
         df.explain()
         assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_crossings_and_overlaps_meet_once_in_square_cells(spark, capsys):
+    import random
+
+    random.seed(5)
+    n = lambda: random.randint(-300, 300)
+    level = [(k, n(), *sorted((n(), n()))) for k in range(60)]
+    upright = [(k, n(), *sorted((n(), n()))) for k in range(60, 120)]
+    blocks = [(k, *[v for pair in zip(sorted((n(), n())), sorted((n(), n()))) for v in pair]) for k in range(40)]
+    lv, up, bl = spark.createDataFrame(level, "h int, y int, x1 int, x2 int"), spark.createDataFrame(upright, "v int, x int, y1 int, y2 int"), spark.createDataFrame(blocks, "block int, x1 int, y1 int, x2 int, y2 int")
+    assert rows(geometry.crossings(lv, up), "h", "v") == sorted((h, v) for h, y, a, b in level for v, x, c, d in upright if a < x < b and c < y < d)
+    flat = [(h, k) for h, y, a, b in level for k, x1, y1, x2, y2 in blocks if y1 < y < y2 and a < x2 and b > x1]
+    tall = [(v, k) for v, x, a, b in upright for k, x1, y1, x2, y2 in blocks if x1 < x < x2 and a < y2 and b > y1]
+    assert rows(geometry.overlaps(lv, up, bl), "segment", "block") == sorted(flat + tall)
+    geometry.crossings(lv, up).explain()
+    assert "row#" in capsys.readouterr().out
