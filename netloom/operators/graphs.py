@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of a graph's tables that may go to all tasks.
+FEW = 100_000
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A new folder's path in the folder named by spark.checkpoint.dir; in one of our own only where none is set (tests)."""
@@ -31,6 +34,16 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks share sorting or Python work on a whole table. Given as a number, Spark keeps to it; by itself it joins partitions by their compressed size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def sides(*tables: DataFrame):
+    """What rounds do with the tables that they join: ``apart`` where one of ``tables`` has over ``FEW`` rows, else nothing."""
+    return apart if any(t.count() > FEW for t in tables) else lambda df: df
+
+
 def compact_edges(ends: DataFrame) -> DataFrame:
     """(net, src, dst): sources x sinks of each net, other than a node with itself; bidirectional ends are both.
 
@@ -82,25 +95,27 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _of_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     known = lambda c: nodes.select(F.col("node").alias(c)).distinct()
-    edges = edges.select("src", "dst").join(known("src"), "src").join(known("dst"), "dst")
+    side = sides(nodes, edges)
+    edges = edges.select("src", "dst").join(side(known("src")), "src").join(side(known("dst")), "dst")
     of = strong_components(edges, nodes)
     end = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    between = cut(edges.join(end("src"), "src").join(end("dst"), "dst").where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct())
+    between = cut(edges.join(side(end("src")), "src").join(side(end("dst")), "dst").where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct())
     levels = _kahn(between, of.select(F.col("component").alias("node"))).withColumnRenamed("node", "component")
-    return of.join(levels, "component").select("node", "level")
+    return of.join(side(levels), "component").select("node", "level")
 
 
 def _rounds(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, level) of what the rounds place, and the nodes left over on and behind cycles."""
-    left, edge, placed, level = nodes.select("node").distinct(), edges.distinct(), None, 0
+    left, edge, placed, level = cut(nodes.select("node").distinct()), cut(edges.distinct()), None, 0
     while not left.isEmpty():
-        now = left.join(edge.select(F.col("dst").alias("node")), "node", "left_anti")
+        side = sides(left, edge)
+        now = left.join(side(edge.select(F.col("dst").alias("node"))), "node", "left_anti")
         now = cut(now.withColumn("level", F.lit(level)))
         if now.isEmpty():
             break
         placed = now if placed is None else placed.unionByName(now)
-        left = cut(left.join(now, "node", "left_anti"))
-        edge = cut(edge.join(now.select(F.col("node").alias("src")), "src", "left_anti"))
+        left = cut(left.join(side(now), "node", "left_anti"))
+        edge = cut(edge.join(side(now.select(F.col("node").alias("src"))), "src", "left_anti"))
         level += 1
     return (placed if placed is not None else nodes.select("node").where("false").withColumn("level", F.lit(0))), left
 
@@ -203,21 +218,22 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     left, edge, out = cut(nodes.select("node").distinct()), cut(edges.select("src", "dst").where("src <> dst").distinct()), None
     while not left.isEmpty():
+        side = sides(left, edge)
         colour, moved = left.withColumn("colour", F.col("node")), True
         while moved:
-            step = edge.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("c"))
-            colour = cut(colour.join(step, "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") > F.col("colour")).alias("moved")))
+            step = edge.join(side(colour.select(F.col("node").alias("src"), F.col("colour").alias("c"))), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("c"))
+            colour = cut(colour.join(side(step), "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), (F.col("c") > F.col("colour")).alias("moved")))
             moved = not colour.where("moved").isEmpty()
             colour = colour.select("node", "colour")
-        own = edge.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst")
+        own = edge.join(side(colour.select(F.col("node").alias("src"), F.col("colour").alias("a"))), "src").join(side(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))), "dst").where("a = b").select("src", "dst")
         own = cut(own)
         found = frontier = cut(colour.where("node = colour").select("node", F.col("colour").alias("component")))
         while not frontier.isEmpty():
-            new = frontier.join(own, frontier["node"] == own["dst"]).select(F.col("src").alias("node"), "component").distinct()
-            frontier = cut(new.join(found, "node", "left_anti"))
+            new = frontier.join(side(own), frontier["node"] == own["dst"]).select(F.col("src").alias("node"), "component").distinct()
+            frontier = cut(new.join(side(found), "node", "left_anti"))
             found = found.unionByName(frontier)
         found = cut(found)
         out = found if out is None else out.unionByName(found)
-        left = cut(left.join(found, "node", "left_anti"))
-        edge = cut(edge.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
+        left = cut(left.join(side(found), "node", "left_anti"))
+        edge = cut(edge.join(side(left.select(F.col("node").alias("src"))), "src", "left_semi").join(side(left.select(F.col("node").alias("dst"))), "dst", "left_semi"))
     return out if out is not None else left.withColumn("component", F.col("node"))

@@ -65,7 +65,7 @@ def by_module(rows: DataFrame, find: Callable[[list[tuple]], list[tuple]], schem
         if found:
             yield pd.DataFrame(found, columns=names)
 
-    return rows.repartition("module").sortWithinPartitions("module").mapInPandas(run, f"module {module}, {schema}")
+    return rows.repartition(graphs.tasks(rows.sparkSession), "module").sortWithinPartitions("module").mapInPandas(run, f"module {module}, {schema}")
 
 
 def _tagged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
