@@ -116,9 +116,10 @@ def aggregate_edges(s, d):
     ends = _ends(s, d)
     a = ends.where("role <> 'sink'").select("net", F.col("node").alias("src"), F.col("bit_width").alias("wa"))
     b = ends.where("role <> 'source'").select("net", F.col("node").alias("dst"), F.col("bit_width").alias("wb"))
-    e = a.join(b, "net").where("src <> dst").withColumn("w", F.greatest("wa", "wb"))
+    n = graphs.tasks(s)
+    e = a.repartition(n, "net").join(graphs.apart(b.repartition(n, "net")), "net").where("src <> dst").withColumn("w", F.greatest("wa", "wb"))
     # nets first, so that the distinct count needs no second copy of the edges
-    nets = e.groupBy("src", "dst", "net").agg(F.max("w").alias("w"), F.min("w").alias("lw"))
+    nets = e.repartition(n, "src", "dst").groupBy("src", "dst", "net").agg(F.max("w").alias("w"), F.min("w").alias("lw"))
     kind = F.when(F.bool_and(F.col("lw") > 10), "bus").when(F.bool_or(F.col("w") > 10), "mixed").otherwise("wire")
     return nets.groupBy("src", "dst").agg(F.count("*").alias("net_count"), F.max("w").alias("bit_width"), F.min("net").alias("first_net"), kind.alias("sig_class"))
 
