@@ -42,6 +42,23 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.exists(F.split(below(spark, root, F.col("path")), "/"), lambda s: F.lower(s).isin(SKIPPED_FOLDERS) | s.startswith(".")))
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """``values`` as Arrow, a field at a time: row by row, nested rows take as long to hand over as to parse. Lists and structs aren't null."""
+    if pa.types.is_list(kind):
+        ends, flat = [0], []
+        for v in values:
+            flat += v
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column(flat, kind.value_type), type=kind)
+    if pa.types.is_struct(kind):
+        return pa.StructArray.from_arrays([_column([v[f.name] for v in values], f.type) for f in kind], fields=list(kind))
+    return pa.array(values, kind)
+
+
+def _batch(rows: list[dict], made: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column([r[f.name] for r in rows], f.type) for f in made], schema=made)
+
+
 def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str) -> DataFrame:
     """``rows`` of what the parser found in each of ``files``, in ``schema`` behind the path.
 
@@ -59,10 +76,10 @@ def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str) ->
                 found += [{"path": path, **row} for row in rows(verilog.parse(verilog.blanked(text)))]
                 size += len(text)
                 if size >= PIECE and found:
-                    yield pa.RecordBatch.from_pylist(found, made)
+                    yield _batch(found, made)
                     found, size = [], 0
         if found:
-            yield pa.RecordBatch.from_pylist(found, made)
+            yield _batch(found, made)
 
     texts = files.where("text IS NOT NULL").select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     return texts.repartition(max(WAVES * spark.sparkContext.defaultParallelism, TASKS), "path").mapInArrow(run, schema)
@@ -99,10 +116,10 @@ def ports(mods: DataFrame) -> DataFrame:
     return rows.select("*", b["bit_width"].alias("bit_width"), b["is_bus"].alias("is_bus"))
 
 
-def _parts(mods: DataFrame, kind: str) -> DataFrame:
-    """(path, module, ord, type, text, pos, part, line), a row for each name that an item of the kind declares."""
-    rows = mods.select("path", "module", F.posexplode("items").alias("ord", "item")).where(F.col("item.kind") == kind)
-    rows = rows.select("path", "module", "ord", "item.type", "item.text", F.posexplode("item.parts").alias("pos", "part"))
+def _parts(mods: DataFrame, *kinds: str) -> DataFrame:
+    """(path, module, ord, kind, type, text, pos, part, line), a row for each name that an item of the kinds declares."""
+    rows = mods.select("path", "module", F.posexplode("items").alias("ord", "item")).where(F.col("item.kind").isin(*kinds))
+    rows = rows.select("path", "module", "ord", "item.kind", "item.type", "item.text", F.posexplode("item.parts").alias("pos", "part"))
     return rows.withColumn("line", F.col("part.line"))
 
 
@@ -121,11 +138,10 @@ def identifiers(text: Column) -> Column:
 def assigns(mods: DataFrame, decl_assigns: bool = True) -> DataFrame:
     """(path, module, idx, target, expression, line, pos, sources) of continuous assigns; ``decl_assigns``: also of declared names with a value, other than regs.
 
-    Targets of one statement share its idx and have their place in it as pos.
+    Targets of one statement share its idx and have their place in it as pos. Both are found in one pass: ``mods`` may be files that are parsed as they are read.
     """
-    rows = _parts(mods, "assign")
-    if decl_assigns:
-        rows = rows.unionByName(_parts(mods, "declaration").where("type <> 'reg' AND part.value IS NOT NULL"))
+    rows = _parts(mods, "assign", "declaration") if decl_assigns else _parts(mods, "assign")
+    rows = rows.where("kind = 'assign' OR (type <> 'reg' AND part.value IS NOT NULL)")
     out = rows.select("path", "module", F.col("ord").alias("idx"), F.col("part.name").alias("target"), F.col("part.value").alias("expression"), "line", "pos")
     return out.withColumn("sources", identifiers(F.col("expression")))
 

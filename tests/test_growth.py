@@ -1,9 +1,12 @@
 """Steps that must not gather a growing table in one place."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from netloom.operators import graphs, runlogs, within
 from netloom.plans import bridge
+from netloom.sources import rtl, verilog
 
 
 def test_modules_are_dealt_to_a_fixed_number_of_tasks(spark):
@@ -39,3 +42,14 @@ def test_diffs_are_handed_over_in_pieces(spark):
     assert found == {0: (False, runlogs.PIECE + 13), 1: (False, runlogs.PIECE + 13), 2: (False, 7), 3: (True, 0)}
     udf = runlogs.golden_diffs(got, want)._jdf.queryExecution().toString()
     assert "MapInArrow" in udf and "ArrowEvalPython" not in udf
+
+
+def test_files_are_parsed_once_and_leave_python_by_columns(spark):
+    text = "module m (input [1:0] a, output y);\n  wire p = a;\n  assign y = p, z = ~p;\n  u i0 (.x(a), .y()), i1 ();\n  always @(posedge a) y <= p;\nendmodule"
+    mods = rtl.modules(spark.createDataFrame([("f.v", text), ("g.v", "module e; endmodule")], "path string, text string"))
+    assert rtl.assigns(mods)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = [{"path": "f.v", "mod_ord": n, **m} for t in (text, "module e; endmodule") for n, m in enumerate(verilog.parse(t)["modules"])]
+    made = to_arrow_schema(mods.schema)
+    assert rtl._batch(found, made).equals(pa.RecordBatch.from_pylist(found, made))
+    assert sorted(tuple(r) for r in rtl.assigns(mods).select("idx", "target", "expression", "pos").collect()) == [(0, "p", "a", 0), (1, "y", "p", 0), (1, "z", "~p", 1)]
+    assert sorted(r[0] for r in rtl.assigns(mods, decl_assigns=False).select("target").collect()) == ["y", "z"]
