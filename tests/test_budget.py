@@ -35,3 +35,20 @@ def test_budget_of_batches_out_of_order(spark, tmp_path):
 def test_budget_of_no_events(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "in"))
     assert budget.spent(events.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), "k", "ts", "n", "value").count() == 0
+
+
+def test_many_keys_share_the_state_of_a_group(spark, tmp_path, monkeypatch):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counted(budget.Rolling):
+        def handleInputRows(self, key, rows, timerValues):
+            (calls / f"{key[0]}_{key[1]}").touch()
+            return super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(budget, "Rolling", Counted)
+    spark.range(600).select(F.when(F.col("id") % 7 > 0, F.col("id") % 300 + 2**60).alias("k"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), F.col("id").alias("n"), F.lit(1.0).alias("value")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = budget.spent(events.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), "k", "ts", "n", "value", span=HOUR, late="1 hour").collect()
+    key = lambda n: n % 300 + 2**60 if n % 7 else None
+    assert {r["id"]: (r["k"], r["spent"]) for r in out} == {n: (key(n), float(sum(key(m) == key(n) for m in range(n + 1)))) for n in range(600)}
+    assert len(list(calls.iterdir())) <= 3 * budget.GROUPS
