@@ -14,7 +14,7 @@ from netloom.functions.scalars import expression_class, hop_role, is_noise
 from netloom.sources import rtl
 
 from .design import known_names
-from .graphs import apart, cut
+from .graphs import apart, cut, tasks
 from .timeline import first_seen, islands
 
 STATE = "struct<module:string,signal:string>"
@@ -114,25 +114,28 @@ def hops(tables: dict) -> DataFrame:
     return found
 
 
-def _direct(found: DataFrame, states: DataFrame, modules: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` distinct hops of each of ``states`` (direction, module, signal), numbered; one of kind dead_end where there are none.
+def _direct(found: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` distinct hops of each state (direction, module, signal), numbered: (AT, id, truncated, SAME, rest).
 
-    truncated: fewer than there are, repeats included.
+    truncated: fewer than there are, repeats included. One shuffle by state serves the grouping and the numbers.
     """
-    asked = states.select(*AT).distinct()
-    one = found.join(apart(asked), AT).groupBy(*AT, *SAME).agg(F.min_by(F.struct(*REST), "place").alias("rest"), F.min("place").alias("place"), F.count("*").alias("n"))
-    counts = one.groupBy(*AT).agg((F.sum("n") > F.least(F.count("*"), F.lit(most))).alias("truncated"))
-    kept = one.withColumn("id", F.row_number().over(Window.partitionBy(*AT).orderBy("place")) - 1).where(c("id") < most).join(apart(counts), AT)
+    one = found.repartition(tasks(found.sparkSession), *AT).groupBy(*AT, *SAME).agg(F.min_by(F.struct(*REST), "place").alias("rest"), F.min("place").alias("place"), F.count("*").alias("n"))
+    of = Window.partitionBy(*AT)
+    numbered = one.withColumns({"id": F.row_number().over(of.orderBy("place")) - 1, "truncated": F.sum("n").over(of) > F.least(F.count("*").over(of), F.lit(most))})
+    return numbered.where(c("id") < most).select(*AT, "id", "truncated", *SAME, "rest.*")
+
+
+def _told(asked: DataFrame, direct: DataFrame, modules: DataFrame) -> DataFrame:
+    """``asked`` (START, chain, pos, truncated, AT, id) with the fields of their hops; one of kind dead_end where a state has none."""
     of = modules.select("module", c("path").alias("file"), c("line").alias("first"), F.lit(True).alias("resolved"))
-    all_ = asked.join(apart(kept), AT, "left").join(apart(of), "module", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    rows = asked.join(apart(of), "module", "left").join(apart(direct.drop("truncated", "states")), [*AT, "id"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
     dead = c("kind").isNull()
     label = F.when(c("resolved"), _text("dead end: ", c("signal"))).otherwise(_text("module not found: ", c("module")))
     detail = F.when(c("resolved"), _text("No ", c("direction"), " connections found")).otherwise(_text("Module '", c("module"), "' is not in the project"))
-    instead = {"kind": F.lit("dead_end"), "label": label, "detail": detail, "path": c("file"), "line": c("first"), "id": F.lit(0), "truncated": F.lit(False), "expression": F.lit("")}
-    rows = all_.select("*", *[c(f"rest.{n}").alias(n) for n in REST]).drop("rest", "place", "n")
+    instead = {"kind": F.lit("dead_end"), "label": label, "detail": detail, "path": c("file"), "line": c("first"), "expression": F.lit("")}
     rows = rows.withColumns({n: F.when(dead, v).otherwise(c(n)) for n, v in instead.items()})
-    rows = rows.withColumns({"role": hop_role(c("kind"), c("style"), c("blocking")), "op_category": expression_class(c("expression")), "states": F.coalesce("states", F.array().cast(TYPES["states"]))})
-    return rows.select(*AT, "id", "truncated", "states", F.struct("id", *FIELDS).alias("hop"))
+    rows = rows.withColumns({"role": hop_role(c("kind"), c("style"), c("blocking")), "op_category": expression_class(c("expression"))})
+    return rows.select(*START, "chain", "pos", "truncated", "id", *FIELDS)
 
 
 def trace(tables: dict, origins: DataFrame, most: int = 500) -> DataFrame:
@@ -141,34 +144,35 @@ def trace(tables: dict, origins: DataFrame, most: int = 500) -> DataFrame:
     Direct hops have no chain. A chain is a way on from the origin that comes to no state twice, up to where it cannot go
     on; chains are numbered in the order of a depth-first walk, ``most`` at most for each origin and direction. Each
     way that is still open ends in a chain or more, so no round needs more than the first ``most`` ways of an origin.
+    Rounds carry states and the numbers of their hops only; what a hop says is joined once, at the end.
     """
     most = max(1, most)
-    found, modules = cut(hops(tables)), tables["modules"]
+    direct, modules = cut(_direct(hops(tables), most)), tables["modules"]
+    light = direct.select(*AT, "id", "truncated", "states")
+    none, number = F.lit(None).cast("int"), F.coalesce("id", F.lit(0))
     signal = F.regexp_replace(F.trim("signal"), r"\s+", " ")
-    starts = origins.select(c("module").alias("start_module"), signal.alias("start_signal"), c("module"), signal.alias("signal")).distinct().withColumn("direction", F.explode(F.array(F.lit("fanin"), F.lit("fanout"))))
+    starts = origins.select(c("module").alias("start_module"), signal.alias("start_signal"), c("module"), signal.alias("signal")).where("module IS NOT NULL AND signal IS NOT NULL").distinct()
+    starts = cut(starts.withColumn("direction", F.explode(F.array(F.lit("fanin"), F.lit("fanout")))))
+    at = starts.join(apart(light), AT, "left").select(*START, none.alias("chain"), none.alias("pos"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "module", "signal", number.alias("id"))
     ways = starts.select(*START, "module", "signal", F.array(F.struct("module", "signal")).alias("seen"), F.array().cast("array<int>").alias("ord"))
-    chains, first = None, None
+    chains = None
     while True:
-        direct = _direct(found, ways, modules, most)
-        if first is None:
-            first = direct = cut(direct)
-            ways = ways.withColumn("hops", F.array().cast(f"array<{direct.schema['hop'].dataType.simpleString()}>"))
-        fresh = F.filter("states", lambda s: ~F.array_contains("seen", s))
-        step = ways.join(apart(direct), AT).withColumn("fresh", fresh).withColumn("hops", F.array_append("hops", c("hop")))
+        fresh = F.filter(F.coalesce("states", F.array().cast(TYPES["states"])), lambda s: ~F.array_contains("seen", s))
+        step = ways.join(apart(light), AT, "left").withColumns({"fresh": fresh, "id": number})
         ended = F.size("fresh") == 0
         nexts = F.when(ended, F.array(F.lit(None).cast(STATE))).otherwise(c("fresh"))
-        step = step.select(*START, "seen", "ord", "id", "hops", ended.alias("done"), F.posexplode(nexts).alias("k", "to"))
-        moved = step.select(*START, c("to.module").alias("module"), c("to.signal").alias("signal"), F.when(c("done"), c("seen")).otherwise(F.array_append("seen", c("to"))).alias("seen"), F.concat("ord", F.array("id", "k")).alias("ord"), "hops", "done")
+        step = step.select(*START, "seen", "ord", "id", ended.alias("done"), F.posexplode(nexts).alias("k", "to"))
+        moved = step.select(*START, c("to.module").alias("module"), c("to.signal").alias("signal"), F.when(c("done"), c("seen")).otherwise(F.array_append("seen", c("to"))).alias("seen"), F.concat("ord", F.array("id", "k")).alias("ord"), "done")
         both = moved if chains is None else chains.unionByName(moved)
         kept = cut(both.withColumn("n", F.row_number().over(Window.partitionBy(*START).orderBy("ord"))).where(c("n") <= most).drop("n"))
         chains, ways = kept.where("done"), kept.where("not done").drop("done")
         if ways.isEmpty():
             break
-    number = F.row_number().over(Window.partitionBy(*START).orderBy("ord")) - 1
-    linked = chains.withColumn("chain", number).select(*START, "chain", F.posexplode("hops").alias("pos", "hop")).withColumn("truncated", F.lit(None).cast("boolean"))
-    none = F.lit(None).cast("int")
-    at = starts.join(apart(first), AT).select(*START, none.alias("chain"), none.alias("pos"), "hop", "truncated")
-    return at.unionByName(linked).select(*START, "chain", "pos", "truncated", "hop.*")
+    chain = F.row_number().over(Window.partitionBy(*START).orderBy("ord")) - 1
+    # of a chain, ord holds the number of each state's hop and of what it led to
+    linked = chains.withColumn("chain", chain).select(*START, "chain", "ord", F.posexplode("seen").alias("pos", "to"))
+    linked = linked.select(*START, "chain", "pos", F.lit(None).cast("boolean").alias("truncated"), "to.module", "to.signal", F.get("ord", 2 * c("pos")).alias("id"))
+    return _told(at.unionByName(linked), direct, modules)
 
 
 def steps(traced: DataFrame) -> DataFrame:

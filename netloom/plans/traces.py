@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import design, graphs, traces
+from ..operators import design, traces
 from ..sources import rtl
 from .bridge import _t
 
@@ -87,7 +87,7 @@ def rtl_steps(s, d):
 @_query("SELECT 't' || p_partkey AS start_module, 'unresolved_module' AS kind, 'gone' AS module FROM part")
 def rtl_trace_warnings(s, d):
     rows, tables = _traced(s, d)
-    return traces.warnings(graphs.cut(rows), tables["modules"]).select("start_module", "kind", "module")
+    return traces.warnings(rows, tables["modules"]).select("start_module", "kind", "module")
 
 
 def queries() -> dict:

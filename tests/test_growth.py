@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from netloom.operators import graphs, runlogs, within
+from netloom.operators import design, graphs, runlogs, schematic, traces, within
 from netloom.plans import bridge
 from netloom.sources import rtl, verilog
 
@@ -53,3 +53,13 @@ def test_files_are_parsed_once_and_leave_python_by_columns(spark):
     assert rtl._batch(found, made).equals(pa.RecordBatch.from_pylist(found, made))
     assert sorted(tuple(r) for r in rtl.assigns(mods).select("idx", "target", "expression", "pos").collect()) == [(0, "p", "a", 0), (1, "y", "p", 0), (1, "z", "~p", 1)]
     assert sorted(r[0] for r in rtl.assigns(mods, decl_assigns=False).select("target").collect()) == ["y", "z"]
+
+
+def test_rounds_of_a_trace_carry_no_texts(spark, monkeypatch):
+    text = "module m (input a, output y); wire p = a; assign y = p; endmodule"
+    tables, kept, cut = design.catalog(rtl.modules(spark.createDataFrame([("m.v", text)], "path string, text string"))), [], traces.cut
+    monkeypatch.setattr(traces, "cut", lambda df: kept.append(df.schema.simpleString()) or cut(df))
+    found = traces.trace(tables, spark.createDataFrame([("m", "y")], "module string, signal string"))
+    assert "detail:" in kept[0] and len(kept) > 3 and not any("detail:" in k for k in kept[1:])
+    rows = found.where("direction = 'fanin' AND chain = 0").orderBy("pos").select("signal", "kind", "detail").collect()
+    assert [tuple(r) for r in rows] == [("y", "assign", "y = p"), ("p", "assign", "p = a"), ("a", "dead_end", "No fanin connections found")]
