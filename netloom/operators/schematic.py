@@ -26,7 +26,11 @@ def with_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def block_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(module, src, dst): the blocks that a module's edges lead from and to, other than a block with itself."""
-    return with_blocks(nodes, edges).select("module", F.col("src_block").alias("src"), F.col("dst_block").alias("dst")).where("src <> dst").distinct()
+    return _between(with_blocks(nodes, edges))
+
+
+def _between(e: DataFrame) -> DataFrame:
+    return e.select("module", F.col("src_block").alias("src"), F.col("dst_block").alias("dst")).where("src <> dst").distinct()
 
 
 def _instances(nodes: DataFrame) -> DataFrame:
@@ -54,9 +58,9 @@ def edge_routing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A net is one of its module; an edge without a net has a fan-out of one.
     """
     e = cut(with_blocks(nodes, edges))
-    levels = cut(within.partial_levels(_instances(nodes), block_links(nodes, edges)).select("node", "level"))
+    levels = cut(within.partial_levels(_instances(nodes), _between(e)).select("node", "level"))
     of = lambda end: levels.select(F.col("node").alias(f"{end}_block"), F.col("level").alias(f"{end}_level"))
-    fan = edges.where("net IS NOT NULL").groupBy("module", "net").agg(F.count("*").alias("fanout"))
+    fan = e.where("net IS NOT NULL").groupBy("module", "net").agg(F.count("*").alias("fanout"))
     e = e.join(apart(of("src")), "src_block", "left").join(apart(of("dst")), "dst_block", "left").join(apart(fan), ["module", "net"], "left")
     a, b = F.coalesce("src_level", F.lit(0)), F.coalesce("dst_level", F.lit(0))
     reason = F.when(F.col("src_block").isNull() | F.col("dst_block").isNull(), "boundary").when(a >= b, "feedback").when(b - a > 1, "long").when(F.col("fanout") > 1, "fanout").otherwise("single")

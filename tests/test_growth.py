@@ -63,3 +63,12 @@ def test_rounds_of_a_trace_carry_no_texts(spark, monkeypatch):
     assert "detail:" in kept[0] and len(kept) > 3 and not any("detail:" in k for k in kept[1:])
     rows = found.where("direction = 'fanin' AND chain = 0").orderBy("pos").select("signal", "kind", "detail").collect()
     assert [tuple(r) for r in rows] == [("y", "assign", "y = p"), ("p", "assign", "p = a"), ("a", "dead_end", "No fanin connections found")]
+
+
+def test_routing_finds_the_blocks_of_edges_once(spark, monkeypatch):
+    nodes = spark.createDataFrame([("i", 1, "instance", None, None), ("j", 1, "instance", None, None)], "id string, module int, kind string, parent string, direction string")
+    edges = spark.createDataFrame([("e", 1, "i", "j", "n")], "id string, module int, src string, dst string, net string")
+    calls, find = [], schematic.with_blocks
+    monkeypatch.setattr(schematic, "with_blocks", lambda *a: calls.append(1) or find(*a))
+    assert [tuple(r) for r in schematic.edge_routing(nodes, edges).select("id", "mode", "reason").collect()] == [("e", "routed", "single")]
+    assert len(calls) == 1
