@@ -53,9 +53,9 @@ def _parts(s, d):
 
 
 def _of_each(s, d, rows: list, names: list[str]):
-    """A row for each part and each of ``rows``."""
+    """A row for each part and each of ``rows``; parts are dealt to tasks first, since the one file of a table is read by few."""
     value = lambda x: F.lit(x).cast("string") if x is None else F.lit(x)
-    return _parts(s, d).select("module", F.posexplode(F.array(*[F.struct(*[value(x).alias(n) for x, n in zip(r, names)]) for r in rows])).alias("ord", "r")).select("module", "ord", "r.*")
+    return _parts(s, d).repartition(rtl.tasks(s), "module").select("module", F.posexplode(F.array(*[F.struct(*[value(x).alias(n) for x, n in zip(r, names)]) for r in rows])).alias("ord", "r")).select("module", "ord", "r.*")
 
 
 def _own(df, *names):

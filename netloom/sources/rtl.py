@@ -34,6 +34,11 @@ LOST = "path string, kind string, line int, token string, message string, text s
 PIECE, WAVES, TASKS = 1 << 18, 4, 48
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks share rows that are few to read and many, or much work, behind that."""
+    return max(WAVES * spark.sparkContext.defaultParallelism, TASKS)
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, modified, text) of the design files under ``root``, folders of tools and hidden ones left out."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{v,V,sv,sV,Sv,SV}").text(root, wholetext=True)
@@ -82,7 +87,7 @@ def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str) ->
             yield _batch(found, made)
 
     texts = files.where("text IS NOT NULL").select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    return texts.repartition(max(WAVES * spark.sparkContext.defaultParallelism, TASKS), "path").mapInArrow(run, schema)
+    return texts.repartition(tasks(spark), "path").mapInArrow(run, schema)
 
 
 def modules(files: DataFrame) -> DataFrame:
