@@ -39,7 +39,7 @@ def _instances(nodes: DataFrame) -> DataFrame:
 
 def instance_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level) of the instances: rounds of Kahn's algorithm; nodes on or behind a cycle then go in the order of their ids, each one more than the highest of its predecessors as these stand by then."""
-    return within.settled_levels(_instances(nodes), block_links(nodes, edges)).select("node", "level")
+    return within.settled_levels(_instances(nodes), cut(block_links(nodes, edges))).select("node", "level")
 
 
 def layout_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
