@@ -48,7 +48,7 @@ def layout_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     fed = edges.select(F.col("dst").alias("id"), F.lit(True).alias("fed")).distinct()
     first = own.groupBy("module").agg(F.min_by("id", "ord").alias("first"))
     tier = F.when((F.col("kind") == "module_io") & (F.col("direction") == "input"), 1).when(F.col("fed").isNull(), 2).when(F.col("id") == F.col("first"), 3)
-    tiers = own.join(apart(fed), "id", "left").join(apart(first), "module").select("module", "id", tier.alias("tier")).where("tier IS NOT NULL")
+    tiers = cut(own.join(apart(fed), "id", "left").join(apart(first), "module").select("module", "id", tier.alias("tier")).where("tier IS NOT NULL"))
     return tiers.join(apart(tiers.groupBy("module").agg(F.min("tier").alias("tier"))), ["module", "tier"], "left_semi").select("module", "id")
 
 
