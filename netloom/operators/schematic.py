@@ -107,11 +107,12 @@ def port_trace(nodes: DataFrame, edges: DataFrame, starts: DataFrame, downstream
 
     From a port of a block the trace goes on, at the same depth, at the block's outputs (upstream: inputs), marked
     crossed; ports in both directions are not crossed to. A port that a round could both cross to and reach by an edge
-    later counts as crossed. Every round drops what is known.
+    later counts as crossed. Every round drops what is known. What the rounds join is written once: else each
+    would make it from ``nodes`` and ``edges`` again.
     """
     here, there, side = ("src", "dst", "output") if downstream else ("dst", "src", "input")
-    step = edges.select(F.col(here).alias("at"), F.col(there).alias("port")).distinct()
-    ports = nodes.where(F.col("kind").isin(PORT_KINDS) & F.col("parent").isNotNull()).select(F.col("id").alias("port"), "parent", F.lower("direction").alias("direction"))
+    step = cut(edges.select(F.col(here).alias("at"), F.col(there).alias("port")).distinct())
+    ports = cut(nodes.where(F.col("kind").isin(PORT_KINDS) & F.col("parent").isNotNull()).select(F.col("id").alias("port"), "parent", F.lower("direction").alias("direction")))
     far = ports.where(F.col("direction") == side).select("parent", "port")
     onward = lambda df, depth: df.select("start", F.col("port").alias("at")).join(apart(step), "at").select("start", "port").distinct().withColumns({"depth": F.lit(depth), "crossed": F.lit(False)})
     depth = 0

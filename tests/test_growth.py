@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from netloom.operators import design, graphs, runlogs, schematic, traces, within
-from netloom.plans import bridge
+from netloom.plans import bridge, schematics
 from netloom.sources import rtl, verilog
 
 
@@ -72,3 +72,36 @@ def test_routing_finds_the_blocks_of_edges_once(spark, monkeypatch):
     monkeypatch.setattr(schematic, "with_blocks", lambda *a: calls.append(1) or find(*a))
     assert [tuple(r) for r in schematic.edge_routing(nodes, edges).select("id", "mode", "reason").collect()] == [("e", "routed", "single")]
     assert len(calls) == 1
+
+
+def _circuit(spark):
+    nodes = spark.createDataFrame([("i", 1, "instance", None, None, 0), ("j", 1, "instance", None, None, 1), ("ii", 1, "instance_port", "i", "input", 2), ("io", 1, "instance_port", "i", "output", 3), ("ji", 1, "instance_port", "j", "Input", 4), ("in", 1, "module_io", None, "input", 5)], "id string, module int, kind string, parent string, direction string, ord int")
+    return nodes, spark.createDataFrame([("e", 1, "in", "ii", "n"), ("f", 1, "io", "ji", "m")], "id string, module int, src string, dst string, net string")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_circuits_are_dealt_to_tasks_before_their_rows_are_made(spark, tmp_path):
+    spark.range(1, 5).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert schematics._nodes(spark, str(tmp_path)).rdd.getNumPartitions() == schematics._edges(spark, str(tmp_path)).rdd.getNumPartitions() == rtl.tasks(spark)
+
+
+def test_rounds_of_a_port_trace_dont_make_the_circuit_again(spark, monkeypatch):
+    nodes, edges = _circuit(spark)
+    made, cut = [], schematic.cut
+    monkeypatch.setattr(schematic, "cut", lambda df: made.append("LogicalRDD" in _plan(df)) or cut(df))
+    down = schematic.port_trace(nodes, edges, spark.createDataFrame([("in",)], "node string"))
+    assert sorted(map(tuple, down.collect())) == [("in", "ii", 0, False), ("in", "io", 0, True), ("in", "ji", 1, False)]
+    assert made[:3] == [True] * 3 and len(made) > 5 and not any(made[3:])
+
+
+def test_levels_and_roots_join_a_circuit_once(spark, monkeypatch):
+    nodes, edges = _circuit(spark)
+    given, levels = [], within.settled_levels
+    monkeypatch.setattr(within, "settled_levels", lambda n, e: given.append(_plan(e)) or levels(n, e))
+    assert sorted(map(tuple, schematic.instance_levels(nodes, edges).collect())) == [("i", 0), ("j", 1)]
+    assert "Join" not in given[0]
+    roots = schematic.layout_roots(nodes, edges)
+    assert [tuple(r) for r in roots.collect()] == [(1, "in")] and _plan(roots).count("Join") == 1
