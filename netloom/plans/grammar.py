@@ -46,40 +46,40 @@ def _files(s, d):
     return _t(s, d, "part").select(F.concat(F.lit("f"), k.cast("string"), F.lit(".v")).alias("path"), text.alias("text"))
 
 
-def _mods(s, d):
-    return rtl.modules(_files(s, d))
+def _mods(s, d, *kinds):
+    return rtl.modules(_files(s, d), kinds)
 
 
 @_query(f"SELECT k.module, v.name, replace(v.child, '#', CAST(k AS VARCHAR)) AS child, v.line FROM ({_K}) k, (VALUES ('u1', 'foo#', 5), ('u2', 'foo#', 5), ('inst_0', 'foo#', 6), ('u3', 'bar', 7)) v(name, child, line)")
 def statement_instances(s, d):
-    return rtl.instances(_mods(s, d)).select("module", "name", "child", "line")
+    return rtl.instances(_mods(s, d, "instance")).select("module", "name", "child", "line")
 
 
 @_query(f"""SELECT k.module, v.instance, v.ord, v.child_port, v.parent_signal FROM ({_K}) k, (VALUES ('u1', 0, 'x', 'a'), ('u1', 1, 'y', 'f(g(h(i(j(a)))))'), ('u2', 0, 'arg0', 'b'), ('u2', 1, 'arg1', ''), ('u2', 2, 'arg2', 'y'),
 ('inst_0', 0, 'x', 'q'), ('u3', 0, 'p', '{{a, {{b, y}}}}'), ('u3', 1, 'q', ''), ('u3', 2, 'r', 'r')) v(instance, ord, child_port, parent_signal)""")
 def statement_pins(s, d):
-    return rtl.pins(rtl.instances(_mods(s, d))).select("module", "instance", "ord", "child_port", "parent_signal")
+    return rtl.pins(rtl.instances(_mods(s, d, "instance"))).select("module", "instance", "ord", "child_port", "parent_signal")
 
 
 @_query(f"SELECT k.module, v.* FROM ({_K}) k, (VALUES ('g1', 'and', 'n1', 'a,b', 8), ('g2', 'and', 'n2', 'p,q', 8), ('nor_0', 'nor', 'n3', 'a,b', 9), ('nor_1', 'nor', 'n4', 'p,q', 9)) v(name, gate_type, output, inputs, line)")
 def statement_gates(s, d):
-    return rtl.gates(_mods(s, d)).select("module", "name", "gate_type", "output", F.array_join("inputs", ",").alias("inputs"), "line")
+    return rtl.gates(_mods(s, d, "gate")).select("module", "name", "gate_type", "output", F.array_join("inputs", ",").alias("inputs"), "line")
 
 
 @_query(f"SELECT k.module, v.* FROM ({_K}) k, (VALUES ('p', 'a', 'a', 3), ('q', 'b[0]', 'b', 3), ('y', 'p', 'p', 10), ('m1', '{{n1, n2}}', 'n1,n2', 10)) v(target, expression, sources, line)")
 def statement_assigns(s, d):
-    return rtl.assigns(_mods(s, d)).select("module", "target", "expression", F.array_join("sources", ",").alias("sources"), "line")
+    return rtl.assigns(_mods(s, d, "assign", "declaration")).select("module", "target", "expression", F.array_join("sources", ",").alias("sources"), "line")
 
 
 @_query(f"""SELECT k.module, v.* FROM ({_K}) k, (VALUES ('p', 'wire', 1, FALSE, 3), ('q', 'wire', 1, FALSE, 3), ('m1', 'wire', 4, TRUE, 4), ('m2', 'wire', 4, TRUE, 4), ('last', 'wire', 1, FALSE, 13), ('kept', 'reg', NULL, TRUE, 12)) v(name, kind, bit_width, is_bus, line)
 WHERE v.name <> 'kept' OR k % 4 = 0""")
 def statement_signals(s, d):
-    return rtl.signals(_mods(s, d)).select("module", "name", "kind", "bit_width", "is_bus", "line")
+    return rtl.signals(_mods(s, d, "declaration")).select("module", "name", "kind", "bit_width", "is_bus", "line")
 
 
 @_query(f"SELECT module, 'posedge a[0]' AS sensitivity, 'ALWAYS @(posedge a[0])' AS title, 'SEQ posedge a' AS label, 'm2' AS target, 11 AS line FROM ({_K}) k")
 def statement_always(s, d):
-    return rtl.always_blocks(_mods(s, d)).select("module", "sensitivity", "title", "label", F.get("steps", F.lit(0))["target"].alias("target"), "line")
+    return rtl.always_blocks(_mods(s, d, "always")).select("module", "sensitivity", "title", "label", F.get("steps", F.lit(0))["target"].alias("target"), "line")
 
 
 @_query(f"""SELECT k.module || '.v' AS path, v.severity, v.kind, v.line, v.token, replace(v.text, '#', CAST(k AS VARCHAR)) AS text FROM ({_K}) k, (VALUES

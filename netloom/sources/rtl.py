@@ -7,7 +7,7 @@ Spark's readers skip empty files and those whose names start with an underscore
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +48,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _column(values: list, kind: pa.DataType) -> pa.Array:
-    """``values`` as Arrow, a field at a time: row by row, nested rows take as long to hand over as to parse. Lists and structs aren't null."""
+    """``values`` as Arrow, a field at a time: row by row, nested rows take as long to hand over as to parse. Lists aren't null; a struct may be."""
     if pa.types.is_list(kind):
         ends, flat = [0], []
         for v in values:
@@ -56,7 +56,11 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
             ends.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column(flat, kind.value_type), type=kind)
     if pa.types.is_struct(kind):
-        return pa.StructArray.from_arrays([_column([v[f.name] for v in values], f.type) for f in kind], fields=list(kind))
+        gone = [v is None for v in values]
+        if any(gone):  # the fields of a null are never read
+            none = {f.name: [] if pa.types.is_list(f.type) else None for f in kind}
+            values = [v or none for v in values]
+        return pa.StructArray.from_arrays([_column([v[f.name] for v in values], f.type) for f in kind], fields=list(kind), mask=pa.array(gone, pa.bool_()))
     return pa.array(values, kind)
 
 
@@ -90,12 +94,14 @@ def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str) ->
     return texts.repartition(tasks(spark), "path").mapInArrow(run, schema)
 
 
-def modules(files: DataFrame) -> DataFrame:
+def modules(files: DataFrame, kinds: Collection[str] | None = None) -> DataFrame:
     """(path, mod_ord, module, line, ports, items) of each module of ``files`` (path, text) that has a name and an end.
 
     Null and empty texts have no modules. What of a module no rule reads is left out of its items, see `diagnostics`.
+    With ``kinds``, items of other kinds are parsed but null, for tables that need few: most of the rows needn't leave Python.
     """
-    return _read(files, lambda found: [{"mod_ord": n, **m} for n, m in enumerate(found["modules"])], MODULES)
+    wanted = lambda m: m if kinds is None else m | {"items": [i if i["kind"] in kinds else None for i in m["items"]]}
+    return _read(files, lambda found: [{"mod_ord": n, **wanted(m)} for n, m in enumerate(found["modules"])], MODULES)
 
 
 def diagnostics(files: DataFrame, mods: DataFrame | None = None) -> DataFrame:

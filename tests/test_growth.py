@@ -105,3 +105,13 @@ def test_levels_and_roots_join_a_circuit_once(spark, monkeypatch):
     assert "Join" not in given[0]
     roots = schematic.layout_roots(nodes, edges)
     assert [tuple(r) for r in roots.collect()] == [(1, "in")] and _plan(roots).count("Join") == 1
+
+
+def test_items_of_other_kinds_stay_in_python_and_keep_their_places(spark):
+    text = "module m (input a);\n  wire p = a;\n  and g (n, a, p);\n  u i0 (.x(a)), i1 ();\n  always @(posedge a) n <= p;\nendmodule"
+    files = spark.createDataFrame([("f.v", text), ("g.v", "module e; endmodule"), ("h.v", "module h; assign y = 1; endmodule")], "path string, text string")
+    every, few = rtl.modules(files), rtl.modules(files, ["gate", "instance"])
+    assert sorted(tuple(i and i["kind"] for i in r["items"]) for r in few.select("items").collect()) == [(), (None,), (None, "gate", "instance", None)]
+    for table in (rtl.gates, rtl.instances):
+        assert sorted(map(str, table(few).collect())) == sorted(map(str, table(every).collect())) != []
+    assert rtl.ports(few).collect() == rtl.ports(every).collect()
