@@ -73,9 +73,10 @@ def connectivity(ends: DataFrame, all_pairs: bool = False) -> DataFrame:
 
     On nets that lack sources or sinks, a row for each node but the first by (node, port), from the first, with flow
     ``unknown``: that links the same nodes as all their pairs do, in rows that grow with the net and not with its square.
-    With ``all_pairs``, a row for each two of their nodes, the first by name as ``src``.
+    With ``all_pairs``, a row for each two of their nodes, the first by name as ``src``. ``ends`` are written once, since
+    each side of the joins would find them again.
     """
-    key = ["module", "net"]
+    ends, key = cut(ends), ["module", "net"]
     sides = ends.groupBy(key).agg(F.bool_or(F.col("role").isin("source", "bidir")).alias("s"), F.bool_or(F.col("role").isin("sink", "bidir")).alias("k"), F.max("bit_width").alias("bit_width"), F.bool_or("is_bus").alias("is_bus"), F.min(F.struct("node", "port")).alias("first"))
     src = ends.where(F.col("role").isin("source", "bidir")).select(*key, F.col("node").alias("src")).distinct()
     dst = ends.where(F.col("role").isin("sink", "bidir")).select(*key, F.col("node").alias("dst")).distinct()

@@ -115,3 +115,10 @@ def test_items_of_other_kinds_stay_in_python_and_keep_their_places(spark):
     for table in (rtl.gates, rtl.instances):
         assert sorted(map(str, table(few).collect())) == sorted(map(str, table(every).collect())) != []
     assert rtl.ports(few).collect() == rtl.ports(every).collect()
+
+
+def test_connectivity_finds_the_ends_of_nets_once(spark):
+    tables = design.catalog(rtl.modules(spark.createDataFrame([("m.v", "module m (input a, output y); assign y = a; endmodule")], "path string, text string")))
+    found = design.connectivity(design.endpoints(tables))
+    assert _plan(found).count("Join") == 3
+    assert sorted(map(tuple, found.select("net", "src", "dst", "flow").collect())) == [("a", "io:a", "assign:0:y", "directed"), ("y", "assign:0:y", "io:y", "directed")]
