@@ -43,7 +43,8 @@ def _files(s, d):
     text = F.lit(TEXT)
     for name, value in (("{broken}", pick(BROKEN)), ("{tail}", pick(TAIL)), ("{k}", k.cast("string"))):
         text = F.replace(text, F.lit(name), value)
-    return _t(s, d, "part").select(F.concat(F.lit("f"), k.cast("string"), F.lit(".v")).alias("path"), text.alias("text"))
+    parts = _t(s, d, "part").select("p_partkey").repartition(rtl.tasks(s), "p_partkey")  # else the texts are made by as few tasks as the table has blocks
+    return parts.select(F.concat(F.lit("f"), k.cast("string"), F.lit(".v")).alias("path"), text.alias("text"))
 
 
 def _mods(s, d, *kinds):

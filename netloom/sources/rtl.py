@@ -8,6 +8,7 @@ Spark's readers skip empty files and those whose names start with an underscore
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,11 +57,12 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
             ends.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column(flat, kind.value_type), type=kind)
     if pa.types.is_struct(kind):
-        gone = [v is None for v in values]
-        if any(gone):  # the fields of a null are never read
-            none = {f.name: [] if pa.types.is_list(f.type) else None for f in kind}
-            values = [v or none for v in values]
-        return pa.StructArray.from_arrays([_column([v[f.name] for v in values], f.type) for f in kind], fields=list(kind), mask=pa.array(gone, pa.bool_()))
+        there = [v for v in values if v is not None]
+        made = pa.StructArray.from_arrays([_column([v[f.name] for v in there], f.type) for f in kind], fields=list(kind))
+        if len(there) == len(values):
+            return made
+        place = count()
+        return made.take(pa.array([None if v is None else next(place) for v in values], pa.int32()))
     return pa.array(values, kind)
 
 
@@ -68,8 +70,8 @@ def _batch(rows: list[dict], made: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_column([r[f.name] for r in rows], f.type) for f in made], schema=made)
 
 
-def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str) -> DataFrame:
-    """``rows`` of what the parser found in each of ``files``, in ``schema`` behind the path.
+def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str, kinds: Collection[str] | None = None) -> DataFrame:
+    """``rows`` of what the parser found in each of ``files``, in ``schema`` behind the path; with ``kinds``, items of others are None.
 
     Files are dealt anew, since a few large blocks of a table may hold very many small ones. Rows are handed over after each
     ``PIECE`` of text, so that a task's memory goes by its largest file and not by the number of files.
@@ -82,7 +84,9 @@ def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str) ->
         for batch in batches:
             for path, text in zip(*batch.columns):
                 path, text = path.as_py(), text.as_py()
-                found += [{"path": path, **row} for row in rows(verilog.parse(verilog.blanked(text)))]
+                if text is None:  # not a filter: Spark would make each text for it, and again behind what deals files to tasks
+                    continue
+                found += [{"path": path, **row} for row in rows(verilog.parse(verilog.blanked(text), kinds))]
                 size += len(text)
                 if size >= PIECE and found:
                     yield _batch(found, made)
@@ -90,7 +94,7 @@ def _read(files: DataFrame, rows: Callable[[dict], list[dict]], schema: str) ->
         if found:
             yield _batch(found, made)
 
-    texts = files.where("text IS NOT NULL").select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    texts = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     return texts.repartition(tasks(spark), "path").mapInArrow(run, schema)
 
 
@@ -98,10 +102,9 @@ def modules(files: DataFrame, kinds: Collection[str] | None = None) -> DataFrame
     """(path, mod_ord, module, line, ports, items) of each module of ``files`` (path, text) that has a name and an end.
 
     Null and empty texts have no modules. What of a module no rule reads is left out of its items, see `diagnostics`.
-    With ``kinds``, items of other kinds are parsed but null, for tables that need few: most of the rows needn't leave Python.
+    With ``kinds``, items of other kinds are null, for tables that need few: they are read, since errors in them count, but not made.
     """
-    wanted = lambda m: m if kinds is None else m | {"items": [i if i["kind"] in kinds else None for i in m["items"]]}
-    return _read(files, lambda found: [{"mod_ord": n, **wanted(m)} for n, m in enumerate(found["modules"])], MODULES)
+    return _read(files, lambda found: [{"mod_ord": n, **m} for n, m in enumerate(found["modules"])], MODULES, kinds)
 
 
 def diagnostics(files: DataFrame, mods: DataFrame | None = None) -> DataFrame:

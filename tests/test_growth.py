@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from netloom.operators import design, graphs, runlogs, schematic, traces, within
-from netloom.plans import bridge, schematics
+from netloom.plans import bridge, grammar, schematics
 from netloom.sources import rtl, verilog
 
 
@@ -122,3 +122,27 @@ def test_connectivity_finds_the_ends_of_nets_once(spark):
     found = design.connectivity(design.endpoints(tables))
     assert _plan(found).count("Join") == 3
     assert sorted(map(tuple, found.select("net", "src", "dst", "flow").collect())) == [("a", "io:a", "assign:0:y", "directed"), ("y", "assign:0:y", "io:y", "directed")]
+
+
+def test_items_that_are_not_wanted_are_read_but_not_made(monkeypatch):
+    parts = ["wire p = a, q;", "and (n, a, p), g (m, a);", "u i0 (.x(a), .y(f(b))), (c, );", "assign p = a, {q, r} = {b, c};", "always @(posedge a) if (b) n <= p; else n <= q;"]
+    broken = ["u i (.a(b);", "assign = 3;", "u i (.1(a));", "wire w =;", "or (a, b", "end", "always begin a = 1;", ") ]"]
+    texts = [f"module m (input a);\n{x}\n{b}\n{y}\nendmodule\n" for x in parts for b in broken for y in parts]
+    texts.append(f"module m; always @* {'if (a) ' * 1500}b = 1; and (a, b, c); endmodule")
+    found, calls, procedure = [verilog.parse(t) for t in texts], [], verilog.procedure_of
+    monkeypatch.setattr(verilog, "procedure_of", lambda text: calls.append(len(text)) or procedure(text))
+    for kinds in (("gate",), ("instance",), ("assign", "declaration"), ()):
+        for t, every in zip(texts, found):
+            mods = [m | {"items": [i if i["kind"] in kinds else None for i in m["items"]]} for m in every["modules"]]
+            assert verilog.parse(t, kinds) == {"modules": mods, "lost": every["lost"]}
+    assert calls == [len(texts[-1].split("and")[0].strip()) - len("module m; ")] * 4  # only what may be nested too deeply for its end to be known
+
+
+def test_texts_of_parts_are_made_once_and_by_all_tasks(spark, tmp_path):
+    spark.range(1, 5).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = grammar._files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == rtl.tasks(spark)
+    plan = rtl.modules(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("wire last") == 1 and "Filter" not in plan
+    nothing = spark.createDataFrame([("a.v", None), ("b.v", ""), ("c.v", "module c; endmodule")], "path string, text string")
+    assert [r["module"] for r in rtl.modules(nothing).collect()] == ["c"]
