@@ -262,3 +262,9 @@ def test_files_of_one_block_are_read_by_many_tasks_in_pieces(spark):
     assert [tuple(r) for r in mods.groupBy("path").agg(F.count("*"), F.min("mod_ord"), F.max("mod_ord"), F.countDistinct("module")).orderBy("path").collect()] == [(f"f{n}.v", 5000, 0, 4999, 5000) for n in range(3)]
     assert rtl.instances(mods).where("line % 4 = 0").count() == 0 and rtl.instances(mods).where("line % 4 = 3").count() == 15000
     assert [tuple(r) for r in rtl.diagnostics(files).select("path", "kind").collect()] == [("unread.v", "read_failure")]
+
+
+def test_texts_of_diagnostics_are_whole(spark):
+    stray, pins = "stray " * 400 + "end_of_it;", ", ".join(f".p{k}(a{k})" for k in range(300))
+    files = spark.createDataFrame([("f.v", f"{stray}\nmodule m (input a);\n  foo u ({pins}, .q(b);\n  assign y = a;\nendmodule\n")], "path string, text string")
+    assert rows(rtl.diagnostics(files), "kind", "line", "text") == [("outside_module", 1, stray), ("parse_failure", 3, f"foo u ({pins}, .q(b);")]
