@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import design, geometry, routes, schematic
+from ..operators import design, geometry, graphs, routes, schematic
 from ..sources import files as project_files
 from ..sources import rtl
 from .reports import _t, _values
@@ -225,7 +225,7 @@ ROUTED = [
 
 def _layout(s, d):
     """The same layout for each part, as a module of its own."""
-    parts = _t(s, d, "part").select(F.col("p_partkey").alias("module"))
+    parts = _parts(s, d).repartition(rtl.tasks(s), "module")
     each = lambda rows, names: parts.crossJoin(F.broadcast(s.createDataFrame(rows, names)))
     edges = each([(n, *w) for n, w in enumerate(WIRES)], "ord int, net string, source string, target string, bit_width int").withColumn("sig_class", F.lit("wire"))
     return edges, each(PLACED_PORTS, "endpoint string, kind string, side string, x int, y int, width int, parent string"), each(PLACED, "block string, x int, y int, width int, height int")
@@ -235,7 +235,7 @@ def _layout(s, d):
 def schematic_routes(s, d):
     nets, lines = routes.routes(*_layout(s, d))
     points = F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["x"], p["y"])), " ")
-    return lines.join(nets, ["module", "net"]).select("module", "net", "way", F.col("line").cast("int").alias("line"), points.alias("points"))
+    return lines.join(graphs.apart(nets), ["module", "net"]).select("module", "net", "way", F.col("line").cast("int").alias("line"), points.alias("points"))
 
 
 @_query("SELECT p_partkey AS module, v.block, v.x FROM part, (VALUES ('A', 60), ('A', 140), ('C', 220), ('C', 280), ('E', 360), ('E', 440)) v(block, x)")

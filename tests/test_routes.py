@@ -88,3 +88,17 @@ def test_order_within_modules(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, "p", 0, 0), (1, "q", 0, 1), (1, "s", 1, 0), (1, "t", 1, 1), (2, "p", 0, 0), (2, "q", 0, 1), (2, "s", 1, 0), (2, "t", 1, 1)]
     none = spark.createDataFrame([], "module int, node string, level int, label string, region string")
     assert geometry.module_order(none, spark.createDataFrame(edges, "module int, src string, dst string")).count() == 0
+
+
+def test_routes_and_metrics_send_no_table_to_all_tasks(spark, monkeypatch):
+    edges, ports, blocks = layout(3)
+    e, p, b = spark.createDataFrame(edges, EDGE), spark.createDataFrame(ports, PORT), spark.createDataFrame(blocks, BLOCK)
+    plans, cut = [], routes.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(routes, "cut", lambda df: plan(df) or cut(df))
+    nets, lines = routes.routes(e, p, b)
+    points = p.select("module", "x", "y")
+    for df in (nets, lines, routes.improvement(e, lines, p, b), routes.blocks_at(points, routes.boxes(b)), routes.segments_at(points, routes.segments(lines))):
+        plan(df)
+    assert len(plans) == 9 and all("SortMergeJoin" in x and "Broadcast" not in x for x in plans if "Join" in x)
+    assert sum("Join" in x for x in plans) >= 8
