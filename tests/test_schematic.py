@@ -54,6 +54,36 @@ def test_a_segment_and_a_wide_block_meet_once(spark):
     assert rows(geometry.route_metrics(routes, blocks), "crossings", "bends", "overlaps") == [(1, 0, 3)]
 
 
+def test_metrics_of_routes_are_counted_without_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    ends = lambda: draw.choice([draw.randrange(-90, 90), draw.choice([-64, -1, 0, 63, 64, 65])])
+    lines, boxes = [], []
+    for k in range(150):
+        x, y = ends(), ends()
+        lines.append((k, [(x, y), (u := draw.choice([x, ends()]), y), (u, ends()), (draw.choice([u, ends()]), ends())][: draw.randrange(5)] if k else None))
+        boxes.append((k, ends(), ends(), ends(), ends()))
+        if k % 2:
+            boxes[-1] = (k, *map(min, zip(boxes[-1][1:3], boxes[-1][3:])), *map(max, zip(boxes[-1][1:3], boxes[-1][3:])))
+    lines += [(k, [(5, 9), (400, 9), (400, -300)]) for k in range(200)] + [(k, [(200, -9), (200, 99), None]) for k in range(300)]
+    boxes += [(1, 0, 0, None, 5), (2, 199, 5, 202, 12)]
+    parts = [(a, b) for _, line in lines for a, b in zip(line or [], (line or [])[1:]) if a and b]
+    flat = [(a[1], *sorted((a[0], b[0]))) for a, b in parts if a[1] == b[1] and a[0] != b[0]]
+    tall = [(a[0], *sorted((a[1], b[1]))) for a, b in parts if a[0] == b[0]]
+    crossed = sum(a < x < b and c < y < d for y, a, b in flat for x, c, d in tall)
+    known = [box[1:] for box in boxes if None not in box]
+    over = sum(t < y < b and x1 < r and x2 > le for y, x1, x2 in flat for le, t, r, b in known) + sum(le < x < r and y1 < b and y2 > t for x, y1, y2 in tall for le, t, r, b in known)
+    bends = sum(max(0, len(line or []) - 2) for _, line in lines)
+    for kind in ("long", "int", "double"):
+        routes = spark.createDataFrame([(k, line and [p and tuple(map(float if kind == "double" else int, p)) for p in line]) for k, line in lines], f"route long, points array<struct<x:{kind},y:{kind}>>")
+        blocks = spark.createDataFrame(boxes, "block long, x1 int, y1 int, x2 int, y2 int")
+        assert rows(geometry.route_metrics(routes, blocks), "crossings", "bends", "overlaps") == [(crossed, bends, over)]
+    routes = routes.withColumn("points", F.col("points").cast("array<struct<x:long,y:long>>"))
+    plan = geometry.route_metrics(routes, blocks.where("x1 < x2 AND y1 < y2"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate(keys=[cx" in plan
+
+
 def test_controls_of_blocks_without_statements_and_of_labelled_ones():
     from netloom.sources.verilog import procedure_of
 
