@@ -17,6 +17,8 @@ bounds can't tell from similar ones, and of these every one. Long lists are deal
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -36,6 +38,8 @@ BLOCK, SEGMENT = 1_024, 256
 NEIGHBOURS = 3
 #: Cells whose parities bound the difference of two sets.
 PARITIES = 512
+#: Pairs of a list that are compared at once.
+PAIRS_HELD = 1 << 18
 #: Texts whose words are held at once.
 PART = 512
 EPS = 1e-9
@@ -150,6 +154,39 @@ def _neighbours(lists: DataFrame, least: float) -> DataFrame:
     return rows.where(_possible(F.col("x"), F.col("y"), least)).select(*_pair("x.id", "y.id")).distinct()
 
 
+def _group_pairs(rows: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
+    """(a, b), a < b: pairs that the bounds leave within whole groups (list, lo, hi), sorted by ``mine``: of the parts lo and hi, or within the one where these are the same.
+
+    Groups are many and small, so the pairs of all of them are made at once, up to ``PAIRS_HELD`` or those of one member.
+    """
+    if not len(rows):
+        return
+    ids, root, n, left, mine, lo, hi = (rows[c].to_numpy() for c in ("id", "root", "n", "left", "mine", "lo", "hi"))
+    key = rows[["list", "lo", "hi"]].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    size = np.diff(np.r_[starts, len(rows)])
+    end = np.repeat(starts + size, size)
+    at = np.arange(len(rows))
+    second = np.repeat(starts + np.add.reduceat(mine != hi, starts), size)  # where the part hi begins
+    begin = np.where(lo == hi, at + 1, np.where(mine == lo, second, end))
+    upto = np.r_[0, np.cumsum(end - begin)]
+    words, i = None, 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS_HELD, "right")) - 1)
+        u = np.repeat(at[i:j], (end - begin)[i:j])
+        v = np.arange(upto[j] - upto[i]) + np.repeat(begin[i:j] - (upto[i:j] - upto[i]), (end - begin)[i:j])
+        i = j
+        ok = (root[u] != root[v]) & (np.minimum(n[u], n[v]) >= least * np.maximum(n[u], n[v]) - EPS)
+        u, v = u[ok], v[ok]
+        ok = np.minimum(left[u], left[v]) >= least / (1 + least) * (n[u] + n[v]) - EPS
+        u, v = u[ok], v[ok]
+        if len(u):
+            words = np.stack(rows["parities"].to_list()).astype(np.int64).view(np.uint64) if words is None else words
+            near = np.bitwise_count(words[u] ^ words[v]).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * (n[u] + n[v]) + EPS
+            a, b = ids[u[near]], ids[v[near]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
 def _rest(lists: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: all pairs of different components within a list that the bounds leave.
 
@@ -168,23 +205,6 @@ def _rest(lists: DataFrame, least: float) -> DataFrame:
     others = F.when(F.col("mine") < k, F.transform(upto(m), lambda j: k + j)).otherwise(upto(k + m))
     rows = rows.withColumn("other", F.explode(others)).select("list", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "n", "left", "parities")
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        ids, root, n, left, mine = (g[c].to_numpy() for c in ("id", "root", "n", "left", "mine"))
-        first, second = np.flatnonzero(mine == g["lo"].iloc[0]), np.flatnonzero(mine == g["hi"].iloc[0])
-        words = np.stack(g["parities"].to_list()).astype(np.int64).view(np.uint64)
-        a, b = [ids[:0]], [ids[:0]]
-        for i in range(0, len(first), 128):
-            x = first[i : i + 128, None]
-            ok = (root[x] != root[second]) & (np.minimum(n[x], n[second]) >= least * np.maximum(n[x], n[second]) - EPS)
-            ok &= np.minimum(left[x], left[second]) >= least / (1 + least) * (n[x] + n[second]) - EPS
-            u, v = np.nonzero(ok)
-            u, v = x[u, 0], second[v]
-            near = np.bitwise_count(words[u] ^ words[v]).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * (n[u] + n[v]) + EPS
-            a.append(ids[u[near]])
-            b.append(ids[v[near]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
     def run(batches):
         rest = None
         for batch in batches:
@@ -192,12 +212,12 @@ def _rest(lists: DataFrame, least: float) -> DataFrame:
             key = held[["list", "lo", "hi"]].to_numpy()
             cut = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1] + 1) if len(held) and (key != key[-1]).any() else 0
             rest = held.iloc[cut:]  # the last group may go on in the next batch
-            yield from (pairs(g) for _, g in held.iloc[:cut].groupby(["list", "lo", "hi"], sort=False))
+            yield from _group_pairs(held.iloc[:cut], least)
         if rest is not None and len(rest):
-            yield pairs(rest)
+            yield from _group_pairs(rest, least)
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(n, "list", "lo", "hi").sortWithinPartitions("list", "lo", "hi").mapInPandas(run, "a long, b long").distinct()
+    found = rows.repartition(n, "list", "lo", "hi").sortWithinPartitions("list", "lo", "hi", "mine").mapInPandas(run, "a long, b long").distinct()
     return found
 
 

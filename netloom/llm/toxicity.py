@@ -8,6 +8,8 @@ though such mentions be commoner in the toxic texts that the model learns from.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import regex
@@ -28,6 +30,8 @@ WORD_BYTES = 24
 WINDOWS = (6, 9)
 #: A feature's value is log(1 + DENSITY * share of the words).
 DENSITY = 300.0
+#: Texts that share what is found of their words.
+PART = 1024
 #: Labelled rows that the model is fitted on, at most about.
 SAMPLE = 8_000
 #: Features need this likelihood ratio (G squared) against independence of the label.
@@ -59,33 +63,80 @@ def features(text: bytes, bits: int = BITS) -> tuple[np.ndarray, int]:
     Words are runs of letters and digits. A run without white space that isn't such a word counts as a whole too. Every
     ``WINDOWS[0]`` bytes of a long word count as a word.
     """
-    low = text.lower()
-    runs = low.split()
+    words, others, runs = _parts(text)
     if not runs:
         return np.array([], np.int64), 0
-    if not low.isascii():
+    return _hashed(words + others, len(words), bits)[0], max(len(words), runs) + sum(map(_more, words))
+
+
+def _parts(text: bytes) -> tuple[list[bytes], list[bytes], int]:
+    """The words of a text, its other runs without white space, and the number of all runs."""
+    low = text.lower()
+    runs = low.split()
+    if runs and not low.isascii():
         low = OTHER_CUTS.sub(" ", low.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
     words = low.translate(ASCII_CUTS).split()
     known = set(words)
-    n, parts = len(words), words + [r for r in runs if r not in known]
+    return words, [r for r in runs if r not in known], len(runs)
+
+
+def _more(word: bytes) -> int:
+    """As how many words more than one a word counts."""
+    return len(word) // WINDOWS[0] - 1 if len(word) > WORD_BYTES else 0
+
+
+def _hashed(parts: list[bytes], n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, number of the part that has it) of parts, of which the first ``n`` are words and the others have one feature, their whole."""
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     start = np.r_[0, np.cumsum(size + 1)[:-1]]
     raw = np.frombuffer(b" ".join(parts) + bytes(WORD_BYTES), np.uint8)
-    h, out = np.zeros(len(parts), np.uint64), []
+    h, out, of = np.zeros(len(parts), np.uint64), [], []
     for j in range(min(WORD_BYTES, int(size.max()))):
         on = j < size
         h = np.where(on, h * np.uint64(1099511628211) + raw[start + j] + np.uint64(1), h)
         if j + 1 in BEGINNINGS:
-            out.append(mix(h[:n][on[:n]] + np.uint64((j + 1) << 40)))
-    count = max(n, len(runs))
+            of.append(np.flatnonzero(on[:n]))
+            out.append(mix(h[of[-1]] + np.uint64((j + 1) << 40)))
     for i in np.flatnonzero(size > WORD_BYTES).tolist():
         h[i] = xxhash.xxh64_intdigest(parts[i], 42)
         if i < n:
             units = raw[start[i] : start[i] + size[i]].astype(np.uint64) + np.uint64(1)
-            out += [mix(window_hashes(units, k, 1099511628211) + np.uint64(k << 48)) for k in WINDOWS]
-            count += int(size[i]) // WINDOWS[0] - 1
+            for k in WINDOWS:
+                out.append(mix(window_hashes(units, k, 1099511628211) + np.uint64(k << 48)))
+                of.append(np.full(len(out[-1]), i))
     out.append(mix(h + np.uint64(99 << 40)))
-    return (np.concatenate(out) >> np.uint64(64 - bits)).astype(np.int64), count
+    of.append(np.arange(len(parts)))
+    return (np.concatenate(out) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(of)
+
+
+def kept_counts(texts: list[bytes], place: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each text (places, how often its features have them, number of words) as `features` counts them; ``place`` is -1 for a feature that isn't kept.
+
+    What a word has is found once for ``PART`` texts, not wherever it stands.
+    """
+    for i in range(0, len(texts), PART):
+        words, others, rows = {}, {}, []
+        for t in texts[i : i + PART]:
+            mine, rest, runs = _parts(t)
+            codes = [words.setdefault(w, len(words)) for w in mine]
+            rows.append((codes, [others.setdefault(r, len(others)) for r in rest], max(len(mine), runs)))
+        if not words and not others:
+            yield from ((place[:0], place[:0], 0) for _ in rows)
+            continue
+        f, of = _hashed([*words, *others], len(words), bits)
+        at = place[f]
+        of, at = of[at >= 0], at[at >= 0]
+        at = at[np.argsort(of, kind="stable")]
+        many = np.bincount(of, minlength=len(words) + len(others))
+        first = np.cumsum(many) - many
+        more = np.fromiter(map(_more, words), np.int64, len(words))
+        for codes, rest, n in rows:
+            mine = np.array(codes, np.int64)
+            parts = np.r_[mine, np.array(rest, np.int64) + len(words)]
+            size = many[parts]
+            ends = np.cumsum(size)
+            got = at[np.arange(int(size.sum())) + np.repeat(first[parts] - (ends - size), size)]
+            yield *np.unique(got, return_counts=True), n + int(more[mine].sum())
 
 
 def swaps(text: bytes, terms: dict = IDENTITY_TERMS, each: int = 2) -> list[tuple[bytes, bytes]]:
@@ -232,11 +283,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
         place = np.full(1 << bits, -1, np.int32)
         place[kept] = np.arange(len(kept))
         out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            f, n = features(t, bits)
-            at = place[f]
-            counts = np.bincount(at[at >= 0], minlength=len(kept))
-            out[i] = 1 / (1 + np.exp(-np.clip(b + w @ _value(counts, n) if len(kept) else b, -500, 500)))
+        for i, (at, counts, n) in enumerate(kept_counts(texts, place, bits)):
+            value = np.zeros(len(kept))
+            value[at] = _value(counts, n)
+            out[i] = 1 / (1 + np.exp(-np.clip(b + w @ value if len(kept) else b, -500, 500)))
         return out
 
     return scores

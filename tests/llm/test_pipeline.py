@@ -96,3 +96,56 @@ def test_stages_on_odd_rows(spark, tmp_path):
         out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() == len(seen)
         assert all(r["n_tokens"] == len(r["ids"]) for r in out.collect())
+
+
+def test_pairs_of_many_groups_are_made_at_once(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from netloom.llm import shingles
+
+    draw, rows = random.Random(7), []
+    for k in range(400):
+        lo, hi = draw.choice([(0, 1), (1, 1), (0, 0), (2, 5)])
+        for _ in range(draw.randrange(1, 7) if k % 50 else 60):
+            rows.append((k, lo, hi, draw.choice([lo, hi]), draw.randrange(10**6), draw.randrange(9), draw.randrange(80, 120), draw.randrange(40, 120), np.array([draw.choice([0, 0, 2**20 - 1, 5]) for _ in range(8)])))
+    held = pd.DataFrame(sorted(rows, key=lambda r: r[:4]), columns=["list", "lo", "hi", "mine", "id", "root", "n", "left", "parities"])
+    want = set()
+    for k in range(400):
+        mine = [r for r in rows if r[0] == k]
+        for a in mine:
+            for b in mine:
+                apart = sum(bin(int(x ^ y)).count("1") for x, y in zip(a[-1], b[-1]))
+                if a[3] == a[1] and b[3] == b[2] and a[5] != b[5] and min(a[6], b[6]) >= 0.8 * max(a[6], b[6]) and min(a[7], b[7]) >= 0.8 / 1.8 * (a[6] + b[6]) and apart <= 0.2 / 1.8 * (a[6] + b[6]):
+                    want.add((min(a[4], b[4]), max(a[4], b[4])))
+    for most, frames in ((1 << 18, 1), (50, None)):
+        monkeypatch.setattr(shingles, "PAIRS_HELD", most)
+        found = list(shingles._group_pairs(held, 0.8))
+        assert len(found) == frames or frames is None and len(found) > 3
+        assert {tuple(r) for f in found for r in f.to_numpy().tolist()} == want and len(want) > 30
+    assert list(shingles._group_pairs(held.iloc[:0], 0.8)) == []
+
+
+def test_words_of_many_texts_are_looked_at_once(monkeypatch):
+    import numpy as np
+
+    from netloom.llm import toxicity
+
+    draw = random.Random(9)
+    texts = [bytes(draw.choice(b"aB1 -\xc3\xa9\xff.\n") for _ in range(draw.randrange(90))) for _ in range(300)]
+    texts += [b"", b" \n", b"---", "x".encode() * 60 + " é—ü “q” ".encode() + b"y" * 25, b"w" * 24 + b" " + b"w" * 25 + b" " + b"w" * 25]
+    place = np.full(1 << toxicity.BITS, -1, np.int32)
+    kept = np.unique(np.concatenate([toxicity.features(t)[0] for t in texts]))[::2]
+    place[kept] = np.arange(len(kept))
+    want = []
+    for t in texts:
+        f, n = toxicity.features(t)
+        want.append((np.bincount(place[f][place[f] >= 0], minlength=len(kept)).tolist(), n))
+    calls, hashed = [], toxicity._hashed
+    monkeypatch.setattr(toxicity, "_hashed", lambda *a: calls.append(1) or hashed(*a))
+    for part, most in ((1024, 1), (7, 44)):
+        monkeypatch.setattr(toxicity, "PART", part)
+        found = [(np.bincount(np.repeat(at, n), minlength=len(kept)).tolist(), words) for at, n, words in toxicity.kept_counts(texts, place)]
+        assert found == want and len(calls) <= most
+        calls.clear()
+    assert [x[2] for x in toxicity.kept_counts([b"", b" "], place)] == [0, 0] and list(toxicity.kept_counts([], place)) == []
